@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideframe.llm import common, media, quality_rules, warc
+from tideframe.llm import ans, bpe, common, media, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,17 +31,33 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    n = F.floor(F.octet_length("ids") / 4).cast("long")
+    return got.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_ans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, counts = ans.write_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    read = ans.read_files(manifest, counts)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_media": op2_media,
     "op3_quality_rules": op3_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op8_ans_files": op8_ans_files,
 }
 
 OP1_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS keeper FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + CAST((CAST(concat('0x', substr(hex, 1 + CAST(i // 8 AS INTEGER) * 10, 10)) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
        CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN CAST(keeper AS BIGINT) END AS refers_to
