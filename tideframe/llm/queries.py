@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import ans, bpe, common, media, quality_rules, warc
+from tideframe.llm import ans, bpe, common, media, ngram_join, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_media": op2_media,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_join": op4_ngram_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_ans_files": op8_ans_files,
 }
@@ -64,4 +70,24 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, CAST(len(w) - 1 AS BIGINT)), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) END AS g FROM d),
+k AS (SELECT md5(array_to_string(list_sort(g), chr(10))) AS k, min(doc_id) AS rep, any_value(g) AS g, len(any_value(g)) AS n FROM s WHERE len(g) > 0 GROUP BY 1),
+t AS (SELECT rep, n, unnest(g) AS x FROM k),
+f AS (SELECT t.*, row_number() OVER (PARTITION BY rep ORDER BY c, t.x) AS at FROM t JOIN (SELECT x, count(*) AS c FROM t GROUP BY x) USING (x)),
+p AS (SELECT rep, n, x FROM f WHERE at <= n - (90 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+l AS (SELECT c.a, c.b FROM c JOIN k x ON x.rep = c.a JOIN k y ON y.rep = c.b
+  WHERE 190 * len(list_intersect(x.g, y.g)) >= 90 * (x.n + y.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS a, rep AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+o AS (SELECT a AS rep, min(b) AS component FROM r GROUP BY a),
+m AS (SELECT s.doc_id, len(s.g) AS n, o.component FROM s LEFT JOIN k ON md5(array_to_string(list_sort(s.g), chr(10))) = k.k AND len(s.g) > 0 LEFT JOIN o USING (rep))
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id FROM m
+"""
+
+ORACLES: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op1_warc": OP1_SQL}
