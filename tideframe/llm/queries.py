@@ -78,8 +78,8 @@ s AS (
     ELSE list_distinct(list_transform(range(1, CAST(len(w) - 1 AS BIGINT)), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) END AS g FROM d),
 k AS (SELECT md5(array_to_string(list_sort(g), chr(10))) AS k, min(doc_id) AS rep, any_value(g) AS g, len(any_value(g)) AS n FROM s WHERE len(g) > 0 GROUP BY 1),
 t AS (SELECT rep, n, unnest(g) AS x FROM k),
-f AS (SELECT t.*, row_number() OVER (PARTITION BY rep ORDER BY c, t.x) AS at FROM t JOIN (SELECT x, count(*) AS c FROM t GROUP BY x) USING (x)),
-p AS (SELECT rep, n, x FROM f WHERE at <= n - (90 * n + 99) // 100 + 1),
+f AS (SELECT t.*, row_number() OVER (PARTITION BY rep ORDER BY c, t.x) AS pos FROM t JOIN (SELECT x, count(*) AS c FROM t GROUP BY x) USING (x)),
+p AS (SELECT rep, n, x FROM f WHERE pos <= n - (90 * n + 99) // 100 + 1),
 c AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
 l AS (SELECT c.a, c.b FROM c JOIN k x ON x.rep = c.a JOIN k y ON y.rep = c.b
   WHERE 190 * len(list_intersect(x.g, y.g)) >= 90 * (x.n + y.n)),
