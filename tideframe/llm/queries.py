@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import ans, bpe, common, media, ngram_join, quality_rules, warc
+from tideframe.llm import ans, bpe, common, media, mixing, ngram_join, quality_rules, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,19 +44,30 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sizes_and_takes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_ans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, counts = ans.write_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     read = ans.read_files(manifest, counts)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_media": op2_media,
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_join": op4_ngram_join,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_mixing": op6_mixing,
     "op8_ans_files": op8_ans_files,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 OP1_SQL = """
