@@ -67,25 +67,25 @@ def counts(data: bytes, n_chars: int) -> tuple[int, ...]:
     )
 
 
-def with_statistics(documents: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep, and the statistics of the column text."""
-    kept = [f for f in documents.schema.fields if f.name in keep and f.name != "text"]
-    has_text = "text" in keep
-    fields = [*kept, *([T.StructField("text", T.StringType())] if has_text else []), *STATISTICS.fields]
-    schema = T.StructType(fields)
-
-    def run(batch: pa.RecordBatch) -> Iterator[tuple]:
+def with_statistics(frame: DataFrame, text: str = "text") -> DataFrame:
+    """frame and the statistics of its column text, or of the field text of its struct column row. Other columns pass through as they are."""
+    schema = T.StructType([*frame.schema.fields, *STATISTICS.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        others = [common.values(batch, f.name) for f in kept]
-        column = batch.column(batch.schema.get_field_index("text"))
-        chars = pc.utf8_length(column).to_pylist()
-        raw = iter(column) if has_text else None
-        for i, data in enumerate(common.utf8(batch, "text")):
-            yield (*(x[i] for x in others), *([next(raw).as_py()] if has_text else []), *counts(data, chars[i] or 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                index = part.schema.get_field_index(text)
+                column = part.column(index) if index >= 0 else pc.struct_field(part.column(part.schema.get_field_index("row")), text)
+                chars = pc.utf8_length(column).to_pylist()
+                only = pa.RecordBatch.from_arrays([column], names=[text])
+                rows = [counts(data, chars[i] or 0) for i, data in enumerate(common.utf8(only, text))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True))], names=schema.names)
 
-    common.ship(documents.sparkSession)
-    return documents.select(*[f.name for f in kept], F.col("text").cast("string").alias("text")).mapInArrow(common.arrow_rows(schema, run), schema)
+    common.ship(frame.sparkSession)
+    return frame.mapInArrow(run, schema)
 
 
 def shares() -> dict[str, Column]:
@@ -214,7 +214,7 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = 20_000) -> tup
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(docs, ["doc_id", "quality"]).select("doc_id", "quality", *(e.alias(k) for k, e in shares().items()))
+    rows = with_statistics(docs).select("doc_id", "quality", *(e.alias(k) for k, e in shares().items()))
     table = rows.toPandas().drop_duplicates().sort_values(["doc_id", *SHARES], kind="stable")
     return table[SHARES].to_numpy(float).reshape(-1, len(SHARES)), table["quality"].to_numpy() == 0
 
@@ -234,9 +234,13 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
     return kept.otherwise(F.lit(True)), number
 
 
-def judge(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None, most: int = 20_000) -> DataFrame:
-    """The columns keep (doc_id alone by default), the statistics, base_failed, kept and rule."""
-    x, poor = labelled(documents, labels, most)
-    kept, number = verdict(learn(x, poor))
-    rows = with_statistics(documents, keep or ["doc_id"])
+def judge(documents: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """row (a struct of the document's columns), the statistics, base_failed, kept, and rule, the number of the rule that decided."""
+    kept, number = verdict(learn(*labelled(documents, labels, most)))
+    rows = with_statistics(documents.select(F.struct(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in documents.columns)).alias("row")))
     return rows.withColumns({"base_failed": base_failed(), "kept": kept, "rule": number})
+
+
+def passing(documents: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """The documents that the base and the learned rules keep."""
+    return judge(documents, labels, most).where("kept").select("row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import ans, bpe, common, media, mixing, ngram_join, quality_rules, suffix_dedup, warc
+from tideframe.llm import ans, bpe, common, media, mixing, ngram_join, pii, quality_rules, suffix_dedup, url_model, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,8 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sizes_and_takes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents"))
+    base = pii.written_spans(F.col("base"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(base, 256).alias("base_sha256"), pii.written_spans(F.concat("base", "more")).alias("spans"))
+
+
 def op8_ans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, counts = ans.write_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     read = ans.read_files(manifest, counts)
@@ -59,6 +65,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_model.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_media": op2_media,
@@ -66,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
     "op8_ans_files": op8_ans_files,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_url_model": op10_url_model,
 }
 
 OP1_SQL = """
@@ -101,4 +113,4 @@ m AS (SELECT s.doc_id, len(s.g) AS n, o.component FROM s LEFT JOIN k ON md5(arra
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id FROM m
 """
 
-ORACLES: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op1_warc": OP1_SQL}
+ORACLES: dict[str, str] = {"op10_url_model": url_model.ORACLE_SQL, "op4_ngram_join": OP4_SQL, "op1_warc": OP1_SQL}
