@@ -227,7 +227,8 @@ def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
                 )
 
     common.ship(archives.sparkSession)
-    return common.written(archives.repartition(F.col("archive")).mapInArrow(rewrite, RANGES))
+    n = max(1, archives.count())  # a task for each archive: a number of its own, as Spark merges small partitions otherwise
+    return common.written(archives.repartition(n, "archive").mapInArrow(rewrite, RANGES))
 
 
 def _chain(head: bytes, content: Iterator[bytes]) -> Iterator[bytes]:
@@ -265,7 +266,8 @@ def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
                     yield (_id(field["warc-record-id"]), kind, refers, field.get("warc-target-uri", ""), length, digest, payload if payloads and kind == "response" else None, archive, entry["offset"], entry["length"])
 
     common.ship(ranges.sparkSession)
-    return ranges.repartition(F.col("archive"), F.col("first")).mapInArrow(common.arrow_rows(RECORDS, read), RECORDS)
+    n = max(1, ranges.count() // 4)
+    return ranges.repartition(n, "archive", "first").mapInArrow(common.arrow_rows(RECORDS, read), RECORDS)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
