@@ -1 +1,6 @@
+"""The registered queries; importing this package registers them."""
 
+from tideframe.plans import bars
+from tideframe.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "bars"]
