@@ -1,6 +1,6 @@
 """The registered queries; importing this package registers them."""
 
-from tideframe.plans import bars, fundamentals
+from tideframe.plans import bars, dividends, fundamentals
 from tideframe.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bars", "fundamentals"]
+__all__ = ["ORACLES", "QUERIES", "bars", "dividends", "fundamentals"]
