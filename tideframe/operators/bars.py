@@ -117,7 +117,7 @@ def quote_freshness(quotes: DataFrame, now: Column, fresh: int = 60, usable: int
 
 def read_many(requests: DataFrame, rows: DataFrame, key: str = "symbol") -> DataFrame:
     """requests (symbols array) in their order, each symbol with its row or an error."""
-    each = requests.select(F.posexplode("symbols").alias("position", key))
+    each = requests.select(*[c for c in requests.columns if c != "symbols"], F.posexplode("symbols").alias("position", key))
     found = each.join(rows.withColumn("_found", F.lit(True)), key, "left")
     error = F.when(F.trim(F.coalesce(key, F.lit(""))) == "", "invalid_symbol").when(F.col("_found").isNull(), "not_found")
     return found.withColumn("error", error).drop("_found")
