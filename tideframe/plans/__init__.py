@@ -1,6 +1,6 @@
 """The registered queries; importing this package registers them."""
 
-from tideframe.plans import bars, dividends, fundamentals, reference_data
+from tideframe.plans import bars, dividends, fundamentals, realtime, reference_data
 from tideframe.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bars", "dividends", "fundamentals", "reference_data"]
+__all__ = ["ORACLES", "QUERIES", "bars", "dividends", "fundamentals", "realtime", "reference_data"]
