@@ -26,7 +26,7 @@ TEXTS = ["", " ", "  ", "a", "a b", "a  b", "a   b", "x\n y", "x\n  y ", " lead"
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids_of_texts(both, text):
     library, (merger, memo) = both
-    packed = next(memo.batch([text]))
+    (packed,) = memo.batch([text])
     assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(text)
     assert b"".join(merger.tokens[x] for x in np.frombuffer(packed, "<u4").tolist()) == text.encode()
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +28,11 @@ from pyspark.sql import types as T
 from tideframe.llm import chunks, common
 
 MAGIC = b"TFANS1\0\0"
-LANES, ROWS, CHECK_ROWS = 512, 512, 128  # of a block; rows between checkpoints
+LANES, ROWS, CHECK_ROWS = 1024, 512, 128  # of a block; rows between checkpoints
 BLOCK = LANES * ROWS
 BITS = 20  # the frequencies add up to 2 ** BITS
 LOW = np.uint64(1 << 31)
-UNIT = 8  # blocks that a reading task takes
+UNIT = 6  # blocks that a reading task takes
 
 TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 MANIFEST = T.StructType(
@@ -151,6 +152,14 @@ class Table:
 _ready: dict = {}
 
 
+def _table(counts: np.ndarray) -> Table:
+    """The table of this worker process."""
+    key = "table", zlib.crc32(counts.tobytes()), len(counts)
+    if key not in _ready:
+        _ready[key] = Table(counts)
+    return _ready[key]
+
+
 def _tokenizer(data: str, specials_as_text: bool):
     """Tokenizer and memo of this worker process."""
     key = hash(data), specials_as_text
@@ -165,14 +174,29 @@ def _tokenizer(data: str, specials_as_text: bool):
         own.encode_special_tokens = specials_as_text
         width = "<u2" if own.get_vocab_size() <= 65536 else "<u4"
 
-        def encode(pieces: list[str]) -> list[bytes]:
+        spaced = np.zeros(own.get_vocab_size(), bool)
+        for token, number in own.get_vocab().items():
+            spaced[number] = token.startswith("\u0120")  # this is how byte-level vocabularies write a space
+
+        def alone(pieces: list[str]) -> list[bytes]:
+            return [np.array(x.ids, width).tobytes() for i in range(0, len(pieces), 4096) for x in own.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
+
+        def together(pieces: list[str]) -> list[bytes]:
             out: list[bytes] = []
-            for i in range(0, len(pieces), 4096):
-                out += [np.array(x.ids, width).tobytes() for x in own.encode_batch(pieces[i : i + 4096], add_special_tokens=False)]
+            for i in range(0, len(pieces), 8192):
+                part = pieces[i : i + 8192]
+                ids = np.array(own.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, width)
+                starts = np.flatnonzero(spaced[ids])  # an id that begins with a space begins a piece
+                if len(starts) != len(part):
+                    out += alone([" " + x for x in part])
+                    continue
+                flat, wide = ids.tobytes(), ids.itemsize
+                ends = (wide * starts).tolist() + [len(flat)]
+                out += [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
             return out
 
         special = [] if specials_as_text else [x.content for x in own.get_added_tokens_decoder().values()]
-        _ready[key] = chunks.Memo(encode, public_tokenizers.PATTERN), encode, special, width
+        _ready[key] = chunks.Memo(alone, together, public_tokenizers.PATTERN, width), alone, special, width
     return _ready[key]
 
 
@@ -184,17 +208,15 @@ def tokenise(documents: DataFrame, vocabulary: str, end_id: int, specials_as_tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, encode, special, width = _tokenizer(data.value, specials_as_text)
         end = np.array([end_id], width).tobytes()
+        wide = len(end)
         for batch in batches:
-            at = 0
-            for part in chunks.grouped(common.texts(batch, "text")):
-                ids = [x + end for x in memo.batch(part)]
-                for i, x in enumerate(part):  # a special token's own string needs the whole text
-                    if any(s in x for s in special):
-                        ids[i] = encode([x])[0] + end
-                wide = 2 if width == "<u2" else 4
-                doc = batch.slice(at, len(part)).column(0)
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([doc, pa.array([len(x) // wide for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=TOKENS.names)
+            for part, column in chunks.slices(batch, "text"):
+                ids = memo.column(column, end)
+                if special and any(pc.any(pc.match_substring(column, s)).as_py() for s in special):  # a special token's own string needs the whole text
+                    texts = column.to_pylist()
+                    ids = pa.array([encode([x])[0] + end if x and any(s in x for s in special) else y for x, y in zip(texts, ids.to_pylist(), strict=True)], pa.binary())
+                n = pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), wide)
+                yield pa.RecordBatch.from_arrays([part.column(0), n, ids], names=TOKENS.names)
 
     common.ship(documents.sparkSession)
     return common.written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS))
@@ -238,7 +260,7 @@ def write_files(tokens: DataFrame, counts: np.ndarray, folder: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get()
-        table = Table(shared.value)
+        table = _table(shared.value)
         store, top = common.files(folder)
         store.create_dir(top, recursive=True)
         path = f"part-{at.partitionId():06d}-{at.taskAttemptId()}.ans"
@@ -302,7 +324,7 @@ def read_files(manifest: DataFrame, counts: np.ndarray) -> DataFrame:
     units = manifest.select("path", F.col("start").alias("before"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(UNIT))).alias("first"))
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
-        table = Table(shared.value)
+        table = _table(shared.value)
         for path, before, first in zip(*(common.values(batch, c) for c in ("path", "before", "first")), strict=True):
             store, name = common.files(path)
             with store.open_input_file(name) as f:

@@ -175,12 +175,20 @@ def ready(data: bytes, pattern: str) -> tuple[Merger, chunks.Memo]:
         merger = Merger(load(data))
         find = regex.compile(pattern).findall
 
-        def encode(pieces: list[str]) -> list[bytes]:
+        def alone(pieces: list[str]) -> list[bytes]:
             words = [[w.encode("utf-8", "surrogatepass") for w in find(x)] for x in pieces]
             ids = iter(merger.encode_words([w for x in words for w in x]))
             return [b"".join(next(ids) for _ in x) for x in words]
 
-        _ready[key] = merger, chunks.Memo(encode, pattern)
+        def together(pieces: list[str]) -> list[bytes]:
+            words = find(" " + " ".join(pieces))  # a word that begins with a space begins a piece
+            ids = merger.encode_words([w.encode("utf-8", "surrogatepass") for w in words])
+            starts = [i for i, w in enumerate(words) if w[0] == " "]
+            if len(starts) != len(pieces):
+                return alone([" " + x for x in pieces])
+            return [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]
+
+        _ready[key] = merger, chunks.Memo(alone, together, pattern)
     return _ready[key]
 
 
@@ -195,13 +203,9 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo = ready(data.value, pattern)
         for batch in batches:
-            at = 0
-            for part in chunks.grouped(common.texts(batch, text)):
-                kept = batch.slice(at, len(part))
-                at += len(part)
-                columns = [kept.column(kept.schema.get_field_index(f.name)) for f in rest]
-                packed = pa.array(list(memo.batch(part)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, packed], names=[*(f.name for f in rest), ids])
+            for part, column in chunks.slices(batch, text):
+                columns = [part.column(part.schema.get_field_index(f.name)) for f in rest]
+                yield pa.RecordBatch.from_arrays([*columns, memo.column(column)], names=[*(f.name for f in rest), ids])
 
     common.ship(spark)
     return documents.select(*[f.name for f in rest], text).mapInArrow(run, schema)
