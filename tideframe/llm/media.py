@@ -269,4 +269,4 @@ def feature(frame: DataFrame) -> DataFrame:
         F.format_string("keyframes=%d", F.size("keyframes").cast("long")),
         F.format_string("last_keyframe=%d+%d", last["offset"], last["length"]),
     )
-    return frame.withColumn("feature", F.coalesce(text, F.concat(F.lit("error="), "error")))
+    return frame.withColumn("feature", F.when(F.col("error").isNull(), text).otherwise(F.concat(F.lit("error="), "error")))
