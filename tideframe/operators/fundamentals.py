@@ -200,3 +200,26 @@ def statement_rows(rows: DataFrame, dates: tuple[str, ...] = ("REPORT_DATE", "re
 def numbered_periods(rows: DataFrame) -> DataFrame:
     """Rows with their place among the symbol's periods, the newest first."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("report_period").desc())))
+
+
+def tdx_normalise(rows: DataFrame, money: tuple[str, ...], alternatives: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Money columns in units of ten thousand scaled up, published_at from YYMMDD, duplicate columns as their first value, the fullest row of each symbol and period."""
+    out = rows
+    for name, columns in (alternatives or {}).items():
+        out = out.withColumn(name, F.coalesce(*columns))
+    out = out.withColumns({c: F.col(c).cast("double") * 10_000 for c in money} | {"published_at": short_date(F.col("published_at"))})
+    return most_complete(out, [*money, "published_at"])
+
+
+BAO_BLOCKS = ("profit", "operation", "growth", "balance", "cash_flow", "dupont", "valuation")
+
+
+def baostock_snapshot(rows: DataFrame, fields: dict[str, tuple[str, str, bool]], body: str = "payload_json") -> DataFrame:
+    """Flat columns of a JSON of seven blocks. fields: name -> (block, key, whether it is a ratio to give in percent); blanks and dashes are null."""
+    from tideframe.functions.scalars import number
+
+    columns = {}
+    for name, (block, key, percent) in fields.items():
+        value = number(F.get_json_object(body, f"$.{block}.{key}"))
+        columns[name] = value * 100 if percent else value
+    return rows.withColumns(columns).drop(body)

@@ -295,3 +295,8 @@ def dataset_diff(spark, sf_dir):
 def page_check(spark, sf_dir):
     rows = raw(spark, sf_dir).select(*KEY.split(", "), "bar_time", "source", "source_sequence").distinct()
     return inventory.page_check(rows.withColumn("position", F.struct("source_sequence", "bar_time", "source")))
+
+
+@query("dense_matrix", f"WITH {CANON}, {SYMBOLS_SQL}, {POINTS_SQL} SELECT p.bar_time, w.symbol, c.close FROM points p CROSS JOIN want w LEFT JOIN canon c ON c.bar_time = p.bar_time AND c.symbol = w.symbol")
+def dense_matrix(spark, sf_dir):
+    return bars.dense_matrix(canon(spark, sf_dir), some_points(spark, sf_dir), some_symbols(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideframe.operators import asof, fundamentals, versions
 from tideframe.plans.registry import query
-from tideframe.sources.fixtures import view
+from tideframe.sources.fixtures import table, view
 
 AS_OF = "1998-06-30"
 
@@ -160,3 +160,32 @@ def merge_fundamentals(spark, sf_dir):
     f, t, b = (asof.latest_period(x) for x in current(spark, sf_dir))
     fields = {"pe": [("valuation", "pe_ttm"), ("performance", "pe_dynamic")], "roe": [("balance", "roe_weighted"), ("performance", "roe_weighted"), ("valuation", "roe_avg")], "revenue": [("performance", "revenue"), ("balance", "revenue")]}
     return fundamentals.merge_fundamentals({"performance": f, "balance": t, "valuation": b}, fields)
+
+
+@query(
+    "tdx_normalise",
+    """WITH e AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS symbol, concat(CAST(year(o_orderdate) AS VARCHAR), '1231') AS report_period, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) * 10000 END AS revenue,
+CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) * 20000 END AS assets, strftime(o_orderdate, '%Y%m%d') AS published_at, o_orderkey AS position FROM orders)
+SELECT symbol, report_period, revenue, assets, published_at, position FROM e QUALIFY row_number() OVER (PARTITION BY symbol, report_period ORDER BY (revenue IS NOT NULL)::INT + (assets IS NOT NULL)::INT DESC, position) = 1""",
+)
+def tdx_normalise(spark, sf_dir):
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("symbol"), F.concat(F.year("o_orderdate").cast("string"), F.lit("1231")).alias("report_period"), F.when(key % 3 != 0, key).alias("r1"), F.lit(None).cast("long").alias("r0"),
+        F.when(key % 2 != 0, key * 2).alias("assets"), F.date_format("o_orderdate", "yyMMdd").alias("published_at"), key.alias("position"),
+    )
+    return fundamentals.tdx_normalise(rows, ("revenue", "assets"), {"revenue": ("r0", "r1")}).select("symbol", "report_period", "revenue", "assets", "published_at", "position")
+
+
+@query("baostock_snapshot", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_custkey AS DOUBLE) * 100 END AS roe_avg, CAST(o_orderkey AS DOUBLE) AS pe_ttm FROM orders")
+def baostock_snapshot(spark, sf_dir):
+    roe = F.when(F.col("o_orderkey") % 4 == 0, "-").otherwise(F.col("o_custkey").cast("string"))
+    body = F.to_json(F.struct(F.struct(roe.alias("roeAvg")).alias("profit"), F.struct(F.col("o_orderkey").cast("string").alias("peTTM")).alias("valuation")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("payload_json"))
+    return fundamentals.baostock_snapshot(rows, {"roe_avg": ("profit", "roeAvg", True), "pe_ttm": ("valuation", "peTTM", False)})
+
+
+@query("last_record_by_symbol", "SELECT lpad(CAST(o_custkey % 500 AS VARCHAR), 6, '0') AS symbol, max(o_orderkey) AS position FROM orders WHERE o_custkey % 500 <> 0 GROUP BY 1")
+def last_record_by_symbol(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).cast("string").alias("symbol"), F.col("o_orderkey").alias("position"))
+    return fundamentals.last_record_by_symbol(rows)

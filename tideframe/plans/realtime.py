@@ -37,10 +37,15 @@ def late_trades(spark, sf_dir):
     return realtime.late_trades(trades(spark, sf_dir), HOUR).select("sequence", "instrument_id", "session", "window", "reason")
 
 
+def _folder(spark) -> str:
+    """A new folder below the shared one of the session; a temporary one where there is none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+
+
 def _streamed(spark, sf_dir):
     """All trades as one file stream, run to its end into a table of the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    top = f"{base.rstrip('/')}/trades-{uuid.uuid4().hex[:12]}"
+    top = _folder(spark)
     rows = trades(spark, sf_dir)
     rows.write.parquet(f"{top}/in")
     source = stream.events_stream(spark, f"{top}/in", rows.schema)
@@ -127,3 +132,23 @@ def depth_to_events(spark, sf_dir):
 def session_filter(spark, sf_dir):
     raw = F.when(F.col("event_type") == "view", "Overnight").when(F.col("event_type") == "click", "PreMarket").otherwise("Normal")
     return realtime.session_filter(table(spark, sf_dir, "events").select("event_id", raw.alias("raw_session"))).select("event_id", "session", "rejected")
+
+
+@query("stream_canonical", "SELECT bar_time, count(DISTINCT symbol) AS bars FROM fx_raw_bar WHERE bar_time < TIMESTAMP '1996-01-01' GROUP BY 1")
+def stream_canonical(spark, sf_dir):
+    """Raw bars in two files, each a batch that refreshes the canonical bars of what it touches."""
+    top = _folder(spark)
+    rows = view(spark, sf_dir, "fx_raw_bar").where("bar_time < '1996-01-01'")
+    late = F.col("ingested_at") >= F.lit("1995-07-01").cast("timestamp_ntz")
+    rows.where(~late).coalesce(1).write.parquet(f"{top}/in")
+    rows.where(late).coalesce(1).write.mode("append").parquet(f"{top}/in")
+    source = stream.events_stream(spark, f"{top}/in", rows.schema, files=1)
+    done = stream.run_to_end(stream.canonical_stream(source, f"{top}/store", f"{top}/checkpoint"))
+    last = done.lastProgress["batchId"]
+    return spark.read.parquet(f"{top}/store/canonical/batch_id={last}").groupBy("bar_time").agg(F.count_distinct("symbol").alias("bars"))
+
+
+@query("windowed_bars", 'SELECT instrument_id, source, session, CAST(floor(epoch(ts_event) / 3600) * 3600 AS BIGINT) AS "window", max(price) AS high, min(price) AS low, count(*) AS trades FROM fx_trade GROUP BY ALL')
+def windowed_bars(spark, sf_dir):
+    out = stream.windowed_bars(trades(spark, sf_dir), HOUR, "1 day")
+    return out.select(*realtime.BAR_KEY, F.unix_seconds("w.start").alias("window"), "high", "low", "trades")

@@ -306,3 +306,47 @@ def read_many(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_attempt").groupBy(F.col("provider").alias("symbol")).agg(F.count("*").alias("n"))
     found = bars.read_many(asked, rows)
     return found.select("request", "position", "symbol", "error")
+
+
+@query("instrument_valid", "SELECT concat('P', CAST(l_partkey AS VARCHAR)) AS instrument_id, max(l_orderkey * 10 + l_linenumber) AS ts_init FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1")
+def instrument_valid(spark, sf_dir):
+    from tideframe.operators.asof import instrument_valid as valid
+
+    arrival = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("instrument_id"), arrival.alias("ts_init"), (arrival + F.when(F.col("l_linenumber") > 4, 1).otherwise(0)).alias("ts_event"))
+    return valid(rows).select("instrument_id", "ts_init")
+
+
+@query("normalize_candidates", "SELECT concat('S', CAST(p_size AS VARCHAR)) AS symbol, min(p_partkey) AS position FROM part WHERE p_size % 3 <> 0 GROUP BY 1 ORDER BY position LIMIT 20")
+def normalize_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("symbol"), F.when(F.col("p_size") % 3 == 0, "bond").otherwise("stock").alias("asset_class"), F.col("p_partkey").alias("position"))
+    return scalars.normalize_candidates(rows, ("stock", "fund"), 20).select("symbol", "position")
+
+
+@query("quote_change", "SELECT event_id, value - previous AS change, CASE WHEN previous <> 0 THEN (value - previous) / previous * 100 END AS change_pct FROM (SELECT event_id, value, CASE WHEN event_type = 'view' THEN 0.0::DOUBLE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id + 1 AS DOUBLE) END AS previous FROM events)")
+def quote_change(spark, sf_dir):
+    previous = F.when(F.col("event_type") == "view", F.lit(0.0)).when(F.col("event_type") == "error", None).otherwise((F.col("user_id") + 1).cast("double"))
+    change, percent = quotes.quote_change(F.col("value"), previous)
+    return table(spark, sf_dir, "events").select("event_id", change.alias("change"), percent.alias("change_pct"))
+
+
+@query("json_safe", "SELECT event_id, CASE WHEN event_type IN ('view', 'error') THEN NULL ELSE value END AS value, CASE WHEN event_type = 'view' THEN NULL ELSE CAST(user_id AS VARCHAR) END AS text FROM events")
+def json_safe(spark, sf_dir):
+    value = F.when(F.col("event_type") == "view", F.lit(float("nan"))).when(F.col("event_type") == "error", F.lit(float("inf"))).otherwise(F.col("value"))
+    text = F.when(F.col("event_type") == "view", " - ").otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", scalars.json_safe(value).alias("value"), scalars.text_or_null(text).alias("text"))
+
+
+@query("month_of", "SELECT o_orderkey, CASE WHEN o_orderkey % 14 BETWEEN 1 AND 12 THEN make_date(CAST(year(o_orderdate) AS BIGINT), CAST(o_orderkey % 14 AS BIGINT), 1) END AS month FROM orders")
+def month_of(spark, sf_dir):
+    period = F.concat(F.lit("M"), F.lpad((F.col("o_orderkey") % 14).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", reference_data.month_of(F.year("o_orderdate"), period).alias("month"))
+
+
+@query("explode_mappings", "SELECT CASE WHEN p_size % 2 = 0 THEN 'provider:longport' ELSE 'broker:longport' END AS namespace, concat('L', CAST(p_partkey AS VARCHAR)) AS external_symbol, concat('P', CAST(p_partkey AS VARCHAR), CASE p_size % 2 WHEN 0 THEN '.XNAS' ELSE '.XHKG' END) AS instrument_id FROM part")
+def explode_mappings(spark, sf_dir):
+    none = F.create_map().cast("map<string,string>")
+    one = F.create_map(F.lit("longport"), F.concat(F.lit("L"), F.col("p_partkey").cast("string")))
+    even = F.col("p_size") % 2 == 0
+    rows = table(spark, sf_dir, "part").select(F.when(even, one).otherwise(none).alias("provider_symbols"), F.when(even, none).otherwise(one).alias("broker_symbols"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.when(even, ".XNAS").otherwise(".XHKG")).alias("instrument_id"))
+    return reference_data.explode_mappings(rows)
