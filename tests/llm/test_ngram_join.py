@@ -69,11 +69,11 @@ def test_one_of_each_and_empty(spark):
 def test_every_link_shares_a_signature(percent):
     r = np.random.default_rng(percent)
     known = nj.bands(percent, 4000)
-    for n in [9, 10, 11, 19, 20, 47, 100, 333, 1000]:
-        for _ in range(30):
-            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+    for n in [4, 5, 6, 9, 10, 11, 19, 20, 47, 100, 200, 333, 500, 1000, 2500]:
+        for _ in range(60):
+            a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))  # n-grams are uniform 64-bit hashes
             most = int(len(a) * (100 - percent) / 100)
-            b = np.unique(np.concatenate([a[r.permutation(len(a))[: len(a) - most]], r.integers(0, 2**63, max(0, r.integers(0, most + 1) - most // 2)).astype(np.uint64)]))
+            b = np.unique(np.concatenate([a[r.permutation(len(a))[: len(a) - most]], r.integers(0, 2**64, max(0, r.integers(0, most + 1) - most // 2), dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= percent * (len(a) + len(b) - both) and len(a) != both:
                 assert np.intersect1d(nj.signatures(a, percent, known), nj.signatures(b, percent, known)).size

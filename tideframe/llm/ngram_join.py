@@ -2,9 +2,10 @@
 
 All n-grams have one global order, that of a 64-bit hash. It is cut into fragments; a document's part of a
 fragment is a segment. Two sets of Jaccard similarity t differ in at most (1 - t) / (1 + t) * (|a| + |b|) n-grams, so
-with more fragments than that, they have equal segments in some fragment: equal segments, found by one equi-join on
-their hashes, are the candidates, whatever the corpus repeats elsewhere. Sizes are cut into bands, each with its own
-number of fragments; a set also enters the next band where a larger partner could be.
+with more fragments than that, they have equal segments in some fragment: equal segments, found by their hashes,
+are the candidates, whatever the corpus repeats elsewhere (bands() has the two ways of cutting where that would make
+segments too short). Sizes are cut into bands, each with its own number of fragments; a set also enters the next band
+where a larger partner could be.
 
 Candidates form clusters. Within a cluster, cut into blocks of bounded size, the overlaps of all pairs are
 counted fragment by fragment, the partial counts are summed for each pair, and only a spanning forest of the
@@ -17,26 +18,37 @@ never a component's id unless it has no other member. Repeated rows link with ea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideframe.llm import common
 from tideframe.llm.components import components
 
-SPREAD = 1.4  # largest over smallest size of a band
-SPARE = 1  # fragments beyond the bound, so that as many empty segments needn't be sent
+SPREAD, NARROW = 1.4, 1.12  # largest over smallest size of a band
+SOLID = 5  # n-grams that a signature should hold
+SURE = 21.0  # see bands(): exp(-21) is below 1e-9
+CELL = 64  # of a sketch
+FEW, LOCAL = 24, 12  # sets of a signature up to which its pairs are looked at, in all and in one part of the input
+HELD = 4096  # rows of one signature that a task holds
+PART = 2000  # documents whose signatures are looked through together before they go out
 BLOCK_SETS, BLOCK_GRAMS = 1024, 4 << 20  # bounds of a block of a cluster
 CELLS = 4 << 20  # of the array that counts one fragment's overlaps
+LIGHT, FRAGMENT = 24, 1 << 18  # sets up to which an n-gram's pairs are counted one by one, and n-grams of a fragment then
 HASHED_ROWS = 1_000_000  # rows of ids up to which a side is sent to all tasks
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("sketch", T.BinaryType())])
+SIGNATURES = T.StructType([T.StructField("signature", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 MEMBERS = T.StructType([T.StructField("cluster", T.LongType()), T.StructField("p", T.LongType()), T.StructField("q", T.LongType()), T.StructField("own", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("grams", T.BinaryType())])
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("star", T.BooleanType())])
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 _U = np.uint64
@@ -51,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Hashes of words, kept while there is room."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -79,84 +91,267 @@ def grams(text: bytes, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(percent: int, upto: int) -> list[tuple[int, int, int]]:
-    """(least size, largest size, fragments) of each band; 0 fragments where only equal sets can link."""
+class Band(NamedTuple):
+    low: int
+    high: int
+    fragments: int  # 0: only equal sets can link
+    spare: int  # empty signatures that a set needn't send
+    of_three: bool  # signatures are two of each three neighbouring fragments
+    least: int  # n-grams of the smallest signature that is sent
+
+
+@cache
+def bands(percent: int, upto: int) -> tuple[Band, ...]:
+    """How sets of each size are cut.
+
+    Two sets of a band differ in at most `apart` n-grams. Small signatures would be equal by chance wherever documents share
+    a passage, so they should hold SOLID n-grams or so. Three ways, the first that gives that:
+
+    - more than `apart` fragments: one is equal in both sets;
+    - fewer fragments, for large sets: which fragment an n-gram is in is random, so the chance that the differing
+      ones touch every fragment is below exp(-SURE) at the very threshold, and far lower above it;
+    - 3/2 * apart fragments: two of three neighbours are equal in both sets, for some three.
+
+    Spare equal signatures make up for empty ones, which aren't sent unless a set has more of them.
+    """
     out, low = [], 1
     while low <= upto:
         high = max(low, int(low * SPREAD))
         apart = 2 * high * (100 - percent) // (100 + percent)
-        out.append((low, high, apart + 1 + SPARE if apart else 0))
+        smallest = low * percent / 100
+        band = Band(low, high, 0, 0, False, 0)
+        if apart:
+            band = Band(low, high, *_exact(apart, smallest, False), False, 0)
+            if low / band.fragments < SOLID:
+                size = next((x / 2 for x in range(24, 2 * SOLID - 1, -1) if _untouched(high / (x / 2), apart, smallest) >= SURE), None)
+                if size:
+                    band = Band(low, high, int(high / size), 0, False, 2)
+                else:  # narrow bands, whose smaller sets have no shorter signatures than need be
+                    high = max(low, int(low * NARROW))
+                    apart = 2 * high * (100 - percent) // (100 + percent)
+                    band = Band(low, high, *(_exact(apart, smallest, True) if apart else (0, 0)), True, 0)
+        out.append(band)
         low = high + 1
-    return out
+    return tuple(out)
+
+
+def _exact(apart: int, smallest: float, of_three: bool) -> tuple[int, int]:
+    """Fragments, and spare signatures. A set with more empty ones sends these too, so any number of spare ones is right."""
+    if of_three:
+        return 3 * -(-(apart + 3) // 2), 1
+    spare = max(1, math.ceil((apart + 2) * math.exp(-smallest / (apart + 2))))
+    return apart + 1 + spare, spare
 
 
-def signatures(s: np.ndarray, percent: int, all_bands: list[tuple[int, int, int]]) -> np.ndarray:
+def _untouched(fragments: float, apart: int, common: float) -> float:
+    """Expected fragments that none of `apart` differing n-grams fall in and that hold two or more of the common ones."""
+    each = common / fragments
+    return fragments * (1 - 1 / fragments) ** apart * (1 - math.exp(-each) * (1 + each))
+
+
+def signatures(s: np.ndarray, percent: int, all_bands: tuple[Band, ...]) -> np.ndarray:
     """Hashes of the set's segments, in its band and in any with larger partners."""
     n = len(s)
     parts: list[np.ndarray] = []
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(s ^ _U(0x5851F42D4C957F2D)))])
         top = s >> _U(32)
-        for k, (low, high, fragments) in enumerate(all_bands):
-            if high < n:
+        for k, band in enumerate(all_bands):
+            if band.high < n:
                 continue
-            if low > n and percent * low > 100 * n:
+            if band.low > n and percent * band.low > 100 * n:
                 break
-            if not fragments:
+            if not band.fragments:
                 continue
-            edges = np.searchsorted((top * _U(fragments)) >> _U(32), np.arange(fragments + 1, dtype=_U))
-            sizes = np.diff(edges).astype(_U)
-            place = np.arange(fragments, dtype=_U) + _U(k << 32)
-            found = mix(mix(sums[edges[1:]] - sums[edges[:-1]] + sizes) + place * _U(0x9E3779B97F4A7C15))
-            parts.append(found if (sizes == 0).sum() > SPARE else found[sizes > 0])
+            edges = np.searchsorted((top * _U(band.fragments)) >> _U(32), np.arange(band.fragments + 1, dtype=_U))
+            total, size = sums[edges[1:]] - sums[edges[:-1]], np.diff(edges).astype(_U)
+            if band.of_three:
+                total, size = (np.concatenate([x[0::3] + x[1::3], x[0::3] + x[2::3], x[1::3] + x[2::3]]) for x in (total, size))
+            place = np.arange(len(total), dtype=_U) + _U(k << 32)
+            found = mix(mix(total + size) + place * _U(0x9E3779B97F4A7C15))
+            if band.least:
+                parts.append(found[size >= band.least])
+            else:
+                parts.append(found if (size == 0).sum() > band.spare else found[size > 0])
     return np.concatenate(parts) if parts else np.zeros(0, _U)
 
 
-def sets_of(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_id (null: no words) and signatures of each row, as a written table."""
+def set_id(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """How many n-grams fall into each of CELL cells, at most 255. Two sets differ in at least as many n-grams as their sketches in counts."""
+    return np.minimum(np.bincount((s >> _U(20)).astype(np.int64) % CELL, minlength=CELL), 255).astype(np.uint8).tobytes()
+
+
+def sets_of(documents: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, n_shingles and set_id (null: no words) of each row, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bands(percent, 1 << 12)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sizes, ids, found = [], [], []
-                for text in common.utf8(part, "text"):
-                    s = grams(text, width)
-                    if len(s) * 100 > percent * known[-1][0]:
-                        known = bands(percent, 4 * len(s))
-                    sizes.append(len(s))
-                    ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                    found.append(signatures(s, percent, known) if len(s) else np.zeros(0, _U))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), flat], names=SETS.names)
+            sizes, ids, sketches = [], [], []
+            for text in common.utf8(batch, "text"):
+                found = grams(text, width)
+                sizes.append(len(found))
+                ids.append(set_id(found) if len(found) else None)
+                sketches.append(sketch(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())], names=SETS.names)
 
     common.ship(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     return common.written(docs.mapInArrow(run, SETS))
 
 
+def candidate_pairs(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b, star) of sets that have a signature in common.
+
+    A signature of few sets gives their pairs. One of more gives a star, never all pairs: star edges only say that
+    the sets may hang together. A task first looks through its own documents: a signature of many sets there sends
+    one row on and the others' edges to it, so a signature, however common, sends few rows for each part of the
+    input. Equal signatures then meet in one partition, sorted, in a stream that holds a bounded run.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bands(percent, 1 << 12)
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                found = {}
+                for text in common.utf8(batch.slice(at, PART), "text"):
+                    s = grams(text, width)
+                    if len(s) * 100 > percent * known[-1].low:
+                        known = bands(percent, 4 * len(s))
+                    if len(s) and (own := set_id(s)) not in found:
+                        found[own] = signatures(s, percent, known)
+                if not found:
+                    continue
+                flat = np.concatenate(list(found.values())).view(np.int64)
+                own = np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()])
+                order = np.lexsort((own, flat))
+                flat, own = flat[order], own[order]
+                first, run, size = _runs(flat)
+                many = size[run] > LOCAL
+                lead = own[np.flatnonzero(first)][run]
+                # (signature, set, null), (signature, set, the same set) for one that stands for others, (any, set, set it hangs on)
+                rows = ~many | first
+                pairs = np.unique(np.stack([own, lead], 1)[many & ~first], axis=0)
+                none = np.concatenate([~many[rows], np.zeros(len(pairs), bool)])
+                columns = [np.concatenate(x) for x in ((flat[rows], pairs[:, 0]), (own[rows], pairs[:, 0]), (own[rows], pairs[:, 1]))]
+                out = pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], mask=none)], names=SIGNATURES.names)
+                for low in range(0, out.num_rows, 50_000):
+                    yield out.slice(low, 50_000)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        for batch in batches:
+            keys, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            other, none = batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            edge = ~none & (other != own)
+            out = [(own[edge], other[edge], np.ones(int(edge.sum()), bool))]
+            keys, own, stands = (np.concatenate(x) for x in zip(held, (keys[~edge], own[~edge], ~none[~edge]), strict=True))
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # that run may go on
+            out += _linked(keys[:last], own[:last], stands[:last])
+            held = keys[last:], own[last:], stands[last:]
+            if len(held[0]) > HELD:  # a star's centre stands for the run so far
+                out.append((held[1][1:], np.full(len(held[1]) - 1, held[1][0]), np.ones(len(held[1]) - 1, bool)))
+                held = held[0][:1], held[1][:1], np.ones(1, bool)
+            if batch := _pairs(out):
+                yield batch
+        if batch := _pairs(_linked(*held)):
+            yield batch
+
+    n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, SIGNATURES)
+    return rows.repartition(n, "signature").sortWithinPartitions("signature").mapInArrow(link, PAIRS)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted keys: whether a row begins a run, the number of its run, and the sizes of the runs."""
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    run = np.cumsum(first) - 1
+    return first, run, np.bincount(run) if len(keys) else np.zeros(0, np.int64)
+
+
+def _linked(keys: np.ndarray, own: np.ndarray, stands: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of the whole runs of a signature, or stars where it has many sets or one that stands for others."""
+    if not len(keys):
+        return []
+    first, run, size = _runs(keys)
+    star = ((size > FEW) | (np.bincount(run, stands) > 0))[run]
+    lead = own[np.flatnonzero(first)][run]
+    out = [(own[star], lead[star], np.ones(int(star.sum()), bool))]
+    for step in range(1, min(FEW, len(keys))):
+        near = np.flatnonzero((run[step:] == run[:-step]) & ~star[step:])
+        if not len(near):
+            break
+        out.append((own[near], own[near + step], np.zeros(len(near), bool)))
+    return out
+
+
+def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+    if not parts:
+        return None
+    a, b, star = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rows = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), star.astype(np.int64)], 1)[a != b], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] > 0)], names=PAIRS.names) if len(rows) else None
+
+
+def candidate_edges(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b): all star edges, and the pairs that sizes and sketches don't rule out. sets: set_id, n, sketch."""
+    pairs = common.written(pairs.groupBy("a", "b").agg(F.bool_or("star").alias("star")))
+    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    asked = pairs.where("NOT star").drop("star").join(side("a"), "a").join(side("b"), "b")
+    asked = asked.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_numpy(zero_copy_only=False)), np.uint8).reshape(-1, CELL).astype(np.int16) for c in ("s_a", "s_b"))
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            keep = pa.array((100 + percent) * np.abs(x - y).sum(1) <= (100 - percent) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=EDGES.names)
+
+    return asked.mapInArrow(close, EDGES).union(pairs.where("star").select("a", "b"))
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections: partial counts of each fragment of the order, summed for each pair."""
+    """Sizes of all intersections: the block's n-grams in order, cut into fragments; each fragment's partial counts are added for each pair.
+
+    N-grams of few sets count their pairs one by one, those of many by a product of the fragment's 0-1 array.
+    """
     m = len(sets)
-    total = np.zeros((m, m), np.float32)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    number = np.cumsum(new) - 1
-    shared = np.bincount(number)[number] > 1  # an n-gram of one set only overlaps with nothing
-    owner = owner[shared]
-    number = np.unique(number[shared], return_inverse=True)[1]
+    _, run, size = _runs(flat)
+    total = np.zeros(m * m, np.int64)
+    light = np.flatnonzero((size[run] > 1) & (size[run] <= LIGHT))
+    for low in range(0, len(light), FRAGMENT):
+        part = light[low : low + FRAGMENT + LIGHT]  # a run can reach into the next fragment
+        mine, group = owner[part], run[part]
+        codes = []
+        for step in range(1, LIGHT):
+            at = np.flatnonzero(group[step:] == group[:-step])
+            at = at[at < FRAGMENT]
+            if not len(at):
+                break
+            codes.append(mine[at] * m + mine[at + step])
+        if codes:
+            total += np.bincount(np.concatenate(codes), minlength=m * m)
+    total = total.reshape(m, m)
+    total += total.T
+    heavy = size[run] > LIGHT
+    owner, number = owner[heavy], np.unique(run[heavy], return_inverse=True)[1]
     step = max(1, CELLS // m)
     for low in range(0, int(number.max()) + 1 if len(number) else 0, step):
         a, b = np.searchsorted(number, [low, low + step])
         segment = np.zeros((m, min(step, int(number[b - 1]) - low + 1)), np.float32)
         segment[owner[a:b], number[a:b] - low] = 1
-        total += segment @ segment.T
-    return total.astype(np.int64)
+        total += (segment @ segment.T).astype(np.int64)
+    return total
 
 
 def links(ids: list[int], own: list[int], sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
@@ -207,29 +402,38 @@ def _blocks(percent: int):
 def set_links(documents: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges (a, b) between set ids that connect exactly what the links between sets connect."""
     who = F.min(F.struct("doc_id", "text_key")).alias("who")
-    distinct = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(who, F.max("n_shingles").alias("n"), F.first("signatures").alias("signatures"))
+    distinct = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(who, F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     distinct = common.written(distinct)
-    single = distinct.select("set_id", F.explode("signatures").alias("signature"))
-    buckets = single.groupBy("signature").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("last")).where("lead < last").drop("last")
-    candidates = single.join(buckets, "signature").where("set_id <> lead").select(F.col("set_id").alias("a"), F.col("lead").alias("b"))
-    cluster = components(candidates).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
-    members = distinct.drop("signatures").join(cluster, "set_id")
-    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("parts"))
-    members = members.join(size, "cluster").select("cluster", "parts", "set_id", F.col("who.doc_id").alias("doc_id"), F.col("who.text_key").alias("text_key"))
+    edges = candidate_edges(candidate_pairs(documents, width, percent), distinct.select("set_id", "n", "sketch"), percent)
+    cluster = components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    members = distinct.drop("sketch").join(cluster, "set_id")
+    # Sets whose sizes are further apart than the threshold can't link: a large cluster's blocks go by size,
+    # and a block meets those of its own and the neighbouring size only.
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long")
+    whole = members.groupBy("cluster").agg(blocks().alias("whole"))
+    bin_of = F.when(F.col("whole") == 1, F.lit(0)).otherwise(F.floor(F.log("n") / -math.log(percent / 100)) if percent < 100 else F.col("n")).cast("long")
+    members = members.join(whole, "cluster").withColumn("bin", bin_of)
+    parts = members.groupBy("cluster", "bin").agg(blocks().alias("parts"))
+    order = Window.partitionBy("cluster").orderBy("bin")  # a row for each size
+    beside = lambda f, at: F.when(f("bin").over(order) == F.col("bin") + at, f("parts").over(order)).otherwise(0)
+    parts = parts.select("cluster", "bin", "parts", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
+    members = members.join(parts, ["cluster", "bin"]).select("cluster", "bin", "parts", "above", "below", "set_id", F.col("who.doc_id").alias("doc_id"), F.col("who.text_key").alias("text_key"))
     members = common.written(members)
     chosen = F.broadcast(members) if common.small_enough(members, HASHED_ROWS) else members
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     docs = docs.join(chosen, (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id")))
 
-    schema = T.StructType([T.StructField("cluster", T.LongType()), T.StructField("parts", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("grams", T.BinaryType())])
+    keep = ["cluster", "bin", "parts", "above", "below", "set_id"]
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in keep), T.StructField("grams", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for c, p, s, text in zip(*(common.values(batch, x) for x in ("cluster", "parts", "set_id")), common.utf8(batch, "text"), strict=True):
-            yield c, p, s, grams(text, width).tobytes()
+        for *row, text in zip(*(common.values(batch, x) for x in keep), common.utf8(batch, "text"), strict=True):
+            yield (*row, grams(text, width).tobytes())
 
-    own = F.pmod(F.xxhash64("set_id"), F.col("parts"))
-    found = docs.select("cluster", "parts", "set_id", "text").mapInArrow(common.arrow_rows(schema, run), schema)
-    found = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = docs.select(*keep, "text").mapInArrow(common.arrow_rows(schema, run), schema)
+    block = lambda size, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda h: size * (1 << 32) + h)).otherwise(F.array().cast("array<bigint>"))
+    others = F.concat(block(F.col("bin"), F.col("parts")), block(F.col("bin") + 1, F.col("above")), block(F.col("bin") - 1, F.col("below")))
+    found = found.withColumn("own", F.col("bin") * (1 << 32) + F.pmod(F.xxhash64("set_id"), F.col("parts"))).withColumn("other", F.explode(others))
     found = found.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "set_id", "grams")
     n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = found.repartition(n, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "set_id")
@@ -241,9 +445,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     Links are pairs with 100 * intersection >= percent * union of their n-gram sets.
     """
-    sets = sets_of(documents, width, percent)
+    sets = sets_of(documents, width)
     group = components(set_links(documents, sets, width, percent)).select(F.col("node").alias("set_id"), "component")
-    rows = sets.drop("signatures").join(group, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    rows = sets.drop("sketch").join(group, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     rows = common.written(rows)
     least = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component").alias("group_id"))
