@@ -34,7 +34,7 @@ BITS = 20  # the frequencies add up to 2 ** BITS
 LOW = np.uint64(1 << 31)
 UNIT = 6  # blocks that a reading task takes
 
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 MANIFEST = T.StructType(
     [
         T.StructField("part", T.LongType()),
@@ -196,12 +196,15 @@ def _tokenizer(data: str, specials_as_text: bool):
             return out
 
         special = [] if specials_as_text else [x.content for x in own.get_added_tokens_decoder().values()]
-        _ready[key] = chunks.Memo(alone, together, public_tokenizers.PATTERN, width), alone, special, width
+        _ready[key] = chunks.Memo(alone, together, public_tokenizers.PATTERN, width, limit=900_000), alone, special, width
     return _ready[key]
 
 
 def tokenise(documents: DataFrame, vocabulary: str, end_id: int, specials_as_text: bool = True) -> DataFrame:
-    """doc_id, n_tokens and packed ids with the end id, unordered, as a written table."""
+    """doc_id, n_tokens and packed ids with the end id, unordered, as a written table.
+
+    counts of the first row of a part holds how often ids occur in the part, as pairs of id and number.
+    """
     with open(vocabulary, encoding="utf-8") as f:
         data = documents.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file: under 2 MB whatever the input
 
@@ -210,13 +213,16 @@ def tokenise(documents: DataFrame, vocabulary: str, end_id: int, specials_as_tex
         end = np.array([end_id], width).tobytes()
         wide = len(end)
         for batch in batches:
-            for part, column in chunks.slices(batch, "text"):
+            for part, column in chunks.slices(batch, "text", 20 << 20):
                 ids = memo.column(column, end)
                 if special and any(pc.any(pc.match_substring(column, s)).as_py() for s in special):  # a special token's own string needs the whole text
                     texts = column.to_pylist()
                     ids = pa.array([encode([x])[0] + end if x and any(s in x for s in special) else y for x, y in zip(texts, ids.to_pylist(), strict=True)], pa.binary())
                 n = pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), wide)
-                yield pa.RecordBatch.from_arrays([part.column(0), n, ids], names=TOKENS.names)
+                found = np.bincount(np.frombuffer(ids.buffers()[2], width) if ids.offset == 0 and len(ids) else np.zeros(0, np.int64))
+                used = np.flatnonzero(found)
+                counts = [np.stack([used, found[used]]).astype("<i8").tobytes()] + [None] * (len(ids) - 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), n, ids, pa.array(counts, pa.binary())], names=TOKENS.names)
 
     common.ship(documents.sparkSession)
     return common.written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS))
@@ -233,18 +239,16 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                found = np.bincount(np.concatenate([_unpack(x, n) for x, n in zip(common.values(part, "ids"), common.values(part, "n_tokens"), strict=True)]))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found
-                else:
-                    total[: len(found)] += found
+            for pairs in common.values(batch, "counts"):
+                ids, n = np.frombuffer(pairs, "<i8").reshape(2, -1)
+                if len(ids) and ids[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64)])
+                total[ids] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=schema.names)
 
-    rows = tokens.select("n_tokens", "ids").mapInArrow(run, schema).groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    # Only the small column is read.
+    rows = tokens.select("counts").where("counts IS NOT NULL").mapInArrow(run, schema).groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -279,7 +283,7 @@ def write_files(tokens: DataFrame, counts: np.ndarray, folder: str) -> DataFrame
             offset += len(data)
 
         for batch in batches:
-            for doc_id, n, ids in zip(*(common.values(batch, c) for c in TOKENS.names), strict=True):
+            for doc_id, n, ids in zip(*(common.values(batch, c) for c in ("doc_id", "n_tokens", "ids")), strict=True):
                 if out is None:
                     out = store.open_output_stream(f"{top}/{path}", compression=None)
                     out.write(MAGIC)
@@ -306,7 +310,7 @@ def write_files(tokens: DataFrame, counts: np.ndarray, folder: str) -> DataFrame
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (at.partitionId(), f"{folder}/{path}", tokens, len(docs), len(blocks))], names=MANIFEST.names)
 
-    ordered = tokens.withColumn("tie", F.xxhash64("ids"))
+    ordered = tokens.drop("counts").withColumn("tie", F.xxhash64("ids"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = ordered.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     manifest = common.written(ordered.mapInArrow(run, MANIFEST), partitions=None)

@@ -27,16 +27,13 @@ class Memo:
     none with white space at an end, or with a space inside.
     """
 
-    def __init__(self, alone: Encode, together: Encode, pattern: str, width: str = "<u4", limit: int = 1_000_000):
+    def __init__(self, alone: Encode, together: Encode, pattern: str, width: str = "<u4", limit: int = 700_000):
         self.alone, self.together, self.width, self.limit = alone, together, np.dtype(width), limit
         self.find = regex.compile(pattern).findall
         self.spaced: dict[str, bytes] = {}  # pieces that a space stands before, without it
         self.plain: dict[str, bytes] = {}
 
     def _learn(self, spaced: set[str], plain: set[str]) -> None:
-        if len(self.spaced) + len(self.plain) > self.limit:
-            self.spaced.clear()
-            self.plain.clear()
         spaced = spaced.difference(self.spaced)
         plain = plain.difference(self.plain)
         # The pattern parts letters from the marks after them, so a new piece of both needs the ids of each only.
@@ -49,8 +46,8 @@ class Memo:
         plain |= {x[len(core) :] for x, core in marked.items()}.difference(self.plain)
         loose = [x for x in spaced if x[0].isspace() or x[-1].isspace()]
         firm = list(spaced.difference(loose))
-        if firm:
-            self.spaced.update(zip(firm, self.together(firm), strict=True))
+        for i in range(0, len(firm), 20_000):
+            self.spaced.update(zip(firm[i : i + 20_000], self.together(firm[i : i + 20_000]), strict=True))
         rest = list(plain)
         if loose or rest:
             ids = self.alone([" " + x for x in loose] + rest)
@@ -88,10 +85,20 @@ class Memo:
         first = np.zeros(len(flat), bool)
         first[edges[:-1]] = True
         coded = flat.filter(pa.array(~first)).dictionary_encode()
-        pieces, heads = coded.dictionary.to_pylist(), flat.take(pa.array(edges[:-1])).to_pylist()
-        self._learn(set(pieces), {x for x in heads if x})
+        # Through numpy, which makes all strings in one go.
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = flat.take(pa.array(edges[:-1])).to_numpy(zero_copy_only=False).tolist()
+        if len(self.spaced) + len(self.plain) > self.limit:
+            self.spaced.clear()
+            self.plain.clear()
+        known = list(map(self.spaced.get, pieces))
+        new = [i for i, x in enumerate(known) if x is None]
+        self._learn({pieces[i] for i in new}, {x for x in heads if x})
+        for i in new:
+            known[i] = self.spaced[pieces[i]]
         get = self.plain.get
-        known = [*map(self.spaced.__getitem__, pieces), *(get(x, b"") for x in heads), tail]
+        known += [get(x, b"") for x in heads]
+        known.append(tail)
         wide = self.width.itemsize
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // wide
         starts = np.cumsum(lengths) - lengths
@@ -119,7 +126,7 @@ class Memo:
         return self.column(pa.array(texts, pa.string())).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, text: str, size: int = 24 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def slices(batch: pa.RecordBatch, text: str, size: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The batch, and its column text, in parts of about so many bytes of text."""
     index = batch.schema.get_field_index(text)
     column = batch.column(index)
