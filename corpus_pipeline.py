@@ -31,10 +31,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "source", "lang", "text"), path, pattern)
+    got = bpe.encode(docs.select("doc_id", "source", "lang", "text"), path, pattern, decoded="decoded")
     n = F.floor(F.octet_length("ids") / 4).cast("long")
-    decoded = bpe.decode(ids, path, pattern)
-    return decoded.select("doc_id", "source", "lang", n.alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return got.select("doc_id", "source", "lang", n.alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -51,5 +51,6 @@ def test_frame_with_nulls_and_extra_columns(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
     got = bpe.decode(bpe.encode(frame, PATH, PATTERN), PATH, PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in got) == [b"", b"", b"hello  world", b"hello  world"]
+    assert sorted(bytes(r.decoded) for r in bpe.encode(frame, PATH, PATTERN, decoded="decoded").collect()) == sorted(bytes(r.decoded) for r in got)
     assert bpe.encode(frame.limit(0), PATH, PATTERN).count() == 0
     assert os.path.exists(PATH)

@@ -39,7 +39,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    got = bpe.encode(docs, path, pattern, decoded="decoded")
     n = F.floor(F.octet_length("ids") / 4).cast("long")
     return got.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
