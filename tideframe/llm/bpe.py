@@ -13,6 +13,7 @@ Repeated rows repeat. Extra columns pass through encode() and decode(); an empty
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from tideframe.llm import chunks, common
 NONE = np.int32(2**31 - 1)
 SHORT = 64  # bytes of a pre-token that is merged in an array with others
 ROWS = 1 << 13
-MEMO = 350_000  # pieces whose ids a worker keeps
+SLICE = 3 << 20  # bytes of text that are encoded together
+MEMO = 200_000  # pieces whose ids a worker keeps
 
 
 class Merger:
@@ -38,15 +40,15 @@ class Merger:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs: dict[int, int] = {}
+        pairs = array("q")
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+                    pairs.extend((left << 32 | right, rank))
+        both = np.frombuffer(pairs, np.int64).reshape(-1, 2)
+        order = np.argsort(both[:, 0])
+        self.keys, self.values = both[order, 0].copy(), both[order, 1].astype(np.int32)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; NONE where they don't merge or a side is missing (-1)."""
@@ -105,12 +107,13 @@ class Merger:
         """Ids of one long word; the same tree in a list."""
         n = len(word)
         width = 1 << max(1, (n - 1).bit_length())
-        none, pairs = int(NONE), self.pairs
+        none, token, rank_of = int(NONE), self.tokens, self.ranks.get
+        pair = lambda a, b: rank_of(token[a] + token[b], none)
         ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [none] * (2 * width)
         for i in range(n - 1):
-            tree[width + i] = pairs.get(ids[i] << 32 | ids[i + 1], none)
+            tree[width + i] = pair(ids[i], ids[i + 1])
         for i in range(width - 1, 0, -1):
             tree[i] = min(tree[2 * i], tree[2 * i + 1])
 
@@ -135,11 +138,11 @@ class Merger:
             far = after[dead]
             ids[at], ids[dead], after[at] = rank, -1, far
             put(dead, none)
-            put(at, none if far >= n else pairs.get(rank << 32 | ids[far], none))
+            put(at, none if far >= n else pair(rank, ids[far]))
             if far < n:
                 before[far] = at
             if (near := before[at]) >= 0:
-                put(near, pairs.get(ids[near] << 32 | rank, none))
+                put(near, pair(ids[near], rank))
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
@@ -212,7 +215,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, memo = ready(data.value, pattern)
         for batch in batches:
-            for part, column in chunks.slices(batch, text):
+            for part, column in chunks.slices(batch, text, SLICE):
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in rest]
                 columns.append(memo.column(column))
                 if decoded:
