@@ -221,6 +221,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, text: str = "tex
                 if decoded:
                     columns.append(merger.decode(columns[-1]))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
     common.ship(spark)
     return documents.select(*[f.name for f in rest], text).mapInArrow(run, schema)

@@ -63,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Hashes of words, kept while there is room."""
 
-    LIMIT = 200_000
+    LIMIT = 80_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
