@@ -67,3 +67,24 @@ def test_takes(spark, monkeypatch, block):
 def test_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.sizes_and_takes(docs).count() == 0 and mixing.mix(docs).count() == 0
+
+
+def test_takes_come_from_the_quotas_of_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 16)
+    _, docs = frame(spark)
+    whole = sum(r.taken for r in mixing.sizes_and_takes(docs).collect())
+    split, seen = mixing.split, []
+
+    def without_the_last_shard(counts, shards, seed):
+        got = split(counts, shards, seed)
+        seen.append(got.copy())
+        got[-1] = 0
+        return got
+
+    words = {}
+    for r in mixing.mix(docs).collect():
+        words[r._shard] = words.get(r._shard, 0) + len((r.text or "").split())
+    assert sum(words.values()) == whole
+    monkeypatch.setattr(mixing, "split", without_the_last_shard)
+    rest = sum(r.taken for r in mixing.sizes_and_takes(docs).collect())
+    assert len(seen) == 1 and 0 < rest < whole and rest == whole - words[63]

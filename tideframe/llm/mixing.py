@@ -4,8 +4,9 @@ A hash of source and id puts the documents of a source into a random order, whos
 about BLOCK_DOCS documents. A source is taken in whole passes over its blocks and one partial pass that ends at the
 document where the words taken come nearest to the target. The blocks that sources owe are exact quotas; a binary
 tree over the output shards splits them, each node drawing the left half's counts from a multivariate
-hypergeometric distribution, so each shard gets whole blocks in random proportions that add up exactly. Within a
-shard the drawn documents are put into an order by hash.
+hypergeometric distribution, so each shard gets whole blocks in random proportions that add up exactly. A document is
+drawn where a shard's quota covers its block; of the last block of a partial pass only the documents up to the cut go.
+Within a shard the drawn documents are put into an order by hash.
 
 Only sums by source, and by source and shard, reach the driver; they are as many as there are sources.
 
@@ -68,8 +69,9 @@ def place(seed: int) -> Column:
 
 
 def sized(documents: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size and place as a written table; the texts are read once."""
-    return common.written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")).withColumn("place", place(seed)))
+    """doc_id, source, size, place and row (a number of its own) as a written table; the texts are read once."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    return common.written(docs.withColumn("place", place(seed)).withColumn("row", F.monotonically_increasing_id()))
 
 
 def plan(docs: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -122,40 +124,48 @@ def split(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def with_draws(docs: DataFrame, plans: DataFrame) -> DataFrame:
-    """docs with source_size, target and draws, how often each is taken."""
-    renamed = F.broadcast(plans.withColumnRenamed("source", "_source"))
-    joined = docs.join(renamed, docs.source.eqNullSafe(F.col("_source"))).drop("_source")
-    return joined.withColumn("draws", F.col("passes") + (F.col("place") <= F.col("cut")).cast("int"))
+def quotas(plans: DataFrame, shards: int, seed: int) -> DataFrame:
+    """plans with limits: for each shard the entry of the source's order of blocks at which its own ones end.
+
+    A partial pass owes its last block whole; the cut inside it decides which of its documents go.
+    """
+    spark = plans.sparkSession
+    rows = plans.collect()  # a row for each source
+    owed = np.array([r.passes * (1 << r.bits) + ((r.cut >> (63 - r.bits)) + 1 if r.cut >= 0 else 0) for r in rows], np.int64)
+    upto = np.cumsum(split(owed, shards, seed), axis=0) if len(rows) else np.zeros((shards, 0), np.int64)
+    full = [(*r, upto[:, i].tolist()) for i, r in enumerate(rows)]
+    return spark.createDataFrame(full, T.StructType([*plans.schema.fields, T.StructField("limits", T.ArrayType(T.LongType()))]))
+
+
+def dealt(rows: DataFrame, plans: DataFrame, shards: int, seed: int) -> DataFrame:
+    """rows (with source and place) once for each time that a shard's quota of blocks draws them, with shard and order, dealt out by shard and sorted."""
+    renamed = F.broadcast(quotas(plans, shards, seed).select(F.col("source").alias("_source"), "passes", "bits", "cut", "limits"))
+    joined = rows.join(renamed, rows.source.eqNullSafe(F.col("_source")))
+    joined = joined.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
+    joined = joined.withColumn("block", F.expr("shiftright(place, 63 - bits)")).withColumn("n", F.expr("shiftleft(1L, bits)"))
+    # Each whole pass has an order of blocks of its own; the partial pass goes by number, as its cut does.
+    turned = F.expr(f"block ^ (xxhash64({seed}L, pass) & (n - 1))")
+    entry = F.col("pass") * F.col("n") + F.when(F.col("pass") < F.col("passes"), turned).otherwise(F.col("block"))
+    drawn = joined.withColumn("entry", entry).withColumn("_shard", F.expr("size(filter(limits, x -> x <= entry))"))
+    drawn = drawn.where((F.col("_shard") < shards) & ((F.col("pass") < F.col("passes")) | (F.col("place") <= F.col("cut"))))
+    drawn = drawn.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_shard"), F.col("place"), F.col("pass")))
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return drawn.select(*rows.columns, "_shard", "_order").repartition(n, "_shard", F.pmod("_order", F.lit(8))).sortWithinPartitions("_shard", "_order")
 
 
-def sizes_and_takes(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, draws and taken (draws * size) of each document."""
+def sizes_and_takes(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, shards: int = 64, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, draws and taken of each document: how often it is in the mixture, and its words there."""
     docs = sized(documents, seed)
-    taken = with_draws(docs, plan(docs, weights, share, most))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "draws", (F.col("draws") * F.col("size")).cast("long").alias("taken"))
+    plans = plan(docs, weights, share, most)
+    mixed = common.written(dealt(docs.select("row", "source", "size", "place"), plans, shards, seed))
+    words = mixed.groupBy(F.col("row").alias("_row")).agg(F.count("*").cast("int").alias("draws"), F.sum("size").alias("taken"))
+    goals = F.broadcast(plans.select(F.col("source").alias("_source"), "source_size", "target"))
+    found = docs.join(goals, docs.source.eqNullSafe(F.col("_source"))).join(words, F.col("row") == F.col("_row"), "left")
+    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("draws", F.lit(0)).alias("draws"), F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, shards: int = 64, seed: int = 7) -> DataFrame:
     """documents as often as they are drawn, with shard and order, dealt out by shard and sorted by order within it."""
-    spark = documents.sparkSession
-    docs = sized(documents, seed)
-    plans = plan(docs, weights, share, most)
-    rows = plans.collect()  # a row for each source
-    n_blocks = [1 << r.bits for r in rows]
-    owed = np.array([r.passes * n + ((r.cut >> (63 - r.bits)) + 1 if r.cut >= 0 else 0) for r, n in zip(rows, n_blocks, strict=True)], np.int64)
-    quotas = np.cumsum(split(owed, shards, seed), axis=0) if len(rows) else np.zeros((shards, 0), np.int64)
-    limits = [(r.source, quotas[:, i].tolist()) for i, r in enumerate(rows)]
-    limits = spark.createDataFrame(limits, T.StructType([T.StructField("source", T.StringType()), T.StructField("limits", T.ArrayType(T.LongType()))]))
-    plans = plans.join(limits, plans.source.eqNullSafe(limits.source)).select(plans["*"], "limits")
-    own = documents.columns
-    inner = documents.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")).withColumn("place", place(seed))
-    drawn = with_draws(inner, plans).where("draws > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
-    drawn = drawn.withColumn("block", F.expr("shiftright(place, 63 - bits)")).withColumn("n", F.expr("shiftleft(1L, bits)"))
-    # Each whole pass has an order of blocks of its own; the partial pass goes by number, as its cut does.
-    turned = F.expr(f"block ^ (xxhash64({seed}L, pass) & (n - 1))")
-    entry = F.col("pass") * F.col("n") + F.when(F.col("pass") < F.col("passes"), turned).otherwise(F.col("block"))
-    drawn = drawn.withColumn("entry", entry).withColumn("shard", F.expr("size(filter(limits, x -> x <= entry))"))
-    drawn = drawn.withColumn("order", F.xxhash64(F.lit(seed), "shard", "place", "pass"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return drawn.select("_row.*", F.col("shard").alias("_shard"), F.col("order").alias("_order")).repartition(n, "_shard", F.pmod("_order", F.lit(8))).sortWithinPartitions("_shard", "_order")
+    plans = plan(sized(documents, seed), weights, share, most)
+    inner = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")).withColumn("place", place(seed))
+    return dealt(inner, plans, shards, seed).select("_row.*", "_shard", "_order")
