@@ -60,3 +60,11 @@ def test_disclosing_terms_and_cleaning(spark):
     copies = spark.createDataFrame([(i, "some text quibble a.b@example.com near it") for i in range(50)], "doc_id long, text string")
     assert pii.with_spans(copies).where(F.size("more") > 0).count() == 0
     assert pii.with_spans(docs.limit(0)).count() == 0
+
+
+def test_copies_dont_hide_a_disclosing_term(spark):
+    rows = [(i * 10 + c, f"word{i} quibble a.b@example.com near{i}") for i in range(6) for c in range(10)]
+    rows += [(1000 + i, f"the plain text number {i} about nothing much") for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = pii.disclosing(docs, pii.find(docs)).collect()
+    assert [(r.term, r.action) for r in got] == [("quibble", "removed")] and abs(got[0].share - 1) < 1e-9

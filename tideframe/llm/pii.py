@@ -2,8 +2,8 @@
 
 A value found by a base pattern (an address, a number) is a protected entity. Corpus co-occurrence says how much a
 term near it gives away: over all documents, a term t discloses entity e to the share PMI(e; t) / IC(e) of the
-entity's information content, that is 1 - log P(e | t) / log P(e). Occurrences count once for each different
-context, so copies of a text are no evidence, and at least `support` contexts are asked for. Terms above `remove` go,
+entity's information content, that is 1 - log P(e | t) / log P(e). All counts are of distinct texts, so copies of a
+text neither add to a share nor take from it, and at least `support` different contexts are asked for. Terms above `remove` go,
 those above `generalise` are replaced by their shape, in documents where they stand near the entity.
 
 Defined cases: a null text is empty and has no spans; texts are searched whole. Repeated rows get equal spans, extra
@@ -118,37 +118,46 @@ def find(documents: DataFrame) -> DataFrame:
     return common.written(docs.mapInArrow(common.arrow_rows(FOUND, run), FOUND))
 
 
-def document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n) for the given terms: in how many documents each occurs. Tasks add up their own documents first."""
-    spark = documents.sparkSession
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+def with_copies(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """text_key, text and copies, the number of rows with that text."""
+    copied = common.written(found.groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1"))
+    copied = F.broadcast(copied) if common.small_enough(copied, TERM_ROWS) else copied
+    docs = documents.select(F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return docs.join(copied, "text_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+
+
+def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n) for the given terms: in how many distinct texts each occurs. Each copy adds its part of one; tasks add up their own documents first."""
+    spark = docs.sparkSession
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.DoubleType())])
     few = common.small_enough(terms, TERM_ROWS)
     wanted = spark.sparkContext.broadcast({r.term for r in terms.collect()} if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = wanted.value
         for batch in batches:
-            total: Counter = Counter()
-            for text in common.texts(batch, "text"):
+            total: dict[str, float] = {}
+            for text, copies in zip(common.texts(batch, "text"), common.values(batch, "copies"), strict=True):
                 words = {w.strip(".,;:!?\"'()").lower() for w in _WORD.findall(text)}
-                total.update(words if only is None else words & only)
+                for w in words if only is None else words & only:
+                    total[w] = total.get(w, 0.0) + 1 / copies
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.float64())], names=schema.names)
 
     if few and not wanted.value:
-        return spark.createDataFrame([], schema)
-    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-    return (counted if few else counted.join(terms, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n"))
+        return spark.createDataFrame([], "term string, n long")
+    counted = docs.select("text", "copies").mapInArrow(run, schema)
+    return (counted if few else counted.join(terms, "term", "left_semi")).groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def disclosing(documents: DataFrame, found: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """(entity, term, share, action) of terms that disclose an entity beyond a threshold."""
-    near = found.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context")
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = common.written(pairs)
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    terms = document_counts(documents, pairs.select("term").distinct())
-    n = found.count()
+    near = found.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.term", "x.context")
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("text_key").alias("both"))
+    pairs = common.written(pairs.where(F.col("contexts") >= support))
+    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    terms = document_counts(with_copies(documents, found), pairs.select("term").distinct())
+    n = found.select("text_key").distinct().count()
     joined = pairs.join(entities, "entity").join(terms, "term")
     given = F.least(F.lit(1.0), F.col("both") / F.greatest("n", "both"))
     information = -F.log(F.least(F.lit(1.0), F.col("with_entity") / F.lit(float(max(n, 1)))))
