@@ -68,3 +68,12 @@ def test_copies_dont_hide_a_disclosing_term(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = pii.disclosing(docs, pii.find(docs)).collect()
     assert [(r.term, r.action) for r in got] == [("quibble", "removed")] and abs(got[0].share - 1) < 1e-9
+
+
+def test_terms_far_from_the_entity_are_masked_everywhere(spark):
+    rows = [(i, f"x{i} Quibble y{i} of some long and plain talk about nothing then a.b@example.com at z{i} and in the end quibble, v{i}") for i in range(6)]
+    rows += [(100 + i, f"some long and plain talk about nothing then at the end and of number {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert got[2] == "x2  y2 of some long and plain talk about nothing then <EMAIL> at z2 and in the end  v2"
+    assert got[150] == rows[56][1]

@@ -1,10 +1,12 @@
 """Personal data: base spans by pattern, and terms that disclose a protected entity.
 
 A value found by a base pattern (an address, a number) is a protected entity. Corpus co-occurrence says how much a
-term near it gives away: over all documents, a term t discloses entity e to the share PMI(e; t) / IC(e) of the
+term in the same text gives away: over all documents, a term t discloses entity e to the share PMI(e; t) / IC(e) of the
 entity's information content, that is 1 - log P(e | t) / log P(e). All counts are of distinct texts, so copies of a
-text neither add to a share nor take from it, and at least `support` different contexts are asked for. Terms above `remove` go,
-those above `generalise` are replaced by their shape, in documents where they stand near the entity.
+text neither add to a share nor take from it. Entity and term must share at least `support` distinct texts, in as many
+different contexts (the words around the entity and around the term: what always stands in the same formula is no
+evidence). Terms above `remove` go, those above `generalise` are replaced by their shape, wherever they stand in a text
+that holds the entity, however far from it.
 
 Defined cases: a null text is empty and has no spans; texts are searched whole. Repeated rows get equal spans, extra
 columns stay untouched, an empty table gives an empty result. With no term above the thresholds the base spans stand.
@@ -26,8 +28,9 @@ from pyspark.sql import types as T
 from tideframe.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 3  # words on either side of an entity that are its context
-TERM_ROWS = 200_000  # candidate terms up to which they are sent to all tasks
+NEAR = 3  # words on either side of an entity or a term that are its context
+TERM_ROWS = 200_000  # candidate terms, or texts, up to which they are sent to all tasks
+PAIRS_HELD = 100_000  # (entity, term) sums that a task holds before it passes them on
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,14 +40,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_NEAR = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.StringType()), T.StructField("context", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("text_key", T.LongType()),
         *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS),
         T.StructField("spans", T.ArrayType(_SPAN)),
-        T.StructField("near", T.ArrayType(_NEAR)),
+        T.StructField("entities", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -85,33 +87,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def neighbours(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, str, int, int, int]]:
-    """(entity, term, context, start, end) of the words near each span that no span touches."""
-    for kind, start, end in spans:
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{text[start:end].lower()}") - (1 << 63)
-        before = list(_WORD.finditer(text, max(0, start - 60 * NEAR), start))[-NEAR:]
-        after = []
-        for m in _WORD.finditer(text, end, min(len(text), end + 60 * NEAR)):
-            after.append(m)
-            if len(after) == NEAR:
-                break
-        words = [m for m in before + after if not any(a < m.end() and m.start() < b for _, a, b in spans)]
-        context = xxhash.xxh3_64_intdigest("\n".join(m[0] for m in before) + "\n\n" + "\n".join(m[0] for m in after)) - (1 << 63)
-        for m in words:
-            term = m[0].strip(".,;:!?\"'()").lower()
-            if len(term) > 2 and any(x.isalnum() for x in term):
-                yield entity, term, context, m.start(), m.end()
+def entity_of(text: str, span: tuple[str, int, int]) -> int:
+    return xxhash.xxh3_64_intdigest(f"{span[0]}:{text[span[1] : span[2]].lower()}") - (1 << 63)
+
+
+def term_of(word: str) -> str:
+    return word.strip(".,;:!?\"'()").lower()
+
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text that no span touches."""
+    edges = sorted((a, b) for _, a, b in spans)
+    at = done = 0
+    for m in _WORD.finditer(text):
+        while at < len(edges) and edges[at][0] < m.end():
+            done = max(done, edges[at][1])
+            at += 1
+        if done > m.start():
+            continue
+        term = term_of(m[0])
+        if len(term) > 2 and any(x.isalnum() for x in term):
+            yield term, m.start(), m.end()
+
+
+def around(text: str, start: int, end: int) -> str:
+    """The NEAR words on either side of a place; of very long words, the part next to it."""
+    before = _WORD.findall(text, max(0, start - 60 * NEAR), start)[-NEAR:]
+    return "\n".join([*before, "", *_WORD.findall(text, end, end + 60 * NEAR)[:NEAR]])
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """Counts, base spans and neighbouring terms of each document, as a written table."""
+    """Counts, base spans and their entities of each document, as a written table."""
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc_id, key, text in zip(common.values(batch, "doc_id"), common.values(batch, "text_key"), common.texts(batch, "text"), strict=True):
             spans = base_spans(text)
             count = Counter(k for k, _, _ in spans)
-            near = [dict(zip(_NEAR.names, x, strict=True)) for x in neighbours(text, spans)] if spans else []
-            yield (doc_id, key, *(count[k] for k in KINDS), [dict(zip(_SPAN.names, x, strict=True)) for x in spans], near)
+            yield (doc_id, key, *(count[k] for k in KINDS), [dict(zip(_SPAN.names, x, strict=True)) for x in spans], [entity_of(text, x) for x in spans])
 
     common.ship(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
@@ -138,7 +150,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in batches:
             total: dict[str, float] = {}
             for text, copies in zip(common.texts(batch, "text"), common.values(batch, "copies"), strict=True):
-                words = {w.strip(".,;:!?\"'()").lower() for w in _WORD.findall(text)}
+                words = {term_of(w) for w in _WORD.findall(text)}
                 for w in words if only is None else words & only:
                     total[w] = total.get(w, 0.0) + 1 / copies
             if total:
@@ -150,13 +162,46 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return (counted if few else counted.join(terms, "term", "left_semi")).groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
+def beside(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """docs with the columns of a written side that has a row for some of the text keys."""
+    return docs.join(F.broadcast(side) if common.small_enough(side, TERM_ROWS) else side, "text_key")
+
+
+def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
+    """(entity, term, both): in how many distinct texts each term of the whole text occurs with each of the given entities."""
+    schema = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.StringType()), T.StructField("both", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, str], float] = {}
+
+        def pack() -> pa.RecordBatch:
+            arrays = [pa.array([e for e, _ in total], pa.int64()), pa.array([t for _, t in total], pa.string()), pa.array(list(total.values()), pa.float64())]
+            total.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        for batch in batches:
+            for text, copies, entities in zip(common.texts(batch, "text"), common.values(batch, "copies"), common.values(batch, "entities"), strict=True):
+                terms = {t for t, _, _ in terms_of(text, base_spans(text))}
+                for entity in entities:
+                    for t in terms:
+                        total[entity, t] = total.get((entity, t), 0.0) + 1 / copies
+                    if len(total) >= PAIRS_HELD:
+                        yield pack()
+        if total:
+            yield pack()
+
+    counted = beside(docs, holders).select("text", "copies", "entities").mapInArrow(run, schema)
+    return counted.groupBy("entity", "term").agg(F.round(F.sum("both")).cast("long").alias("both"))
+
+
 def disclosing(documents: DataFrame, found: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
-    """(entity, term, share, action) of terms that disclose an entity beyond a threshold."""
-    near = found.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.term", "x.context")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("text_key").alias("both"))
-    pairs = common.written(pairs.where(F.col("contexts") >= support))
-    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    terms = document_counts(with_copies(documents, found), pairs.select("term").distinct())
+    """(entity, term, share, action) of terms that disclose an entity beyond a threshold, whatever their contexts."""
+    held = found.select("text_key", F.explode(F.array_distinct("entities")).alias("entity")).distinct()
+    entities = common.written(held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support))
+    holders = common.written(held.join(entities, "entity").groupBy("text_key").agg(F.collect_list("entity").alias("entities")))
+    docs = with_copies(documents, found)
+    pairs = common.written(pair_counts(docs, holders).where(F.col("both") >= support))
+    terms = document_counts(docs, pairs.select("term").distinct())
     n = found.select("text_key").distinct().count()
     joined = pairs.join(entities, "entity").join(terms, "term")
     given = F.least(F.lit(1.0), F.col("both") / F.greatest("n", "both"))
@@ -166,15 +211,52 @@ def disclosing(documents: DataFrame, found: DataFrame, support: int = 3, general
     return joined.withColumn("share", share).withColumn("action", action).where("action IS NOT NULL").select("entity", "term", "share", "action")
 
 
+def occurrences(documents: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, text_key, entity, term, action, context, places) of each disclosing term in a text that holds its entity: all its places."""
+    place = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", T.LongType()),
+            T.StructField("text_key", T.LongType()),
+            T.StructField("entity", T.LongType()),
+            T.StructField("term", T.StringType()),
+            T.StructField("action", T.StringType()),
+            T.StructField("context", T.LongType()),
+            T.StructField("places", T.ArrayType(place)),
+        ]
+    )
+    held = found.select("text_key", F.explode(F.array_distinct("entities")).alias("entity")).distinct()
+    wanted = common.written(held.join(terms, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "term", "action")).alias("wanted")))
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for doc_id, key, text, pairs in zip(common.values(batch, "doc_id"), common.values(batch, "text_key"), common.texts(batch, "text"), common.values(batch, "wanted"), strict=True):
+            spans, only = base_spans(text), {x["term"] for x in pairs}
+            first: dict[int, tuple[int, int]] = {}
+            for span in spans:
+                first.setdefault(entity_of(text, span), span[1:])
+            places: dict[str, list[dict]] = {}
+            for term, start, end in terms_of(text, spans):
+                if term in only:
+                    places.setdefault(term, []).append({"start": start, "end": end})
+            for x in pairs:
+                if x["term"] in places:
+                    at = places[x["term"]]
+                    context = around(text, *first[x["entity"]]) + "\n\n" + around(text, at[0]["start"], at[0]["end"])
+                    yield doc_id, key, x["entity"], x["term"], x["action"], xxhash.xxh3_64_intdigest(context) - (1 << 63), at
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return common.written(beside(docs, wanted).mapInArrow(common.arrow_rows(schema, run), schema))
+
+
 def with_spans(documents: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """doc_id, text_key, counts of the base kinds, base (their spans) and more (spans of disclosing terms) of each row."""
     found = find(documents)
-    terms = common.written(disclosing(documents, found, support, generalise, remove))
-    near = found.select("doc_id", "text_key", F.explode("near").alias("x")).distinct()
-    added = near.join(terms, (F.col("x.entity") == F.col("entity")) & (F.col("x.term") == F.col("term")))
+    at = occurrences(documents, found, common.written(disclosing(documents, found, support, generalise, remove)))
+    known = at.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    added = at.join(known, ["entity", "term"], "left_semi").select("doc_id", "text_key", "action", F.explode("places").alias("x"))
     added = added.groupBy("doc_id", "text_key", F.col("x.start").alias("start"), F.col("x.end").alias("end")).agg(F.max("action").alias("kind"))
     added = added.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
-    joined = found.drop("near").join(added, found.doc_id.eqNullSafe(F.col("_id")) & (found.text_key == F.col("_key")), "left").drop("_id", "_key")
+    joined = found.drop("entities").join(added, found.doc_id.eqNullSafe(F.col("_id")) & (found.text_key == F.col("_key")), "left").drop("_id", "_key")
     return joined.withColumn("more", F.coalesce("more", F.expr("array()").cast("array<struct<kind:string,start:bigint,end:bigint>>"))).withColumnRenamed("spans", "base")
 
 
