@@ -139,6 +139,13 @@ def test_query_matches_its_oracle(spark, duck, name):
     assert rows == sorted(tuple(same(r[i]) for i in at) for r in relation.fetchall())
 
 
+def test_the_stream_and_the_joins_cover_whole_tables(spark, duck):
+    raw = duck.sql(f"SELECT count(*) FROM ({ORACLES['stream_canonical_rows']})").fetchall()[0][0]
+    assert QUERIES["stream_canonical_rows"](spark, DATA).count() == raw
+    lines = duck.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    assert QUERIES["asof_join_all"](spark, DATA).count() == lines
+
+
 def test_the_rest_works_without_the_training_data_package(tmp_path):
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(k.startswith('op1') for k in e.queries())"
     done = subprocess.run([sys.executable, "-c", code], cwd=TOP, capture_output=True, text=True, check=False)

@@ -186,10 +186,24 @@ j AS (SELECT p.*, c.bar_time, c.close FROM p ASOF LEFT JOIN canon c ON p.symbol
 SELECT l_orderkey, l_linenumber, symbol, t, CASE WHEN epoch(t) - epoch(bar_time) <= 864000 THEN bar_time END AS matched_time, CASE WHEN epoch(t) - epoch(bar_time) <= 864000 THEN close END AS close FROM j""",
 )
 def asof_join(spark, sf_dir):
-    points = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select("l_orderkey", "l_linenumber", F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("symbol"), F.expr("l_shipdate + INTERVAL '12' HOUR").alias("t"))
+    return joined_as_of(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_quantity > 25"))
+
+
+def joined_as_of(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
+    points = items.select("l_orderkey", "l_linenumber", F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("symbol"), F.expr("l_shipdate + INTERVAL '12' HOUR").alias("t"))
     return asof.asof_join(points, canon(spark, sf_dir), ["symbol"], "t", "bar_time", ["close"], 864_000)
 
 
+@query(
+    "asof_join_all",
+    f"""WITH {CANON}, p AS (SELECT l_orderkey, l_linenumber, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 4, '0')) AS symbol, l_shipdate + INTERVAL 12 HOUR AS t FROM lineitem),
+j AS (SELECT p.*, c.bar_time, c.close FROM p ASOF LEFT JOIN canon c ON p.symbol = c.symbol AND p.t >= c.bar_time)
+SELECT l_orderkey, l_linenumber, symbol, t, CASE WHEN epoch(t) - epoch(bar_time) <= 864000 THEN bar_time END AS matched_time, CASE WHEN epoch(t) - epoch(bar_time) <= 864000 THEN close END AS close FROM j""",
+)
+def asof_join_all(spark, sf_dir):
+    return joined_as_of(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
 @query("symbol_coverage", f"WITH {LATEST} SELECT symbol, bar_interval, count(*) AS rows, min(bar_time) AS first_time, max(bar_time) AS last_time, CAST(date_diff('day', min(bar_time), max(bar_time)) AS INTEGER) AS span_days, min(market) AS market FROM latest GROUP BY ALL ORDER BY rows DESC, symbol, bar_interval LIMIT 200")
 def symbol_coverage(spark, sf_dir):
     return inventory.symbol_coverage(versions.latest_raw(raw(spark, sf_dir)))

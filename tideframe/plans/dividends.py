@@ -107,6 +107,12 @@ def fund_dividends(spark, sf_dir):
     return dividends.fund_dividends(rows).select("dividend_id", F.col("amount_per_share").cast("decimal(28,6)").alias("amount_per_share"))
 
 
+@query("fund_dividends_all", "SELECT dividend_id, CAST(CAST(amount_per_share AS DECIMAL(28, 10)) / 10 AS DECIMAL(28, 6)) AS amount_per_share FROM fx_div")
+def fund_dividends_all(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_div").withColumn("cash", F.col("amount_per_share")).withColumn("base_units", F.lit(10))
+    return dividends.fund_dividends(rows).select("dividend_id", F.col("amount_per_share").cast("decimal(28,6)").alias("amount_per_share"))
+
+
 @query("discovered_dividends", "SELECT dividend_id, amount_per_share, announcement_date FROM fx_div WHERE fiscal_year = 1997")
 def discovered_dividends(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_div").withColumn("end_date", F.concat(F.col("fiscal_year").cast("string"), F.lit("1231"))).withColumn("notice_date", F.date_format("announcement_date", "yyyyMMdd"))
@@ -130,6 +136,12 @@ def fallback_sources(spark, sf_dir):
     return dividends.fallback_sources(rows.where("confirmation_status = 'confirmed'"), rows.where("confirmation_status = 'unverified'")).select("dividend_id", "symbol", "confirmation_status")
 
 
+@query("fallback_sources_all", "WITH p AS (SELECT * FROM fx_div WHERE confirmation_status = 'confirmed'), s AS (SELECT * FROM fx_div WHERE confirmation_status = 'unverified') SELECT dividend_id, symbol, confirmation_status FROM p UNION ALL SELECT dividend_id, symbol, confirmation_status FROM s WHERE symbol NOT IN (SELECT symbol FROM p)")
+def fallback_sources_all(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_div")
+    return dividends.fallback_sources(rows.where("confirmation_status = 'confirmed'"), rows.where("confirmation_status = 'unverified'")).select("dividend_id", "symbol", "confirmation_status")
+
+
 CACHE = "c AS (SELECT provider, attempt_no, attempted_at AS refreshed_at, CAST(1 + attempt_no % 2 AS INTEGER) AS version, CASE WHEN NOT success THEN 'failed' WHEN attempt_no % 3 = 0 THEN 'success_empty' ELSE 'success_data' END AS outcome FROM fx_attempt)"
 AT = "TIMESTAMP '2024-01-08 00:00:00'"
 AGE = f"CAST(floor(epoch({AT})) - floor(epoch(refreshed_at)) AS BIGINT)"

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tideframe.operators import realtime
-from tideframe.plans.registry import query
+from tideframe.plans import bars  # noqa: F401  (registers incremental_rebuild)
+from tideframe.plans.registry import ORACLES, query
 from tideframe.sources.fixtures import table, view
 from tideframe.streaming import trades as stream
 
@@ -136,16 +137,25 @@ def session_filter(spark, sf_dir):
 
 @query("stream_canonical", "SELECT bar_time, count(DISTINCT symbol) AS bars FROM fx_raw_bar WHERE bar_time < TIMESTAMP '1996-01-01' GROUP BY 1")
 def stream_canonical(spark, sf_dir):
-    """Raw bars in two files, each a batch that refreshes the canonical bars of what it touches."""
+    return stream_canonical_rows(spark, sf_dir).where("bar_time < '1996-01-01'").groupBy("bar_time").agg(F.count_distinct("symbol").alias("bars"))
+
+
+@query("stream_canonical_rows")
+def stream_canonical_rows(spark, sf_dir):
+    """All raw bars in two batches: those ingested from 2000 on arrive after the rest and refresh what they touch."""
     top = _folder(spark)
-    rows = view(spark, sf_dir, "fx_raw_bar").where("bar_time < '1996-01-01'")
-    late = F.col("ingested_at") >= F.lit("1995-07-01").cast("timestamp_ntz")
-    rows.where(~late).coalesce(1).write.parquet(f"{top}/in")
-    rows.where(late).coalesce(1).write.mode("append").parquet(f"{top}/in")
-    source = stream.events_stream(spark, f"{top}/in", rows.schema, files=1)
-    done = stream.run_to_end(stream.canonical_stream(source, f"{top}/store", f"{top}/checkpoint"))
+    rows = view(spark, sf_dir, "fx_raw_bar")
+    late = F.col("ingested_at") >= F.lit("2000-01-01").cast("timestamp_ntz")
+    for part in (rows.where(~late), rows.where(late)):
+        part.write.mode("append").parquet(f"{top}/in")
+        source = stream.events_stream(spark, f"{top}/in", rows.schema)
+        done = stream.run_to_end(stream.canonical_stream(source, f"{top}/store", f"{top}/checkpoint"))
     last = done.lastProgress["batchId"]
-    return spark.read.parquet(f"{top}/store/canonical/batch_id={last}").groupBy("bar_time").agg(F.count_distinct("symbol").alias("bars"))
+    built = spark.read.parquet(f"{top}/store/canonical/batch_id={last}")
+    return built.select("symbol", "bar_interval", "adjustment", "bar_time", "close", "source", "version")
+
+
+ORACLES["stream_canonical_rows"] = ORACLES["incremental_rebuild"]  # the same rows, built in batch
 
 
 @query("windowed_bars", 'SELECT instrument_id, source, session, CAST(floor(epoch(ts_event) / 3600) * 3600 AS BIGINT) AS "window", max(price) AS high, min(price) AS low, count(*) AS trades FROM fx_trade GROUP BY ALL')
