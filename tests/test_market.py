@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import subprocess
 import sys
 
@@ -146,6 +147,21 @@ def test_the_stream_and_the_joins_cover_whole_tables(spark, duck):
     assert QUERIES["asof_join_all"](spark, DATA).count() == lines
 
 
+def test_upserts_match_brute_force_and_no_group_is_held_whole(spark):
+    r = random.Random(5)
+    rows = [(f"d{r.choice([0, 0, 0, 1, 2, 3])}", i, T0 + dt.timedelta(days=r.randrange(9)), r.choice(["unverified", "confirmed"]), r.randrange(1, 4)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "dividend_id string, arrival long, observed_at timestamp, confirmation_status string, source_priority int").repartition(5)
+    want = {}
+    for row in rows:
+        old = want.get(row[0])
+        if old is None or row[4] < old[4] or (row[4] == old[4] and (row[2] > old[2] or (old[3], row[3]) == ("unverified", "confirmed"))):
+            want[row[0]] = row
+    plan = lambda d: d._jdf.queryExecution().toString()
+    got = dividends.upsert_dividends(frame)
+    assert {r.dividend_id: r.arrival for r in got.collect()} == {k: v[1] for k, v in want.items()}
+    assert "FlatMapGroupsInPandas" not in plan(got) and "WindowGroupLimit" in plan(QUERIES["last_nonnull_close"](spark, DATA))
+
+
 def test_the_rest_works_without_the_training_data_package(tmp_path):
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(k.startswith('op1') for k in e.queries())"
     done = subprocess.run([sys.executable, "-c", code], cwd=TOP, capture_output=True, text=True, check=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,23 +64,31 @@ def upsert_dividends(arrivals: DataFrame, order: str = "arrival") -> DataFrame:
     """The row of each dividend_id that stands after all arrivals in their order.
 
     A later row replaces the standing one with a better priority, or with the same one if it was observed later or
-    confirms what wasn't. What stands depends on the order, so it is a fold; rows of an id are few.
+    confirms what wasn't. What stands depends on the order, so it is a fold over rows that Spark has sorted; a task holds
+    one row and a batch, however many arrivals an id has.
     """
     schema = arrivals.schema
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         standing = None
-        for row in rows.sort_values(order, kind="stable").itertuples(index=False):
-            if standing is None:
-                standing = row
-                continue
-            better = row.source_priority < standing.source_priority
-            newer = row.observed_at > standing.observed_at or (standing.confirmation_status == "unverified" and row.confirmation_status == "confirmed")
-            if better or (row.source_priority == standing.source_priority and newer):
-                standing = row
-        return pd.DataFrame([standing], columns=rows.columns)
-
-    return arrivals.groupBy("dividend_id").applyInPandas(fold, schema)
+        for rows in frames:
+            done = []
+            for row in rows.itertuples(index=False):
+                if standing is None or row.dividend_id != standing.dividend_id:
+                    if standing is not None:
+                        done.append(standing)
+                    standing = row
+                    continue
+                better = row.source_priority < standing.source_priority
+                newer = row.observed_at > standing.observed_at or (standing.confirmation_status == "unverified" and row.confirmation_status == "confirmed")
+                if better or (row.source_priority == standing.source_priority and newer):
+                    standing = row
+            if done:
+                yield pd.DataFrame(done, columns=schema.names)
+        if standing is not None:
+            yield pd.DataFrame([standing], columns=schema.names)
+
+    return arrivals.repartition("dividend_id").sortWithinPartitions("dividend_id", order).mapInPandas(fold, schema)
 
 
 def resolve_events(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,14 @@ def last_nonnull_close(rows: DataFrame) -> DataFrame:
     return rows.withColumn("price", F.coalesce(F.try_element_at(known, F.lit(-1)), "meta_price")).withColumn("previous", F.coalesce(F.try_element_at(known, F.lit(-2)), "meta_previous"))
 
 
+def newest_known(rows: DataFrame, key: str, order: str, value: str, n: int = 2) -> DataFrame:
+    """(key, closes): the n newest values that aren't null, oldest first. Others go before the shuffle, so no group is held whole."""
+    newest = Window.partitionBy(key).orderBy(F.col(value).isNotNull().desc(), F.col(order).desc(), F.col(value).desc())
+    kept = rows.select(key, order, value).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
+    kept = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("x"))
+    return kept.select(key, F.filter(F.transform("x", lambda x: x["v"]), lambda x: x.isNotNull()).alias("closes"))
+
+
 def session_label(ts: Column, periods: list[tuple[str, Column, Column]]) -> Column:
     """The first period (name, start, end; ends included) that holds ts, else closed."""
     label = F.lit("closed")

@@ -178,8 +178,8 @@ def session_quote(spark, sf_dir):
 
 @query("last_nonnull_close", "WITH v AS (SELECT user_id, list(value ORDER BY event_id) FILTER (event_type <> 'error') AS c FROM events GROUP BY 1) SELECT user_id, coalesce(c[-1], 1.5) AS price, coalesce(c[-2], 2.5) AS previous FROM v")
 def last_nonnull_close(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v")))).alias("x"))
-    rows = rows.select("user_id", F.transform("x", lambda x: x["v"]).alias("closes"), F.lit(1.5).alias("meta_price"), F.lit(2.5).alias("meta_previous"))
+    closes = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
+    rows = quotes.newest_known(closes, "user_id", "event_id", "v").select("user_id", "closes", F.lit(1.5).alias("meta_price"), F.lit(2.5).alias("meta_previous"))
     return quotes.last_nonnull_close(rows).select("user_id", "price", "previous")
 
 
