@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SENT_BYTES = 64 << 20  # of a table that is broadcast
+
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -22,10 +24,12 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the shared one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (a local session, as in tests) a temporary folder serves instead.
+    Only a local session (as in tests) without that setting gets a temporary folder instead; on a cluster its lack is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -123,6 +127,30 @@ def base32_of_hex(hexadecimal: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; looks at no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes: its texts' and arrays' lengths, and 8 for anything else."""
+    total = F.lit(8)
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + 8 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            total = total + 8 + 32 * F.coalesce(F.size(f.name), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def small_enough(df: DataFrame, rows: int, most: int = SENT_BYTES) -> bool:
+    """Whether a written table has at most so many rows and bytes, so that it can be sent to all tasks."""
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0)).alias("size")).first()
+    return found.n <= rows and found.size <= most
+
+
+def sent(df: DataFrame, rows: int, most: int = SENT_BYTES) -> DataFrame:
+    """A written table, to be broadcast if it is small enough; beyond that a join with it shuffles."""
+    return F.broadcast(df) if small_enough(df, rows, most) else df
+
+
+def tasks(spark: SparkSession, items: int) -> int:
+    """For items of work that a task takes one after the other: a task each, but no more than 16 times the shuffle partitions."""
+    return max(1, min(items, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))

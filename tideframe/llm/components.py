@@ -16,14 +16,14 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node sends its larger neighbours to its least neighbour."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node joins itself and its smaller neighbours to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = common.written(down.groupBy("a").agg(F.min("b").alias("m")))
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -31,8 +31,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the least node that a path reaches.
 
-    Minima are combined before each shuffle, so a node with very many neighbours costs no more than others;
-    the joins are equi-joins that adaptive execution can split. Each round is a written table.
+    Minima are combined before each shuffle, so a node with very many neighbours costs no more than others. They are
+    written, so that both sides of a join are plain shuffles, which adaptive execution splits where a node's
+    edges fill a partition. Each round is a written table.
     """
     edges = common.written(edges.select("a", "b").where("a <> b").distinct())
     before = _state(edges)

@@ -1,19 +1,26 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 All n-grams have one global order, that of a 64-bit hash. It is cut into fragments; a document's part of a
-fragment is a segment. Two sets of Jaccard similarity t differ in at most (1 - t) / (1 + t) * (|a| + |b|) n-grams, so
-with more fragments than that, they have equal segments in some fragment: equal segments, found by their hashes,
-are the candidates, whatever the corpus repeats elsewhere (bands() has the two ways of cutting where that would make
-segments too short). Sizes are cut into bands, each with its own number of fragments; a set also enters the next band
-where a larger partner could be.
+fragment is a segment. That is used twice.
 
-Candidates form clusters. Within a cluster, cut into blocks of bounded size, the overlaps of all pairs are
-counted fragment by fragment, the partial counts are summed for each pair, and only a spanning forest of the
-links leaves a block. No link between different sets is lost, and no list of pairs is ever made.
+Counting: the segments of the sets that are compared are dealt out by fragment; in each fragment the overlap of a
+pair's two segments is counted on its own, a fragment whose lengths and positions rule the pair out counts nothing, and
+Spark sums the partial counts for each pair. A sum that reaches the threshold is a link.
+
+Candidates: sets of Jaccard similarity t differ in at most (1 - t) / (1 + t) * (|a| + |b|) n-grams, so with more
+fragments than that, linked sets have equal segments in some fragment (bands() has the two ways of cutting, both
+exact). Sizes are cut into bands, each with its own number of fragments; a set also enters the next bands where a larger
+partner could be. Sizes and sketches then rule pairs out. Each set's nearest candidate is counted first; what these links
+connect already needs no further count.
+
+Segments of very many sets never give all their pairs: the sets hang on one of them, and the links of these stars are
+counted like others. Where a star's sets aren't all connected by then, what isn't meets the rest in blocks of
+bounded size. No link between different sets is lost, and no list of a group's pairs is made.
 
 Defined cases: texts that are null, empty or without words have an empty set and are linked with nothing; a text of
 fewer words than an n-gram has its whole word sequence as one. Equal sets are linked. A null doc_id takes part, but is
-never a component's id unless it has no other member. Repeated rows link with each other. Extra columns are ignored.
+never a component's id unless it has no other member. Repeated rows link with each other. Very long texts are cut into
+n-grams whole. Extra columns, also those named as the results, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +32,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,21 +43,34 @@ from tideframe.llm import common
 from tideframe.llm.components import components
 
 SPREAD, NARROW = 1.4, 1.12  # largest over smallest size of a band
-SOLID = 5  # n-grams that a signature should hold
-SURE = 21.0  # see bands(): exp(-21) is below 1e-9
+SOLID, LONG = 5, 384  # n-grams that a signature should hold, of sets of less than LONG
+MOST_SLACK = 16
+TIMES = 56  # bits of a set's number
 CELL = 64  # of a sketch
 FEW, LOCAL = 24, 12  # sets of a signature up to which its pairs are looked at, in all and in one part of the input
 HELD = 4096  # rows of one signature that a task holds
-PART = 2000  # documents whose signatures are looked through together before they go out
-BLOCK_SETS, BLOCK_GRAMS = 1024, 4 << 20  # bounds of a block of a cluster
+PART = 2000  # sets whose signatures are looked through together before they go out
+FRAGMENTS = 8  # of the counting
+BLOCK_SETS, BLOCK_GRAMS = 1024, 4 << 20  # bounds of a block of sets that stars leave open
 CELLS = 4 << 20  # of the array that counts one fragment's overlaps
 LIGHT, FRAGMENT = 24, 1 << 18  # sets up to which an n-gram's pairs are counted one by one, and n-grams of a fragment then
 HASHED_ROWS = 1_000_000  # rows of ids up to which a side is sent to all tasks
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("sketch", T.BinaryType())])
+SETS = T.StructType(
+    [
+        T.StructField("row_id", T.LongType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text_key", T.LongType()),
+        T.StructField("n_shingles", T.LongType()),
+        T.StructField("set_hash", T.BinaryType()),
+        T.StructField("sketch", T.BinaryType()),
+        T.StructField("signatures", T.ArrayType(T.LongType())),
+    ]
+)
 SIGNATURES = T.StructType([T.StructField("signature", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-MEMBERS = T.StructType([T.StructField("cluster", T.LongType()), T.StructField("p", T.LongType()), T.StructField("q", T.LongType()), T.StructField("own", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("grams", T.BinaryType())])
-PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("star", T.BooleanType())])
+SEGMENTS = T.StructType([T.StructField("sid", T.LongType()), T.StructField("fragment", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("after", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("times", T.LongType())])
+CLOSE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("need", T.LongType()), T.StructField("far", T.LongType())])
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 _U = np.uint64
@@ -97,58 +119,42 @@ class Band(NamedTuple):
     fragments: int  # 0: only equal sets can link
     spare: int  # empty signatures that a set needn't send
     of_three: bool  # signatures are two of each three neighbouring fragments
-    least: int  # n-grams of the smallest signature that is sent
+    slack: int  # linked sets have more equal signatures than that
 
 
 @cache
 def bands(percent: int, upto: int) -> tuple[Band, ...]:
-    """How sets of each size are cut.
+    """How sets of each size are cut. Two sets of a band differ in at most `apart` n-grams.
 
-    Two sets of a band differ in at most `apart` n-grams. Small signatures would be equal by chance wherever documents share
-    a passage, so they should hold SOLID n-grams or so. Three ways, the first that gives that:
+    Short signatures would be equal by chance wherever documents share a passage, so those of sets up to LONG n-grams
+    should hold SOLID n-grams or so. Two ways, the first that gives that:
 
     - more than `apart` fragments: one is equal in both sets;
-    - fewer fragments, for large sets: which fragment an n-gram is in is random, so the chance that the differing
-      ones touch every fragment is below exp(-SURE) at the very threshold, and far lower above it;
-    - 3/2 * apart fragments: two of three neighbours are equal in both sets, for some three.
+    - 3/2 * apart fragments: two of three neighbours are equal in both sets, for some three. Bands are narrow then,
+      so that smaller sets have no shorter signatures than need be.
 
-    Spare equal signatures make up for empty ones, which aren't sent unless a set has more of them.
+    Spare equal signatures make up for empty ones, which aren't sent unless a set has more of them. Slack is there so that
+    linked sets don't only share what very many sets share (see stars_left()); it never falls with the size.
     """
     out, low = [], 1
     while low <= upto:
         high = max(low, int(low * SPREAD))
         apart = 2 * high * (100 - percent) // (100 + percent)
-        smallest = low * percent / 100
         band = Band(low, high, 0, 0, False, 0)
         if apart:
-            band = Band(low, high, *_exact(apart, smallest, False), False, 0)
-            if low / band.fragments < SOLID:
-                size = next((x / 2 for x in range(24, 2 * SOLID - 1, -1) if _untouched(high / (x / 2), apart, smallest) >= SURE), None)
-                if size:
-                    band = Band(low, high, int(high / size), 0, False, 2)
-                else:  # narrow bands, whose smaller sets have no shorter signatures than need be
-                    high = max(low, int(low * NARROW))
-                    apart = 2 * high * (100 - percent) // (100 + percent)
-                    band = Band(low, high, *(_exact(apart, smallest, True) if apart else (0, 0)), True, 0)
+            slack = min(MOST_SLACK, apart // 8)
+            spare = max(1, math.ceil((apart + 2) * math.exp(-low * percent / 100 / (apart + 2))))
+            band = Band(low, high, apart + 1 + spare + slack, spare, False, slack)
+            if low / (apart + 1 + spare) < SOLID and low < LONG:
+                high = max(low, int(low * NARROW))
+                apart = 2 * high * (100 - percent) // (100 + percent)
+                slack = min(MOST_SLACK, apart // 8)
+                band = Band(low, high, 3 * (-(-(apart + 3) // 2) + slack) if apart else 0, 1, True, slack)
         out.append(band)
         low = high + 1
     return tuple(out)
 
 
-def _exact(apart: int, smallest: float, of_three: bool) -> tuple[int, int]:
-    """Fragments, and spare signatures. A set with more empty ones sends these too, so any number of spare ones is right."""
-    if of_three:
-        return 3 * -(-(apart + 3) // 2), 1
-    spare = max(1, math.ceil((apart + 2) * math.exp(-smallest / (apart + 2))))
-    return apart + 1 + spare, spare
-
-
-def _untouched(fragments: float, apart: int, common: float) -> float:
-    """Expected fragments that none of `apart` differing n-grams fall in and that hold two or more of the common ones."""
-    each = common / fragments
-    return fragments * (1 - 1 / fragments) ** apart * (1 - math.exp(-each) * (1 + each))
-
-
 def signatures(s: np.ndarray, percent: int, all_bands: tuple[Band, ...]) -> np.ndarray:
     """Hashes of the set's segments, in its band and in any with larger partners."""
     n = len(s)
@@ -169,15 +175,19 @@ def signatures(s: np.ndarray, percent: int, all_bands: tuple[Band, ...]) -> np.n
                 total, size = (np.concatenate([x[0::3] + x[1::3], x[0::3] + x[2::3], x[1::3] + x[2::3]]) for x in (total, size))
             place = np.arange(len(total), dtype=_U) + _U(k << 32)
             found = mix(mix(total + size) + place * _U(0x9E3779B97F4A7C15))
-            if band.least:
-                parts.append(found[size >= band.least])
-            else:
-                parts.append(found if (size == 0).sum() > band.spare else found[size > 0])
+            parts.append(found if (size == 0).sum() > band.spare else found[size > 0])
     return np.concatenate(parts) if parts else np.zeros(0, _U)
 
 
-def set_id(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def slacks(percent: int) -> list[tuple[int, int]]:
+    """(least size, slack) wherever the slack grows; it is the same for all sizes beyond the last."""
+    upto = 1 << 12
+    while bands(percent, upto)[-1].slack < MOST_SLACK and upto < 1 << 20:
+        upto *= 2
+    steps: dict[int, int] = {}
+    for band in bands(percent, upto):
+        steps.setdefault(band.slack, band.low)
+    return [(low, slack) for slack, low in steps.items()]
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -185,58 +195,91 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> _U(20)).astype(np.int64) % CELL, minlength=CELL), 255).astype(np.uint8).tobytes()
 
 
-def sets_of(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, n_shingles and set_id (null: no words) of each row, as a written table."""
+def sets_of(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """A row of SETS for each row, as a written table: the one pass over all texts.
+
+    set_hash (128 bits) is null without words; signatures stand in the first row of a set within a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 36  # below 2 ** TIMES for a million partitions
+        known = bands(percent, 1 << 12)
         for batch in batches:
-            sizes, ids, sketches = [], [], []
-            for text in common.utf8(batch, "text"):
-                found = grams(text, width)
-                sizes.append(len(found))
-                ids.append(set_id(found) if len(found) else None)
-                sketches.append(sketch(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())], names=SETS.names)
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                sizes, hashes, sketches, sent = [], [], [], []
+                same: dict[int, int] = {}  # texts of the part
+                seen: set[bytes] = set()
+                for i, (key, text) in enumerate(zip(part.column(1).to_pylist(), common.utf8(part, "text"), strict=True)):
+                    if key in same and (key is None or part.column(2)[i] == part.column(2)[same[key]]):
+                        first = same[key]
+                        sizes.append(sizes[first])
+                        hashes.append(hashes[first])
+                        sketches.append(sketches[first])
+                        sent.append(None)
+                        continue
+                    same[key] = i
+                    s = grams(text, width)
+                    if len(s) * 100 > percent * known[-1].low:
+                        known = bands(percent, 4 * len(s))
+                    own = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                    sizes.append(len(s))
+                    hashes.append(own)
+                    sketches.append(sketch(s))
+                    sent.append(None if own is None or own in seen else signatures(s, percent, known).view(np.int64))
+                    seen.add(own)
+                ids = pa.array(np.arange(number, number + part.num_rows))
+                number += part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [ids, part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sent, pa.list_(pa.int64()))], names=SETS.names
+                )
 
     common.ship(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     return common.written(docs.mapInArrow(run, SETS))
 
 
-def candidate_pairs(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b, star) of sets that have a signature in common.
+def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first row of each set, whose row_id is the set's sid, and (set_hash, sid) of the sets that occur again."""
+    again = sets.where("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("row_id").alias("sid"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = common.written(again)
+    copies = sets.select("row_id", "set_hash").join(common.sent(again, HASHED_ROWS), "set_hash").where("row_id <> sid").select("row_id")
+    copies = common.written(copies)
+    first = sets.where("set_hash IS NOT NULL").join(common.sent(copies, HASHED_ROWS), "row_id", "left_anti").withColumnRenamed("row_id", "sid")
+    return first, again
+
+
+def candidate_pairs(first: DataFrame) -> DataFrame:
+    """(a, b, star) of sets that have a signature in common; of stars b is the set that a hangs on.
 
     A signature of few sets gives their pairs. One of more gives a star, never all pairs: star edges only say that
-    the sets may hang together. A task first looks through its own documents: a signature of many sets there sends
+    the sets may hang together. A task first looks through its own sets: a signature of many sets there sends
     one row on and the others' edges to it, so a signature, however common, sends few rows for each part of the
-    input. Equal signatures then meet in one partition, sorted, in a stream that holds a bounded run.
+    input. Equal signatures then meet in one partition, sorted, in a stream that holds a bounded run. Star
+    rows come once for each signature.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bands(percent, 1 << 12)
         for batch in batches:
             for at in range(0, batch.num_rows, PART):
-                found = {}
-                for text in common.utf8(batch.slice(at, PART), "text"):
-                    s = grams(text, width)
-                    if len(s) * 100 > percent * known[-1].low:
-                        known = bands(percent, 4 * len(s))
-                    if len(s) and (own := set_id(s)) not in found:
-                        found[own] = signatures(s, percent, known)
-                if not found:
+                part = batch.slice(at, PART)
+                lists = part.column(1)
+                flat = lists.flatten().to_numpy()
+                if not len(flat):
                     continue
-                flat = np.concatenate(list(found.values())).view(np.int64)
-                own = np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()])
+                own = np.repeat(part.column(0).to_numpy(), pc.list_value_length(lists).fill_null(0).to_numpy())
                 order = np.lexsort((own, flat))
                 flat, own = flat[order], own[order]
                 first, run, size = _runs(flat)
                 many = size[run] > LOCAL
                 lead = own[np.flatnonzero(first)][run]
-                # (signature, set, null), (signature, set, the same set) for one that stands for others, (any, set, set it hangs on)
+                # (signature, set, null), (signature, set, the same set) for one that stands for others, (any, set, set it
+                # hangs on and, above that, how often; many times are as good as 127, see MOST_SLACK)
                 rows = ~many | first
-                pairs = np.unique(np.stack([own, lead], 1)[many & ~first], axis=0)
-                none = np.concatenate([~many[rows], np.zeros(len(pairs), bool)])
-                columns = [np.concatenate(x) for x in ((flat[rows], pairs[:, 0]), (own[rows], pairs[:, 0]), (own[rows], pairs[:, 1]))]
+                hangs, times = np.unique(np.stack([own, lead], 1)[many & ~first], axis=0, return_counts=True)
+                none = np.concatenate([~many[rows], np.zeros(len(hangs), bool)])
+                packed = hangs[:, 1] | np.minimum(times, 127) << TIMES
+                columns = [np.concatenate(x) for x in ((flat[rows], hangs[:, 0]), (own[rows], hangs[:, 0]), (own[rows], packed))]
                 out = pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], mask=none)], names=SIGNATURES.names)
                 for low in range(0, out.num_rows, 50_000):
                     yield out.slice(low, 50_000)
@@ -247,21 +290,21 @@ def candidate_pairs(documents: DataFrame, width: int, percent: int) -> DataFrame
             keys, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             other, none = batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
             edge = ~none & (other != own)
-            out = [(own[edge], other[edge], np.ones(int(edge.sum()), bool))]
+            out = [(own[edge], other[edge] & ((1 << TIMES) - 1), np.ones(int(edge.sum()), np.int8), other[edge] >> TIMES)]
             keys, own, stands = (np.concatenate(x) for x in zip(held, (keys[~edge], own[~edge], ~none[~edge]), strict=True))
             last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # that run may go on
             out += _linked(keys[:last], own[:last], stands[:last])
             held = keys[last:], own[last:], stands[last:]
             if len(held[0]) > HELD:  # a star's centre stands for the run so far
-                out.append((held[1][1:], np.full(len(held[1]) - 1, held[1][0]), np.ones(len(held[1]) - 1, bool)))
+                out.append((held[1][1:], np.full(len(held[1]) - 1, held[1][0]), 1 + held[2][1:].astype(np.int8), np.ones(len(held[1]) - 1, np.int64)))
                 held = held[0][:1], held[1][:1], np.ones(1, bool)
             if batch := _pairs(out):
                 yield batch
         if batch := _pairs(_linked(*held)):
             yield batch
 
-    n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, SIGNATURES)
+    n = max(1, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = first.select("sid", "signatures").mapInArrow(emit, SIGNATURES)
     return rows.repartition(n, "signature").sortWithinPartitions("signature").mapInArrow(link, PAIRS)
 
 
@@ -273,36 +316,54 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, run, np.bincount(run) if len(keys) else np.zeros(0, np.int64)
 
 
-def _linked(keys: np.ndarray, own: np.ndarray, stands: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of the whole runs of a signature, or stars where it has many sets or one that stands for others."""
+def _linked(keys: np.ndarray, own: np.ndarray, stands: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Pairs of the whole runs of a signature (0), or stars where it has many sets (1) or ones that stand for others (2 for these)."""
     if not len(keys):
         return []
     first, run, size = _runs(keys)
     star = ((size > FEW) | (np.bincount(run, stands) > 0))[run]
     lead = own[np.flatnonzero(first)][run]
-    out = [(own[star], lead[star], np.ones(int(star.sum()), bool))]
+    out = [(own[star], lead[star], 1 + stands[star].astype(np.int8), np.ones(int(star.sum()), np.int64))]
     for step in range(1, min(FEW, len(keys))):
         near = np.flatnonzero((run[step:] == run[:-step]) & ~star[step:])
         if not len(near):
             break
-        out.append((own[near], own[near + step], np.zeros(len(near), bool)))
+        a, b = own[near], own[near + step]
+        out.append((np.minimum(a, b), np.maximum(a, b), np.zeros(len(near), np.int8), np.ones(len(near), np.int64)))
     return out
 
 
-def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
-    if not parts:
+def _pairs(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
+    """Distinct rows, with the number of times that each came."""
+    a, b, kind, times = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0)] * 4
+    if not len(a):
         return None
-    a, b, star = (np.concatenate(x) for x in zip(*parts, strict=True))
-    rows = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), star.astype(np.int64)], 1)[a != b], axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] > 0)], names=PAIRS.names) if len(rows) else None
+    order = np.lexsort((kind, b, a))
+    a, b, kind, times = a[order], b[order], kind[order], times[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])
+    at = np.flatnonzero(first)
+    return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(kind[at].astype(np.int32)), pa.array(np.add.reduceat(times, at))], names=PAIRS.names)
 
 
-def candidate_edges(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b): all star edges, and the pairs that sizes and sketches don't rule out. sets: set_id, n, sketch."""
-    pairs = common.written(pairs.groupBy("a", "b").agg(F.bool_or("star").alias("star")))
-    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    asked = pairs.where("NOT star").drop("star").join(side("a"), "a").join(side("b"), "b")
-    asked = asked.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+def close_pairs(pairs: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b, need, far), nearest by sketch if far is least, that sizes and sketches don't rule out, and the star edges (a, b) that count.
+
+    sizes: sid, n, sketch. need is the overlap of a link. Linked sets have more equal signatures than their
+    slack; a set with no more than that which are common to very many sets shares a rarer one with each set that it
+    is linked with, and so needs no star. What stands for others in a part of the input keeps its edge.
+    """
+    kinds = common.written(pairs.groupBy("a", "b", "kind").agg(F.sum("times").alias("times")))
+    hot = kinds.where("kind > 0").groupBy(F.col("a").alias("sid")).agg(F.sum("times").alias("hot"), F.max(F.col("kind") == 2).alias("stands"))
+    limit = F.lit(0)
+    for low, slack in slacks(percent):
+        limit = F.when(F.col("n") >= low, F.lit(slack)).otherwise(limit)
+    needed = common.written(hot.join(sizes.select("sid", "n"), "sid").where(F.col("stands") | (F.col("hot") > limit)).select("sid"))
+    stars = kinds.where("kind > 0 AND a <> b").select("a", "b").distinct().join(common.sent(needed, HASHED_ROWS), F.col("a") == F.col("sid"), "left_semi")
+    stars = common.written(stars)
+    asked = kinds.where("kind = 0").select("a", "b").union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    side = lambda x: sizes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    asked = asked.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,10 +371,54 @@ def candidate_edges(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_numpy(zero_copy_only=False)), np.uint8).reshape(-1, CELL).astype(np.int16) for c in ("s_a", "s_b"))
             n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            keep = pa.array((100 + percent) * np.abs(x - y).sum(1) <= (100 - percent) * n)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=EDGES.names)
+            far = np.abs(x - y).sum(1).astype(np.int64)
+            keep = pa.array((100 + percent) * far <= (100 - percent) * n)
+            need = -(-percent * n // (100 + percent))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in ("a", "b")), pa.array(need).filter(keep), pa.array(1000 * far // n).filter(keep)], names=CLOSE.names)
 
-    return asked.mapInArrow(close, EDGES).union(pairs.where("star").select("a", "b"))
+    return common.written(asked.mapInArrow(close, CLOSE)), stars
+
+
+def segments_of(documents: DataFrame, chosen: DataFrame, width: int, fragments: int) -> DataFrame:
+    """The segments (rows of SEGMENTS, as a written table) of the chosen sets: sid, and doc_id and text_key of a row that has the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                rows: list[tuple] = []
+                for sid, text in zip(common.values(part, "sid"), common.utf8(part, "text"), strict=True):
+                    s = grams(text, width)
+                    edges = np.searchsorted(((s >> _U(32)) * _U(fragments)) >> _U(32), np.arange(fragments + 1, dtype=_U))
+                    rows += [(sid, f, int(edges[f]), len(s) - int(edges[f + 1]), s[edges[f] : edges[f + 1]].view(np.int64)) for f in range(fragments) if edges[f] < edges[f + 1]]
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=SEGMENTS.names)
+
+    return common.written(_texts_of(documents, chosen).mapInArrow(run, SEGMENTS))
+
+
+def _texts_of(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen (written; with doc_id and text_key) with the rows' texts, one row each."""
+    side = common.sent(chosen, HASHED_ROWS)
+    docs = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).withColumn("_key", F.xxhash64("text"))
+    found = docs.join(side, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).drop("_id", "_key")
+    return found
+
+
+def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, need) whose overlap reaches need, as a written table.
+
+    Segments meet by set and fragment. A fragment counts nothing where the lengths before and after it and its own overlap
+    rule the pair out; the partial counts are summed for each pair.
+    """
+    side = lambda x: segments.select(F.col("sid").alias(x), "fragment", *(F.col(c).alias(f"{c}_{x}") for c in ("before", "after", "grams")))
+    met = pairs.select("a", "b", "need").join(side("a"), "a").join(side("b"), ["b", "fragment"])
+    both = F.size(F.array_intersect("grams_a", "grams_b"))
+    apart = F.abs(F.col("before_a") - F.col("before_b")) + F.abs(F.col("after_a") - F.col("after_b")) + F.size("grams_a") + F.size("grams_b")
+    total = F.col("before_a") + F.col("after_a") + F.size("grams_a") + F.col("before_b") + F.col("after_b") + F.size("grams_b")
+    parts = met.select("a", "b", "need", both.alias("both"), apart.alias("apart"), total.alias("total")).where("both > 0 AND apart - 2 * both <= total - 2 * need")
+    return common.written(parts.groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("need").alias("need")).where("both >= need").select("a", "b"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -354,16 +459,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def links(ids: list[int], own: list[int], sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; across: only those between different blocks count."""
+def links(ids: list[int], component: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of different components."""
     if len(ids) < 2:
         return []
-    sizes = np.array([len(s) for s in sets])
+    sizes, of = np.array([len(s) for s in sets]), np.array(component)
     both = overlaps(sets)
-    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    if across:
-        side = np.array(own)
-        linked &= side[:, None] != side[None, :]
+    linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (of[:, None] != of[None, :])
     np.fill_diagonal(linked, True)
     label = np.arange(len(ids))
     while True:
@@ -377,97 +479,129 @@ def links(ids: list[int], own: list[int], sets: list[np.ndarray], percent: int,
 
 def _blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, own, sets = None, [], [], []
-        out: list[tuple[int, int]] = []
+        key, ids, of, sets = None, [], [], []
         for batch in batches:
-            columns = [common.values(batch, c) for c in MEMBERS.names]
-            for cluster, p, q, o, set_id, data in zip(*columns, strict=True):
+            out: list[tuple[int, int]] = []
+            columns = [common.values(batch, c) for c in ("cluster", "p", "q", "component", "sid", "grams")]
+            for cluster, p, q, component, sid, data in zip(*columns, strict=True):
                 if (cluster, p, q) != key:
-                    if ids:
-                        out += links(ids, own, sets, percent, key[1] != key[2])
-                    key, ids, own, sets = (cluster, p, q), [], [], []
-                if not ids or set_id != ids[-1]:  # rows of a set follow each other
-                    ids.append(set_id)
-                    own.append(o)
+                    out += links(ids, of, sets, percent)
+                    key, ids, of, sets = (cluster, p, q), [], [], []
+                if not ids or sid != ids[-1]:  # rows of a set follow each other
+                    ids.append(sid)
+                    of.append(component)
                     sets.append(np.frombuffer(data, _U))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=EDGES.names)
-                out = []
-        if ids and (out := links(ids, own, sets, percent, key[1] != key[2])):
+        if out := links(ids, of, sets, percent):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=EDGES.names)
 
     return run
 
 
-def set_links(documents: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) between set ids that connect exactly what the links between sets connect."""
-    who = F.min(F.struct("doc_id", "text_key")).alias("who")
-    distinct = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(who, F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    distinct = common.written(distinct)
-    edges = candidate_edges(candidate_pairs(documents, width, percent), distinct.select("set_id", "n", "sketch"), percent)
-    cluster = components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
-    members = distinct.drop("sketch").join(cluster, "set_id")
-    # Sets whose sizes are further apart than the threshold can't link: a large cluster's blocks go by size,
-    # and a block meets those of its own and the neighbouring size only.
-    blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long")
-    whole = members.groupBy("cluster").agg(blocks().alias("whole"))
-    bin_of = F.when(F.col("whole") == 1, F.lit(0)).otherwise(F.floor(F.log("n") / -math.log(percent / 100)) if percent < 100 else F.col("n")).cast("long")
-    members = members.join(whole, "cluster").withColumn("bin", bin_of)
-    parts = members.groupBy("cluster", "bin").agg(blocks().alias("parts"))
-    order = Window.partitionBy("cluster").orderBy("bin")  # a row for each size
-    beside = lambda f, at: F.when(f("bin").over(order) == F.col("bin") + at, f("parts").over(order)).otherwise(0)
-    parts = parts.select("cluster", "bin", "parts", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
-    members = members.join(parts, ["cluster", "bin"]).select("cluster", "bin", "parts", "above", "below", "set_id", F.col("who.doc_id").alias("doc_id"), F.col("who.text_key").alias("text_key"))
-    members = common.written(members)
-    chosen = F.broadcast(members) if common.small_enough(members, HASHED_ROWS) else members
-    docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    docs = docs.join(chosen, (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id")))
+def with_component(df: DataFrame, component: DataFrame, node: str, name: str) -> DataFrame:
+    """df with the component of a node's column, the node itself where it has no links."""
+    side = component.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return df.join(side, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", node)).drop("_node", "_component")
+
+
+def stars_left(documents: DataFrame, sizes: DataFrame, stars: DataFrame, component: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links between sets of stars that the links so far leave in different components; None where there are no such sets.
 
-    keep = ["cluster", "bin", "parts", "above", "below", "set_id"]
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in keep), T.StructField("grams", T.BinaryType())])
+    What hangs together by star edges is a cluster. Its largest component needs no comparison within itself, so
+    it only meets the rest. Sets whose sizes are further apart than the threshold can't link: a large cluster's blocks go
+    by size, and a block meets those of its own and the neighbouring size only.
+    """
+    ends = with_component(with_component(stars, component, "a", "ca"), component, "b", "cb")
+    cross = common.written(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if cross.isEmpty():
+        return None
+    cluster = common.written(components(cross)).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    nodes = stars.select(F.col("a").alias("sid")).union(stars.select(F.col("b").alias("sid"))).distinct()
+    members = with_component(nodes, component, "sid", "component").join(cluster, "component").join(sizes.drop("sketch"), "sid")
+    members = common.written(members)
+    blocks = lambda when=F.lit(True): F.greatest(F.ceil(F.count_if(when) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)) / BLOCK_GRAMS)).cast("long")
+    counted = members.groupBy("cluster", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    shape = counted.groupBy("cluster").agg(F.max_by("component", F.struct("sets", "component")).alias("main"), F.greatest(F.ceil(F.sum("sets") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("whole"))
+    shape = common.written(shape)
+    size = F.floor(F.log("n") / -math.log(percent / 100)) if percent < 100 else F.col("n")
+    members = members.join(shape, "cluster").withColumn("bin", F.when(F.col("whole") == 1, F.lit(0)).otherwise(size).cast("long"))
+    members = members.withColumn("main", ((F.col("component") == F.col("main")) & (F.col("whole") > 1)).cast("long"))
+    members = common.written(members)
+    parts = members.groupBy("cluster", "bin").agg(blocks(F.col("main") == 0).alias("rest"), blocks(F.col("main") == 1).alias("of_main"))
+    order = Window.partitionBy("cluster").orderBy("bin")  # a row for each size
+    beside = lambda f, at, c: F.when(f("bin").over(order) == F.col("bin") + at, f(c).over(order)).otherwise(0).cast("long")
+    near = [beside(f, at, c).alias(f"{c}_{name}") for c in ("rest", "of_main") for f, at, name in ((F.lead, 1, "above"), (F.lag, -1, "below"))]
+    parts = common.written(parts.select("cluster", "bin", "rest", "of_main", *near))
+    members = members.join(parts, ["cluster", "bin"])
+    number = lambda bin_, main, k: (bin_ * 2 + main) * (1 << 32) + k
+    block = lambda bin_, main, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long"))), lambda k: number(bin_, main, k))).otherwise(F.array().cast("array<bigint>"))
+    meets = lambda c, main: [block(F.col("bin") + at, main, F.col(c + x)) for at, x in ((0, ""), (1, "_above"), (-1, "_below"))]
+    others = F.when(F.col("main") == 1, F.concat(*meets("rest", 0))).otherwise(F.concat(*meets("rest", 0), *meets("of_main", 1)))
+    own = number(F.col("bin"), F.col("main"), F.pmod(F.xxhash64("sid"), F.when(F.col("main") == 1, F.col("of_main")).otherwise(F.col("rest"))))
+    met = members.select("cluster", "component", "sid", own.alias("own"), others.alias("others"), "doc_id", "text_key").where(F.size("others") > 0)
+    met = common.written(met)
+    keep = ["cluster", "component", "sid", "own", "others"]
+    schema = T.StructType([*(met.schema[c] for c in keep), T.StructField("grams", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
         for *row, text in zip(*(common.values(batch, x) for x in keep), common.utf8(batch, "text"), strict=True):
             yield (*row, grams(text, width).tobytes())
 
-    found = docs.select(*keep, "text").mapInArrow(common.arrow_rows(schema, run), schema)
-    block = lambda size, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda h: size * (1 << 32) + h)).otherwise(F.array().cast("array<bigint>"))
-    others = F.concat(block(F.col("bin"), F.col("parts")), block(F.col("bin") + 1, F.col("above")), block(F.col("bin") - 1, F.col("below")))
-    found = found.withColumn("own", F.col("bin") * (1 << 32) + F.pmod(F.xxhash64("set_id"), F.col("parts"))).withColumn("other", F.explode(others))
-    found = found.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "set_id", "grams")
+    found = _texts_of(documents, met).select(*keep, "text").mapInArrow(common.arrow_rows(schema, run), schema).withColumn("other", F.explode("others"))
+    found = found.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "sid", "grams")
     n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = found.repartition(n, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "set_id")
-    return found.mapInArrow(_blocks(percent), EDGES)
+    found = found.repartition(n, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "sid")
+    return common.written(found.mapInArrow(_blocks(percent), EDGES))
+
+
+def set_links(documents: DataFrame, first: DataFrame, width: int, percent: int, fragments: int = FRAGMENTS) -> DataFrame:
+    """Edges (a, b) between sids that connect exactly what the links between sets connect."""
+    sizes = common.written(first.select("sid", "doc_id", "text_key", F.col("n_shingles").alias("n"), "sketch"))
+    near, stars = close_pairs(candidate_pairs(first), sizes, percent)
+    nodes = near.select(F.col("a").alias("sid")).union(near.select(F.col("b").alias("sid"))).distinct()
+    segments = segments_of(documents, common.written(sizes.select("sid", "doc_id", "text_key").join(nodes, "sid")), width, fragments)
+    # Each set's nearest candidate first: what these links connect needs no further count.
+    ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far", "need").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "far", "need"))
+    nearest = ends.groupBy("x").agg(F.min(F.struct("far", "y", "need")).alias("to"))
+    nearest = common.written(nearest.select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b"), "to.need").distinct())
+    edges = linked(nearest, segments)
+    component = common.written(components(edges))
+    rest = near.join(nearest.select("a", "b"), ["a", "b"], "left_anti")
+    rest = with_component(with_component(rest, component, "a", "ca"), component, "b", "cb").where("ca <> cb")
+    edges = edges.union(linked(rest, segments))
+    if stars.isEmpty():
+        return edges
+    more = stars_left(documents, sizes, stars, common.written(components(edges)), width, percent)
+    return edges if more is None else edges.union(more)
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_key, n_shingles and component_id (least doc_id reachable by links) of each row of documents.
+    """doc_id, text_key, n_shingles, component_id (least doc_id reachable by links) and group_id (null without words) of each row of documents.
 
     Links are pairs with 100 * intersection >= percent * union of their n-gram sets.
     """
-    sets = sets_of(documents, width)
-    group = components(set_links(documents, sets, width, percent)).select(F.col("node").alias("set_id"), "component")
-    rows = sets.drop("sketch").join(group, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    rows = common.written(rows)
-    least = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component").alias("group_id"))
+    sets = sets_of(documents, width, percent)
+    first, again = distinct_sets(sets)
+    component = common.written(components(set_links(documents, first, width, percent)))
+    rows = sets.select("row_id", "doc_id", "text_key", "n_shingles", "set_hash").join(common.sent(again, HASHED_ROWS), "set_hash", "left")
+    rows = rows.withColumn("sid", F.when(F.col("set_hash").isNotNull(), F.coalesce("sid", "row_id"))).drop("row_id", "set_hash")
+    rows = common.written(with_component(rows, component, "sid", "group_id").drop("sid"))
+    least = rows.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    least = common.written(least)
+    return rows.join(common.sent(least, HASHED_ROWS), "group_id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group_id")
 
 
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """documents with one row of each component: the least doc_id (null last), then the least text_key."""
-    found = common.written(near_duplicates(documents, width, percent))
+    """documents with one row of each component: the least doc_id (null last), then the least text_key. Rows without words all stay."""
+    found = common.written(near_duplicates(documents, width, percent).select("doc_id", "text_key", "group_id").where("group_id IS NOT NULL"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    by = F.coalesce(F.col("group_id").cast("string"), F.concat_ws(":", F.lit("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key"))
-    groups = found.withColumn("by", by).groupBy("by").agg(F.min(order).alias("best"))
-    rows = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.first("group_id").alias("group_id")).withColumn("by", by)
-    marked = rows.join(groups, "by")
+    groups = common.written(found.groupBy("group_id").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
     best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
-    marked = marked.select("doc_id", "text_key", "n", best.alias("stays"), F.col("group_id").isNull().alias("bare")).where("NOT stays OR (n > 1 AND NOT bare)")
-    marked = common.written(marked)
-    side = F.broadcast(marked) if common.small_enough(marked, HASHED_ROWS) else marked
-    side = side.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("stays").alias("_stays"))
+    marked = found.join(F.broadcast(groups) if common.small_enough(groups, HASHED_ROWS) else groups, "group_id")
+    marked = common.written(marked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), best.alias("_stays")).distinct())
     keyed = documents.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
+    joined = keyed.join(common.sent(marked, HASHED_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
     alone = joined.where("_stays IS NULL").select(*documents.columns)
     again = joined.where("_stays").dropDuplicates(["_id", "_key"]).select(*documents.columns)
     return alone.union(again)
