@@ -56,3 +56,21 @@ def test_frames_with_broken_files_nulls_and_clashing_columns(spark):
     frame = spark.createDataFrame([(i, None if b is None else bytes(b)) for i, b in enumerate(broken)], "doc_id long, media binary")
     assert all(r.error and r.codec is None and r.feature.startswith("error=") for r in media.feature(media.describe(frame)).collect())
     assert media.describe(media.store(docs.limit(0))).count() == 0
+
+
+def test_tables_that_claim_too_much():
+    good = media.encode(media.padded(b"x" * 500))
+    size, n = good.index(b"stsz") + 8, good.index(b"stsz") + 12
+    for much in (5_000_000, 2**32 - 1):
+        with pytest.raises(ValueError, match="longer than the file"):
+            media.parse(good[:n] + struct.pack(">I", much) + good[n + 4 :])
+        with pytest.raises(ValueError):
+            media.parse(good[:size] + struct.pack(">II", 0, much) + good[size + 8 :])
+    key = good.index(b"stss") + 12
+    for bad in (0, 2**32 - 1):
+        with pytest.raises(ValueError, match="keyframe"):
+            media.parse(good[:key] + struct.pack(">I", bad) + good[key + 4 :])
+    run = good.index(b"stsc") + 12
+    for bad in (0, 2**32 - 1):
+        with pytest.raises(ValueError, match="run of chunks"):
+            media.parse(good[:run] + struct.pack(">I", bad) + good[run + 4 :])

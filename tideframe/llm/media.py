@@ -133,6 +133,8 @@ def sample_ranges(chunk_at: tuple[int, ...], runs: list[tuple[int, int]], sizes:
     out: list[tuple[int, int]] = []
     for k, (first, per) in enumerate(runs):
         stop = runs[k + 1][0] if k + 1 < len(runs) else len(chunk_at) + 1
+        if not 1 <= first <= stop <= len(chunk_at) + 1:
+            raise ValueError("a run of chunks doesn't fit the chunks")
         for chunk in range(first, stop):
             at = chunk_at[chunk - 1]
             for _ in range(per):
@@ -182,6 +184,8 @@ def parse(media: bytes) -> tuple[dict, list[tuple[int, int]]]:
             runs = [(flat[i], flat[i + 1]) for i in range(0, len(flat), 3)]
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, at + 4)
+            if size * n > len(data):  # before anything is listed
+                raise ValueError("the samples are longer than the file")
             sizes = size or list(_numbers(data, at + 12, end, n, "I"))
         elif kind == b"stz2":
             width, n = struct.unpack_from(">II", data, at + 4)
@@ -200,6 +204,8 @@ def parse(media: bytes) -> tuple[dict, list[tuple[int, int]]]:
     if times and sum(times[::2]) != n:
         raise ValueError("times and sizes disagree on the number of samples")
     keys = tuple(range(1, n + 1)) if keys is None else keys
+    if keys and not 1 <= min(keys) <= max(keys) <= n:
+        raise ValueError("a keyframe is none of the samples")
     got["keyframes"] = [{"sample": k, "offset": ranges[k - 1][0], "length": ranges[k - 1][1]} for k in keys]
     got["samples"] = n
     return got, ranges
