@@ -207,15 +207,15 @@ def learn(x: np.ndarray, poor: np.ndarray, precision: float = 0.9, least: int =
 
 
 def labelled(documents: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and verdicts of at most `most` labelled documents, taken by a hash of their ids.
+    """Statistics and verdicts of at most `most` labelled documents, taken by a hash of their ids; repeated rows count once.
 
-    This bound is what makes it safe to send the chosen labels to all tasks and the statistics to the driver.
+    This bound, on labels and on rows, is what makes it safe to send the chosen labels to all tasks and the statistics to the driver.
     """
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = with_statistics(docs).select("doc_id", "quality", *(e.alias(k) for k, e in shares().items()))
-    table = rows.toPandas().drop_duplicates().sort_values(["doc_id", *SHARES], kind="stable")
+    table = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", *SHARES).limit(most).toPandas().sort_values(["doc_id", *SHARES], kind="stable")
     return table[SHARES].to_numpy(float).reshape(-1, len(SHARES)), table["quality"].to_numpy() == 0
 
 
