@@ -95,11 +95,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
     # Identical URLs are one: the group is combined before its shuffle.
     urls = parts.select(F.concat("host", "path").alias("url"), "host", "path").distinct().withColumn("says", fitting_rule(F.col("host"), F.col("path"), rules)[1])
     urls = common.written(urls.groupBy("url").agg(F.max("says").alias("says")).where("url <> ''").withColumn("seen", ~F.substring(F.md5("url"), 1, 1).isin("0", "1", "2", "3")))
-    each = urls.select("url", "says", "seen", F.explode(grams(F.col("url"), order)).alias("gram"))
+    # The table of URLs is small next to its n-grams: it is dealt out anew before these are made.
+    n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = urls.repartition(n).select("url", "says", "seen", F.explode(grams(F.col("url"), order)).alias("gram"))
     counted = each.groupBy("gram").agg(F.count_if(F.expr("seen AND says = 'allow'")).alias("yes"), F.count_if(F.expr("seen AND says = 'block'")).alias("no"), F.max(F.col("says").isNull() | ~F.col("seen")).alias("asked"))
     counted = common.written(counted)
     scores = common.written(gram_scores(counted.where("asked"), counted.where("yes + no > 0").drop("asked"), order))
-    scores = F.broadcast(scores) if common.small_enough(scores, MODEL_ROWS) else scores
+    scores = common.sent(scores, MODEL_ROWS)
     wanted = each.where("says IS NULL OR NOT seen").join(scores, "gram")
     scored = common.written(wanted.groupBy("url", "says").agg(F.floor(F.sum("score") / F.count("*")).cast("long").alias("score")))
     middle = scored.agg(*(F.avg(F.when(F.col("says") == x, F.col("score"))).alias(x) for x in ("allow", "block"))).first()
