@@ -41,14 +41,33 @@ def corpus(seed, window, n=90):
 
 
 @pytest.mark.parametrize(("window", "gram", "seed"), [(50, 20, 1), (50, 8, 2), (200, None, 3), (31, 31, 4)])
-def test_against_all_windows(spark, window, gram, seed, monkeypatch):
-    monkeypatch.setattr(sd, "PIECE", min(sd.PIECE, window // 2))
+def test_against_all_windows(spark, window, gram, seed):
     rows = corpus(seed, window)
     frame = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, key int").repartition(3)
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.remove_repeats(frame, window, gram).collect())
     assert got == brute(rows, window)
 
 
+def test_repeats_with_a_gap_between_them(spark):
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefghij") for _ in range(400))
+    rows = [(1, text), (2, text[0:50] + "#" + text[90:140]), (3, "?" + text[200:251] + "!")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect())
+    assert got == brute(rows, 50) and got[0][3] == 3
+
+
+def test_a_passage_of_all_documents_is_dealt_out_evenly(spark):
+    passage = "a passage that stands in every document of this corpus, word for word, and is longer than a window of two hundred bytes; " * 3
+    rows = [(i, f"own words {i * 7919} " + passage + f"and more own words {i * 104729}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = frame.withColumn("key", sd.F.xxhash64("text"))
+    dealt = sd.digits(docs.select("text", "key"), 200, 80)
+    met = dealt.where("NOT settled").groupBy("h", "c").count().agg(sd.F.max("count")).first()[0]
+    assert met <= 6  # a row and a witness for each part of the input
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.remove_repeats(frame).collect())
+    assert got == brute(rows, 200)
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(sd, "BUFFER", 700)
     rows = corpus(5, 50)

@@ -9,10 +9,14 @@ last are exactly the repeated windows. A pass splits groups by one more digit an
 2. The digit is the anchor's whole surroundings. Where these occur twice, all windows with that anchor are repeated.
 3. Suffixes that are still open, those at the edges of repeated passages, are sorted by their whole window.
 
+The digits are not single bytes: a pass over bytes would rewrite every suffix of the corpus 200 times, while most
+suffixes differ from all others within the first two digits here.
+
 Rows of the same digit meet by a hash partitioning and are told apart by a sort within partitions, in a stream that
-holds one row. A task sends one witness of a digit that it has seen twice, and deals the rows themselves out by
-the next digit, so that no digit, however common, gathers many rows in one task. Where an anchor's surroundings
-differ, one text of each surroundings takes its settled windows along into pass 3, for others to meet.
+holds one row. Each part of the input sends one witness of a gram that it has seen twice and one row of each anchor with
+equal surroundings; the others of these are settled and are dealt out evenly, so that a digit sends few rows for each part,
+however common it is. Where an anchor's surroundings differ, one text of each surroundings takes its settled windows along
+into pass 3, for others to meet.
 
 Digits are compared by 64-bit hashes (two of them in pass 2). Texts are identified by a 64-bit hash when the
 results go back to them.
@@ -36,10 +40,9 @@ from tideframe.llm import common
 
 WINDOW, GRAM = 200, 80
 BUFFER = 1 << 19  # bytes that are hashed at once
-PIECE = 100  # open windows of a text are answered in stretches of so many starts, less than a window
 KEY_ROWS = 1_000_000  # ids of texts up to which these are sent to all tasks
 
-DIGITS = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("twice", T.BooleanType()), T.StructField("whole", T.BooleanType()), T.StructField("shown", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("pos", T.LongType())])
+DIGITS = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("twice", T.BooleanType()), T.StructField("whole", T.BooleanType()), T.StructField("shown", T.BooleanType()), T.StructField("settled", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("pos", T.LongType())])
 FLAGS = T.StructType([T.StructField("key", T.LongType()), T.StructField("code", T.LongType())])
 STATE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("sure", T.ArrayType(T.LongType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.LongType()))])
 OPEN = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("start", T.LongType())])
@@ -192,6 +195,8 @@ def digits(documents: DataFrame, window: int, gram: int) -> DataFrame:
             new = np.ones(len(rows), bool)
             new[1:] = (h[rows][1:] != h[rows][:-1]) | (c[rows][1:] != c[rows][:-1])
             shown[rows[new]] = by_h[rows[new]] > by_c[rows[new]]
+            settled = np.ones(len(h), bool)  # but for the first of each surroundings
+            settled[rows[new]] = False
             rows = np.flatnonzero(twice)
             witness = rows[np.unique(h[rows], return_index=True)[1]]
             pick = np.concatenate([np.arange(len(h)), witness])
@@ -202,6 +207,7 @@ def digits(documents: DataFrame, window: int, gram: int) -> DataFrame:
                 pa.array(twice[pick] & ~none),
                 pa.array(whole[pick]),
                 pa.array(shown[pick]),
+                pa.array(settled[pick] & ~none),
                 pa.array(keys[text[pick]]),
                 pa.array(pos[pick], pa.int64()),
             ]
@@ -261,7 +267,8 @@ def flags(documents: DataFrame, window: int, gram: int) -> DataFrame:
     """For each text's key the codes of its repeated anchors: 4 times the position, 2 more if it shows its windows, 1 more where pass 2 settled it."""
     n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = digits(documents, window, gram)
-    dealt = rows.repartition(n, F.when(F.col("twice"), F.xxhash64("h", "c")).otherwise(F.col("h"))).sortWithinPartitions("twice", "h", "c")
+    even = F.when(F.col("settled"), F.xxhash64("key", "pos")).when(F.col("twice"), F.xxhash64("h", "c")).otherwise(F.col("h"))
+    dealt = rows.repartition(n, even).sortWithinPartitions("twice", "h", "c")
     # Rows that are known to be repeated and their witnesses stay apart: a row never meets its own witness.
     return dealt.mapInArrow(_runs(["twice", "h", "c"], _flag, FLAGS.names), FLAGS).groupBy("key").agg(F.collect_set("code").alias("codes"))
 
@@ -350,17 +357,17 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int | None
     common.ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     flagged = common.written(flags(docs.select("text", "key"), window, gram))
-    small = common.small_enough(flagged, KEY_ROWS)
-    keys = F.broadcast(flagged.select("key")) if small else flagged.select("key")
+    keys = flagged.select("key")
+    keys = F.broadcast(keys) if common.small_enough(keys, KEY_ROWS) else keys
     touched = docs.join(keys, "key", "left_semi").join(flagged, "key").select("doc_id", "text", "codes")
     state = common.written(settle(touched, window, gram))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     asked = state.select("row_id", F.explode(F.arrays_zip("hashes", "starts")).alias("x")).select("row_id", F.col("x.hashes").alias("h"), F.col("x.starts").alias("start"))
     answers = asked.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_runs(["h"], _answer, OPEN.names), OPEN)
     # Windows of one stretch overlap, so the first and the last cover all between them.
-    answers = answers.groupBy("row_id", F.floor(F.col("start") / PIECE).alias("piece")).agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    answers = answers.groupBy("row_id", F.floor(F.col("start") / max(1, window // 2)).alias("piece")).agg(F.min("start").alias("a"), F.max("start").alias("b"))
     answers = common.written(answers.groupBy("row_id").agg(F.flatten(F.collect_list(F.array("a", F.col("b") + 1))).alias("more")))
-    more = F.broadcast(answers) if common.small_enough(answers, KEY_ROWS // 10) else answers
+    more = common.sent(answers, KEY_ROWS // 10)
     cut = state.drop("hashes", "starts").join(more, "row_id", "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
