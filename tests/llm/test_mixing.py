@@ -47,7 +47,10 @@ def test_takes(spark, monkeypatch, block):
         taken[r.source] = taken.get(r.source, 0) + r.taken
         largest[r.source] = max(largest.get(r.source, 0), r.size)
     for s, t in taken.items():
-        assert abs(t - goal[s]) <= largest[s]
+        # What isn't taken in the partial pass doesn't fit any more, but for one text that came nearer than none.
+        left = [r.size for r in got if r.source == s and r.draws == min(x.draws for x in got if x.source == s)]
+        one_block = block == 2048 and len(left) < sum(r.source == s for r in got) < 2048
+        assert abs(t - goal[s]) <= max(1e-6, min(left) if one_block else largest[s]), s
     again = mixing.sizes_and_takes(docs.repartition(2)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     mixed = mixing.mix(docs, shards=8).collect()
@@ -64,6 +67,22 @@ def test_takes(spark, monkeypatch, block):
     assert {r._shard for r in mixed} == set(range(8))
 
 
+def test_texts_that_dont_fit_are_passed_over(spark):
+    rows = [(1, "w " * 2000, "a"), *((10 + i, "w " * (3 + i % 5), "a") for i in range(60)), (2, "w " * 100, "b"), (None, "w " * 7, "c"), (None, "w " * 9, "c")]
+    got = mixing.sizes_and_takes(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 6, 6), share=0.3).collect()
+    goal, taken = {r.source: r.target for r in got}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert 100 < goal["a"] < 2000 and abs(taken["a"] - goal["a"]) <= max(3, goal["a"] - 300)
+
+
+def test_the_order_of_the_sums_doesnt_matter(spark):
+    _, docs = frame(spark, 500)
+    one = mixing.mix(docs.orderBy("source"), shards=4).select("doc_id", "_shard", "_order").collect()
+    two = mixing.mix(docs.repartition(7, "doc_id"), shards=4).select("doc_id", "_shard", "_order").collect()
+    assert sorted(map(str, one)) == sorted(map(str, two))
+
+
 def test_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.sizes_and_takes(docs).count() == 0 and mixing.mix(docs).count() == 0
