@@ -16,10 +16,12 @@ def test_blocks_round_trip(n):
     ids = np.minimum(random.zipf(1.3, n), 50_000).astype(np.uint32)
     table = ans.Table(np.bincount(ids, minlength=50_257) + (np.arange(50_257) < 40_000))
     block = table.encode(ids)
-    assert (table.decode(block) == ids).all()
-    for first in (0, n // 2, n - 1):  # from a checkpoint on
-        part = table.decode(block, first)
-        assert (part == ids[len(ids) - len(part) :]).all() and len(part) >= n - first
+    base, whole = table.decode(block)
+    assert base == 0 and (whole == ids).all()
+    for first, end in ((0, 1), (n // 2, n // 2 + 1), (n // 3, n), (n - 1, n)):  # from a checkpoint on, up to one
+        base, part = table.decode(block, first, end)
+        assert base <= first and base + len(part) >= end and (part == ids[base : base + len(part)]).all()
+        assert base % ans.STRETCH == 0 and first - base < ans.STRETCH and base + len(part) - end < ans.STRETCH
     if n > 70_000:
         assert len(block) < 2.2 * n
 
@@ -31,6 +33,37 @@ def test_a_broken_block_is_found():
     block[-20] ^= 1
     with pytest.raises((ValueError, IndexError)):
         table.decode(bytes(block))
+    ids = np.arange(3 * ans.STRETCH, dtype=np.uint32) % 97
+    table = ans.Table(np.bincount(ids))
+    good = table.encode(ids)
+    for at in (len(good) - 40, len(good) - len(good) // 8):  # in the words of the last stretch: the one before is sound
+        bad = bytearray(good)
+        bad[at] ^= 255
+        assert (table.decode(bytes(bad), ans.STRETCH, 2 * ans.STRETCH)[1] == ids[ans.STRETCH : 2 * ans.STRETCH]).all()
+        with pytest.raises((ValueError, IndexError)):
+            table.decode(bytes(bad), 2 * ans.STRETCH)
+
+
+def test_documents_over_many_units(spark, monkeypatch):
+    """Small blocks and units: documents begin and end anywhere, one spans several units, and reads start at checkpoints."""
+    texts = [f"some words of document {i} " * (1 + i % 37) for i in range(300)] + ["a very long one " * 5000] + ["short"] * 50
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows, every, unit in ((4, 1, 1), (4, 2, 2)):
+        with monkeypatch.context() as m:
+            for name, value in (("LANES", 8), ("ROWS", rows), ("CHECK_ROWS", every), ("BLOCK", 8 * rows), ("STRETCH", 8 * every), ("UNIT", unit)):
+                m.setattr(ans, name, value)
+            table = ans.Table(np.bincount(np.arange(60_000) % 50_257, minlength=50_257))
+            ids = np.random.default_rng(1).integers(0, 50_257, 8 * rows).astype(np.uint32)
+            block = table.encode(ids)
+            for first in range(0, 8 * rows, 3):
+                base, part = table.decode(block, first, first + 2)
+                assert (part == ids[base : base + len(part)]).all() and len(part) <= 16 * every
+    manifest, counts = ans.write_documents(frame, PATH, 2)
+    got = ans.read_files(manifest, counts).collect()
+    own = Tokenizer.from_file(PATH)
+    for r in got:
+        assert bytes(r.ids) == np.array([*own.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4").tobytes()
+    assert len(got) == len(texts)
 
 
 def test_files_against_the_library(spark, monkeypatch):

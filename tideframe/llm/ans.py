@@ -2,12 +2,14 @@
 
 One frequency table, counted over all ids and scaled to a power of two, serves all files. A file is a run of blocks
 that are decoded on their own: LANES states take turns (id t belongs to lane t % LANES), so that numpy steps all lanes
-at once; within a block, checkpoints (states and word offset) let a reader start at a later row; every block ends
-with the CRC-32 of its ids. Documents lie in ascending doc_id order over all files, each ended by an end id; a
-file's directory has ids and lengths of its documents.
+at once. Checkpoints (states and word offset) cut a block into stretches, each with the CRC-32 of its ids; a reader
+starts at the checkpoint before the first document that it wants, stops at the one after its last, and checks every
+stretch that it decodes. Documents lie in ascending doc_id order over all files, each ended by an end id. Every UNIT
+blocks have a directory of their own with ids and lengths of the documents that begin there, so a reading task looks at the
+file's short list of blocks and at one directory only.
 
 Defined cases: a null text is empty and gives the end id alone; null doc_ids come first; equal doc_ids follow each
-other in the order of their ids' hash. Long documents span blocks. An empty table gives no file and no row.
+other in the order of their ids' hash. Very long documents span blocks. An empty table gives no file and no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import types as T
 
 from tideframe.llm import chunks, common
 
-MAGIC = b"TFANS1\0\0"
+MAGIC = b"TFANS2\0\0"
 LANES, ROWS, CHECK_ROWS = 1024, 512, 128  # of a block; rows between checkpoints
-BLOCK = LANES * ROWS
+BLOCK, STRETCH = LANES * ROWS, LANES * CHECK_ROWS
 BITS = 20  # the frequencies add up to 2 ** BITS
 LOW = np.uint64(1 << 31)
 UNIT = 6  # blocks that a reading task takes
@@ -86,7 +88,7 @@ class Table:
         return out
 
     def encode(self, ids: np.ndarray) -> bytes:
-        """A block: header, states, checkpoints, words, CRC-32 of the ids."""
+        """A block: header, states, checkpoints, the CRC-32 of each stretch's ids, words."""
         n = len(ids)
         rows = -(-n // LANES)
         freq, start = self.freq64[ids], self.start[ids]
@@ -110,27 +112,36 @@ class Table:
                 marks.append((r, n_words, state.astype("<u8").tobytes()))
         body = b"".join(w.tobytes() for w in reversed(words))
         checks = b"".join(struct.pack("<II", r, n_words - k) + x for r, k, x in reversed(marks))
-        return struct.pack("<III", n, n_words, len(marks)) + state.astype("<u8").tobytes() + checks + body + struct.pack("<I", zlib.crc32(ids.astype("<u4").tobytes()))
+        sums = b"".join(struct.pack("<I", zlib.crc32(ids[i : i + STRETCH].astype("<u4").tobytes())) for i in range(0, n, STRETCH))
+        return struct.pack("<III", n, n_words, len(marks)) + state.astype("<u8").tobytes() + checks + sums + body
 
-    def decode(self, block: bytes, first: int = 0) -> np.ndarray:
-        """The ids of a block from its checkpoint at or before id `first` on; the whole block is checked by its CRC-32."""
+    def decode(self, block: bytes, first: int = 0, end: int | None = None) -> tuple[int, np.ndarray]:
+        """The ids of a block in the stretches that hold ids first to end, and the number of the first of them.
+
+        Decoding starts at a checkpoint; each stretch is checked by its CRC-32, the block's end by its states.
+        """
         n, n_words, n_marks = struct.unpack_from("<III", block)
+        end = n if end is None else min(end, n)
+        begin = min(first // STRETCH, n_marks)
         at = 12
         state = np.frombuffer(block, "<u8", LANES, at).astype(np.uint64)
         at += 8 * LANES
-        row = word = 0
-        for k in range(n_marks):
-            r, w = struct.unpack_from("<II", block, at + k * (8 + 8 * LANES))
-            if r * LANES <= first:
-                row, word = r, w
-                state = np.frombuffer(block, "<u8", LANES, at + k * (8 + 8 * LANES) + 8).astype(np.uint64)
+        word = 0
+        if begin:
+            mark = at + (begin - 1) * (8 + 8 * LANES)
+            row, word = struct.unpack_from("<II", block, mark)
+            if row != begin * CHECK_ROWS:
+                raise ValueError("a checkpoint isn't where it should be")
+            state = np.frombuffer(block, "<u8", LANES, mark + 8).astype(np.uint64)
         at += n_marks * (8 + 8 * LANES)
-        words = np.frombuffer(block, "<u4", n_words, at)
-        (crc,) = struct.unpack_from("<I", block, at + 4 * n_words)
-        out = np.empty(n - row * LANES, np.uint32)
+        stretches = -(-n // STRETCH)
+        sums = np.frombuffer(block, "<u4", stretches, at)
+        words = np.frombuffer(block, "<u4", n_words, at + 4 * stretches)
+        stop = min(stretches, max(begin + 1, -(-end // STRETCH)))
+        base = begin * STRETCH
+        out = np.empty(min(n, stop * STRETCH) - base, np.uint32)
         mask, shift, half = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32)
-        base = row * LANES
-        for r in range(row, -(-n // LANES)):
+        for r in range(begin * CHECK_ROWS, -(-(base + len(out)) // LANES)):
             a, b = r * LANES, min(n, (r + 1) * LANES)
             x = state[: b - a]
             slot = x & mask
@@ -142,11 +153,12 @@ class Table:
                 x[low] = x[low] << half | words[word : word + len(low)]
                 word += len(low)
             state[: b - a] = x
-        if (state != LOW).any():
+        if stop == stretches and (state != LOW).any():
             raise ValueError("a block doesn't end in the state it began with")
-        if row == 0 and zlib.crc32(out.astype("<u4").tobytes()) != crc:
-            raise ValueError("a block doesn't match its checksum")
-        return out
+        for k in range(begin, stop):
+            if zlib.crc32(out[k * STRETCH - base : (k + 1) * STRETCH - base].astype("<u4").tobytes()) != sums[k]:
+                raise ValueError("a stretch doesn't match its checksum")
+        return base, out
 
 
 _ready: dict = {}
@@ -303,10 +315,17 @@ def write_files(tokens: DataFrame, counts: np.ndarray, folder: str) -> DataFrame
             return
         if n_held:
             put(np.concatenate(held))
-        directory = np.array(sizes, "<u4").tobytes() + np.array([x or 0 for x in docs], "<i8").tobytes() + np.packbits([x is None for x in docs]).tobytes()
-        directory = zlib.compress(directory, 1)
-        footer = json.dumps({"documents": len(docs), "directory": [offset, len(directory)], "blocks": blocks}).encode()
-        out.write(directory + footer + struct.pack("<I", len(footer)) + MAGIC)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        edges = np.searchsorted(starts[:-1], np.arange(0, len(blocks) + UNIT, UNIT) * BLOCK)  # of documents by the unit that they begin in
+        units = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = np.array(sizes[a:b], "<u4").tobytes() + np.array([x or 0 for x in docs[a:b]], "<i8").tobytes() + np.packbits([x is None for x in docs[a:b]]).tobytes()
+            data = zlib.compress(part, 1)
+            out.write(data)
+            units.append((offset, len(data), int(b - a), int(starts[a])))
+            offset += len(data)
+        footer = json.dumps({"documents": len(docs), "units": units, "blocks": blocks}).encode()
+        out.write(footer + struct.pack("<I", len(footer)) + MAGIC)
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (at.partitionId(), f"{folder}/{path}", tokens, len(docs), len(blocks))], names=MANIFEST.names)
 
@@ -319,51 +338,45 @@ def write_files(tokens: DataFrame, counts: np.ndarray, folder: str) -> DataFrame
 
 
 def read_files(manifest: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens and ids of every document, decoded from the files; each task takes UNIT blocks of a file.
+    """doc_id, start, n_tokens and ids of every document, decoded from the files; a task takes some units of UNIT blocks.
 
-    A task decodes the documents that begin in its blocks, and goes on into the next blocks for the last one's rest.
+    Of a unit, the documents that begin in its blocks are decoded, from the checkpoint before the first one on, and into
+    the next blocks as far as the last one goes.
     """
     spark = manifest.sparkSession
     shared = spark.sparkContext.broadcast(counts)
-    units = manifest.select("path", F.col("start").alias("before"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(UNIT))).alias("first"))
+    units = manifest.select("path", F.col("start").alias("before"), F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / UNIT).cast("long"))).alias("unit"))
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
         table = _table(shared.value)
-        for path, before, first in zip(*(common.values(batch, c) for c in ("path", "before", "first")), strict=True):
+        for path, before, unit in zip(*(common.values(batch, c) for c in ("path", "before", "unit")), strict=True):
             store, name = common.files(path)
             with store.open_input_file(name) as f:
                 end = f.size()
                 size = struct.unpack("<I", f.read_at(4, end - 12))[0]
                 footer = json.loads(f.read_at(size, end - 12 - size))
-                n, (place, length) = footer["documents"], footer["directory"]
+                place, length, n, start = footer["units"][unit]
                 directory = zlib.decompress(f.read_at(length, place))
-                sizes = np.frombuffer(directory, "<u4", n).astype(np.int64)
                 docs = np.frombuffer(directory, "<i8", n, 4 * n)
                 none = np.unpackbits(np.frombuffer(directory, np.uint8, -1, 12 * n))[:n]
-                starts = np.concatenate([[0], np.cumsum(sizes)])
-                edges = np.concatenate([[0], np.cumsum([b[2] for b in footer["blocks"]])])
-                stop = min(first + UNIT, len(footer["blocks"]))
-                chosen = range(int(np.searchsorted(starts[:n], edges[first])), int(np.searchsorted(starts[:n], edges[stop])))
-                pieces: list[np.ndarray] = []
-                held = done = 0
-                block = first
-                for i in chosen:
-                    a, b = int(starts[i]), int(starts[i + 1])
-                    if not pieces:
-                        done = int(edges[block])
+                ends = start + np.concatenate([[0], np.cumsum(np.frombuffer(directory, "<u4", n).astype(np.int64))])
+                flat, done, last = np.zeros(0, np.uint32), start, int(ends[-1])  # ids from number done on
+                for i in range(n):
+                    a, b = int(ends[i]), int(ends[i + 1])
+                    parts = [flat[a - done :]]
+                    done, held = a, len(parts[0])
                     while done + held < b:
-                        pieces.append(table.decode(f.read_at(footer["blocks"][block][1], footer["blocks"][block][0])))
-                        held += len(pieces[-1])
-                        block += 1
-                    flat = np.concatenate(pieces) if len(pieces) > 1 else pieces[0]
-                    yield None if none[i] else int(docs[i]), before + a, b - a, flat[a - done : b - done].astype("<u4").tobytes()
-                    if b - done > BLOCK:  # forget what lies behind
-                        flat, held, done = flat[b - done :], done + held - b, b
-                    pieces = [flat]
+                        block, skip = divmod(done + held, BLOCK)
+                        at, length, _ = footer["blocks"][block]
+                        base, ids = table.decode(f.read_at(length, at), skip, last - block * BLOCK)
+                        parts.append(ids[skip - base :])
+                        held += len(parts[-1])
+                    flat = np.concatenate(parts) if len(parts) > 1 else parts[0]
+                    yield None if none[i] else int(docs[i]), before + a, b - a, flat[: b - a].astype("<u4").tobytes()
 
     common.ship(spark)
-    n = max(1, units.count())  # a task for each unit: a number of its own, as Spark merges small partitions otherwise
-    return units.repartition(n, F.col("path"), F.col("first")).mapInArrow(common.arrow_rows(READ, run), READ)
+    n = common.tasks(spark, units.count())  # a number of its own, as Spark merges small partitions otherwise
+    return units.repartition(n, F.col("path"), F.col("unit")).mapInArrow(common.arrow_rows(READ, run), READ)
 
 
 def write_documents(documents: DataFrame, vocabulary: str, end_id: int, folder: str | None = None) -> tuple[DataFrame, np.ndarray]:
