@@ -49,6 +49,18 @@ def test_members_and_index(spark, monkeypatch):
     assert len(list((h, b"".join(c)) for h, c in warc.records_of(iter([whole])))) == len(lines)
 
 
+def test_archives_roll_over_and_ranges_know_their_lines(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 2)
+    folder = common.shared_dir(spark)
+    archives = warc.write_monolithic(warc.with_revisits(pages(spark).coalesce(1)), f"{folder}/crawl", most=600)
+    assert archives.count() > 2 and archives.agg({"records": "sum"}).first()[0] == len(ROWS)
+    ranges = warc.normalise(archives, f"{folder}/normal")
+    for r in ranges.collect():
+        store, path = common.files(r["index"])
+        assert len(store.open_input_file(path).read_at(r["bytes"], r["at"]).splitlines()) == r.records <= 2
+    assert warc.read_records(ranges).count() == len(ROWS)
+
+
 def test_small_payloads_can_be_exempt_and_empty_tables(spark):
     kinds = {r.page_id: r.refers_to for r in warc.with_revisits(pages(spark), min_bytes=5).collect()}
     assert kinds[4] is None and kinds[1] == 2

@@ -8,7 +8,7 @@ so that one archive can be read by many tasks.
 Defined cases: a null html is an empty payload; a null url is an empty target; control characters in a url are
 percent-encoded in the header. Rows with a null page_id have equal standing among equal payloads only if no row
 of the payload has an id, else they revisit it. Rows that repeat the largest page_id of a payload are all
-responses. An empty table gives no archive and no row. Columns other than page_id, url and html are left alone.
+responses. Very long payloads are written, inflated and checked whole. An empty table gives no archive and no row. Columns other than page_id, url and html are left alone.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from tideframe.llm import common
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
-RANGE = 256  # records that one reading task takes at a time
+RANGE = 256  # records that are read at a time
+ARCHIVE_BYTES = 1 << 30  # of records, after which a new archive begins
 
 ARCHIVES = T.StructType([T.StructField("archive", T.StringType()), T.StructField("records", T.LongType())])
 RANGES = T.StructType(
@@ -39,6 +40,8 @@ RANGES = T.StructType(
         T.StructField("index", T.StringType()),
         T.StructField("first", T.LongType()),
         T.StructField("records", T.LongType()),
+        T.StructField("at", T.LongType()),
+        T.StructField("bytes", T.LongType()),
     ]
 )
 RECORDS = T.StructType(
@@ -100,29 +103,39 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
     return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_monolithic(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 4) -> DataFrame:
-    """One archive for each partition of with_revisits(), the whole file one gzip stream; gives the archives' table.
+def write_monolithic(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 4, most: int = ARCHIVE_BYTES) -> DataFrame:
+    """Archives of with_revisits(), each one gzip stream as a whole; gives the archives' table.
 
-    A file's name holds the task attempt, and only the written table says which files count: a retried or
-    speculative task leaves a file that nobody reads.
+    A partition goes into one archive, or into more of about `most` bytes of records each. A file's name holds the task
+    attempt, and only the written table says which files count: a retried or speculative task leaves a file
+    that nobody reads.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get()
         store, top = common.files(folder)
         store.create_dir(top, recursive=True)
-        name, out, deflate, n = f"mono-{at.partitionId():06d}-{at.taskAttemptId()}.warc.gz", None, None, 0
+        name, out, deflate, n, size, number = "", None, None, 0, 0, 0
+
+        def end() -> pa.RecordBatch:
+            out.write(deflate.flush())
+            out.close()
+            return pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": [n]})
+
         for batch in batches:
             ids, urls, digests, refers = (common.values(batch, c) for c in ("page_id", "url", "digest", "refers_to"))
             for page_id, url, digest, refer, payload in zip(ids, urls, digests, refers, common.utf8(batch, "html"), strict=True):
                 if out is None:
+                    name = f"mono-{at.partitionId():06d}-{number:04d}-{at.taskAttemptId()}.warc.gz"
                     out, deflate = store.open_output_stream(f"{top}/{name}", compression=None), zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.write(deflate.compress(record(page_id, url, payload, digest, refer, date)))
-                n += 1
+                data = record(page_id, url, payload, digest, refer, date)
+                out.write(deflate.compress(data))
+                n, size = n + 1, size + len(data)
+                if size >= most:
+                    yield end()
+                    out, n, size, number = None, 0, 0, number + 1
         if out is not None:
-            out.write(deflate.flush())
-            out.close()
-            yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": [n]})
+            yield end()
 
     common.ship(pages.sparkSession)
     return common.written(pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, ARCHIVES))
@@ -189,7 +202,8 @@ def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
     """Rewrite each monolithic archive with a member for each record and a sidecar index; gives ranges of records to read.
 
     Each stream is inflated once. Memory: a piece of input and of output, whatever the record's size.
-    The sidecar has one JSON line for each record: offset and length of its member, id, type, target, digest.
+    The sidecar has one JSON line for each record: offset and length of its member, id, type, target, digest. A
+    range says where its lines lie in the sidecar, so that a reader looks at no others.
     """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +214,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
             for archive in common.values(batch, "archive"):
                 name = f"{archive.rsplit('/', 1)[1].removesuffix('.warc.gz').replace('mono', 'norm')}-{attempt}"
                 source, path = common.files(archive)
-                offset, n = 0, 0
+                offset, n, starts, line = 0, 0, [], 0
                 with source.open_input_stream(path, compression=None) as stream, store.open_output_stream(f"{top}/{name}.warc.gz", compression=None) as out, store.open_output_stream(f"{top}/{name}.idx") as index:
                     for head, content in records_of(inflated(stream)):
                         deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -214,20 +228,25 @@ def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
                         offset += len(done)
                         field = header(head)
                         entry = {"offset": start, "length": offset - start, "id": field.get("warc-record-id"), "type": field.get("warc-type"), "uri": field.get("warc-target-uri"), "digest": field.get("warc-payload-digest")}
-                        index.write(json.dumps(entry).encode() + b"\n")
+                        if n % RANGE == 0:
+                            starts.append(line)
+                        data = json.dumps(entry).encode() + b"\n"
+                        index.write(data)
+                        line += len(data)
                         n += 1
-                starts = range(0, n, RANGE)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "archive": [f"{folder}/{name}.warc.gz"] * len(starts),
                         "index": [f"{folder}/{name}.idx"] * len(starts),
-                        "first": list(starts),
-                        "records": [min(RANGE, n - x) for x in starts],
+                        "first": list(range(0, n, RANGE)),
+                        "records": [min(RANGE, n - x) for x in range(0, n, RANGE)],
+                        "at": starts,
+                        "bytes": [b - a for a, b in zip(starts, [*starts[1:], line], strict=True)],
                     }
                 )
 
     common.ship(archives.sparkSession)
-    n = max(1, archives.count())  # a task for each archive: a number of its own, as Spark merges small partitions otherwise
+    n = common.tasks(archives.sparkSession, archives.count())  # a number of its own, as Spark merges small partitions otherwise
     return common.written(archives.repartition(n, "archive").mapInArrow(rewrite, RANGES))
 
 
@@ -248,11 +267,10 @@ def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of normalised archives, each inflated alone from the offset in its index line, its digest checked."""
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for archive, index, first, n in zip(*(common.values(batch, c) for c in ("archive", "index", "first", "records")), strict=True):
+        for archive, index, at, length in zip(*(common.values(batch, c) for c in ("archive", "index", "at", "bytes")), strict=True):
             store, path = common.files(index)
-            with store.open_input_stream(path) as stream:
-                lines = stream.read().split(b"\n")[first : first + n]
-            entries = [json.loads(x) for x in lines]
+            with store.open_input_file(path) as stream:
+                entries = [json.loads(x) for x in stream.read_at(length, at).splitlines()]
             store, path = common.files(archive)
             with store.open_input_file(path) as stream:
                 for entry in entries:
@@ -266,7 +284,7 @@ def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
                     yield (_id(field["warc-record-id"]), kind, refers, field.get("warc-target-uri", ""), length, digest, payload if payloads and kind == "response" else None, archive, entry["offset"], entry["length"])
 
     common.ship(ranges.sparkSession)
-    n = max(1, ranges.count() // 4)
+    n = common.tasks(ranges.sparkSession, ranges.count() // 4)
     return ranges.repartition(n, "archive", "first").mapInArrow(common.arrow_rows(RECORDS, read), RECORDS)
 
 
