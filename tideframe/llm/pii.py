@@ -8,7 +8,7 @@ different contexts (the words around the entity and around the term: what always
 evidence). Terms above `remove` go, those above `generalise` are replaced by their shape, wherever they stand in a text
 that holds the entity, however far from it.
 
-Defined cases: a null text is empty and has no spans; texts are searched whole. Repeated rows get equal spans, extra
+Defined cases: a null text is empty and has no spans; texts are searched whole, in one pass however long they are. Repeated rows get equal spans, extra
 columns stay untouched, an empty table gives an empty result. With no term above the thresholds the base spans stand.
 """
 
@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -111,9 +112,16 @@ def terms_of(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str
 
 
 def around(text: str, start: int, end: int) -> str:
-    """The NEAR words on either side of a place; of very long words, the part next to it."""
-    before = _WORD.findall(text, max(0, start - 60 * NEAR), start)[-NEAR:]
-    return "\n".join([*before, "", *_WORD.findall(text, end, end + 60 * NEAR)[:NEAR]])
+    """The NEAR whole words on either side of a place, however long they are."""
+    before: list[str] = []
+    size = 64
+    while start > 0:
+        before = _WORD.findall(text, max(0, start - size), start)
+        if len(before) > NEAR or size >= start:  # of more than NEAR, the last ones are whole
+            break
+        size *= 4
+    after = [m[0] for m in islice(_WORD.finditer(text, end), NEAR)]
+    return "\n".join([*before[-NEAR:], "", *after])
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -133,7 +141,7 @@ def find(documents: DataFrame) -> DataFrame:
 def with_copies(documents: DataFrame, found: DataFrame) -> DataFrame:
     """text_key, text and copies, the number of rows with that text."""
     copied = common.written(found.groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1"))
-    copied = F.broadcast(copied) if common.small_enough(copied, TERM_ROWS) else copied
+    copied = common.sent(copied, TERM_ROWS)
     docs = documents.select(F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     return docs.join(copied, "text_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
 
@@ -164,7 +172,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def beside(docs: DataFrame, side: DataFrame) -> DataFrame:
     """docs with the columns of a written side that has a row for some of the text keys."""
-    return docs.join(F.broadcast(side) if common.small_enough(side, TERM_ROWS) else side, "text_key")
+    return docs.join(common.sent(side, TERM_ROWS), "text_key")
 
 
 def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
@@ -201,7 +209,7 @@ def disclosing(documents: DataFrame, found: DataFrame, support: int = 3, general
     holders = common.written(held.join(entities, "entity").groupBy("text_key").agg(F.collect_list("entity").alias("entities")))
     docs = with_copies(documents, found)
     pairs = common.written(pair_counts(docs, holders).where(F.col("both") >= support))
-    terms = document_counts(docs, pairs.select("term").distinct())
+    terms = document_counts(docs, common.written(pairs.select("term").distinct()))
     n = found.select("text_key").distinct().count()
     joined = pairs.join(entities, "entity").join(terms, "term")
     given = F.least(F.lit(1.0), F.col("both") / F.greatest("n", "both"))
@@ -286,7 +294,7 @@ def sanitise(documents: DataFrame, support: int = 3, generalise: float = 0.8, re
     spans = with_spans(documents, support, generalise, remove)
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat("base", "more").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id", "_key"])
     spans = common.written(spans)
-    side = F.broadcast(spans) if common.small_enough(spans, TERM_ROWS) else spans
+    side = common.sent(spans, TERM_ROWS)
     columns = documents.columns
     keyed = documents.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
     joined = keyed.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left").select(*columns, "_spans")
