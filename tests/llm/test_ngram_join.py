@@ -86,6 +86,7 @@ def crowds(seed):
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (3, 80)])
 def test_crowds(spark, width, percent, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK_SETS", 20)
+    monkeypatch.setattr(nj, "SKETCHED_SETS", 40)
     rows = crowds(width)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     first, _ = nj.distinct_sets(nj.sets_of(frame, width, percent))
@@ -94,37 +95,42 @@ def test_crowds(spark, width, percent, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, width, percent)
 
 
-def test_stars_left_open(spark):
-    """What stars leave in different components is found by the blocks alone, the largest component in several of them."""
+@pytest.mark.parametrize("block", [3, 4096])
+def test_stars_left_open(spark, monkeypatch, block):
+    """Where only stars say what may hang together, blocks find every link but those within a component."""
+    monkeypatch.setattr(nj, "BLOCK_SETS", block)
+    monkeypatch.setattr(nj, "SKETCHED_SETS", 2 * block)
     rows = crowds(8)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     first, _ = nj.distinct_sets(nj.sets_of(frame, 3, 80))
-    sizes = first.select("sid", "doc_id", "text_key", nj.F.col("n_shingles").alias("n"), "sketch")
+    sizes = nj.common.written(first.select("sid", "doc_id", "text_key", nj.F.col("n_shingles").alias("n"), "sketch"))
     hub = first.agg(nj.F.min("sid")).first()[0]
     stars = first.select(nj.F.col("sid").alias("a"), nj.F.lit(hub).alias("b")).where("a <> b")
     of = {r.sid: r.doc_id for r in first.collect()}
-    full = {d: c for d, _, c in brute(rows, 3, 80)}
-    for n in (3, 1024):
-        nj.BLOCK_SETS, before = n, nj.BLOCK_SETS
-        try:
-            for part in (1, 2):
-                chain = sorted((c, s) for s, d in of.items() if (c := full[d]) == max(set(full.values()), key=list(full.values()).count))
-                half = spark.createDataFrame([(s, min(x for _, x in chain)) for _, s in chain[: len(chain) // part]], "node long, component long")
-                found = nj.stars_left(frame, sizes, stars, half, 3, 80).collect()
-                label = {s: s for s in of}
-                label |= {r.node: r.component for r in half.collect()}
-                for e in found:
-                    x, y = label[e.a], label[e.b]
-                    label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
-                groups = {}
-                for s, c in label.items():
-                    groups.setdefault(c, set()).add(of[s])
-                want = {}
-                for d, c in full.items():
-                    want.setdefault(c, set()).add(d)
-                assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())), part
-        finally:
-            nj.BLOCK_SETS = before
+    sets = {s: shingles(dict(rows)[d], 3) for s, d in of.items()}
+    links = {(a, b) for a in of for b in of if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    many = sorted(of, key=lambda s: -sum(s in x for x in links))[:40]
+    known = {s: min(many) for s in many}
+    component = spark.createDataFrame(list(known.items()), "node long, component long")
+    found = nj.stars_left(frame, sizes, stars, component, 3, 80).collect()
+    def groups(edges):
+        label = {s: known.get(s, s) for s in of}
+        for a, b in edges:
+            x, y = label[a], label[b]
+            label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+        return label
+
+    assert groups((e.a, e.b) for e in found) == groups(links)
+
+
+def test_sketches_never_overstate():
+    r = np.random.default_rng(5)
+    for n in (10, 300, 700, 3000, 9000):
+        for keep in (0.0, 0.5, 0.9):
+            a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: int(len(a) * keep)], r.integers(0, 2**64, int(n * r.uniform(0.1, 1.2)), dtype=np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            assert abs(len(a) - len(b)) <= nj.sketches_apart(nj.sketch(a), nj.sketch(b)) <= apart
 
 
 def test_partial_counts_add_up(spark):

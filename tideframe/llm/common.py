@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import shutil
@@ -69,6 +71,23 @@ def files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def release() -> None:
+    """Give free memory back to the system: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: function, and release() after its last batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return run
+
+
 def arrow_rows(schema: T.StructType, function: Callable[[pa.RecordBatch], Iterable[tuple]], rows: int = 2000, weight: int = 32 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: function gives tuples for a batch; they go out in batches of bounded rows and bytes."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -92,7 +111,7 @@ def arrow_rows(schema: T.StructType, function: Callable[[pa.RecordBatch], Iterab
             if part:
                 yield pack(part)
 
-    return run
+    return released(run)
 
 
 def utf8(batch: pa.RecordBatch, name: str, step: int = 256) -> Iterator[bytes]:

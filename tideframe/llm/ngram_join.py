@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,13 +46,14 @@ SPREAD, NARROW = 1.4, 1.12  # largest over smallest size of a band
 SOLID, LONG = 5, 384  # n-grams that a signature should hold, of sets of less than LONG
 MOST_SLACK = 16
 TIMES = 56  # bits of a set's number
-CELL = 64  # of a sketch
+CELLS_LEAST, CELL_GRAMS = 64, 4  # cells of a sketch, and the n-grams that a cell holds at least in larger ones
 FEW, LOCAL = 24, 12  # sets of a signature up to which its pairs are looked at, in all and in one part of the input
 HELD = 4096  # rows of one signature that a task holds
-PART = 2000  # sets whose signatures are looked through together before they go out
+PART = 1000  # sets whose signatures are looked through together before they go out
 FRAGMENTS = 8  # of the counting
-BLOCK_SETS, BLOCK_GRAMS = 1024, 4 << 20  # bounds of a block of sets that stars leave open
-CELLS = 4 << 20  # of the array that counts one fragment's overlaps
+SKETCHED_SETS, SKETCHED_BYTES = 2048, 4 << 20  # bounds of a block of sketches of sets that stars leave open
+BLOCK_SETS, BLOCK_GRAMS = 1024, 4 << 20  # bounds of a block of such sets
+CELLS = 4 << 20  # of the array that counts one fragment's overlaps there
 LIGHT, FRAGMENT = 24, 1 << 18  # sets up to which an n-gram's pairs are counted one by one, and n-grams of a fragment then
 HASHED_ROWS = 1_000_000  # rows of ids up to which a side is sent to all tasks
 
@@ -85,7 +86,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Hashes of words, kept while there is room."""
 
-    LIMIT = 80_000
+    LIMIT = 60_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -191,8 +192,22 @@ def slacks(percent: int) -> list[tuple[int, int]]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many n-grams fall into each of CELL cells, at most 255. Two sets differ in at least as many n-grams as their sketches in counts."""
-    return np.minimum(np.bincount((s >> _U(20)).astype(np.int64) % CELL, minlength=CELL), 255).astype(np.uint8).tobytes()
+    """How many n-grams fall into each cell, at most 255. Two sets differ in at least as many n-grams as their sketches in counts.
+
+    The number of cells is a power of two that grows with the set, as few cells would be alike in all large sets; cells of a
+    finer sketch add up to those of a coarser one.
+    """
+    cells = max(CELLS_LEAST, 1 << max(0, (len(s) // CELL_GRAMS).bit_length() - 1))
+    return np.minimum(np.bincount(((s >> _U(20)) & _U(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def sketches_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the n-grams in which two sets differ. Coarser cells are summed from finer ones; full ones count as full."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    n = min(len(a), len(b))
+    a, b = a.reshape(-1, n), b.reshape(-1, n)
+    full = (a == 255).any(0) | (b == 255).any(0)
+    return int(np.abs(a.sum(0) - b.sum(0))[~full].sum())
 
 
 def sets_of(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -236,7 +251,7 @@ def sets_of(documents: DataFrame, width: int, percent: int) -> DataFrame:
 
     common.ship(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    return common.written(docs.mapInArrow(run, SETS))
+    return common.written(docs.mapInArrow(common.released(run), SETS))
 
 
 def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -304,8 +319,8 @@ def candidate_pairs(first: DataFrame) -> DataFrame:
             yield batch
 
     n = max(1, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = first.select("sid", "signatures").mapInArrow(emit, SIGNATURES)
-    return rows.repartition(n, "signature").sortWithinPartitions("signature").mapInArrow(link, PAIRS)
+    rows = first.select("sid", "signatures").mapInArrow(common.released(emit), SIGNATURES)
+    return rows.repartition(n, "signature").sortWithinPartitions("signature").mapInArrow(common.released(link), PAIRS)
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -347,36 +362,43 @@ def _pairs(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
 
 
 def close_pairs(pairs: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b, need, far), nearest by sketch if far is least, that sizes and sketches don't rule out, and the star edges (a, b) that count.
+    """Candidates (a, b, need, far), nearest by sketch if far is least, that nothing rules out, and the star edges (a, b) that count.
 
     sizes: sid, n, sketch. need is the overlap of a link. Linked sets have more equal signatures than their
-    slack; a set with no more than that which are common to very many sets shares a rarer one with each set that it
-    is linked with, and so needs no star. What stands for others in a part of the input keeps its edge.
+    slack, so a pair needs as many, counted over all signatures, those of stars being taken as equal. A set with no more than
+    that in stars has a rarer signature in common with each set that it is linked with, and so needs no star. What
+    stands for others in a part of the input keeps its edge. Then sizes and sketches rule pairs out.
     """
     kinds = common.written(pairs.groupBy("a", "b", "kind").agg(F.sum("times").alias("times")))
     hot = kinds.where("kind > 0").groupBy(F.col("a").alias("sid")).agg(F.sum("times").alias("hot"), F.max(F.col("kind") == 2).alias("stands"))
-    limit = F.lit(0)
-    for low, slack in slacks(percent):
-        limit = F.when(F.col("n") >= low, F.lit(slack)).otherwise(limit)
-    needed = common.written(hot.join(sizes.select("sid", "n"), "sid").where(F.col("stands") | (F.col("hot") > limit)).select("sid"))
+    slack = F.lit(0)
+    for low, most in slacks(percent):
+        slack = F.when(F.col("n") >= low, F.lit(most)).otherwise(slack)
+    known = sizes.select("sid", "n").join(hot, "sid", "left").select("sid", "n", slack.alias("slack"), F.coalesce("hot", F.lit(0)).alias("hot"), F.coalesce("stands", F.lit(False)).alias("stands"))
+    known = common.written(known)
+    needed = common.written(known.where("stands OR hot > slack").select("sid"))
     stars = kinds.where("kind > 0 AND a <> b").select("a", "b").distinct().join(common.sent(needed, HASHED_ROWS), F.col("a") == F.col("sid"), "left_semi")
     stars = common.written(stars)
-    asked = kinds.where("kind = 0").select("a", "b").union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    side = lambda x: sizes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    asked = asked.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    asked = kinds.where("kind = 0").select("a", "b", "times").union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).cast("long")))
+    asked = asked.groupBy("a", "b").agg(F.sum("times").alias("times"))
+    small = common.small_enough(known, HASHED_ROWS)
+    for x in ("a", "b"):
+        side = known.select(F.col("sid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "slack", "hot")))
+        asked = asked.join(F.broadcast(side) if small else side, x)
+    asked = asked.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND times + least(hot_a, hot_b) > least(slack_a, slack_b)")
+    for x in ("a", "b"):
+        asked = asked.join(sizes.select(F.col("sid").alias(x), F.col("sketch").alias(f"s_{x}")), x)
+    asked = asked.select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_numpy(zero_copy_only=False)), np.uint8).reshape(-1, CELL).astype(np.int16) for c in ("s_a", "s_b"))
             n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            far = np.abs(x - y).sum(1).astype(np.int64)
+            far = np.array([sketches_apart(x, y) for x, y in zip(common.values(batch, "s_a"), common.values(batch, "s_b"), strict=True)], np.int64)
             keep = pa.array((100 + percent) * far <= (100 - percent) * n)
             need = -(-percent * n // (100 + percent))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in ("a", "b")), pa.array(need).filter(keep), pa.array(1000 * far // n).filter(keep)], names=CLOSE.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in ("a", "b")), pa.array(need).filter(keep), pa.array(1000 * far // np.maximum(n, 1)).filter(keep)], names=CLOSE.names)
 
-    return common.written(asked.mapInArrow(close, CLOSE)), stars
+    return common.written(asked.mapInArrow(common.released(close), CLOSE)), stars
 
 
 def segments_of(documents: DataFrame, chosen: DataFrame, width: int, fragments: int) -> DataFrame:
@@ -395,7 +417,7 @@ def segments_of(documents: DataFrame, chosen: DataFrame, width: int, fragments:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=SEGMENTS.names)
 
-    return common.written(_texts_of(documents, chosen).mapInArrow(run, SEGMENTS))
+    return common.written(_texts_of(documents, chosen).mapInArrow(common.released(run), SEGMENTS))
 
 
 def _texts_of(documents: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -421,6 +443,50 @@ def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return common.written(parts.groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("need").alias("need")).where("both >= need").select("a", "b"))
 
 
+def close_in_block(own: np.ndarray, ids: np.ndarray, n: np.ndarray, of: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """The sets of a block, or of two blocks, that have a partner in another component there which sizes and sketches don't rule out."""
+    order = np.argsort(n, kind="stable")
+    own, ids, n, of, sketches = own[order], ids[order], n[order], of[order], [sketches[i] for i in order.tolist()]
+    cells = min(map(len, sketches))
+    flat = np.stack([np.frombuffer(x, np.uint8).reshape(-1, cells).sum(0, dtype=np.int64) for x in sketches])
+    full = np.array([255 in x for x in sketches]) | (flat.max(1) > 32_000)  # of these, sketches say nothing
+    flat = np.minimum(flat, 32_000).astype(np.uint8 if flat.max() < 256 else np.uint16)
+    both, near = own.min() != own.max(), np.zeros(len(ids), bool)
+    for i in range(len(ids) - 1):
+        j = i + 1 + np.flatnonzero((of[i + 1 : (stop := int(np.searchsorted(n, 100 * n[i] // percent, side="right")))] != of[i]) & ((own[i + 1 : stop] != own[i]) | (not both)))
+        if not len(j):
+            continue
+        apart = (np.maximum(flat[j], flat[i]) - np.minimum(flat[j], flat[i])).sum(1, dtype=np.int64)
+        apart[full[j] | full[i]] = 0
+        j = j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]
+        near[j] = True
+        near[i] |= len(j) > 0
+    return ids[near]
+
+
+def _close_blocks(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                own, ids, n, of, sketches = zip(*rows, strict=True)
+                found = close_in_block(*(np.array(x, np.int64) for x in (own, ids, n, of)), list(sketches), percent)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found)], names=["sid"])
+
+        for batch in batches:
+            columns = [common.values(batch, c) for c in ("cluster", "p", "q", "own", "sid", "n", "component", "sketch")]
+            for cluster, p, q, *row in zip(*columns, strict=True):
+                if (cluster, p, q) != key:
+                    yield from done()
+                    key, rows = (cluster, p, q), []
+                rows.append(row)
+        yield from done()
+
+    return run
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections: the block's n-grams in order, cut into fragments; each fragment's partial counts are added for each pair.
 
@@ -505,42 +571,66 @@ def with_component(df: DataFrame, component: DataFrame, node: str, name: str) ->
     return df.join(side, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", node)).drop("_node", "_component")
 
 
-def stars_left(documents: DataFrame, sizes: DataFrame, stars: DataFrame, component: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links between sets of stars that the links so far leave in different components; None where there are no such sets.
+def in_blocks(members: DataFrame, weight: Column, sets: int, most: int, percent: int) -> DataFrame:
+    """members (cluster, component, sid, n, ...) once for each pair (p, q) of blocks of their cluster that they belong to, with own, their block.
 
-    What hangs together by star edges is a cluster. Its largest component needs no comparison within itself, so
-    it only meets the rest. Sets whose sizes are further apart than the threshold can't link: a large cluster's blocks go
-    by size, and a block meets those of its own and the neighbouring size only.
+    A block has about `sets` sets and `most` of weight. A cluster's largest component needs no comparison within itself, so
+    its blocks only meet the rest's. Sets whose sizes are further apart than the threshold can't link: a large cluster's
+    blocks go by size, and a block meets those of its own and the neighbouring size only.
     """
-    ends = with_component(with_component(stars, component, "a", "ca"), component, "b", "cb")
-    cross = common.written(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    if cross.isEmpty():
-        return None
-    cluster = common.written(components(cross)).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    nodes = stars.select(F.col("a").alias("sid")).union(stars.select(F.col("b").alias("sid"))).distinct()
-    members = with_component(nodes, component, "sid", "component").join(cluster, "component").join(sizes.drop("sketch"), "sid")
-    members = common.written(members)
-    blocks = lambda when=F.lit(True): F.greatest(F.ceil(F.count_if(when) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)) / BLOCK_GRAMS)).cast("long")
-    counted = members.groupBy("cluster", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
-    shape = counted.groupBy("cluster").agg(F.max_by("component", F.struct("sets", "component")).alias("main"), F.greatest(F.ceil(F.sum("sets") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("whole"))
+    members = members.withColumn("weight", weight.cast("long"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / sets), F.ceil(size / most)).cast("long")
+    counted = members.groupBy("cluster", "component").agg(F.count("*").alias("sets"), F.sum("weight").alias("size"))
+    shape = counted.groupBy("cluster").agg(F.max_by("component", F.struct("sets", "component")).alias("largest"), blocks(F.sum("sets"), F.sum("size")).alias("whole"))
     shape = common.written(shape)
     size = F.floor(F.log("n") / -math.log(percent / 100)) if percent < 100 else F.col("n")
     members = members.join(shape, "cluster").withColumn("bin", F.when(F.col("whole") == 1, F.lit(0)).otherwise(size).cast("long"))
-    members = members.withColumn("main", ((F.col("component") == F.col("main")) & (F.col("whole") > 1)).cast("long"))
-    members = common.written(members)
-    parts = members.groupBy("cluster", "bin").agg(blocks(F.col("main") == 0).alias("rest"), blocks(F.col("main") == 1).alias("of_main"))
+    members = common.written(members.withColumn("main", ((F.col("component") == F.col("largest")) & (F.col("whole") > 1)).cast("long")).drop("largest", "whole"))
+    of = lambda main: blocks(F.count_if(F.col("main") == main), F.coalesce(F.sum(F.when(F.col("main") == main, F.col("weight"))), F.lit(0)))
+    parts = members.groupBy("cluster", "bin").agg(of(0).alias("rest"), of(1).alias("of_main"))
     order = Window.partitionBy("cluster").orderBy("bin")  # a row for each size
     beside = lambda f, at, c: F.when(f("bin").over(order) == F.col("bin") + at, f(c).over(order)).otherwise(0).cast("long")
     near = [beside(f, at, c).alias(f"{c}_{name}") for c in ("rest", "of_main") for f, at, name in ((F.lead, 1, "above"), (F.lag, -1, "below"))]
     parts = common.written(parts.select("cluster", "bin", "rest", "of_main", *near))
-    members = members.join(parts, ["cluster", "bin"])
     number = lambda bin_, main, k: (bin_ * 2 + main) * (1 << 32) + k
     block = lambda bin_, main, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long"))), lambda k: number(bin_, main, k))).otherwise(F.array().cast("array<bigint>"))
     meets = lambda c, main: [block(F.col("bin") + at, main, F.col(c + x)) for at, x in ((0, ""), (1, "_above"), (-1, "_below"))]
     others = F.when(F.col("main") == 1, F.concat(*meets("rest", 0))).otherwise(F.concat(*meets("rest", 0), *meets("of_main", 1)))
     own = number(F.col("bin"), F.col("main"), F.pmod(F.xxhash64("sid"), F.when(F.col("main") == 1, F.col("of_main")).otherwise(F.col("rest"))))
-    met = members.select("cluster", "component", "sid", own.alias("own"), others.alias("others"), "doc_id", "text_key").where(F.size("others") > 0)
-    met = common.written(met)
+    keep = [c for c in members.columns if c not in ("weight", "bin", "main")]
+    found = members.join(parts, ["cluster", "bin"]).select(*keep, own.alias("own"), others.alias("others"))
+    return found.where(F.size("others") > 0)
+
+
+def _dealt(found: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of in_blocks() for each of their pairs of blocks, one pair after the other in one partition."""
+    n = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = found.withColumn("other", F.explode("others"))
+    found = found.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), *columns)
+    return found.repartition(n, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "sid")
+
+
+def stars_left(documents: DataFrame, sizes: DataFrame, stars: DataFrame, component: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links between sets of stars that the links so far leave in different components; None without such sets.
+
+    What hangs together by star edges is a cluster. Its sets' sketches meet in blocks, which tell the sets that could have
+    a link at all. The n-grams of these meet in blocks as well; a task counts a block's overlaps fragment by
+    fragment, and only a spanning forest of the links leaves it.
+    """
+    ends = with_component(with_component(stars, component, "a", "ca"), component, "b", "cb")
+    cross = common.written(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if cross.isEmpty():
+        return None
+    cluster = common.written(components(cross)).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    nodes = stars.select(F.col("a").alias("sid")).union(stars.select(F.col("b").alias("sid"))).distinct()
+    members = common.written(with_component(nodes, component, "sid", "component").join(cluster, "component").join(sizes, "sid"))
+    sketched = in_blocks(members.select("cluster", "component", "sid", "n", "sketch"), F.octet_length("sketch"), SKETCHED_SETS, SKETCHED_BYTES, percent)
+    near = _dealt(sketched, ["own", "sid", "n", "component", "sketch"]).mapInArrow(common.released(_close_blocks(percent)), "sid long").distinct()
+    near = common.written(near)
+    if near.isEmpty():
+        return None
+    chosen = members.drop("sketch").join(common.sent(near, HASHED_ROWS), "sid", "left_semi")
+    met = common.written(in_blocks(chosen, F.col("n"), BLOCK_SETS, BLOCK_GRAMS, percent))
     keep = ["cluster", "component", "sid", "own", "others"]
     schema = T.StructType([*(met.schema[c] for c in keep), T.StructField("grams", T.BinaryType())])
 
@@ -548,32 +638,41 @@ def stars_left(documents: DataFrame, sizes: DataFrame, stars: DataFrame, compone
         for *row, text in zip(*(common.values(batch, x) for x in keep), common.utf8(batch, "text"), strict=True):
             yield (*row, grams(text, width).tobytes())
 
-    found = _texts_of(documents, met).select(*keep, "text").mapInArrow(common.arrow_rows(schema, run), schema).withColumn("other", F.explode("others"))
-    found = found.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "sid", "grams")
-    n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = found.repartition(n, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "sid")
-    return common.written(found.mapInArrow(_blocks(percent), EDGES))
+    found = _texts_of(documents, met).select(*keep, "text").mapInArrow(common.arrow_rows(schema, run), schema)
+    return common.written(_dealt(found, ["component", "sid", "grams"]).mapInArrow(common.released(_blocks(percent)), EDGES))
 
 
 def set_links(documents: DataFrame, first: DataFrame, width: int, percent: int, fragments: int = FRAGMENTS) -> DataFrame:
     """Edges (a, b) between sids that connect exactly what the links between sets connect."""
     sizes = common.written(first.select("sid", "doc_id", "text_key", F.col("n_shingles").alias("n"), "sketch"))
     near, stars = close_pairs(candidate_pairs(first), sizes, percent)
-    nodes = near.select(F.col("a").alias("sid")).union(near.select(F.col("b").alias("sid"))).distinct()
-    segments = segments_of(documents, common.written(sizes.select("sid", "doc_id", "text_key").join(nodes, "sid")), width, fragments)
-    # Each set's nearest candidate first: what these links connect needs no further count.
+    edges = nearest_first(near, candidate_segments(documents, sizes, near, width, fragments))
+    if stars.isEmpty():
+        return edges
+    edges = common.written(edges)
+    component = common.written(components(edges))
+    left = stars_left(documents, sizes, stars, component, width, percent)
+    return edges if left is None else edges.union(left)
+
+
+def candidate_segments(documents: DataFrame, sizes: DataFrame, pairs: DataFrame, width: int, fragments: int) -> DataFrame:
+    nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    return segments_of(documents, common.written(sizes.select("sid", "doc_id", "text_key").join(nodes, "sid")), width, fragments)
+
+
+def nearest_first(near: DataFrame, segments: DataFrame) -> DataFrame:
+    """Edges (a, b) of candidates (a, b, need, far) that connect what the links among these connect.
+
+    Each set's nearest candidate is counted first: what these links connect needs no further count.
+    """
     ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far", "need").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "far", "need"))
     nearest = ends.groupBy("x").agg(F.min(F.struct("far", "y", "need")).alias("to"))
     nearest = common.written(nearest.select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b"), "to.need").distinct())
     edges = linked(nearest, segments)
-    component = common.written(components(edges))
+    now = common.written(components(edges))
     rest = near.join(nearest.select("a", "b"), ["a", "b"], "left_anti")
-    rest = with_component(with_component(rest, component, "a", "ca"), component, "b", "cb").where("ca <> cb")
-    edges = edges.union(linked(rest, segments))
-    if stars.isEmpty():
-        return edges
-    more = stars_left(documents, sizes, stars, common.written(components(edges)), width, percent)
-    return edges if more is None else edges.union(more)
+    rest = with_component(with_component(rest, now, "a", "ca"), now, "b", "cb").where("ca <> cb")
+    return edges.union(linked(rest, segments))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -166,7 +166,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     if few and not wanted.value:
         return spark.createDataFrame([], "term string, n long")
-    counted = docs.select("text", "copies").mapInArrow(run, schema)
+    counted = docs.select("text", "copies").mapInArrow(common.released(run), schema)
     return (counted if few else counted.join(terms, "term", "left_semi")).groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
@@ -198,7 +198,7 @@ def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
         if total:
             yield pack()
 
-    counted = beside(docs, holders).select("text", "copies", "entities").mapInArrow(run, schema)
+    counted = beside(docs, holders).select("text", "copies", "entities").mapInArrow(common.released(run), schema)
     return counted.groupBy("entity", "term").agg(F.round(F.sum("both")).cast("long").alias("both"))
 
 
@@ -308,7 +308,7 @@ def sanitise(documents: DataFrame, support: int = 3, generalise: float = 0.8, re
                 arrays = [part.column(i) if i != at else pa.array(got, part.column(i).type) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    touched = joined.where("_spans IS NOT NULL").mapInArrow(run, schema)
+    touched = joined.where("_spans IS NOT NULL").mapInArrow(common.released(run), schema)
     return joined.where("_spans IS NULL").select(*columns).union(touched)
 
 

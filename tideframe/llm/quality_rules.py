@@ -85,7 +85,7 @@ def with_statistics(frame: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True))], names=schema.names)
 
     common.ship(frame.sparkSession)
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(common.released(run), schema)
 
 
 def shares() -> dict[str, Column]:
