@@ -166,3 +166,32 @@ def test_the_rest_works_without_the_training_data_package(tmp_path):
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(k.startswith('op1') for k in e.queries())"
     done = subprocess.run([sys.executable, "-c", code], cwd=TOP, capture_output=True, text=True, check=False)
     assert done.returncode == 0, done.stderr
+
+
+def test_redaction_and_entities(spark):
+    from tideframe.functions import scalars
+    from tideframe.operators import filings
+
+    rows = [
+        ("access_token=abc123 authorization: Bearer zzz, passwd=hunter2", "access_token=[REDACTED] authorization: [REDACTED], passwd=[REDACTED]"),
+        ("see postgres://db.local/x and https://u:p@h/y", "see [REDACTED_DSN] and [REDACTED_DSN]"),
+        ("api-key: 'a b' /var/a/b.log a/b/c", "api-key: [REDACTED] [REDACTED_PATH] a/b/c"),
+        (None, None),
+    ]
+    got = spark.createDataFrame(rows, "s string, want string").withColumn("got", scalars.redact(F.col("s"))).collect()
+    assert all(r.got == r.want for r in got), got
+    rows = [("&#36;0.25 per <b>share</b>", "$0.25 per share"), ("caf&eacute;&#x20AC;&nbsp;5", "café€ 5"), ("&#38;amp; &amp;lt; &#0;", "&amp; &lt; \ufffd"), (None, "")]
+    got = spark.createDataFrame(rows, "s string, want string").withColumn("got", filings.plain_text(F.col("s"))).collect()
+    assert all(r.got == r.want for r in got), got
+
+
+def test_exact_within_a_second_and_fingerprints_of_all_fields(spark):
+    from tideframe.operators import asof, canonical
+
+    bars = spark.sql("SELECT 'a' AS symbol, timestamp_ntz'2024-01-01 10:00:00.2' AS bar_time")
+    point = F.lit("2024-01-01 10:00:00.9").cast("timestamp_ntz")
+    assert asof.with_effective_time(bars, point).first().match_kind == "exact"
+    assert asof.bars_as_of(bars, point, 5).count() == 1 and asof.bars_as_of(bars, F.lit("2024-01-01 10:00:09").cast("timestamp_ntz"), 5).count() == 0
+    row = "SELECT 'a' AS symbol, '1d' AS bar_interval, 'none' AS adjustment, 'sina' AS source, timestamp'2024-01-01' AS bar_time, {0} AS open, 1D AS high, 1D AS low, 1D AS close, 1D AS volume, {1} AS amount, timestamp'2024-01-02' AS observed_at, timestamp'2024-01-02' AS ingested_at, {2} AS raw_artifact_id, 's' AS source_sequence, 'r' AS content_rank"
+    prints = [canonical.canonical_bars(spark.sql(row.format(*x))).first().input_fingerprint for x in (("1D", "null", "'x'"), ("1.0000001D", "null", "'x'"), ("1D", "1D", "'x'"), ("1D", "cast(null as double)", "'y'"))]
+    assert len(set(prints)) == 4

@@ -137,10 +137,11 @@ def provider_code(symbol: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Secrets, connection strings and absolute paths masked."""
-    out = F.regexp_replace(text, r"(?i)\b(token|secret|password|api[_-]?key)\b(\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|[^\s,;]+)", "$1$2***")
-    out = F.regexp_replace(out, r"(?i)\b([a-z][a-z0-9+.-]*)://[^\s/@:]+:[^\s/@]+@", "$1://***@")
-    return F.regexp_replace(out, r"(?<![\w:/.])/(?:[\w.-]+/)+[\w.-]+", "<path>")
+    """Secrets by the end of their names, connection strings and URLs, and absolute paths masked."""
+    value = r"(?:bearer\s+|basic\s+)?(?:\"[^\"]*\"|'[^']*'|[^\s,;]+)"
+    out = F.regexp_replace(text, rf"(?i)(password|passwd|token|secret|api[_-]?key|authorization)(\s*[=:]\s*){value}", "$1$2[REDACTED]")
+    out = F.regexp_replace(out, r"(?i)\b[a-z][a-z0-9+.-]*://[^\s]+", "[REDACTED_DSN]")
+    return F.regexp_replace(out, r"(?<![\w:/.-])/(?:[\w.-]+/)+[^\s,;]+", "[REDACTED_PATH]")
 
 
 def normalize_candidates(rows: DataFrame, classes: tuple[str, ...], limit: int) -> DataFrame:

@@ -12,16 +12,16 @@ from tideframe.operators.versions import newest
 
 def bars_as_of(bars: DataFrame, point: Column, lookback: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """The latest bar of each key within lookback seconds before point, both ends included."""
-    low = F.timestamp_seconds(F.unix_seconds(point.cast("timestamp")) - lookback)
-    inside = (F.col("bar_time") <= point) & (F.col("bar_time").cast("timestamp") >= low)
+    low = point - F.make_dt_interval(secs=F.lit(lookback))  # of the point's own type, so that both bounds reach the scan
+    inside = (F.col("bar_time") <= point) & (F.col("bar_time") >= low)
     return newest(bars.where(inside), keys, ("bar_time",))
 
 
 def with_effective_time(bars: DataFrame, point: Column) -> DataFrame:
-    """effective_bar_at, staleness_seconds (0 at least) and whether the bar is of the very point."""
+    """effective_bar_at, staleness_seconds (0 at least) and whether the bar is of the point's very second."""
     age = F.unix_seconds(point.cast("timestamp")) - F.unix_seconds(F.col("bar_time").cast("timestamp"))
     out = bars.withColumn("effective_bar_at", F.col("bar_time")).withColumn("staleness_seconds", F.greatest(F.lit(0).cast("long"), age))
-    return out.withColumn("match_kind", F.when(F.col("bar_time") == point, "exact").otherwise("prior_within_lookback"))
+    return out.withColumn("match_kind", F.when(F.col("staleness_seconds") == 0, "exact").otherwise("prior_within_lookback"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tolerance: int | None = None) -> DataFrame:

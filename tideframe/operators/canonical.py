@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.operators.versions import CANONICAL_KEY, SERIES, latest_raw, plain_number
+from tideframe.operators.versions import CANONICAL_KEY, SERIES, latest_raw
 
 # Source priorities, best first.
 PRIORITY = ("tushare", "sina", "eastmoney", "yahoo_chart", "baostock")
@@ -46,7 +46,10 @@ def canonical_bars(raw: DataFrame, priority: Sequence[str] = PRIORITY, relative:
         F.coalesce("source_sequence", F.lit("")).alias("_sequence"),
     ]
     rest = [c for c in rows.columns if c not in CANONICAL_KEY]
-    text = F.concat_ws("|", *(F.coalesce(plain_number(F.col(c)), F.lit("null")) for c in COMPARED), "source", F.unix_micros(F.col("observed_at").cast("timestamp")).cast("string"), F.unix_micros(F.col("ingested_at").cast("timestamp")).cast("string"))
+    # What decides, field by field and null or not; a number as its shortest exact text.
+    fields = [c for c in (*CANONICAL_KEY, "market", *COMPARED, "raw_close", "adjustment_factor", "source", "source_sequence", "raw_artifact_id") if c in rows.columns]
+    times = [F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("observed_at", "ingested_at")]
+    text = F.to_json(F.struct(*fields, *times), {"ignoreNullFields": "false"})
     grouped = rows.groupBy(*CANONICAL_KEY).agg(
         F.array_min(F.collect_list(F.struct(*order, *(F.col(c) for c in rest)))).alias("_best"),
         F.collect_list(F.struct("source", *COMPARED)).alias("_rows"),

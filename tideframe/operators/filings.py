@@ -8,12 +8,28 @@ from pyspark.sql import functions as F
 MONTH_DAY = r"((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{1,2},\s*[0-9]{4})"
 
 
+# Names of characters in HTML that texts use, beside the five of XML.
+ENTITIES = (
+    ("nbsp", "\u00a0"), ("cent", "¢"), ("pound", "£"), ("yen", "¥"), ("euro", "€"), ("copy", "©"), ("reg", "®"), ("trade", "™"), ("sect", "§"), ("deg", "°"), ("middot", "·"), ("bull", "•"), ("hellip", "…"),
+    ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("frac12", "½"), ("frac14", "¼"), ("frac34", "¾"), ("eacute", "é"), ("egrave", "è"), ("agrave", "à"),
+    ("ccedil", "ç"), ("auml", "ä"), ("ouml", "ö"), ("uuml", "ü"), ("Auml", "Ä"), ("Ouml", "Ö"), ("Uuml", "Ü"), ("szlig", "ß"), ("ntilde", "ñ"), ("oacute", "ó"), ("iacute", "í"), ("aacute", "á"), ("uacute", "ú"),
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
+)
+
+
 def plain_text(html: Column) -> Column:
-    """Tags out, the usual entities resolved, white space as single spaces."""
+    """Tags out, entities resolved (all by number, the usual ones by name), white space as single spaces."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), "(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;|&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;|&#34;", '"'), ("&#39;|&apos;|&rsquo;", "'"), ("&amp;", "&")):
-        out = F.regexp_replace(out, entity, char)
-    return F.trim(F.regexp_replace(out, r"[\s ]+", " "))
+    for name, char in ENTITIES:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    code = lambda e: F.when(F.lower(F.substring(e, 1, 1)) == "x", F.conv(F.substring(e, 2, 6), 16, 10)).otherwise(e).cast("int")
+    numbers = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 1))
+    numbers = F.filter(numbers, lambda e: code(e) != 38)  # ampersands go last and at once, as they could begin an entity
+    real = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    char = lambda e: F.when(real(code(e)), F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    out = F.aggregate(numbers, out, lambda text, e: F.replace(text, F.concat(F.lit("&#"), e, F.lit(";")), char(e)))
+    out = F.regexp_replace(out, "&(?:amp|#0*38|#[xX]0*26);", "&")
+    return F.trim(F.regexp_replace(out, "[\\s\u00a0]+", " "))
 
 
 def english_date(text: Column) -> Column:

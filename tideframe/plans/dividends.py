@@ -175,7 +175,7 @@ def classify_failure(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", dividends.classify_failure(text).alias("failure"))
 
 
-PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'gs'), '&nbsp;|&#160;', ' ', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;|&#34;', '\"', 'g'), '&#39;|&apos;|&rsquo;', '''', 'g'), '&amp;', '&', 'g'), '[\\s\\x{00a0}]+', ' ', 'g'))"
+PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'gs'), '&nbsp;|&#160;', ' ', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;|&#34;', '\"', 'g'), '&#39;|&apos;', '''', 'g'), '&copy;', '©', 'g'), '&middot;', '·', 'g'), '&rsquo;', '’', 'g'), '&amp;|&#38;', '&', 'g'), '[\\s\\x{00a0}]+', ' ', 'g'))"
 
 
 @query("filing_text", f"SELECT page_id, sha256({PLAIN}) AS text_sha256 FROM pages")

@@ -285,9 +285,10 @@ def clean_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.coalesce_number(F.lit(""), text).alias("value"))
 
 
-@query("redact", "SELECT page_id, concat('token=*** at <path> and https://***@h/', CAST(page_id AS VARCHAR)) AS text FROM pages")
+@query("redact", "SELECT page_id, concat('page ', CAST(page_id AS VARCHAR), ' access_token=[REDACTED], Authorization: [REDACTED] passwd=[REDACTED] at [REDACTED_PATH] and [REDACTED_DSN] or [REDACTED_DSN]') AS text FROM pages")
 def redact(spark, sf_dir):
-    text = F.concat(F.lit("token=abc"), F.col("page_id").cast("string"), F.lit(" at /var/data/x.log and https://u:p@h/"), F.col("page_id").cast("string"))
+    page = F.col("page_id").cast("string")
+    text = F.concat(F.lit("page "), page, F.lit(" access_token=abc"), page, F.lit(", Authorization: Bearer z"), page, F.lit(" passwd=hunter2 at /var/data/x.log and https://u:p@h/"), page, F.lit(" or postgres://db.local/x"))
     return table(spark, sf_dir, "pages").select("page_id", scalars.redact(text).alias("text"))
 
 
