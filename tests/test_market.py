@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import shutil
 import subprocess
 import sys
 
@@ -163,8 +164,10 @@ def test_upserts_match_brute_force_and_no_group_is_held_whole(spark):
 
 
 def test_the_rest_works_without_the_training_data_package(tmp_path):
-    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(k.startswith('op1') for k in e.queries())"
-    done = subprocess.run([sys.executable, "-c", code], cwd=TOP, capture_output=True, text=True, check=False)
+    copy = tmp_path / "copy"
+    shutil.copytree(TOP, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = f"import __spark_entry__ as e; assert e.__file__.startswith({str(copy)!r}); assert set(e.oracle_sql()) <= set(e.queries()); assert e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=False)
     assert done.returncode == 0, done.stderr
 
 
@@ -195,3 +198,37 @@ def test_exact_within_a_second_and_fingerprints_of_all_fields(spark):
     row = "SELECT 'a' AS symbol, '1d' AS bar_interval, 'none' AS adjustment, 'sina' AS source, timestamp'2024-01-01' AS bar_time, {0} AS open, 1D AS high, 1D AS low, 1D AS close, 1D AS volume, {1} AS amount, timestamp'2024-01-02' AS observed_at, timestamp'2024-01-02' AS ingested_at, {2} AS raw_artifact_id, 's' AS source_sequence, 'r' AS content_rank"
     prints = [canonical.canonical_bars(spark.sql(row.format(*x))).first().input_fingerprint for x in (("1D", "null", "'x'"), ("1.0000001D", "null", "'x'"), ("1D", "1D", "'x'"), ("1D", "cast(null as double)", "'y'"))]
     assert len(set(prints)) == 4
+
+
+def test_content_ranks_are_exact(spark):
+    rows = [(1.0000001, "a", "b|c"), (1.0000002, "a", "b|c"), (1.0000001, "a|b", "c"), (None, "a", "b|c"), (0.0, "a", None), (-0.0, "a", None)]
+    frame = spark.createDataFrame(rows, "n double, s string, t string")
+    got = [r.content_rank for r in versions.content_rank(frame, ["n"], ["s", "t"]).collect()]
+    assert len(set(got)) == 5 and got[4] == got[5]
+    with pytest.raises(Exception, match="finite"):
+        versions.content_rank(frame.withColumn("n", F.lit(float("nan"))), ["n"], ["s", "t"]).collect()
+
+
+def test_canonical_selection_takes_one_shuffle(spark):
+    frame = canonical.canonical_bars(bars(spark, bar(10.0, "sina"), bar(10.1, "tushare")))
+    assert frame._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+@pytest.mark.parametrize("tolerance", [None, 0, 1, 7, 50])
+def test_asof_join_matches_brute_force(spark, tolerance):
+    r = random.Random(3)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    right = sorted({(k, r.randrange(900)) for k in "ab" for _ in range(60)})
+    left = [(i, r.choice("aab"), r.randrange(-20, 1000)) for i in range(300)]
+    rows = spark.createDataFrame([(k, at(s), float(s)) for k, s in right], "k string, u timestamp, v double")
+    points = spark.createDataFrame([(i, k, at(s)) for i, k, s in left], "i int, k string, t timestamp")
+    got = {x.i: x.v for x in asof.asof_join(points, rows, ["k"], "t", "u", ["v"], tolerance).collect()}
+    want = {i: max((float(s) for k2, s in right if k2 == k and s <= p and (tolerance is None or p - s <= tolerance)), default=None) for i, k, p in left}
+    assert got == want
+
+
+def test_symbols_of_providers(spark):
+    rows = [("700.hk", "700.HK"), ("brk-b", "BRK.B.US"), ("600000", "600000.SH"), ("AAPL", "AAPL.US"), ("?", None)]
+    got = spark.createDataFrame(rows, "s string, want string").withColumn("got", scalars.normalize_longport_symbol(F.col("s"))).collect()
+    assert all(r.got == r.want for r in got), got
+    assert spark.sql("SELECT '600000.SH' AS s").select(scalars.eastmoney_symbol(F.col("s"))).first()[0] == "SH600000"

@@ -136,6 +136,22 @@ def provider_code(symbol: Column) -> Column:
     return F.concat(F.when(first.isin("5", "6", "9"), "sh.").when(first.isin("4", "8"), "bj.").otherwise("sz."), code)
 
 
+def normalize_longport_symbol(symbol: Column) -> Column:
+    """Ticker and region: mainland codes as they are, Hong Kong ones without zeros in front, US classes with a dot; null for the rest."""
+    known = canonical_instrument(symbol)
+    name, market = known["symbol"], known["market"]
+    hk = F.concat(F.regexp_extract(name, r"^0*([0-9]+)\.HK$", 1), F.lit(".HK"))
+    us = F.concat(F.regexp_replace(name, "-", "."), F.lit(".US"))
+    return F.when(market == "CN", normalize_a_symbol(symbol)).when(market == "HK", hk).when(market == "US", us)
+
+
+def eastmoney_symbol(symbol: Column) -> Column:
+    """SH, SZ or BJ by the exchange, and six digits."""
+    code = _digits6(F.regexp_replace(symbol.cast("string"), "[^0-9]", ""))
+    exchange = exchange_for_symbol(code)
+    return F.concat(F.when(exchange == "XSHG", "SH").when(exchange == "XBSE", "BJ").otherwise("SZ"), code)
+
+
 def redact(text: Column) -> Column:
     """Secrets by the end of their names, connection strings and URLs, and absolute paths masked."""
     value = r"(?:bearer\s+|basic\s+)?(?:\"[^\"]*\"|'[^']*'|[^\s,;]+)"

@@ -28,18 +28,22 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     """left with the values of the latest row of right at or before its time, within tolerance seconds.
 
     Both sides go through one window in time order, rows of right first on equal times, so the work is linear:
-    no range join. The carried struct is the last one seen.
+    no range join. The carried struct is the last one seen. With a tolerance, series are cut into spans of 16 tolerances and a row
+    of right that reaches into the next span is put there too, so that no task holds a whole series; without one it must.
     """
     carried = F.struct(F.col(right_time).alias("matched_time"), *values)
-    rows = right.select(*by, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), carried.alias("_value"))
+    whole = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    span = 16 * max(tolerance or 0, 1)
+    spot = F.lit(0) if tolerance is None else F.floor(whole(left_time) / span)
+    reach = F.array(F.lit(0)) if tolerance is None else F.array_distinct(F.array(F.floor(whole(right_time) / span), F.floor((whole(right_time) + tolerance) / span)))
+    rows = right.select(*by, F.explode(reach).alias("_span"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), carried.alias("_value"))
     own = [c for c in left.columns if c not in by]
-    points = left.select(*by, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*own).alias("_left"))
+    points = left.select(*by, spot.alias("_span"), F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*own).alias("_left"))
     both = rows.unionByName(points, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*by, "_span").orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = both.withColumn("_match", F.last("_value", ignorenulls=True).over(order)).where("_side = 1")
     if tolerance is not None:
-        seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-        near = seconds("_time") - F.unix_seconds(F.col("_match.matched_time").cast("timestamp")) <= tolerance
+        near = whole("_time") - whole("_match.matched_time") <= tolerance
         joined = joined.withColumn("_match", F.when(near, F.col("_match")))
     return joined.select(*by, "_left.*", "_match.matched_time", *(F.col(f"_match.{v}").alias(v) for v in values))
 

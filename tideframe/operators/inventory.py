@@ -82,11 +82,13 @@ def filter_values(rows: DataFrame, columns: Sequence[str] = ("market", "bar_inte
 
 
 def dataset_identity(rows: DataFrame, content: Sequence[str], time: str = "bar_time") -> DataFrame:
-    """Hash of each series' rows in time order, their number and newest ingestion. Series are hashed on their own, never a whole table in one task."""
+    """Hash of each series, their number and newest ingestion: rows are hashed in time order by month, then the months' hashes, so an array holds a month."""
     line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in content))
-    found = rows.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.sha2(line, 256).alias("h")))).alias("_rows"), F.count("*").alias("rows"), F.max("ingested_at").alias("newest"))
-    digest = F.sha2(F.concat_ws("", F.transform("_rows", lambda r: r["h"])), 256)
-    return found.select(*SERIES, "rows", "newest", digest.alias("content_sha256"))
+    month = F.date_format(time, "yyyyMM")
+    lines = F.struct(F.col(time).alias("t"), F.sha2(line, 256).alias("h"))
+    joined = lambda c: F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(c)), lambda r: r["h"])), 256)
+    months = rows.groupBy(*SERIES, month.alias("t")).agg(joined(lines).alias("h"), F.count("*").alias("rows"), F.max("ingested_at").alias("newest"))
+    return months.groupBy(*SERIES).agg(F.sum("rows").cast("long").alias("rows"), F.max("newest").alias("newest"), joined(F.struct("t", "h")).alias("content_sha256"))
 
 
 def snapshot_changed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Which of many stored versions of a row counts. Newest-wins is an aggregate (combined before its shuffle), not a window."""
+"""Which of many stored versions of a row counts. Newest-wins is an aggregate, not a window."""
 
 from __future__ import annotations
 
@@ -12,16 +12,21 @@ RAW_KEY = (*SERIES, "source", "bar_time")
 CANONICAL_KEY = (*SERIES, "bar_time")
 
 
-def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row for each key: the one with the largest order columns (null lowest)."""
+def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], deal: Sequence[str] | None = None) -> DataFrame:
+    """One row for each key: the one with the largest order columns (null lowest).
+
+    deal: some of the keys, to shuffle whole rows by before they are sorted and combined. That is right where most keys have few
+    rows, so that combining first would only sort everything once more, and lets later steps by the same columns go without a shuffle.
+    """
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    rows = df if deal is None else df.repartition(*deal)
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return best.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns))
 
 
 def latest_raw(bars: DataFrame) -> DataFrame:
     """Newest ingestion, then highest content rank, of each series, source and bar time."""
-    return newest(bars, RAW_KEY, ("ingested_at", "content_rank"))
+    return newest(bars, RAW_KEY, ("ingested_at", "content_rank"), CANONICAL_KEY)
 
 
 def latest_canonical(bars: DataFrame) -> DataFrame:
@@ -50,17 +55,16 @@ def current_snapshot(history: DataFrame, load: str = "ingested_at") -> DataFrame
 
 
 def plain_number(value: Column) -> Column:
-    """A number as text that doesn't depend on how it was stored: 6 decimals, no negative zero; null for NaN and infinity."""
-    fixed = value.cast("double").cast("decimal(38,6)")
-    return F.when(fixed == 0, F.lit("0.000000")).otherwise(fixed.cast("string"))
+    """A number as the shortest text that gives it back, however it was stored, without negative zero; NaN and infinity are errors."""
+    exact = value.cast("double")
+    return F.when(exact == 0, F.lit("0")).when(F.isnan(exact) | (F.abs(exact) == float("inf")), F.raise_error(F.lit("numbers of a version must be finite"))).otherwise(exact.cast("string"))
 
 
 def content_rank(bars: DataFrame, numbers: Sequence[str], texts: Sequence[str], times: Sequence[str] = ()) -> DataFrame:
     """bars with content_rank, 52 hexadecimal digits of a hash of the content, the same however the row was stored."""
-    parts = [F.coalesce(plain_number(F.col(c)), F.lit("null")) for c in numbers]
-    parts += [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in texts]
-    parts += [F.coalesce(F.unix_millis(F.col(c).cast("timestamp")).cast("string"), F.lit("null")) for c in times]
-    return bars.withColumn("content_rank", F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 52))
+    fields = {c: plain_number(F.col(c)) for c in numbers} | {c: F.col(c).cast("string") for c in texts} | {c: F.unix_millis(F.col(c).cast("timestamp")) for c in times}
+    text = F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": "false"})
+    return bars.withColumn("content_rank", F.substring(F.sha2(text, 256), 1, 52))
 
 
 def superseded_counts(raw: DataFrame) -> DataFrame:

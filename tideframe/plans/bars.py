@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.operators import asof, bars, canonical, inventory, versions
-from tideframe.plans.registry import query
+from tideframe.plans.registry import query, work_folder
+from tideframe.sources import ingest
 from tideframe.sources.fixtures import table, view
 
 POINT = "1998-06-15 00:00:00"
@@ -57,6 +58,42 @@ def canonical_bars(spark, sf_dir):
     return canon(spark, sf_dir).select(*KEY.split(", "), "bar_time", "open", "high", "low", "close", "volume", "amount", "source", "source_count", "quality_status", "updated_at")
 
 
+PRINTED = ("symbol", "bar_interval", "adjustment", "market", "open", "high", "low", "close", "volume", "amount", "raw_close", "adjustment_factor", "source", "source_sequence", "raw_artifact_id")
+
+
+def printed_sql() -> str:
+    """The line of one source's version as JSON: texts quoted, numbers as they are, null where there is none."""
+    quoted = {"symbol", "bar_interval", "adjustment", "market", "source", "source_sequence", "raw_artifact_id"}
+    parts = [f"""'"{c}":', coalesce({f"concat(chr(34), {c}, chr(34))" if c in quoted else f"CAST({c} AS VARCHAR)"}, 'null')""" for c in PRINTED]
+    parts.insert(3, "'\"bar_time\":\"', strftime(bar_time, '%Y-%m-%dT%H:%M:%S.000'), chr(34)")
+    parts += [f"'\"{c}\":', CAST(epoch_us({c}) AS VARCHAR)" for c in ("observed_at", "ingested_at")]
+    return "concat('{', " + ", ',', ".join(parts) + ", '}')"
+
+
+@query("canonical_fingerprint", f"WITH {LATEST}, p AS (SELECT {KEY}, bar_time, {printed_sql()} AS line FROM latest) SELECT {KEY}, bar_time, sha256(string_agg(line, chr(10) ORDER BY line)) AS input_fingerprint FROM p GROUP BY ALL")
+def canonical_fingerprint(spark, sf_dir):
+    return canon(spark, sf_dir).select(*KEY.split(", "), "bar_time", "input_fingerprint")
+
+
+@query("latest_canonical", f"WITH {CANON}, v AS (SELECT {KEY}, bar_time, close, 1 AS version FROM canon UNION ALL SELECT {KEY}, bar_time, close + 1, 2 FROM canon WHERE source = 'tushare') SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY {KEY}, bar_time ORDER BY version DESC) = 1")
+def latest_canonical(spark, sf_dir):
+    """Stored versions: all bars once, those of one source again, raised by 1."""
+    rows = canon(spark, sf_dir).select(*KEY.split(", "), "bar_time", "close", "source", F.lit(1).alias("version"))
+    again = rows.where("source = 'tushare'").withColumns({"close": F.col("close") + 1, "version": F.lit(2)})
+    return versions.latest_canonical(rows.unionByName(again).drop("source"))
+
+
+@query("stored_bars", f"SELECT {KEY}, source, bar_time, source_sequence, raw_artifact_id, content_rank, close + CASE WHEN strftime(bar_time, '%Y%m') = '199706' THEN 1 ELSE 0 END AS close FROM fx_raw_bar WHERE bar_time BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'")
+def stored_bars(spark, sf_dir):
+    """All bars written by month, one month replaced, two years read back."""
+    path = work_folder(spark, "bars")
+    rows = raw(spark, sf_dir)
+    ingest.write_bars(rows, path)
+    month = rows.withColumns({"bar_month": F.date_format("bar_time", "yyyyMM"), "close": F.col("close") + 1}).where("bar_month = '199706'")
+    ingest.replace_partition(month, path, "bar_month")
+    return ingest.read_bars(spark, path, ntz(START), ntz(END)).select(*KEY.split(", "), "source", "bar_time", "source_sequence", "raw_artifact_id", "content_rank", "close")
+
+
 @query("quality_status", f"WITH {CANON} SELECT quality_status, count(*) AS bars FROM canon GROUP BY 1")
 def quality_status(spark, sf_dir):
     return inventory.rows_by(canon(spark, sf_dir), "quality_status").withColumnRenamed("rows", "bars")
@@ -181,12 +218,12 @@ def bars_as_of(spark, sf_dir):
 
 @query(
     "asof_join",
-    f"""WITH {CANON}, p AS (SELECT l_orderkey, l_linenumber, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 4, '0')) AS symbol, l_shipdate + INTERVAL 12 HOUR AS t FROM lineitem WHERE l_quantity > 25),
+    f"""WITH {CANON}, p AS (SELECT l_orderkey, l_linenumber, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 4, '0')) AS symbol, l_shipdate + INTERVAL 12 HOUR AS t FROM lineitem),
 j AS (SELECT p.*, c.bar_time, c.close FROM p ASOF LEFT JOIN canon c ON p.symbol = c.symbol AND p.t >= c.bar_time)
 SELECT l_orderkey, l_linenumber, symbol, t, CASE WHEN epoch(t) - epoch(bar_time) <= 864000 THEN bar_time END AS matched_time, CASE WHEN epoch(t) - epoch(bar_time) <= 864000 THEN close END AS close FROM j""",
 )
 def asof_join(spark, sf_dir):
-    return joined_as_of(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_quantity > 25"))
+    return joined_as_of(spark, sf_dir, table(spark, sf_dir, "lineitem"))
 
 
 def joined_as_of(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
@@ -267,23 +304,29 @@ def partition_rows(spark, sf_dir):
     return inventory.partition_rows(raw=raw(spark, sf_dir), canonical=canon(spark, sf_dir))
 
 
-IDENTITY = "concat_ws('|', symbol, source, strftime(bar_time, '%Y-%m-%d %H:%M:%S'), CAST(CAST(close AS DECIMAL(38, 6)) AS VARCHAR))"
+PRICES = ("open", "high", "low", "close", "volume")
+FIXED = ", ".join(f"CAST(CAST({c} AS DECIMAL(38, 6)) AS VARCHAR)" for c in PRICES)
+IDENTITY = f"concat_ws('|', symbol, source, market, source_sequence, raw_artifact_id, strftime(bar_time, '%Y-%m-%d %H:%M:%S'), {FIXED})"
 
 
 def identity(rows: DataFrame) -> DataFrame:
-    text = rows.withColumn("at", F.date_format("bar_time", "yyyy-MM-dd HH:mm:ss")).withColumn("price", F.col("close").cast("decimal(38,6)"))
-    return inventory.dataset_identity(text, ["symbol", "source", "at", "price"])
+    text = rows.withColumn("at", F.date_format("bar_time", "yyyy-MM-dd HH:mm:ss")).withColumns({c: F.col(c).cast("decimal(38,6)") for c in PRICES})
+    return inventory.dataset_identity(text, ["symbol", "source", "market", "source_sequence", "raw_artifact_id", "at", *PRICES])
+
+
 
 
-IDENTITY_SQL = f"SELECT {KEY}, count(*) AS rows, max(ingested_at) AS newest, sha256(string_agg(sha256({IDENTITY}), '' ORDER BY bar_time)) AS content_sha256"
+def identity_sql(where: str = "") -> str:
+    months = f"SELECT {KEY}, strftime(bar_time, '%Y%m') AS m, count(*) AS n, max(ingested_at) AS newest, sha256(string_agg(sha256({IDENTITY}), '' ORDER BY bar_time)) AS h FROM canon {where} GROUP BY ALL"
+    return f"SELECT {KEY}, CAST(sum(n) AS BIGINT) AS rows, max(newest) AS newest, sha256(string_agg(h, '' ORDER BY m)) AS content_sha256 FROM ({months}) GROUP BY {KEY}"
 
 
-@query("dataset_identity", f"WITH {CANON} {IDENTITY_SQL} FROM canon GROUP BY {KEY}")
+@query("dataset_identity", f"WITH {CANON} {identity_sql()}")
 def dataset_identity(spark, sf_dir):
     return identity(canon(spark, sf_dir))
 
 
-@query("snapshot_changed", f"WITH {CANON}, b AS ({IDENTITY_SQL} FROM canon WHERE bar_time < TIMESTAMP '2001-10-01' GROUP BY {KEY}), a AS ({IDENTITY_SQL} FROM canon GROUP BY {KEY}) SELECT {KEY}, b.content_sha256 AS before_sha256, a.content_sha256 AS after_sha256, b.content_sha256 IS DISTINCT FROM a.content_sha256 AS changed FROM b FULL JOIN a USING ({KEY})")
+@query("snapshot_changed", f"WITH {CANON}, b AS ({identity_sql("WHERE bar_time < TIMESTAMP '2001-10-01'")}), a AS ({identity_sql()}) SELECT {KEY}, b.content_sha256 AS before_sha256, a.content_sha256 AS after_sha256, b.content_sha256 IS DISTINCT FROM a.content_sha256 AS changed FROM b FULL JOIN a USING ({KEY})")
 def snapshot_changed(spark, sf_dir):
     rows = canon(spark, sf_dir)
     return inventory.snapshot_changed(identity(rows.where(F.col("bar_time") < ntz("2001-10-01 00:00:00"))), identity(rows))

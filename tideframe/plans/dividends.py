@@ -101,9 +101,9 @@ def structured_dividends(spark, sf_dir):
     return dividends.structured_dividends(rows, 1998).select("symbol", "currency", "amount_per_share", "payment_date", "position")
 
 
-@query("fund_dividends", "SELECT dividend_id, CAST(CAST(amount_per_share AS DECIMAL(28, 10)) / 10 AS DECIMAL(28, 6)) AS amount_per_share FROM fx_div WHERE fiscal_year > 1996")
+@query("fund_dividends", "SELECT dividend_id, CAST(CAST(amount_per_share AS DECIMAL(28, 10)) / 10 AS DECIMAL(28, 6)) AS amount_per_share FROM fx_div")
 def fund_dividends(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_div").where("fiscal_year > 1996").withColumn("cash", F.col("amount_per_share")).withColumn("base_units", F.lit(10))
+    rows = view(spark, sf_dir, "fx_div").withColumn("cash", F.col("amount_per_share")).withColumn("base_units", F.lit(10))
     return dividends.fund_dividends(rows).select("dividend_id", F.col("amount_per_share").cast("decimal(28,6)").alias("amount_per_share"))
 
 
@@ -130,9 +130,9 @@ def parse_cash_text(spark, sf_dir):
     return dividends.parse_cash_text(rows).select("symbol", "amount_per_share", "currency", "payment_date", "position")
 
 
-@query("fallback_sources", "WITH p AS (SELECT * FROM fx_div WHERE confirmation_status = 'confirmed' AND fiscal_year = 1998), s AS (SELECT * FROM fx_div WHERE confirmation_status = 'unverified' AND fiscal_year = 1998) SELECT dividend_id, symbol, confirmation_status FROM p UNION ALL SELECT dividend_id, symbol, confirmation_status FROM s WHERE symbol NOT IN (SELECT symbol FROM p)")
+@query("fallback_sources", "WITH p AS (SELECT * FROM fx_div WHERE confirmation_status = 'confirmed'), s AS (SELECT * FROM fx_div WHERE confirmation_status = 'unverified') SELECT dividend_id, symbol, confirmation_status FROM p UNION ALL SELECT dividend_id, symbol, confirmation_status FROM s WHERE symbol NOT IN (SELECT symbol FROM p)")
 def fallback_sources(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_div").where("fiscal_year = 1998")
+    rows = view(spark, sf_dir, "fx_div")
     return dividends.fallback_sources(rows.where("confirmation_status = 'confirmed'"), rows.where("confirmation_status = 'unverified'")).select("dividend_id", "symbol", "confirmation_status")
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from tideframe.operators import realtime
+from tideframe.operators import realtime, versions
 from tideframe.plans import bars  # noqa: F401  (registers incremental_rebuild)
-from tideframe.plans.registry import ORACLES, query
+from tideframe.plans.registry import ORACLES, query, work_folder
 from tideframe.sources.fixtures import table, view
 from tideframe.streaming import trades as stream
 
@@ -38,15 +35,9 @@ def late_trades(spark, sf_dir):
     return realtime.late_trades(trades(spark, sf_dir), HOUR).select("sequence", "instrument_id", "session", "window", "reason")
 
 
-def _folder(spark) -> str:
-    """A new folder below the shared one of the session; a temporary one where there is none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def _streamed(spark, sf_dir):
     """All trades as one file stream, run to its end into a table of the shared folder."""
-    top = _folder(spark)
+    top = work_folder(spark, "stream")
     rows = trades(spark, sf_dir)
     rows.write.parquet(f"{top}/in")
     source = stream.events_stream(spark, f"{top}/in", rows.schema)
@@ -143,7 +134,7 @@ def stream_canonical(spark, sf_dir):
 @query("stream_canonical_rows")
 def stream_canonical_rows(spark, sf_dir):
     """All raw bars in two batches: those ingested from 2000 on arrive after the rest and refresh what they touch."""
-    top = _folder(spark)
+    top = work_folder(spark, "stream")
     rows = view(spark, sf_dir, "fx_raw_bar")
     late = F.col("ingested_at") >= F.lit("2000-01-01").cast("timestamp_ntz")
     for part in (rows.where(~late), rows.where(late)):
@@ -162,3 +153,14 @@ ORACLES["stream_canonical_rows"] = ORACLES["incremental_rebuild"]  # the same ro
 def windowed_bars(spark, sf_dir):
     out = stream.windowed_bars(trades(spark, sf_dir), HOUR, "1 day")
     return out.select(*realtime.BAR_KEY, F.unix_seconds("w.start").alias("window"), "high", "low", "trades")
+
+
+@query("stream_latest_quotes", "SELECT symbol, source, price, ingested_at FROM fx_quote QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ingested_at DESC, content_rank DESC) = 1")
+def stream_latest_quotes(spark, sf_dir):
+    """All quotes as one stream; each batch stores the quotes that it changed, and the newest of them stands."""
+    top = work_folder(spark, "quotes")
+    rows = view(spark, sf_dir, "fx_quote")
+    rows.write.parquet(f"{top}/in")
+    source = stream.events_stream(spark, f"{top}/in", rows.schema)
+    stream.run_to_end(stream.bars_sink(stream.latest_quote_stream(source), f"{top}/out", f"{top}/checkpoint").outputMode("update"))
+    return versions.latest_quotes(spark.read.schema(rows.schema).parquet(f"{top}/out")).select("symbol", "source", "price", "ingested_at")

@@ -155,7 +155,7 @@ def quote_versions(spark, sf_dir):
     return versions.quote_versions(view(spark, sf_dir, "fx_quote")).select("symbol", "content_rank", "payload_json", "version")
 
 
-@query("content_rank", "SELECT symbol, source, bar_time, source_sequence, substr(sha256(concat_ws('|', CAST(CAST(open AS DECIMAL(38, 6)) AS VARCHAR), CAST(CAST(close AS DECIMAL(38, 6)) AS VARCHAR), coalesce(CAST(CAST(amount AS DECIMAL(38, 6)) AS VARCHAR), 'null'), symbol, source, CAST(epoch_ms(bar_time) AS VARCHAR))), 1, 52) AS content_rank FROM fx_raw_bar")
+@query("content_rank", "SELECT symbol, source, bar_time, source_sequence, substr(sha256(concat('{\"amount\":', coalesce('\"' || CAST(amount AS VARCHAR) || '\"', 'null'), ',\"bar_time\":', CAST(epoch_ms(bar_time) AS VARCHAR), ',\"close\":\"', CAST(close AS VARCHAR), '\",\"open\":\"', CAST(open AS VARCHAR), '\",\"source\":\"', source, '\",\"symbol\":\"', symbol, '\"}')), 1, 52) AS content_rank FROM fx_raw_bar")
 def content_rank(spark, sf_dir):
     return versions.content_rank(view(spark, sf_dir, "fx_raw_bar"), ["open", "close", "amount"], ["symbol", "source"], ["bar_time"]).select("symbol", "source", "bar_time", "source_sequence", "content_rank")
 
@@ -201,12 +201,12 @@ def explode_envelope(spark, sf_dir):
     return rows.select("event_id", "row_index", "symbol", "row_date", F.col("record")["kind"].alias("kind"))
 
 
-@query("explode_chart", "SELECT symbol, source_sequence, bar_time, close * 0.5 AS close, close AS raw_close FROM fx_raw_bar WHERE amount IS NOT NULL AND source = 'sina'")
+@query("explode_chart", "SELECT symbol, source_sequence, bar_time, close * 0.5 AS close, close AS raw_close FROM fx_raw_bar WHERE amount IS NOT NULL")
 def explode_chart(spark, sf_dir):
     one = lambda c: F.array(c)
     close = F.when(F.col("amount").isNotNull(), F.col("close"))
     fields = [one(F.unix_seconds(F.col("bar_time").cast("timestamp"))).alias("timestamp"), *(one(F.col(c)).alias(c) for c in ("open", "high", "low")), one(close).alias("close"), one(F.col("volume")).alias("volume"), one(close * 0.5).alias("adjclose")]
-    rows = view(spark, sf_dir, "fx_raw_bar").where("source = 'sina'").select("symbol", "source_sequence", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
+    rows = view(spark, sf_dir, "fx_raw_bar").select("symbol", "source_sequence", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
     return ingest.explode_chart(rows, True).select("symbol", "source_sequence", F.col("bar_time").cast("timestamp_ntz").alias("bar_time"), "close", "raw_close")
 
 
@@ -263,7 +263,8 @@ FIRST = f"substr({CODE}, 1, 1)"
 concat({CODE}, CASE WHEN {FIRST} IN ('5', '6', '9') THEN '.SH' WHEN {FIRST} IN ('4', '8') THEN '.BJ' ELSE '.SZ' END) AS a_symbol,
 concat('CN.', CASE WHEN {FIRST} IN ('5', '6', '9') THEN 'XSHG' ELSE 'XSHE' END, '.', {CODE}) AS instrument,
 concat(CASE WHEN {FIRST} IN ('5', '6', '9') THEN 'sh.' WHEN {FIRST} IN ('4', '8') THEN 'bj.' ELSE 'sz.' END, {CODE}) AS provider_code,
-concat(lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0'), '.HK') AS hk, CASE p_size % 3 WHEN 0 THEN 'CN' WHEN 1 THEN 'HK' ELSE 'US' END AS market FROM part""",
+concat(lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0'), '.HK') AS hk, concat(CAST(p_partkey % 10000 AS VARCHAR), '.HK') AS longport,
+concat(CASE WHEN {FIRST} IN ('4', '8', '9') THEN 'BJ' WHEN {FIRST} IN ('5', '6') THEN 'SH' ELSE 'SZ' END, {CODE}) AS eastmoney, CASE p_size % 3 WHEN 0 THEN 'CN' WHEN 1 THEN 'HK' ELSE 'US' END AS market FROM part""",
 )
 def normalize_symbols(spark, sf_dir):
     code = F.lpad((F.col("p_partkey") * 37 % 1_000_000).cast("string"), 6, "0")
@@ -271,6 +272,7 @@ def normalize_symbols(spark, sf_dir):
     return table(spark, sf_dir, "part").select(
         "p_partkey", scalars.exchange_for_symbol(code).alias("exchange"), scalars.normalize_a_symbol(code).alias("a_symbol"), scalars.canonical_instrument(code)["instrument_id"].alias("instrument"), scalars.provider_code(code).alias("provider_code"),
         scalars.normalize_yahoo_symbol(F.concat((F.col("p_partkey") % 10_000).cast("string"), F.lit(".hk"))).alias("hk"), scalars.market_of(F.concat(code, suffix)).alias("market"),
+        scalars.normalize_longport_symbol(F.concat((F.col("p_partkey") % 10_000).cast("string"), F.lit(".hk"))).alias("longport"), scalars.eastmoney_symbol(code).alias("eastmoney"),
     )
 
 
@@ -279,6 +281,12 @@ def report_periods(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.latest_broad_report_period(F.col("o_orderdate")).alias("broad"), scalars.normalize_report_period(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("exact"))
 
 
+@query("canonical_hash", """SELECT p_partkey, concat('sha256:', sha256(concat('{"brand":"', p_brand, '","none":null,"size":', CAST(p_size AS VARCHAR), '}'))) AS content FROM part""")
+def canonical_hash(spark, sf_dir):
+    fields = {"size": F.col("p_size"), "brand": F.col("p_brand"), "none": F.lit(None).cast("string")}
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.canonical_hash(fields).alias("content"))
+
+
 @query("clean_numbers", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN p_retailprice ELSE NULL END AS value FROM part")
 def clean_numbers(spark, sf_dir):
     text = F.when(F.col("p_size") % 4 == 0, " - ").when(F.col("p_size") % 4 == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"))).when(F.col("p_size") % 4 == 2, F.col("p_retailprice").cast("string")).otherwise("NaN")
