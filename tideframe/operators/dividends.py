@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -120,22 +121,42 @@ def _alike(a, b) -> bool:
 
 
 def collapse_precision_duplicates(events: DataFrame) -> DataFrame:
-    """Merge near-equal events of a symbol, year and currency one by one; the dated row stays, else that with a document."""
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for row in rows.sort_values(["announcement_date", "dividend_id"], kind="stable", na_position="first").itertuples(index=False):
-            for i, other in enumerate(kept):
-                if _alike(row, other):
-                    worth = lambda x: (not pd.isna(x.payment_date), bool(x.source_document_id))
-                    if worth(row) > worth(other):
-                        kept[i] = row
-                    break
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=rows.columns)
-
-    return events.groupBy("symbol", "fiscal_year", "currency").applyInPandas(merge, events.schema)
+    """Merge near-equal events of a symbol, year and currency one by one; the dated row stays, else that with a document.
+
+    What stays depends on the order, so it is a fold over rows that Spark has sorted. A row is compared only with those
+    kept of its payment date or its amount, as others can't be like it.
+    """
+    schema = events.schema
+    group = ["symbol", "fiscal_year", "currency"]
+    plain = lambda x: None if pd.isna(x) else x
+    worth = lambda x: (not pd.isna(x.payment_date), bool(x.source_document_id))
+    marks = lambda x: {("amount", plain(x.amount_per_share)), ("paid", plain(x.payment_date))} - {("paid", None)}
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept, places = None, [], defaultdict(list)
+        for rows in frames:
+            done = []
+            for row in rows.itertuples(index=False):
+                own = tuple(plain(getattr(row, c)) for c in group)
+                if own != current:
+                    done += kept
+                    current, kept, places = own, [], defaultdict(list)
+                near = sorted({i for m in marks(row) for i in places[m]})
+                at = next((i for i in near if _alike(row, kept[i])), len(kept))
+                if at == len(kept):
+                    kept.append(row)
+                elif worth(row) > worth(kept[at]):
+                    kept[at] = row
+                else:
+                    continue
+                for m in marks(row):
+                    places[m].append(at)
+            if done:
+                yield pd.DataFrame(done, columns=schema.names)
+        if kept:
+            yield pd.DataFrame(kept, columns=schema.names)
+
+    return events.repartition(*group).sortWithinPartitions(*group, "announcement_date", "dividend_id").mapInPandas(merge, schema)
 
 
 def payment_year(rows: DataFrame) -> Column:

@@ -70,7 +70,15 @@ def date_evidence(spark, sf_dir):
     return rows.select("dividend_id", F.explode("evidence").alias("field", "e")).select("dividend_id", "field", "e.value", "e.policy", "e.missing_reason")
 
 
-@query("upsert_dividends")
+ARRIVAL = "{'dividend_id': concat_ws('-', symbol, CAST(fiscal_year AS VARCHAR), currency), 'symbol': symbol, 'arrival': CAST(dividend_id AS BIGINT), 'observed_at': CAST(announcement_date AS TIMESTAMP), 'confirmation_status': confirmation_status, 'source_priority': source_priority, 'amount_per_share': CAST(amount_per_share AS DOUBLE)}"
+
+
+@query(
+    "upsert_dividends",
+    f"""WITH r AS (SELECT {ARRIVAL} AS x FROM fx_div), f AS (SELECT list_reduce(list(x ORDER BY x.arrival), lambda a, b:
+CASE WHEN b.source_priority < a.source_priority OR (b.source_priority = a.source_priority AND (b.observed_at > a.observed_at OR (a.confirmation_status = 'unverified' AND b.confirmation_status = 'confirmed'))) THEN b ELSE a END) AS s FROM r GROUP BY x.dividend_id)
+SELECT s.dividend_id, s.symbol, s.arrival, s.observed_at, s.confirmation_status, s.source_priority, s.amount_per_share FROM f""",
+)
 def upsert_dividends(spark, sf_dir):
     """Arrivals of one dividend: announcements of a symbol and year in the order of their ids."""
     rows = view(spark, sf_dir, "fx_div").withColumn("arrival", F.col("dividend_id").cast("long")).withColumn("observed_at", F.col("announcement_date").cast("timestamp"))
@@ -78,11 +86,24 @@ def upsert_dividends(spark, sf_dir):
     return dividends.upsert_dividends(keyed.select("dividend_id", "symbol", "arrival", "observed_at", "confirmation_status", "source_priority", F.col("amount_per_share").cast("double").alias("amount_per_share")))
 
 
-@query("collapse_precision_duplicates")
+COLLAPSED = ("dividend_id", "symbol", "fiscal_year", "currency", "amount_per_share", "announcement_date", "payment_date", "event_status", "source", "source_document_id")
+# The rows kept so far are a list; the place of the first one like the next row decides whether that row is added, takes the place or goes.
+PLACE = """list_position(list_transform(kept, lambda k: ((k.payment_date IS NOT NULL AND n[1].payment_date IS NOT NULL AND k.payment_date = n[1].payment_date) OR (k.amount_per_share = n[1].amount_per_share AND (k.payment_date IS NULL) <> (n[1].payment_date IS NULL)))
+AND NOT (k.doc AND n[1].doc AND k.source <> n[1].source) AND ((k.event_status = 'revised' AND n[1].event_status = 'revised') OR k.doc <> n[1].doc)
+AND abs(k.amount_per_share - n[1].amount_per_share) / greatest(abs(k.amount_per_share), abs(n[1].amount_per_share), 1.0) <= 0.01), TRUE)"""
+
+
+@query(
+    "collapse_precision_duplicates",
+    f"""WITH {RESOLVED}, r AS (SELECT dividend_id, symbol, fiscal_year, currency, CAST(amount_per_share AS DOUBLE) AS amount_per_share, announcement_date, payment_date, event_status, concat('p', CAST(source_priority AS VARCHAR)) AS source, source_document_id, coalesce(source_document_id, '') <> '' AS doc FROM resolved),
+w AS (SELECT r AS x, 2 * (payment_date IS NOT NULL)::INT + doc::INT AS worth FROM r),
+g AS (SELECT list([{{{", ".join(f"'{c}': x.{c}" for c in (*COLLAPSED, "doc"))}, 'worth': worth}}] ORDER BY x.announcement_date NULLS FIRST, x.dividend_id) AS l FROM w GROUP BY x.symbol, x.fiscal_year, x.currency),
+f AS (SELECT unnest(list_reduce(l, lambda kept, n: CASE WHEN {PLACE} IS NULL THEN kept || n WHEN n[1].worth > kept[{PLACE}].worth THEN kept[:{PLACE} - 1] || n || kept[{PLACE} + 1:] ELSE kept END)) AS k FROM g)
+SELECT {", ".join(f"k.{c}" for c in COLLAPSED)} FROM f""",
+)
 def collapse_precision_duplicates(spark, sf_dir):
     events = resolved(spark, sf_dir).withColumn("source", F.concat(F.lit("p"), F.col("source_priority").cast("string")))
-    out = dividends.collapse_precision_duplicates(events.select("dividend_id", "symbol", "fiscal_year", "currency", F.col("amount_per_share").cast("double").alias("amount_per_share"), "announcement_date", "payment_date", "event_status", "source", "source_document_id"))
-    return out
+    return dividends.collapse_precision_duplicates(events.withColumn("amount_per_share", F.col("amount_per_share").cast("double")).select(*COLLAPSED))
 
 
 STRUCTURED = """r AS (SELECT symbol, o_orderkey AS position, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE amount_per_share END AS cash_div_tax, amount_per_share AS cash_div, currency, strftime(announcement_date, '%Y%m%d') AS ann_date,

@@ -126,9 +126,9 @@ def session_filter(spark, sf_dir):
     return realtime.session_filter(table(spark, sf_dir, "events").select("event_id", raw.alias("raw_session"))).select("event_id", "session", "rejected")
 
 
-@query("stream_canonical", "SELECT bar_time, count(DISTINCT symbol) AS bars FROM fx_raw_bar WHERE bar_time < TIMESTAMP '1996-01-01' GROUP BY 1")
+@query("stream_canonical", "SELECT bar_time, count(DISTINCT symbol) AS bars FROM fx_raw_bar GROUP BY 1")
 def stream_canonical(spark, sf_dir):
-    return stream_canonical_rows(spark, sf_dir).where("bar_time < '1996-01-01'").groupBy("bar_time").agg(F.count_distinct("symbol").alias("bars"))
+    return stream_canonical_rows(spark, sf_dir).groupBy("bar_time").agg(F.count_distinct("symbol").alias("bars"))
 
 
 @query("stream_canonical_rows")

@@ -31,9 +31,9 @@ def indicators(spark, sf_dir):
     return reference_data.indicators(rows, country="US")
 
 
-@query("normalize_event", "SELECT event_id AS row_id, substr(sha256(concat_ws('|', lower(country), lower(event_name), event_date, event_time)), 1, 24) AS event_id, CASE country WHEN 'US' THEN 'America/New_York' ELSE 'Asia/Shanghai' END AS time_zone, CASE WHEN country = 'CN' AND event_time NOT LIKE '%.%' THEN strptime(concat(event_date, ' ', event_time), '%Y-%m-%d %H:%M:%S') - INTERVAL 8 HOUR WHEN event_time NOT LIKE '%.%' THEN strptime(concat(event_date, ' ', event_time), '%Y-%m-%d %H:%M:%S') + INTERVAL 5 HOUR END AS scheduled_at FROM fx_calendar WHERE event_date < '2024-03-01'")
+@query("normalize_event", "SELECT event_id AS row_id, substr(sha256(concat_ws('|', lower(country), lower(event_name), event_date, event_time)), 1, 24) AS event_id, CASE country WHEN 'US' THEN 'America/New_York' ELSE 'Asia/Shanghai' END AS time_zone, CASE WHEN event_time NOT LIKE '%.%' THEN strptime(concat(event_date, ' ', event_time), '%Y-%m-%d %H:%M:%S') AT TIME ZONE CASE country WHEN 'US' THEN 'America/New_York' ELSE 'Asia/Shanghai' END AT TIME ZONE 'UTC' END AS scheduled_at FROM fx_calendar")
 def normalize_event(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_calendar").where("event_date < '2024-03-01'").withColumnRenamed("event_id", "row_id").withColumnRenamed("country", "market")
+    rows = view(spark, sf_dir, "fx_calendar").withColumnRenamed("event_id", "row_id").withColumnRenamed("country", "market")
     return reference_data.normalize_event(rows).select("row_id", "event_id", "time_zone", "scheduled_at")
 
 
@@ -140,6 +140,7 @@ def newest_quote_age(spark, sf_dir):
 @query("first_available", """WITH r AS (SELECT symbol, arg_min(source, (CASE source WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 1073741824 END, source)) AS source FROM fx_quote WHERE price > 5 GROUP BY 1),
 c AS (SELECT symbol, arg_max(price, (ingested_at, content_rank)) AS price FROM fx_quote GROUP BY 1) SELECT symbol, coalesce(r.source, 'cache') AS source, r.source IS NULL AS stale FROM r FULL JOIN c USING (symbol)""")
 def first_available(spark, sf_dir):
+    """Every symbol of the table: from the first source that answers (with a price over 5), else from the newest stored quote."""
     rows = view(spark, sf_dir, "fx_quote")
     ranks = spark.createDataFrame(reference_data.priorities(["purchase", "click", "view"]), "source string, rank int")
     return reference_data.first_available(rows.where("price > 5"), ranks, versions.latest_quotes(rows)).select("symbol", "source", "stale")
