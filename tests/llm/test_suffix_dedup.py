@@ -60,8 +60,8 @@ def test_a_passage_of_all_documents_is_dealt_out_evenly(spark):
     passage = "a passage that stands in every document of this corpus, word for word, and is longer than a window of two hundred bytes; " * 3
     rows = [(i, f"own words {i * 7919} " + passage + f"and more own words {i * 104729}") for i in range(600)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    docs = frame.withColumn("key", sd.F.xxhash64("text"))
-    dealt = sd.digits(docs.select("text", "key"), 200, 80)
+    docs = frame.withColumn("key", sd.F.xxhash64("text")).withColumn("key2", sd.F.xxhash64(sd.F.lit("again"), "text"))
+    dealt = sd.digits(docs.select("text", "key", "key2"), 200, 80)
     met = dealt.where("NOT settled").groupBy("h", "c").count().agg(sd.F.max("count")).first()[0]
     assert met <= 6  # a row and a witness for each part of the input
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.remove_repeats(frame).collect())
@@ -86,3 +86,11 @@ def test_long_texts_in_pieces(spark, monkeypatch):
 
 def test_an_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_alike_in_one_hash_differ_in_the_other(monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("uvwxyz ") for _ in range(700)).encode() for _ in range(6)]
+    monkeypatch.setattr(sd, "_BYTES", np.zeros(256, np.uint64))
+    first, second = np.concatenate([sd.window_hashes(t, np.arange(501), 200) for t in texts], axis=1)
+    assert len(np.unique(first)) == 1 and len(np.unique(second)) == 6 * 501

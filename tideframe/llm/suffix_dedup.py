@@ -18,8 +18,9 @@ equal surroundings; the others of these are settled and are dealt out evenly, so
 however common it is. Where an anchor's surroundings differ, one text of each surroundings takes its settled windows along
 into pass 3, for others to meet.
 
-Digits are compared by 64-bit hashes (two of them in pass 2). Texts are identified by a 64-bit hash when the
-results go back to them.
+What settles a window is compared by 128 bits, two independent 64-bit hashes each: in pass 2 two of the anchor's
+surroundings, in pass 3 two of the window. Pass 1, whose digit has 64 bits, only opens windows for the others. Texts
+are identified by 128 bits when the results go back to them.
 
 Defined cases: a null text is empty; texts shorter than the window keep all bytes; equal texts of the window's
 length or more are removed whole, each of them. Repeated rows repeat each other. Extra columns are ignored.
@@ -42,15 +43,17 @@ WINDOW, GRAM = 200, 80
 BUFFER = 1 << 19  # bytes that are hashed at once
 KEY_ROWS = 1_000_000  # ids of texts up to which these are sent to all tasks
 
-DIGITS = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("twice", T.BooleanType()), T.StructField("whole", T.BooleanType()), T.StructField("shown", T.BooleanType()), T.StructField("settled", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("pos", T.LongType())])
-FLAGS = T.StructType([T.StructField("key", T.LongType()), T.StructField("code", T.LongType())])
-STATE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("sure", T.ArrayType(T.LongType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.LongType()))])
+DIGITS = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("twice", T.BooleanType()), T.StructField("whole", T.BooleanType()), T.StructField("shown", T.BooleanType()), T.StructField("settled", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("pos", T.LongType())])
+FLAGS = T.StructType([T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("code", T.LongType())])
+STATE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("sure", T.ArrayType(T.LongType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("hashes2", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.LongType()))])
 OPEN = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("start", T.LongType())])
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BYTES = (np.random.default_rng(20240229).integers(0, 1 << 63, 256).astype(_U) << _U(1)) | _U(1)
+_BASE2 = _U(0xD1B54A32D192ED03)
+_BYTES2 = (np.random.default_rng(20240301).integers(0, 1 << 63, 256).astype(_U) << _U(1)) | _U(1)
 _MOST = _U(2**64 - 1)
 np.seterr(over="ignore")
 
@@ -87,11 +90,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 class Prefix:
     """Hashes of any stretch of a buffer."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, table: np.ndarray = _BYTES, base: np.uint64 = _BASE):
         n = len(data)
         self.sums = np.zeros(n + 1, _U)
-        np.cumsum(_BYTES[data] * powers(_BASE, n), out=self.sums[1:])
-        self.back = powers(_inverse(_BASE), n + 1)
+        np.cumsum(table[data] * powers(base, n), out=self.sums[1:])
+        self.back = powers(_inverse(base), n + 1)
 
     def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return (self.sums[high] - self.sums[low]) * self.back[low]
@@ -111,8 +114,8 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc, fill: np.uint64) -> np.n
     return best(tail[:n], head[width - 1 : width - 1 + n])
 
 
-def anchors(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text number, position, hash of the gram, hash of the surroundings) of all anchors, some texts at a time.
+def anchors(texts: list[bytes], window: int, gram: int, second: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text number, position, hash of the gram, hash of the surroundings, if asked a second one of these) of all anchors, some texts at a time.
 
     Long texts go through in pieces that overlap by more than any anchor looks.
     """
@@ -128,13 +131,13 @@ def anchors(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[np.nda
             held.append((i, low, core, stop, text[low : stop + margin]))
             size += len(held[-1][4])
             if size >= BUFFER:
-                yield _anchors(held, texts, window, gram)
+                yield _anchors(held, texts, window, gram, second)
                 held, size = [], 0
     if held:
-        yield _anchors(held, texts, window, gram)
+        yield _anchors(held, texts, window, gram, second)
 
 
-def _anchors(held: list[tuple[int, int, int, int, bytes]], texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
+def _anchors(held: list[tuple[int, int, int, int, bytes]], texts: list[bytes], window: int, gram: int, second: bool) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
     sizes = np.array([len(x[4]) for x in held])
     edges = np.concatenate([[0], np.cumsum(sizes)])
@@ -157,18 +160,22 @@ def _anchors(held: list[tuple[int, int, int, int, bytes]], texts: list[bytes], w
     low = np.maximum(pos - (window - gram), 0)
     high = np.minimum(pos + window, np.array([len(texts[x[0]]) for x in held])[piece])
     shift = at - pos
-    c = _mix(prefix.of(low + shift, high + shift) + _mix(((pos - low) << 32 | (high - pos)).astype(_U)))
-    return text, pos, h[at], c
+    sizes = _mix(((pos - low) << 32 | (high - pos)).astype(_U))
+    around = [prefix, Prefix(data, _BYTES2, _BASE2)] if second else [prefix]
+    return text, pos, h[at], *(_mix(x.of(low + shift, high + shift) + sizes) for x in around)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """For each row of sorted columns, whether it differs from the one before it; the first does."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return new
 
 
 def _counts(*columns: np.ndarray) -> np.ndarray:
     """For each row, how often its values occur."""
     order = np.lexsort(columns)
-    new = np.ones(len(order), bool)
-    new[1:] = False
-    for x in columns:
-        new[1:] |= x[order[1:]] != x[order[:-1]]
-    group = np.cumsum(new) - 1
+    group = np.cumsum(_changes(*(x[order] for x in columns))) - 1
     out = np.empty(len(order), np.int64)
     out[order] = np.bincount(group)[group]
     return out
@@ -180,20 +187,20 @@ def digits(documents: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Of texts that are equal within the batch, one stands for all.
-            keys, first, copies = np.unique(np.array(common.values(batch, "key"), np.int64), return_index=True, return_counts=True)
+            keys = np.array([common.values(batch, "key"), common.values(batch, "key2")], np.int64).T
+            keys, first, copies = np.unique(keys, axis=0, return_index=True, return_counts=True)
             texts = [x for x in common.utf8(batch.take(pa.array(first)), "text")]
-            found = list(anchors(texts, window, gram))
+            found = list(anchors(texts, window, gram, second=True))
             if not found:
                 continue
-            text, pos, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
+            text, pos, h, c, c2 = (np.concatenate(x) for x in zip(*found, strict=True))
             many = copies[text] > 1
-            by_h, by_c = _counts(h), _counts(h, c)
+            by_h, by_c = _counts(h), _counts(h, c, c2)
             whole, twice = (by_c > 1) | many, (by_h > 1) | many
             # Of surroundings that differ within the batch, the first text of each shows its windows.
             shown = np.zeros(len(h), bool)
-            rows = np.lexsort((c, h))
-            new = np.ones(len(rows), bool)
-            new[1:] = (h[rows][1:] != h[rows][:-1]) | (c[rows][1:] != c[rows][:-1])
+            rows = np.lexsort((c2, c, h))
+            new = _changes(h[rows], c[rows], c2[rows])
             shown[rows[new]] = by_h[rows[new]] > by_c[rows[new]]
             settled = np.ones(len(h), bool)  # but for the first of each surroundings
             settled[rows[new]] = False
@@ -204,11 +211,13 @@ def digits(documents: DataFrame, window: int, gram: int) -> DataFrame:
             columns = [
                 pa.array(h[pick].view(np.int64)),
                 pa.array(c[pick].view(np.int64)),
+                pa.array(c2[pick].view(np.int64)),
                 pa.array(twice[pick] & ~none),
                 pa.array(whole[pick]),
                 pa.array(shown[pick]),
                 pa.array(settled[pick] & ~none),
-                pa.array(keys[text[pick]]),
+                pa.array(keys[text[pick], 0]),
+                pa.array(keys[text[pick], 1]),
                 pa.array(pos[pick], pa.int64()),
             ]
             out = pa.RecordBatch.from_arrays(columns, names=DIGITS.names)
@@ -248,18 +257,18 @@ def _runs(columns: list[str], judge, names: list[str]):
 def _flag(batch: pa.RecordBatch, near: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     get = lambda c: batch.column(batch.schema.get_field_index(c))
     flag = lambda c: get(c).to_numpy(zero_copy_only=False)
-    _, (h_before, h_after), (c_before, c_after) = near
+    _, (h_before, h_after), _, (c_before, c_after) = near
     twice = h_before | h_after | flag("twice") | flag("whole")
     whole = c_before | c_after | flag("whole")
     shown = (h_before & ~c_before) | (h_after & ~c_after) | flag("shown")
     rows = np.flatnonzero(twice)
     code = 4 * get("pos").to_numpy()[rows] + 2 * shown[rows] + whole[rows]
-    return pa.RecordBatch.from_arrays([get("key").take(pa.array(rows)), pa.array(code, pa.int64())], names=FLAGS.names)
+    return pa.RecordBatch.from_arrays([get("key").take(pa.array(rows)), get("key2").take(pa.array(rows)), pa.array(code, pa.int64())], names=FLAGS.names)
 
 
 def _answer(batch: pa.RecordBatch, near: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     get = lambda c: batch.column(batch.schema.get_field_index(c))
-    rows = pa.array(np.flatnonzero((near[0][0] | near[0][1]) & (get("start").to_numpy() >= 0)))
+    rows = pa.array(np.flatnonzero((near[1][0] | near[1][1]) & (get("start").to_numpy() >= 0)))
     return pa.RecordBatch.from_arrays([get("row_id").take(rows), get("start").take(rows)], names=OPEN.names)
 
 
@@ -267,10 +276,10 @@ def flags(documents: DataFrame, window: int, gram: int) -> DataFrame:
     """For each text's key the codes of its repeated anchors: 4 times the position, 2 more if it shows its windows, 1 more where pass 2 settled it."""
     n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = digits(documents, window, gram)
-    even = F.when(F.col("settled"), F.xxhash64("key", "pos")).when(F.col("twice"), F.xxhash64("h", "c")).otherwise(F.col("h"))
-    dealt = rows.repartition(n, even).sortWithinPartitions("twice", "h", "c")
+    even = F.when(F.col("settled"), F.xxhash64("key", "pos")).when(F.col("twice"), F.xxhash64("h", "c", "c2")).otherwise(F.col("h"))
+    dealt = rows.repartition(n, even).sortWithinPartitions("twice", "h", "c", "c2")
     # Rows that are known to be repeated and their witnesses stay apart: a row never meets its own witness.
-    return dealt.mapInArrow(_runs(["twice", "h", "c"], _flag, FLAGS.names), FLAGS).groupBy("key").agg(F.collect_set("code").alias("codes"))
+    return dealt.mapInArrow(_runs(["twice", "h", "c", "c2"], _flag, FLAGS.names), FLAGS).groupBy("key", "key2").agg(F.collect_set("code").alias("codes"))
 
 
 def stretches(mask: np.ndarray) -> list[int]:
@@ -280,13 +289,15 @@ def stretches(mask: np.ndarray) -> list[int]:
 
 
 def window_hashes(text: bytes, starts: np.ndarray, window: int) -> np.ndarray:
-    out = np.empty(len(starts), _U)
+    """Two hashes of each window that starts at one of the ascending starts."""
+    out = np.empty((2, len(starts)), _U)
     for low in range(0, len(text), BUFFER):
         a, b = np.searchsorted(starts, [low, low + BUFFER])
         if a < b:
-            prefix = Prefix(np.frombuffer(text, np.uint8)[low : low + BUFFER + window])
+            data = np.frombuffer(text, np.uint8)[low : low + BUFFER + window]
             at = starts[a:b] - low
-            out[a:b] = _mix(prefix.of(at, at + window))
+            for row, prefix in zip(out, (Prefix(data, _BYTES, _BASE), Prefix(data, _BYTES2, _BASE2)), strict=True):
+                row[a:b] = _mix(prefix.of(at, at + window))
     return out
 
 
@@ -329,23 +340,24 @@ def settle(documents: DataFrame, window: int, gram: int) -> DataFrame:
                     opened.append(np.flatnonzero(repeated & (~yes | show)))
                     hashes.append(window_hashes(data, opened[-1], window))
                 # What is known to be repeated, or occurs twice in the part, needs no answer; one witness of it goes out.
-                flat = np.concatenate(hashes)
+                flat, flat2 = np.concatenate(hashes, axis=1)
                 known = np.concatenate([s[o] for s, o in zip(sure, opened, strict=True)])
-                again = known | (_counts(flat) > 1)
+                again = known | (_counts(flat2, flat) > 1)
                 first = np.zeros(len(flat), bool)
                 where = np.flatnonzero(again)
-                first[where[np.unique(flat[where], return_index=True)[1]]] = True
+                where = where[np.lexsort((flat2[where], flat[where]))]
+                first[where[_changes(flat[where], flat2[where])]] = True
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in opened])])
                 rows = []
                 for i in range(len(texts)):
                     own = slice(ends[i], ends[i + 1])
                     sure[i][opened[i][again[own]]] = True
                     ask = ~again[own] | first[own]
-                    rows.append((number + i, stretches(sure[i]), hashes[i][ask].view(np.int64), np.where(again[own], -1, opened[i])[ask]))
+                    rows.append((number + i, stretches(sure[i]), *(x[ask].view(np.int64) for x in hashes[i]), np.where(again[own], -1, opened[i])[ask]))
                 number += len(texts)
                 lists = lambda k, rows=rows: pa.array([r[k] for r in rows], pa.list_(pa.int64()))
                 ids = part.column(part.schema.get_field_index("doc_id"))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids, pa.array(texts, pa.binary()), lists(1), lists(2), lists(3)], names=STATE.names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids, pa.array(texts, pa.binary()), lists(1), lists(2), lists(3), lists(4)], names=STATE.names)
 
     return documents.mapInArrow(run, STATE)
 
@@ -355,20 +367,21 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int | None
     gram = gram or max(1, min(GRAM, window * 2 // 5))
     spark = documents.sparkSession
     common.ship(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    flagged = common.written(flags(docs.select("text", "key"), window, gram))
-    keys = flagged.select("key")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text")).withColumn("key2", F.xxhash64(F.lit("again"), "text"))
+    flagged = common.written(flags(docs.select("text", "key", "key2"), window, gram))
+    text_id = ["key", "key2"]
+    keys = flagged.select(*text_id)
     keys = F.broadcast(keys) if common.small_enough(keys, KEY_ROWS) else keys
-    touched = docs.join(keys, "key", "left_semi").join(flagged, "key").select("doc_id", "text", "codes")
+    touched = docs.join(keys, text_id, "left_semi").join(flagged, text_id).select("doc_id", "text", "codes")
     state = common.written(settle(touched, window, gram))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = state.select("row_id", F.explode(F.arrays_zip("hashes", "starts")).alias("x")).select("row_id", F.col("x.hashes").alias("h"), F.col("x.starts").alias("start"))
-    answers = asked.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_runs(["h"], _answer, OPEN.names), OPEN)
+    asked = state.select("row_id", F.explode(F.arrays_zip("hashes", "hashes2", "starts")).alias("x")).select("row_id", F.col("x.hashes").alias("h"), F.col("x.hashes2").alias("h2"), F.col("x.starts").alias("start"))
+    answers = asked.repartition(n, "h", "h2").sortWithinPartitions("h", "h2").mapInArrow(_runs(["h", "h2"], _answer, OPEN.names), OPEN)
     # Windows of one stretch overlap, so the first and the last cover all between them.
     answers = answers.groupBy("row_id", F.floor(F.col("start") / max(1, window // 2)).alias("piece")).agg(F.min("start").alias("a"), F.max("start").alias("b"))
     answers = common.written(answers.groupBy("row_id").agg(F.flatten(F.collect_list(F.array("a", F.col("b") + 1))).alias("more")))
     more = common.sent(answers, KEY_ROWS // 10)
-    cut = state.drop("hashes", "starts").join(more, "row_id", "left")
+    cut = state.drop("hashes", "hashes2", "starts").join(more, "row_id", "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc_id, data, sure, more in zip(common.values(batch, "doc_id"), common.utf8(batch, "text"), common.values(batch, "sure"), common.values(batch, "more"), strict=True):
@@ -380,5 +393,5 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int | None
             yield doc_id, len(data), int(gone.sum()), len(stretches(gone)) // 2, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
     done = cut.select("doc_id", "text", "sure", "more").mapInArrow(common.arrow_rows(RESULT, run), RESULT)
-    rest = docs.join(keys, "key", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
+    rest = docs.join(keys, text_id, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
     return done.union(rest)
