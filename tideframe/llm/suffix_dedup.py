@@ -18,9 +18,9 @@ equal surroundings; the others of these are settled and are dealt out evenly, so
 however common it is. Where an anchor's surroundings differ, one text of each surroundings takes its settled windows along
 into pass 3, for others to meet.
 
-What settles a window is compared by 128 bits, two independent 64-bit hashes each: in pass 2 two of the anchor's
-surroundings, in pass 3 two of the window. Pass 1, whose digit has 64 bits, only opens windows for the others. Texts
-are identified by 128 bits when the results go back to them.
+What settles a window is compared by 96 bits, a hash of 64 and an independent one of 32: in pass 2 of the anchor's
+surroundings, in pass 3 of the window. Pass 1, whose digit has 64 bits, only opens windows for the others. Texts are
+identified by 96 bits when the results go back to them. The 32 bits share a long with another field, as they are shuffled.
 
 Defined cases: a null text is empty; texts shorter than the window keep all bytes; equal texts of the window's
 length or more are removed whole, each of them. Repeated rows repeat each other. Extra columns are ignored.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,9 +43,9 @@ WINDOW, GRAM = 200, 80
 BUFFER = 1 << 19  # bytes that are hashed at once
 KEY_ROWS = 1_000_000  # ids of texts up to which these are sent to all tasks
 
-DIGITS = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("twice", T.BooleanType()), T.StructField("whole", T.BooleanType()), T.StructField("shown", T.BooleanType()), T.StructField("settled", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("pos", T.LongType())])
+DIGITS = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("x", T.LongType()), T.StructField("twice", T.BooleanType()), T.StructField("whole", T.BooleanType()), T.StructField("shown", T.BooleanType()), T.StructField("settled", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("pos", T.LongType())])
 FLAGS = T.StructType([T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("code", T.LongType())])
-STATE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("sure", T.ArrayType(T.LongType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("hashes2", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.LongType()))])
+STATE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("sure", T.ArrayType(T.LongType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType()))])
 OPEN = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("start", T.LongType())])
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
@@ -55,6 +55,7 @@ _BYTES = (np.random.default_rng(20240229).integers(0, 1 << 63, 256).astype(_U) <
 _BASE2 = _U(0xD1B54A32D192ED03)
 _BYTES2 = (np.random.default_rng(20240301).integers(0, 1 << 63, 256).astype(_U) << _U(1)) | _U(1)
 _MOST = _U(2**64 - 1)
+_HALF, _LOW = _U(32), _U(2**32 - 1)
 np.seterr(over="ignore")
 
 
@@ -194,6 +195,7 @@ def digits(documents: DataFrame, window: int, gram: int) -> DataFrame:
             if not found:
                 continue
             text, pos, h, c, c2 = (np.concatenate(x) for x in zip(*found, strict=True))
+            c2 &= _LOW
             many = copies[text] > 1
             by_h, by_c = _counts(h), _counts(h, c, c2)
             whole, twice = (by_c > 1) | many, (by_h > 1) | many
@@ -211,13 +213,12 @@ def digits(documents: DataFrame, window: int, gram: int) -> DataFrame:
             columns = [
                 pa.array(h[pick].view(np.int64)),
                 pa.array(c[pick].view(np.int64)),
-                pa.array(c2[pick].view(np.int64)),
+                pa.array((c2[pick] << _HALF | keys[text[pick], 1].view(_U)).view(np.int64)),
                 pa.array(twice[pick] & ~none),
                 pa.array(whole[pick]),
                 pa.array(shown[pick]),
                 pa.array(settled[pick] & ~none),
                 pa.array(keys[text[pick], 0]),
-                pa.array(keys[text[pick], 1]),
                 pa.array(pos[pick], pa.int64()),
             ]
             out = pa.RecordBatch.from_arrays(columns, names=DIGITS.names)
@@ -272,12 +273,20 @@ def _answer(batch: pa.RecordBatch, near: list[tuple[np.ndarray, np.ndarray]]) ->
     return pa.RecordBatch.from_arrays([get("row_id").take(rows), get("start").take(rows)], names=OPEN.names)
 
 
+def _high(name: str) -> Column:
+    return F.shiftright(name, 32)
+
+
+def _low(name: str) -> Column:
+    return F.col(name).bitwiseAND(F.lit(2**32 - 1))
+
+
 def flags(documents: DataFrame, window: int, gram: int) -> DataFrame:
     """For each text's key the codes of its repeated anchors: 4 times the position, 2 more if it shows its windows, 1 more where pass 2 settled it."""
     n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = digits(documents, window, gram)
-    even = F.when(F.col("settled"), F.xxhash64("key", "pos")).when(F.col("twice"), F.xxhash64("h", "c", "c2")).otherwise(F.col("h"))
-    dealt = rows.repartition(n, even).sortWithinPartitions("twice", "h", "c", "c2")
+    even = F.when(F.col("settled"), F.xxhash64("key", "pos")).when(F.col("twice"), F.xxhash64("h", "c")).otherwise(F.col("h"))
+    dealt = rows.repartition(n, even).sortWithinPartitions("twice", "h", "c", "x").withColumns({"c2": _high("x"), "key2": _low("x")})
     # Rows that are known to be repeated and their witnesses stay apart: a row never meets its own witness.
     return dealt.mapInArrow(_runs(["twice", "h", "c", "c2"], _flag, FLAGS.names), FLAGS).groupBy("key", "key2").agg(F.collect_set("code").alias("codes"))
 
@@ -312,7 +321,7 @@ def _least(places: np.ndarray, hashes: np.ndarray, keep: np.ndarray | None, n: i
 
 
 def settle(documents: DataFrame, window: int, gram: int) -> DataFrame:
-    """From texts with the codes of their anchors: the windows surely repeated, and the hashes of the open ones (start -1: a witness)."""
+    """From texts with the codes of their anchors: the windows surely repeated, and of the open ones a hash, and a second one over the start plus 1 (0: a witness)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
@@ -341,6 +350,7 @@ def settle(documents: DataFrame, window: int, gram: int) -> DataFrame:
                     hashes.append(window_hashes(data, opened[-1], window))
                 # What is known to be repeated, or occurs twice in the part, needs no answer; one witness of it goes out.
                 flat, flat2 = np.concatenate(hashes, axis=1)
+                flat2 &= _LOW
                 known = np.concatenate([s[o] for s, o in zip(sure, opened, strict=True)])
                 again = known | (_counts(flat2, flat) > 1)
                 first = np.zeros(len(flat), bool)
@@ -353,11 +363,11 @@ def settle(documents: DataFrame, window: int, gram: int) -> DataFrame:
                     own = slice(ends[i], ends[i + 1])
                     sure[i][opened[i][again[own]]] = True
                     ask = ~again[own] | first[own]
-                    rows.append((number + i, stretches(sure[i]), *(x[ask].view(np.int64) for x in hashes[i]), np.where(again[own], -1, opened[i])[ask]))
+                    rows.append((number + i, stretches(sure[i]), flat[own][ask].view(np.int64), (flat2[own] << _HALF | np.where(again[own], 0, opened[i] + 1).astype(_U))[ask].view(np.int64)))
                 number += len(texts)
                 lists = lambda k, rows=rows: pa.array([r[k] for r in rows], pa.list_(pa.int64()))
                 ids = part.column(part.schema.get_field_index("doc_id"))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids, pa.array(texts, pa.binary()), lists(1), lists(2), lists(3), lists(4)], names=STATE.names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids, pa.array(texts, pa.binary()), lists(1), lists(2), lists(3)], names=STATE.names)
 
     return documents.mapInArrow(run, STATE)
 
@@ -367,7 +377,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int | None
     gram = gram or max(1, min(GRAM, window * 2 // 5))
     spark = documents.sparkSession
     common.ship(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text")).withColumn("key2", F.xxhash64(F.lit("again"), "text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text")).withColumn("key2", F.shiftrightunsigned(F.xxhash64(F.lit("again"), "text"), 32))
     flagged = common.written(flags(docs.select("text", "key", "key2"), window, gram))
     text_id = ["key", "key2"]
     keys = flagged.select(*text_id)
@@ -375,13 +385,14 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int | None
     touched = docs.join(keys, text_id, "left_semi").join(flagged, text_id).select("doc_id", "text", "codes")
     state = common.written(settle(touched, window, gram))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = state.select("row_id", F.explode(F.arrays_zip("hashes", "hashes2", "starts")).alias("x")).select("row_id", F.col("x.hashes").alias("h"), F.col("x.hashes2").alias("h2"), F.col("x.starts").alias("start"))
-    answers = asked.repartition(n, "h", "h2").sortWithinPartitions("h", "h2").mapInArrow(_runs(["h", "h2"], _answer, OPEN.names), OPEN)
+    asked = state.select("row_id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("row_id", F.col("x.hashes").alias("h"), F.col("x.places").alias("x"))
+    met = asked.repartition(n, "h").sortWithinPartitions("h", "x").select("row_id", "h", _high("x").alias("h2"), (_low("x") - 1).alias("start"))
+    answers = met.mapInArrow(_runs(["h", "h2"], _answer, OPEN.names), OPEN)
     # Windows of one stretch overlap, so the first and the last cover all between them.
     answers = answers.groupBy("row_id", F.floor(F.col("start") / max(1, window // 2)).alias("piece")).agg(F.min("start").alias("a"), F.max("start").alias("b"))
     answers = common.written(answers.groupBy("row_id").agg(F.flatten(F.collect_list(F.array("a", F.col("b") + 1))).alias("more")))
     more = common.sent(answers, KEY_ROWS // 10)
-    cut = state.drop("hashes", "hashes2", "starts").join(more, "row_id", "left")
+    cut = state.drop("hashes", "places").join(more, "row_id", "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc_id, data, sure, more in zip(common.values(batch, "doc_id"), common.utf8(batch, "text"), common.values(batch, "sure"), common.values(batch, "more"), strict=True):
