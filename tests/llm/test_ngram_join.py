@@ -162,3 +162,16 @@ def test_every_link_shares_more_signatures_than_the_slack(percent):
             if 100 * both >= percent * (len(a) + len(b) - both) and len(a) != both:
                 slack = max(s for low, s in [(0, 0), *nj.slacks(percent)] if low <= min(len(a), len(b)))
                 assert np.intersect1d(nj.signatures(a, percent, known), nj.signatures(b, percent, known)).size > slack
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_repeated_rows_count_once(spark, width, percent):
+    """Pairs a little below the threshold, one row of each repeated."""
+    rows = []
+    for k in range(12):
+        words = [f"a{k}x{i}" for i in range(40)]
+        other = [w if i % 20 or not i else f"b{k}x{i}" for i, w in enumerate(words[: 40 - k])]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(other))]
+    rows += rows
+    got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, width, percent)

@@ -26,7 +26,7 @@ n-grams whole. Extra columns, also those named as the results, are ignored. An e
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -361,19 +361,23 @@ def _pairs(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(kind[at].astype(np.int32)), pa.array(np.add.reduceat(times, at))], names=PAIRS.names)
 
 
-def close_pairs(pairs: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b, need, far), nearest by sketch if far is least, that nothing rules out, and the star edges (a, b) that count.
+def slack_by_size(percent: int) -> Column:
+    slack = F.lit(0)
+    for low, most in slacks(percent):
+        slack = F.when(F.col("n") >= low, F.lit(most)).otherwise(slack)
+    return slack
+
 
-    sizes: sid, n, sketch. need is the overlap of a link. Linked sets have more equal signatures than their
+def asked_pairs(pairs: DataFrame, sizes: DataFrame, percent: int, slack: Column, of: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b, n_a, n_b, s_a, s_b; s from the column `of` of sizes) that signatures and sizes don't rule out, and the star edges (a, b) that count.
+
+    sizes: sid, n, `of`. Linked sets have more equal signatures than their
     slack, so a pair needs as many, counted over all signatures, those of stars being taken as equal. A set with no more than
     that in stars has a rarer signature in common with each set that it is linked with, and so needs no star. What
-    stands for others in a part of the input keeps its edge. Then sizes and sketches rule pairs out.
+    stands for others in a part of the input keeps its edge.
     """
     kinds = common.written(pairs.groupBy("a", "b", "kind").agg(F.sum("times").alias("times")))
     hot = kinds.where("kind > 0").groupBy(F.col("a").alias("sid")).agg(F.sum("times").alias("hot"), F.max(F.col("kind") == 2).alias("stands"))
-    slack = F.lit(0)
-    for low, most in slacks(percent):
-        slack = F.when(F.col("n") >= low, F.lit(most)).otherwise(slack)
     known = sizes.select("sid", "n").join(hot, "sid", "left").select("sid", "n", slack.alias("slack"), F.coalesce("hot", F.lit(0)).alias("hot"), F.coalesce("stands", F.lit(False)).alias("stands"))
     known = common.written(known)
     needed = common.written(known.where("stands OR hot > slack").select("sid"))
@@ -387,8 +391,16 @@ def close_pairs(pairs: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataF
         asked = asked.join(F.broadcast(side) if small else side, x)
     asked = asked.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND times + least(hot_a, hot_b) > least(slack_a, slack_b)")
     for x in ("a", "b"):
-        asked = asked.join(sizes.select(F.col("sid").alias(x), F.col("sketch").alias(f"s_{x}")), x)
-    asked = asked.select("a", "b", "n_a", "n_b", "s_a", "s_b")
+        asked = asked.join(sizes.select(F.col("sid").alias(x), F.col(of).alias(f"s_{x}")), x)
+    return asked.select("a", "b", "n_a", "n_b", "s_a", "s_b"), stars
+
+
+def close_pairs(pairs: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b, need, far), nearest by sketch if far is least, that neither signatures, sizes nor sketches rule out, and the star edges.
+
+    need is the overlap of a link.
+    """
+    asked, stars = asked_pairs(pairs, sizes, percent, slack_by_size(percent), "sketch")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,19 +440,21 @@ def _texts_of(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     return found
 
 
-def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, segments: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
     """Those of the pairs (a, b, need) whose overlap reaches need, as a written table.
 
     Segments meet by set and fragment. A fragment counts nothing where the lengths before and after it and its own overlap
-    rule the pair out; the partial counts are summed for each pair.
+    rule the pair out; the partial counts are summed for each pair. A repeated row gives its segments again, so a
+    fragment counts once however often it comes.
     """
     side = lambda x: segments.select(F.col("sid").alias(x), "fragment", *(F.col(c).alias(f"{c}_{x}") for c in ("before", "after", "grams")))
     met = pairs.select("a", "b", "need").join(side("a"), "a").join(side("b"), ["b", "fragment"])
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     apart = F.abs(F.col("before_a") - F.col("before_b")) + F.abs(F.col("after_a") - F.col("after_b")) + F.size("grams_a") + F.size("grams_b")
     total = F.col("before_a") + F.col("after_a") + F.size("grams_a") + F.col("before_b") + F.col("after_b") + F.size("grams_b")
-    parts = met.select("a", "b", "need", both.alias("both"), apart.alias("apart"), total.alias("total")).where("both > 0 AND apart - 2 * both <= total - 2 * need")
-    return common.written(parts.groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("need").alias("need")).where("both >= need").select("a", "b"))
+    parts = met.select("a", "b", "need", "fragment", both.alias("both"), apart.alias("apart"), total.alias("total")).where("both > 0 AND apart - 2 * both <= total - 2 * need")
+    once = [F.coalesce(F.max(F.when(F.col("fragment") == f, F.col("both"))), F.lit(0)) for f in range(fragments)]
+    return common.written(parts.groupBy("a", "b").agg(sum(once[1:], once[0]).alias("both"), F.max("need").alias("need")).where("both >= need").select("a", "b"))
 
 
 def close_in_block(own: np.ndarray, ids: np.ndarray, n: np.ndarray, of: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
@@ -629,7 +643,7 @@ def stars_left(documents: DataFrame, sizes: DataFrame, stars: DataFrame, compone
     near = common.written(near)
     if near.isEmpty():
         return None
-    chosen = members.drop("sketch").join(common.sent(near, HASHED_ROWS), "sid", "left_semi")
+    chosen = members.drop("sketch", "registers").join(common.sent(near, HASHED_ROWS), "sid", "left_semi")
     met = common.written(in_blocks(chosen, F.col("n"), BLOCK_SETS, BLOCK_GRAMS, percent))
     keep = ["cluster", "component", "sid", "own", "others"]
     schema = T.StructType([*(met.schema[c] for c in keep), T.StructField("grams", T.BinaryType())])
@@ -642,11 +656,14 @@ def stars_left(documents: DataFrame, sizes: DataFrame, stars: DataFrame, compone
     return common.written(_dealt(found, ["component", "sid", "grams"]).mapInArrow(common.released(_blocks(percent)), EDGES))
 
 
-def set_links(documents: DataFrame, first: DataFrame, width: int, percent: int, fragments: int = FRAGMENTS) -> DataFrame:
-    """Edges (a, b) between sids that connect exactly what the links between sets connect."""
-    sizes = common.written(first.select("sid", "doc_id", "text_key", F.col("n_shingles").alias("n"), "sketch"))
-    near, stars = close_pairs(candidate_pairs(first), sizes, percent)
-    edges = nearest_first(near, candidate_segments(documents, sizes, near, width, fragments))
+Candidates = Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]]
+
+
+def set_links(documents: DataFrame, first: DataFrame, width: int, percent: int, fragments: int = FRAGMENTS, close: Candidates = close_pairs) -> DataFrame:
+    """Edges (a, b) between sids that connect exactly what the links between candidate sets connect."""
+    sizes = common.written(first.withColumnRenamed("n_shingles", "n").drop("set_hash", "signatures"))
+    near, stars = close(candidate_pairs(first), sizes, percent)
+    edges = nearest_first(near, candidate_segments(documents, sizes, near, width, fragments), fragments)
     if stars.isEmpty():
         return edges
     edges = common.written(edges)
@@ -660,7 +677,7 @@ def candidate_segments(documents: DataFrame, sizes: DataFrame, pairs: DataFrame,
     return segments_of(documents, common.written(sizes.select("sid", "doc_id", "text_key").join(nodes, "sid")), width, fragments)
 
 
-def nearest_first(near: DataFrame, segments: DataFrame) -> DataFrame:
+def nearest_first(near: DataFrame, segments: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
     """Edges (a, b) of candidates (a, b, need, far) that connect what the links among these connect.
 
     Each set's nearest candidate is counted first: what these links connect needs no further count.
@@ -668,11 +685,11 @@ def nearest_first(near: DataFrame, segments: DataFrame) -> DataFrame:
     ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far", "need").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "far", "need"))
     nearest = ends.groupBy("x").agg(F.min(F.struct("far", "y", "need")).alias("to"))
     nearest = common.written(nearest.select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b"), "to.need").distinct())
-    edges = linked(nearest, segments)
+    edges = linked(nearest, segments, fragments)
     now = common.written(components(edges))
     rest = near.join(nearest.select("a", "b"), ["a", "b"], "left_anti")
     rest = with_component(with_component(rest, now, "a", "ca"), now, "b", "cb").where("ca <> cb")
-    return edges.union(linked(rest, segments))
+    return edges.union(linked(rest, segments, fragments))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -680,9 +697,13 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     Links are pairs with 100 * intersection >= percent * union of their n-gram sets.
     """
-    sets = sets_of(documents, width, percent)
+    return classes(documents, sets_of(documents, width, percent), width, percent)
+
+
+def classes(documents: DataFrame, sets: DataFrame, width: int, percent: int, close: Candidates = close_pairs) -> DataFrame:
+    """near_duplicates() from a table of SETS (and maybe registers), candidates being those that close gives."""
     first, again = distinct_sets(sets)
-    component = common.written(components(set_links(documents, first, width, percent)))
+    component = common.written(components(set_links(documents, first, width, percent, close=close)))
     rows = sets.select("row_id", "doc_id", "text_key", "n_shingles", "set_hash").join(common.sent(again, HASHED_ROWS), "set_hash", "left")
     rows = rows.withColumn("sid", F.when(F.col("set_hash").isNotNull(), F.coalesce("sid", "row_id"))).drop("row_id", "set_hash")
     rows = common.written(with_component(rows, component, "sid", "group_id").drop("sid"))
