@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.operators.ranges import before_each, range_size
 from tideframe.operators.versions import newest
 
 
@@ -24,21 +25,32 @@ def with_effective_time(bars: DataFrame, point: Column) -> DataFrame:
     return out.withColumn("match_kind", F.when(F.col("staleness_seconds") == 0, "exact").otherwise("prior_within_lookback"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tolerance: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tolerance: int | None = None, span: int | None = None) -> DataFrame:
     """left with the values of the latest row of right at or before its time, within tolerance seconds.
 
     Both sides go through one window in time order, rows of right first on equal times, so the work is linear:
-    no range join. The carried struct is the last one seen. With a tolerance, series are cut into spans of 16 tolerances and a row
-    of right that reaches into the next span is put there too, so that no task holds a whole series; without one it must.
+    no range join. The carried struct is the last one seen. Series are cut into spans of time, so that no task holds a whole one: with a
+    tolerance into spans of 16 tolerances, where a row of right that reaches into the next span is put there too; without one
+    into spans of some ten thousand rows, where the last row before a span is put at its beginning.
     """
     carried = F.struct(F.col(right_time).alias("matched_time"), *values)
     whole = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    span = 16 * max(tolerance or 0, 1)
-    spot = F.lit(0) if tolerance is None else F.floor(whole(left_time) / span)
-    reach = F.array(F.lit(0)) if tolerance is None else F.array_distinct(F.array(F.floor(whole(right_time) / span), F.floor((whole(right_time) + tolerance) / span)))
+    if tolerance is None:
+        span = span or range_size(right, whole(right_time))
+        reach = F.array(F.floor(whole(right_time) / span))
+    else:
+        span = 16 * max(tolerance, 1)
+        reach = F.array_distinct(F.array(F.floor(whole(right_time) / span), F.floor((whole(right_time) + tolerance) / span)))
+    spot = F.floor(whole(left_time) / span)
     rows = right.select(*by, F.explode(reach).alias("_span"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), carried.alias("_value"))
     own = [c for c in left.columns if c not in by]
     points = left.select(*by, spot.alias("_span"), F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*own).alias("_left"))
+    if tolerance is None:
+        last = rows.groupBy(*by, "_span").agg(F.max("_time").alias("_time"), F.max_by("_value", "_time").alias("_value"))
+        asked = points.select(*by, "_span").distinct()
+        spans = last.unionByName(asked, allowMissingColumns=True).groupBy(*by, "_span").agg(F.max("_time").alias("_time"), F.max_by("_value", "_time").alias("_value"))
+        first = before_each(spans, by, "_span", "_value", "_time").where("before IS NOT NULL")
+        rows = rows.unionByName(first.select(*by, "_span", F.col("before.matched_time").alias("_time"), F.lit(0).alias("_side"), F.col("before").alias("_value")))
     both = rows.unionByName(points, allowMissingColumns=True)
     order = Window.partitionBy(*by, "_span").orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = both.withColumn("_match", F.last("_value", ignorenulls=True).over(order)).where("_side = 1")
@@ -48,6 +60,18 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     return joined.select(*by, "_left.*", "_match.matched_time", *(F.col(f"_match.{v}").alias(v) for v in values))
 
 
+def bars_at(bars: DataFrame, points: DataFrame, lookback: int, keys: Sequence[str] = ("symbol",), time: str = "as_of") -> DataFrame:
+    """points (keys and a time, any number of rows) each with its key's latest bar within lookback seconds before it, if there is one.
+
+    effective_bar_at, staleness_seconds and match_kind say how old the bar is; they are null, and match_kind is missing, without one.
+    """
+    values = [c for c in bars.columns if c not in (*keys, "bar_time")]
+    found = asof_join(points, bars, keys, time, "bar_time", values, lookback).withColumnRenamed("matched_time", "effective_bar_at")
+    age = F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(F.col("effective_bar_at").cast("timestamp"))
+    kind = F.when(age.isNull(), "missing").when(age == 0, "exact").otherwise("prior_within_lookback")
+    return found.withColumn("staleness_seconds", age.cast("long")).withColumn("match_kind", kind)
+
+
 def knowable(history: DataFrame, as_of: str) -> DataFrame:
     """Rows published, and observed by us, on or before a date (ISO text)."""
     clocks = [c for c in ("observed_at", "ingested_at", "fetched_at") if c in history.columns]

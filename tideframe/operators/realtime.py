@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.operators.ranges import before_each, range_size
+
 BAR_KEY = ("instrument_id", "source", "session")
 # Event types that every subscriber gets.
 STATUS_TYPES = ("status",)
@@ -15,11 +17,22 @@ def window_start(ts: Column, seconds: int) -> Column:
     return (F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000)) * seconds).cast("long")
 
 
-def with_lateness(trades: DataFrame, seconds: int) -> DataFrame:
-    """trades with window (epoch seconds) and late: its key had already opened a newer window when it arrived."""
-    before = Window.partitionBy(*BAR_KEY).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
-    out = trades.withColumn("window", window_start(F.col("ts_event"), seconds))
-    return out.withColumn("late", F.coalesce(F.max("window").over(before) > F.col("window"), F.lit(False)))
+def with_lateness(trades: DataFrame, seconds: int, span: int | None = None) -> DataFrame:
+    """trades with window (epoch seconds) and late: its key had already opened a newer window when it arrived.
+
+    Arrivals go by ranges of span numbers (by default as many as hold some ten thousand trades). The newest window of a key's earlier ranges
+    comes from the ranges' maxima, that of earlier arrivals in the range from a window over it, so a busy key is spread over all tasks.
+    """
+    size = span or range_size(trades, F.col("arrival_seq"))
+    rows = trades.withColumn("window", window_start(F.col("ts_event"), seconds)).withColumn("_range", F.floor(F.col("arrival_seq") / size))
+    newest = rows.groupBy(*BAR_KEY, "_range").agg(F.max("window").alias("_newest"))
+    known = before_each(newest, BAR_KEY, "_range", "_newest", "_newest").select(*(F.col(k).alias(f"_{k}") for k in BAR_KEY), F.col("_range").alias("_at"), F.col("before").alias("_past"))
+    same = F.col("_range") == F.col("_at")
+    for k in BAR_KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    earlier = Window.partitionBy(*BAR_KEY, "_range").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(known, same, "left").withColumn("_newest", F.greatest(F.max("window").over(earlier), "_past"))
+    return out.withColumn("late", F.coalesce(F.col("_newest") > F.col("window"), F.lit(False))).select(*trades.columns, "window", "late")
 
 
 def trade_bars(trades: DataFrame, seconds: int, with_late: bool = False) -> DataFrame:
@@ -67,20 +80,43 @@ def sequence_gaps(events: DataFrame, key: str = "stream_id") -> DataFrame:
     return steps.select(key, (F.col("_before") + 1).alias("gap_start"), (F.col("sequence") - 1).alias("gap_end"), (F.col("sequence") - F.col("_before") - 1).alias("missing"))
 
 
-def filtered_delivery(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Each subscriber's stream: all sequences, each a full event if subscribed or a status, else a watermark.
+def delivery_runs(events: DataFrame, subscriptions: DataFrame, span: int | None = None) -> DataFrame:
+    """Each subscriber's stream, run by run: first_sequence, last_sequence, delivered and reason.
 
-    subscriptions: (subscriber, instrument_id, event_type), one row for each; the wanted rows come from an equi-join,
-    and every subscriber's other sequences are the rest of the stream.
+    A full event (subscribed, or a status) is a run of its own; the sequences between two of them are one run, delivered as a
+    watermark. So the result grows with the matches, not with subscribers times events. subscriptions: (subscriber, instrument_id, event_type).
     """
-    wanted = events.join(subscriptions, ["instrument_id", "event_type"]).select("subscriber", "sequence", F.lit(True).alias("_wanted")).distinct()
-    # Every subscriber gets a row for every sequence: that is the feature, and the result is as large.
-    named = subscriptions.agg(F.sort_array(F.collect_set("subscriber")).alias("_all"))
-    each = events.select("sequence", "instrument_id", "event_type").join(F.broadcast(named), F.lit(True))
-    each = each.select("sequence", "event_type", F.explode("_all").alias("subscriber"))
-    marked = each.join(wanted, ["subscriber", "sequence"], "left")
-    full = F.coalesce("_wanted", F.lit(False)) | F.col("event_type").isin(*STATUS_TYPES)
-    return marked.select("subscriber", "sequence", F.when(full, F.col("event_type")).otherwise("watermark").alias("delivered"), F.when(~full, "filtered").alias("reason"))
+    kinds = F.col("event_type").isin(*STATUS_TYPES)
+    named = subscriptions.select("subscriber").distinct()
+    wanted = events.where(~kinds).join(subscriptions.select("subscriber", "instrument_id", "event_type").distinct(), ["instrument_id", "event_type"])
+    statuses = events.where(kinds).select(F.lit(0).alias("_all"), "sequence", "event_type").join(named.withColumn("_all", F.lit(0)), "_all")
+    full = wanted.select("subscriber", "sequence", "event_type").union(statuses.select("subscriber", "sequence", "event_type"))
+    ends = events.agg((F.min("sequence") - 1).alias("low"), (F.max("sequence") + 1).alias("high")).first()
+    if ends.low is None:
+        return full.select("subscriber", F.col("sequence").alias("first_sequence"), F.col("sequence").alias("last_sequence"), F.col("event_type").alias("delivered"), F.lit(None).cast("string").alias("reason"))
+    # one more row behind each subscriber's last event, whose run goes to the end of the stream
+    marked = full.union(named.select("subscriber", F.lit(ends.high).cast("long"), F.lit(None).cast("string")))
+    size = span or range_size(events, F.col("sequence"))
+    rows = marked.withColumn("_range", F.floor(F.col("sequence") / size))
+    last = before_each(rows.groupBy("subscriber", "_range").agg(F.max("sequence").alias("_last")), ["subscriber"], "_range", "_last", "_last")
+    order = Window.partitionBy("subscriber", "_range").orderBy("sequence")
+    steps = rows.join(last.select("subscriber", "_range", "before"), ["subscriber", "_range"])
+    steps = steps.withColumn("_before", F.coalesce(F.lag("sequence").over(order), "before", F.lit(ends.low)))
+    event = F.when(F.col("sequence") < ends.high, F.struct(F.col("sequence").alias("first_sequence"), F.col("sequence").alias("last_sequence"), F.col("event_type").alias("delivered"), F.lit(None).cast("string").alias("reason")))
+    gap = F.when(
+        F.col("sequence") - F.col("_before") > 1,
+        F.struct((F.col("_before") + 1).alias("first_sequence"), (F.col("sequence") - 1).alias("last_sequence"), F.lit("watermark").alias("delivered"), F.lit("filtered").alias("reason")),
+    )
+    return steps.select("subscriber", F.explode(F.array_compact(F.array(gap, event))).alias("r")).select("subscriber", "r.*")
+
+
+def filtered_delivery(events: DataFrame, subscriptions: DataFrame, span: int | None = None) -> DataFrame:
+    """delivery_runs() with a row for each of the stream's sequences: the runs that are filtered are written out."""
+    runs = delivery_runs(events, subscriptions, span)
+    own = runs.where("reason IS NULL").select("subscriber", F.col("first_sequence").alias("sequence"), "delivered", "reason")
+    each = runs.where("reason IS NOT NULL").select("subscriber", F.explode(F.sequence("first_sequence", "last_sequence")).alias("sequence"), "delivered", "reason")
+    there = events.select("sequence").distinct()  # numbers that no event has are in no stream
+    return own.unionByName(each.join(there, "sequence", "left_semi"))
 
 
 def replay_from(events: DataFrame, after: int, retained: int = 4096) -> DataFrame:
@@ -91,11 +127,17 @@ def replay_from(events: DataFrame, after: int, retained: int = 4096) -> DataFram
 
 
 def trade_id(trades: DataFrame) -> DataFrame:
-    """trades with trade_id, a hash of what a push says, and the aggressor's side."""
-    parts = ["instrument_id", "ts_text", "price_text", "size_text", "direction", "batch_index"]
-    side = F.lower(F.coalesce("direction", F.lit("")))
-    out = trades.withColumn("trade_id", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts)), 256))
-    return out.withColumn("aggressor_side", F.when(side.contains("buy") | side.contains("up"), "BUYER").when(side.contains("sell") | side.contains("down"), "SELLER").otherwise("NO_AGGRESSOR"))
+    """trades with trade_id, a hash of what a push says, and the aggressor's side.
+
+    A push has symbol, ts_text (ISO), price_text, volume_text, direction and batch_index. Hashed is its compact JSON with sorted
+    names, so an id is the same wherever it is made.
+    """
+    push = F.struct(
+        F.coalesce(F.col("direction").cast("string"), F.lit("None")).alias("direction"), F.col("batch_index").cast("long").alias("index"), F.col("price_text").alias("price"), F.col("symbol"), F.col("ts_text").alias("timestamp"), F.col("volume_text").alias("volume"),
+    )
+    side = F.upper(F.coalesce(F.col("direction").cast("string"), F.lit("")))
+    out = trades.withColumn("trade_id", F.concat(F.lit("longport:"), F.sha2(F.to_json(push, {"ignoreNullFields": "false"}), 256)))
+    return out.withColumn("aggressor_side", F.when(side.contains("BUY"), "BUYER").when(side.contains("SELL"), "SELLER").otherwise("NO_AGGRESSOR"))
 
 
 def depth_to_events(depth: DataFrame) -> DataFrame:
@@ -108,7 +150,7 @@ def depth_to_events(depth: DataFrame) -> DataFrame:
 
 
 def session_filter(events: DataFrame, overnight: bool = False, raw: str = "raw_session") -> DataFrame:
-    """events with session, and rejected for overnight ones unless these are enabled."""
+    """events with session (what isn't known is unknown, not regular), and rejected for overnight ones unless these are enabled."""
     text = F.lower(F.coalesce(raw, F.lit("")))
-    session = F.when(text.contains("pre"), "pre_market").when(text.contains("post"), "post_market").when(text.contains("over"), "overnight").otherwise("regular")
+    session = F.when(text.contains("pre"), "pre_market").when(text.contains("post"), "post_market").when(text.contains("overnight"), "overnight").when(text.isin("", "normal", "regular"), "regular").otherwise("unknown")
     return events.withColumn("session", session).withColumn("rejected", (F.col("session") == "overnight") & F.lit(not overnight))

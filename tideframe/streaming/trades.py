@@ -1,27 +1,29 @@
-"""Structured Streaming: trade bars with explicit late trades, latest quotes, the bar sink, and incremental canonical bars."""
+"""Structured Streaming: trade bars with explicit late trades, distinct trades, latest quotes, and the bar sink."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tideframe.operators import canonical
 from tideframe.operators.realtime import BAR_KEY, window_start
+from tideframe.session import ship, stateful
 
+NUMBERS = ("open", "high", "low", "close", "volume")
 OUTPUT = T.StructType(
     [T.StructField(k, T.StringType()) for k in BAR_KEY]
     + [T.StructField("kind", T.StringType()), T.StructField("window", T.LongType())]
-    + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")]
+    + [T.StructField(c, T.DoubleType()) for c in NUMBERS]
     + [T.StructField("trades", T.LongType()), T.StructField("arrival_seq", T.LongType())]
 )
-STATE = T.StructType([T.StructField("window", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")] + [T.StructField("trades", T.LongType())])
-FIELDS = ["window", "open", "high", "low", "close", "volume", "trades"]
+BAR = T.StructType([T.StructField("window", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in NUMBERS] + [T.StructField("trades", T.LongType())])
+CLOSED = T.StructType([T.StructField("closed_through", T.LongType())])
 
 
 def events_stream(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet", files: int | None = None) -> DataFrame:
@@ -30,47 +32,83 @@ def events_stream(spark: SparkSession, path: str, schema: T.StructType, format:
     return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
 
-def _fold(seconds: int):
-    """State: the open bar of a key. A newer window closes it; an older one makes the trade late."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bar = list(state.get) if state.exists else None
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            out.append((*key, "bar", *bar, None))
-            # The window stays known, without trades, so that a later trade of it is late.
-            state.update((bar[0] + seconds, None, None, None, None, None, 0))
-        else:
-            rows = pd.concat(list(frames)).sort_values("arrival_seq", kind="stable")
-            for window, price, size, arrival in zip(rows["window"], rows["price"], rows["size"], rows["arrival_seq"], strict=True):
-                window = int(window)
-                if bar is not None and window < bar[0]:
-                    out.append((*key, "late_trade_dropped", window, price, price, price, price, size, 1, int(arrival)))
-                    continue
-                if bar is not None and window > bar[0] and bar[6]:
+class BarProcessor(StatefulProcessor):
+    """A key's open bar, and the end of its last closed one. A newer window closes the bar, and so does the watermark at its end; a trade before either is late.
+
+    Rows come in order of arrival, frame by frame, so a task holds one frame however many trades a key has.
+    """
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bar = handle.getValueState("bar", BAR)
+        self.closed = handle.getValueState("closed", CLOSED)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        bar = self.bar.get() if self.bar.exists() else None
+        timed = None if bar is None else bar[0]
+        floor = self.closed.get()[0] if self.closed.exists() else None
+        for frame in rows:
+            window, price, size, arrival = (frame[c].to_numpy() for c in ("window", "price", "size", "arrival_seq"))
+            bound = np.iinfo(np.int64).min if floor is None else floor
+            newest = np.maximum.accumulate(np.concatenate([[max(bound, bound if bar is None else bar[0])], window]))[:-1]
+            late = window < newest
+            out = [(*key, "late_trade_dropped", int(w), p, p, p, p, s, 1, int(a)) for w, p, s, a in zip(window[late], price[late], size[late], arrival[late], strict=True)]
+            window, price, size = window[~late], price[~late], size[~late]
+            edges = [0, *(np.flatnonzero(np.diff(window)) + 1).tolist(), len(window)] if len(window) else []
+            for low, high in pairwise(edges):
+                part, new = price[low:high], int(window[low])
+                if bar is not None and new > bar[0]:
                     out.append((*key, "bar", *bar, None))
-                if bar is None or window > bar[0] or not bar[6]:
-                    bar = [window, price, price, price, price, size, 1]
+                    floor, bar = bar[0] + self.seconds, None
+                if bar is None:
+                    bar = (new, part[0], part.max(), part.min(), part[-1], size[low:high].sum(), high - low)
                 else:
-                    bar = [window, bar[1], max(bar[2], price), min(bar[3], price), price, bar[5] + size, bar[6] + 1]
-            state.update(tuple(bar))
-            if bar[6]:
-                end = (bar[0] + seconds) * 1000
-                state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=OUTPUT.names)
-
-    return run
+                    bar = (new, bar[1], max(bar[2], part.max()), min(bar[3], part.min()), part[-1], bar[5] + size[low:high].sum(), bar[6] + high - low)
+            if out:
+                yield pd.DataFrame(out, columns=OUTPUT.names)
+        if floor is not None:
+            self.closed.update((floor,))
+        if bar is not None:
+            self.bar.update((int(bar[0]), *(float(v) for v in bar[1:6]), int(bar[6])))
+            if timed != bar[0]:
+                if timed is not None:
+                    self.handle.deleteTimer((timed + self.seconds) * 1000)
+                self.handle.registerTimer((int(bar[0]) + self.seconds) * 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        bar = self.bar.get() if self.bar.exists() else None
+        if bar is None or (bar[0] + self.seconds) * 1000 != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        self.bar.clear()
+        self.closed.update((bar[0] + self.seconds,))
+        yield pd.DataFrame([(*key, "bar", *bar, None)], columns=OUTPUT.names)
+
+    def close(self) -> None:
+        pass
 
 
 def trade_bar_stream(trades: DataFrame, seconds: int, watermark: str = "0 seconds") -> DataFrame:
-    """Closed bars (kind bar) and late trades (kind late_trade_dropped) of a stream of trades.
+    """Closed bars (kind bar) and late trades (kind late_trade_dropped) of a stream of trades; start it with start() or run_to_end().
 
-    A key's own arrivals decide what is late, as in the batch form; a bar also closes when the watermark passes its end.
+    A key's own arrivals decide what is late, as in the batch form; a bar also closes when the watermark passes its end, and what comes for it
+    then is late too. Batches are to follow the order of arrival; within a batch Spark sorts a key's trades. No late
+    trade is dropped unseen: the event time itself doesn't reach the state, so Spark has nothing to compare with the watermark.
     """
-    rows = trades.withColumn("window", window_start(F.col("ts_event"), seconds)).withColumn("ts_event", F.col("ts_event").cast("timestamp"))
-    rows = rows.withWatermark("ts_event", watermark).select(*BAR_KEY, "ts_event", "window", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), F.col("arrival_seq").cast("long").alias("arrival_seq"))
-    return rows.groupBy(*BAR_KEY).applyInPandasWithState(_fold(seconds), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    ship(trades.sparkSession)
+    rows = trades.withColumn("window", window_start(F.col("ts_event"), seconds)).withColumn("ts_event", F.col("ts_event").cast("timestamp")).withWatermark("ts_event", watermark)
+    rows = rows.select(*BAR_KEY, "window", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), F.col("arrival_seq").cast("long").alias("arrival_seq"))
+    n = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, *BAR_KEY).sortWithinPartitions(*BAR_KEY, "arrival_seq")
+    return rows.groupBy(*BAR_KEY).transformWithStateInPandas(BarProcessor(seconds), OUTPUT, "Append", "EventTime")
+
+
+def closed_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The end of each key's last closed bar, as the state of a trade bar stream has it."""
+    state = spark.read.format("statestore").option("stateVarName", "closed").load(checkpoint)
+    return state.select(*(F.col(f"key.{k}").alias(k) for k in BAR_KEY), "value.closed_through")
 
 
 def windowed_bars(trades: DataFrame, seconds: int, watermark: str) -> DataFrame:
@@ -101,28 +139,15 @@ def bars_sink(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def canonical_stream(raw: DataFrame, store: str, checkpoint: str) -> DataStreamWriter:
-    """Each batch of raw bars refreshes the canonical bars of the ranges that it touches.
-
-    store/raw and store/canonical hold a folder for each batch; canonical/batch_id=n is whole after batch n.
-    """
-
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/raw/batch_id={batch_id}")
-        rows = spark.read.option("basePath", f"{store}/raw").parquet(f"{store}/raw").where(F.col("batch_id") <= batch_id).drop("batch_id")
-        if batch_id == 0:
-            built = canonical.canonical_bars(rows).withColumn("version", F.lit(1).cast("long"))
-        else:
-            before = spark.read.parquet(f"{store}/canonical/batch_id={batch_id - 1}")
-            built = canonical.incremental_rebuild(rows, before, canonical.dirty_ranges(batch))
-        built.write.mode("overwrite").parquet(f"{store}/canonical/batch_id={batch_id}")
-
-    return raw.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+def start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a stream with keyed state."""
+    with stateful(spark):
+        return writer.start()
 
 
-def run_to_end(writer: DataStreamWriter) -> StreamingQuery:
-    """Runs all that is there, then stops."""
-    query = writer.trigger(availableNow=True).start()
+def run_to_end(writer: DataStreamWriter, spark: SparkSession | None = None) -> StreamingQuery:
+    """Runs all that is there, then stops. spark is asked for by streams with keyed state."""
+    writer = writer.trigger(availableNow=True)
+    query = writer.start() if spark is None else start(writer, spark)
     query.awaitTermination()
     return query
