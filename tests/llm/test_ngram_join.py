@@ -175,3 +175,13 @@ def test_repeated_rows_count_once(spark, width, percent):
     rows += rows
     got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, width, percent)
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_rounds_of_nearest_candidates(spark, monkeypatch, rounds):
+    monkeypatch.setattr(nj, "MANY", 0)
+    monkeypatch.setattr(nj, "ROUNDS", rounds)
+    monkeypatch.setattr(nj, "FEW", 200)
+    rows = crowds(3)
+    got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 80)

@@ -55,6 +55,7 @@ SKETCHED_SETS, SKETCHED_BYTES = 2048, 4 << 20  # bounds of a block of sketches o
 BLOCK_SETS, BLOCK_GRAMS = 1024, 4 << 20  # bounds of a block of such sets
 CELLS = 4 << 20  # of the array that counts one fragment's overlaps there
 LIGHT, FRAGMENT = 24, 1 << 18  # sets up to which an n-gram's pairs are counted one by one, and n-grams of a fragment then
+ROUNDS, MANY = 3, 10_000  # of nearest candidates, and candidates left that are worth one more
 HASHED_ROWS = 1_000_000  # rows of ids up to which a side is sent to all tasks
 
 SETS = T.StructType(
@@ -680,16 +681,22 @@ def candidate_segments(documents: DataFrame, sizes: DataFrame, pairs: DataFrame,
 def nearest_first(near: DataFrame, segments: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
     """Edges (a, b) of candidates (a, b, need, far) that connect what the links among these connect.
 
-    Each set's nearest candidate is counted first: what these links connect needs no further count.
+    Each set's nearest candidate is counted first: what these links connect needs no further count. While many candidates
+    are left between components, each component's nearest one is next; what is left then is counted whole.
     """
-    ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far", "need").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "far", "need"))
-    nearest = ends.groupBy("x").agg(F.min(F.struct("far", "y", "need")).alias("to"))
-    nearest = common.written(nearest.select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b"), "to.need").distinct())
-    edges = linked(nearest, segments, fragments)
-    now = common.written(components(edges))
-    rest = near.join(nearest.select("a", "b"), ["a", "b"], "left_anti")
-    rest = with_component(with_component(rest, now, "a", "ca"), now, "b", "cb").where("ca <> cb")
-    return edges.union(linked(rest, segments, fragments))
+    left, edges = near.select("a", "b", "far", "need", F.col("a").alias("ca"), F.col("b").alias("cb")), None
+    for _ in range(ROUNDS):
+        best = F.min(F.struct("far", "a", "b", "need")).alias("to")
+        nearest = left.withColumn("x", F.explode(F.array("ca", "cb"))).groupBy("x").agg(best)
+        nearest = common.written(nearest.select("to.a", "to.b", "to.need").distinct())
+        found = linked(nearest, segments, fragments)
+        edges = found if edges is None else common.written(edges.union(found))
+        now = common.written(components(edges))
+        rest = left.join(nearest.select("a", "b"), ["a", "b"], "left_anti").drop("ca", "cb")
+        left = common.written(with_component(with_component(rest, now, "a", "ca"), now, "b", "cb").where("ca <> cb"))
+        if left.count() <= MANY:
+            break
+    return edges.union(linked(left.select("a", "b", "need"), segments, fragments))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
