@@ -74,3 +74,26 @@ def test_tables_that_claim_too_much():
     for bad in (0, 2**32 - 1):
         with pytest.raises(ValueError, match="run of chunks"):
             media.parse(good[:run] + struct.pack(">I", bad) + good[run + 4 :])
+
+
+def test_chunks_that_point_at_one_place_are_refused():
+    """A file of 10 MB whose samples all claim the same megabyte: an error at once, not hours of hashing."""
+    import struct
+    import time
+
+    n = 600_000
+    size = 1 << 20
+    entry = media.box(b"raw ", bytes(70))
+    table = media.box(
+        b"stbl",
+        media.full(b"stsd", 0, 0, struct.pack(">I", 1), entry),
+        media.full(b"stsc", 0, 0, struct.pack(">IIII", 1, 1, 1, 1)),
+        media.full(b"stsz", 0, 0, struct.pack(">II", 0, n), struct.pack(">I", size) * n),
+        media.full(b"stco", 0, 0, struct.pack(">I", n), bytes(4 * n)),
+    )
+    mdhd = media.full(b"mdhd", 0, 0, struct.pack(">IIIIHH", 0, 0, 1, n, 0, 0))
+    data = media.box(b"moov", media.box(b"trak", media.box(b"mdia", mdhd, media.box(b"minf", table)))) + media.box(b"mdat", bytes(5 << 20))
+    began = time.perf_counter()
+    with pytest.raises(ValueError, match="longer than the file"):
+        media.parse(data)
+    assert len(data) > 9 << 20 and time.perf_counter() - began < 5

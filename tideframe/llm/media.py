@@ -184,8 +184,6 @@ def parse(media: bytes) -> tuple[dict, list[tuple[int, int]]]:
             runs = [(flat[i], flat[i + 1]) for i in range(0, len(flat), 3)]
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, at + 4)
-            if size * n > len(data):  # before anything is listed
-                raise ValueError("the samples are longer than the file")
             sizes = size or list(_numbers(data, at + 12, end, n, "I"))
         elif kind == b"stz2":
             width, n = struct.unpack_from(">II", data, at + 4)
@@ -198,6 +196,8 @@ def parse(media: bytes) -> tuple[dict, list[tuple[int, int]]]:
             chunk_at = _numbers(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], "I" if kind == b"stco" else "Q")
     if chunk_at is None or runs is None or sizes is None or "codec" not in got or "timescale" not in got:
         raise ValueError("not an ISO media file with a sample table")
+    if (sizes * n if isinstance(sizes, int) else sum(sizes)) > len(data):  # chunks that point at one place would be read again and again
+        raise ValueError("the samples are longer than the file")
     ranges = sample_ranges(chunk_at, runs, sizes, n)
     if max((a + b for a, b in ranges), default=0) > len(data):
         raise ValueError("a sample lies outside the file")
