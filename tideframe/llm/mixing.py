@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from tideframe.llm import common
 
 BLOCK_DOCS = 2048
+TASK_DOCS = 100_000  # drawn documents of a shard that go to one task
 PLACES = 1_000_000  # documents of last blocks up to which they are sent to all tasks
 PLAN = T.StructType(
     [
@@ -170,7 +171,8 @@ def dealt(rows: DataFrame, plans: DataFrame, chosen: DataFrame, shards: int, see
     drawn = drawn.where((F.col("_shard") < shards) & ((F.col("pass") < F.col("passes")) | (F.col("block") < F.col("last")) | ((F.col("block") == F.col("last")) & F.col("_fits").isNotNull())))
     drawn = drawn.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_shard"), F.col("place"), F.col("pass")))
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return drawn.select(*rows.columns, "_shard", "_order").repartition(n, "_shard", F.pmod("_order", F.lit(8))).sortWithinPartitions("_shard", "_order")
+    parts = max(8, sum((r.passes + 1) << r.bits for r in plans.collect()) * BLOCK_DOCS // (shards * TASK_DOCS))  # of a shard, as many as it has documents for
+    return drawn.select(*rows.columns, "_shard", "_order").repartition(n, "_shard", F.pmod("_order", F.lit(parts))).sortWithinPartitions("_shard", "_order")
 
 
 def sizes_and_takes(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, shards: int = 64, seed: int = 7) -> DataFrame:
