@@ -86,10 +86,11 @@ FROM orders WHERE o_orderstatus = 'P'
     "fx_div": """
 SELECT lpad(cast(o_orderkey AS string), 12, '0') AS dividend_id, concat('D', lpad(cast(o_custkey % 200 AS string), 4, '0')) AS symbol,
        cast(year(o_orderdate) AS int) AS fiscal_year,
-       cast(1 + cast(round(o_totalprice * 1e2) AS bigint) % 5 AS decimal(18, 6)) AS amount_per_share,
+       cast(1 + cast(round(o_totalprice * 1e2) AS bigint) % 5 + (o_orderkey % 3) * 0.004 AS decimal(18, 6)) AS amount_per_share,
        CASE o_custkey % 3 WHEN 0 THEN 'CNY' WHEN 1 THEN 'HKD' ELSE 'USD' END AS currency,
        cast(o_orderdate AS date) AS announcement_date,
        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE cast(date_trunc('quarter', o_orderdate) + INTERVAL '100' DAY AS date) END AS payment_date,
+       CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE cast(date_trunc('quarter', o_orderdate) + INTERVAL '100' DAY AS date) END AS expected_payment_date,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE cast(o_orderdate AS date) END AS record_date,
        CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE cast(o_orderdate AS date) END AS ex_date,
        CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'confirmed' ELSE 'unverified' END AS confirmation_status,
