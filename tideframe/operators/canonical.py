@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tideframe.operators.versions import CANONICAL_KEY, SERIES, latest_raw
@@ -89,6 +89,22 @@ def rebuild_summary(canonical: DataFrame) -> DataFrame:
     return canonical.groupBy("quality_status", F.col("source").alias("selected_source")).agg(F.count("*").alias("groups"), F.sum("source_count").cast("long").alias("source_rows"))
 
 
+def observed_rebuild(raw: DataFrame, limit: int | None = None, priority: Sequence[str] = PRIORITY) -> DataFrame:
+    """rebuild_summary() of a rebuild, with scanned_rows, scanned_groups and truncated, all counted while the one pass runs.
+
+    If more rows than limit are scanned, the rebuild is truncated: it has no groups, and one row says so.
+    """
+    scan, build = Observation(), Observation()
+    scanned = raw.observe(scan, F.count("*").alias("rows"))
+    built = canonical_bars(scanned, priority).observe(build, F.count("*").alias("groups"))
+    rows = rebuild_summary(built).collect()  # a row for each quality and source
+    seen = scan.get["rows"] if rows else 0  # every scanned row is in a group; an empty plan observes nothing
+    truncated = limit is not None and seen > limit
+    schema = "quality_status string, selected_source string, groups long, source_rows long, scanned_rows long, scanned_groups long, truncated boolean"
+    found = [(None, None, 0, 0, seen, 0, True)] if truncated else [(*r, seen, build.get["groups"], False) for r in rows]
+    return raw.sparkSession.createDataFrame(found, schema)
+
+
 def dirty_ranges(new_raw: DataFrame) -> DataFrame:
     """For each series the times that new rows touch, with a task id that depends on the range only."""
     found = new_raw.groupBy(*SERIES).agg(F.min("bar_time").alias("start_time"), F.max("bar_time").alias("end_time"))

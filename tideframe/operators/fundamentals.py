@@ -48,9 +48,10 @@ def most_complete(rows: DataFrame, fields: list[str], position: str = "position"
 
 
 def short_date(text: Column) -> Column:
-    """YYMMDD as YYYYMMDD: 80 to 99 are the last century."""
-    digits = F.lpad(F.regexp_replace(text.cast("string"), r"\..*$", ""), 6, "0")
-    return F.when(digits.rlike("^[0-9]{6}$") & (digits != "000000"), F.concat(F.when(F.substring(digits, 1, 2) >= "80", "19").otherwise("20"), digits))
+    """A number of the form YYMMDD (80 to 99 are the last century) or YYYYMMDD as YYYY-MM-DD; anything else is null."""
+    digits = text.try_cast("double").try_cast("long").cast("string")
+    whole = F.when(F.length(digits) == 6, F.concat(F.when(F.substring(digits, 1, 2) >= "80", "19").otherwise("20"), digits)).when(F.length(digits) == 8, digits)
+    return F.when(whole.isNotNull(), F.concat(F.substring(whole, 1, 4), F.lit("-"), F.substring(whole, 5, 2), F.lit("-"), F.substring(whole, 7, 2)))
 
 
 def screen_fundamentals(rows: DataFrame, period: str | None = None, symbol: str | None = None, industry: str | None = None, min_roe: float | None = None, max_pe: float | None = None, active_only: bool = False, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -94,8 +95,14 @@ def validate_sources(fundamentals: DataFrame, tdx: DataFrame, bao: DataFrame) ->
     return each.withColumn("status", difference_status(difference)).withColumn("difference_pct", F.round(difference.cast("decimal(38,12)"), 4).cast("decimal(24,4)"))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b)
+def percent_of(a: Column, b: Column) -> Column:
+    """a in percent of a positive b."""
+    return F.when(b > 0, a / b * 100)
+
+
+def percent_of_any(a: Column, b: Column) -> Column:
+    """a in percent of b, which may be a loss but not 0."""
+    return F.when(b != 0, a / b * 100)
 
 
 def cagr(first: Column, last: Column, years: Column) -> Column:
@@ -145,34 +152,35 @@ def funnel_metrics(fundamentals: DataFrame, tdx: DataFrame, bao: DataFrame, vali
         F.when(F.col("tdx_period").isNull(), "missing_tdx_latest")
         .when(F.coalesce("_differ", F.lit(0)) > 0, "cross_source_difference_over_1pct")
         .when(periods < 3, "insufficient_annual_history")
-        .when(F.col("b.pe_ttm").isNull(), "history_ready_valuation_single_source")
+        .when(F.col("b").isNull(), "history_ready_valuation_single_source")
         .when(F.coalesce("_same", F.lit(0)) > 0, "multi_source_verified")
         .otherwise("multi_source_pending_validation")
     )
     return joined.select(
         "symbol", "name", "industry", "is_active", "report_period", "tdx_period",
         F.coalesce("b.pe_ttm", "pe_dynamic").alias("pe_for_filter"),
-        F.when(F.col("b.pe_ttm").isNotNull(), "baostock_ttm").when(F.col("pe_dynamic").isNotNull(), "dynamic").alias("pe_source"),
+        F.when(F.col("b.pe_ttm").isNotNull(), "baostock_pe_ttm").otherwise("eastmoney_pe_dynamic").alias("pe_source"),
         F.coalesce("b.pb_mrq", "pb").alias("pb_for_filter"),
-        F.when(F.col("b.pb_mrq").isNotNull(), "baostock_mrq").when(F.col("pb").isNotNull(), "snapshot").alias("pb_source"),
+        F.when(F.col("b.pb_mrq").isNotNull(), "baostock_pb_mrq").otherwise("eastmoney_pb").alias("pb_source"),
         "roe_annual_median", "roe_annual_min", periods.alias("annual_periods"), "history_start", "history_end",
         cagr(F.col("_revenue_first"), F.col("_revenue_last"), span).alias("revenue_cagr_pct"),
         cagr(F.col("_profit_first"), F.col("_profit_last"), span).alias("profit_cagr_pct"),
-        (ratio(F.col("t.total_liabilities"), F.col("t.total_assets")) * 100).alias("debt_ratio_latest"),
-        (ratio(F.col("t.cash"), F.col("t.total_assets")) * 100).alias("cash_to_assets_latest"),
+        percent_of(F.col("t.total_liabilities"), F.col("t.total_assets")).alias("debt_ratio_latest"),
+        percent_of(F.col("t.cash"), F.col("t.total_assets")).alias("cash_to_assets_latest"),
         (F.col("t.operating_cashflow") - F.col("t.capex")).alias("fcf_latest"),
         (F.col("_latest.operating_cashflow") - F.col("_latest.capex")).alias("fcf_latest_annual"),
-        ratio(F.col("_latest.operating_cashflow"), F.col("_latest.profit")).alias("ocf_to_profit_latest_annual"),
-        ratio(F.col("_ocf").cast("double"), F.col("_profit").cast("double")).alias("ocf_to_profit_total"),
+        percent_of_any(F.col("_latest.operating_cashflow"), F.col("_latest.profit")).alias("ocf_to_profit_latest_annual"),
+        percent_of_any(F.col("_ocf").cast("double"), F.col("_profit").cast("double")).alias("ocf_to_profit_total"),
         quality.alias("quality_status"),
     )
 
 
-def funnel_as_of(fundamentals: DataFrame, tdx: DataFrame, bao: DataFrame, as_of: str) -> DataFrame:
-    """The funnel over what was knowable at a date; validation is made of the same rows."""
+def funnel_as_of(fundamentals: DataFrame, tdx: DataFrame, bao: DataFrame, as_of: str, validation: DataFrame | None = None) -> DataFrame:
+    """The funnel over what was knowable at a date. validation: stored checks with observed_at, of which those made by then count; without them they are made of the same rows."""
     f, t = history_pit(fundamentals, as_of), history_pit(tdx, as_of)
     b = revisions(bao.where(F.to_date("ingested_at") <= F.lit(as_of).cast("date")))
-    return funnel_metrics(f, t, b, validate_sources(f, t, b))
+    known = validate_sources(f, t, b) if validation is None else validation.where(F.to_date("observed_at") <= F.lit(as_of).cast("date"))
+    return funnel_metrics(f, t, b, known)
 
 
 def screen_funnel(metrics: DataFrame, min_roe_median: float | None = None, min_revenue_cagr: float | None = None, min_profit_cagr: float | None = None, max_pe: float | None = None, max_debt_ratio: float | None = None, min_annual_periods: int | None = None, active_only: bool = False, limit: int | None = None, offset: int = 0) -> DataFrame:

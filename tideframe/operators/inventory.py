@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.scalars import interval_seconds
+from tideframe.operators.ranges import before_each, range_size
 from tideframe.operators.versions import SERIES
 
 
@@ -91,6 +92,15 @@ def dataset_identity(rows: DataFrame, content: Sequence[str], time: str = "bar_t
     return months.groupBy(*SERIES).agg(F.sum("rows").cast("long").alias("rows"), F.max("newest").alias("newest"), joined(F.struct("t", "h")).alias("content_sha256"))
 
 
+def with_dataset_ids(identity: DataFrame, start: str, end: str) -> DataFrame:
+    """dataset_identity() of a time range (ISO texts) with newest_millis, dataset_id (what is asked for) and snapshot_id (what it holds)."""
+    out = identity.withColumn("newest_millis", F.coalesce(F.unix_millis(F.col("newest").cast("timestamp")), F.lit(0).cast("long")))
+    asked = {"adjustment": F.col("adjustment"), "end": F.lit(end), "interval": F.col("bar_interval"), "start": F.lit(start), "symbol": F.col("symbol")}
+    held = asked | {"content_hash": F.concat(F.lit("sha256:"), "content_sha256"), "max_ingested_millis": F.col("newest_millis"), "row_count": F.col("rows")}
+    digest = lambda fields: F.sha2(F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items())))), 256)
+    return out.withColumn("dataset_id", F.substring(digest(asked), 1, 24)).withColumn("snapshot_id", F.substring(digest(held), 1, 32))
+
+
 def snapshot_changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """Series whose identity differs, or that only one side has."""
     b = before.select(*SERIES, F.col("content_sha256").alias("before_sha256"))
@@ -106,6 +116,44 @@ def page_check(rows: DataFrame, key: Sequence[str] = ("bar_time",)) -> DataFrame
     return steps.groupBy(*SERIES).agg(F.count("*").alias("rows"), F.count_if(F.col("_now") == F.col("_before")).alias("repeated"), F.count_if(F.col("_now") < F.col("_before")).alias("descending"))
 
 
+def manifest_check(rows: DataFrame, manifests: DataFrame, span: int | None = None) -> DataFrame:
+    """One row (dataset_id, position, rule) for each rule that a row of a page breaks.
+
+    rows: dataset_id, position, instrument_id, interval, adjustment, window_start. manifests: dataset_id, instruments (an array), interval, adjustment,
+    start, end. Rows must be of their manifest's instruments, interval, adjustment and time range (ends included), and strictly
+    ascend by window_start, then instrument_id, in the order of their positions.
+    """
+    facts = manifests.select("dataset_id", F.col("interval").alias("_interval"), F.col("adjustment").alias("_adjustment"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    members = manifests.select("dataset_id", F.explode("instruments").alias("instrument_id")).distinct().withColumn("_member", F.lit(True))
+    size = span or range_size(rows, F.col("position"))
+    keyed = rows.withColumn("_range", F.floor(F.col("position") / size)).withColumn("_now", F.struct("window_start", "instrument_id"))
+    last = keyed.groupBy("dataset_id", "_range").agg(F.max_by("_now", "position").alias("_last"), F.max("position").alias("_at"))
+    past = before_each(last, ["dataset_id"], "_range", "_last", "_at").select("dataset_id", "_range", F.col("before").alias("_past"))
+    order = Window.partitionBy("dataset_id", "_range").orderBy("position")
+    steps = keyed.join(past, ["dataset_id", "_range"]).withColumn("_before", F.coalesce(F.lag("_now").over(order), "_past"))
+    checked = steps.join(facts, "dataset_id", "left").join(members, ["dataset_id", "instrument_id"], "left")
+    same = F.col("interval").eqNullSafe(F.col("_interval")) & F.col("adjustment").eqNullSafe(F.col("_adjustment"))
+    rules = (
+        (F.col("_member").isNotNull(), "instrument_outside_manifest"),
+        (same, "interval_or_adjustment_differs"),
+        (F.coalesce(F.col("window_start").between(F.col("_start"), F.col("_end")), F.lit(False)), "window_outside_manifest"),
+        (F.col("_before").isNull() | (F.col("_now") > F.col("_before")), "not_strictly_ascending"),
+    )
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in rules)))
+    return checked.select("dataset_id", "position", F.explode(broken).alias("rule"))
+
+
+def page_header_check(pages: DataFrame) -> DataFrame:
+    """pages (count, rows, page_size, truncated, next_cursor) with errors, the list of what their headers get wrong."""
+    rules = (
+        (F.col("count") == F.col("rows"), "count_differs"),
+        (F.col("count") <= F.col("page_size"), "page_too_large"),
+        (F.col("page_size").between(1, 5000), "invalid_page_size"),
+        (F.col("truncated") == F.col("next_cursor").isNotNull(), "cursor_without_rest"),
+    )
+    return pages.withColumn("errors", F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in rules))))
+
+
 def normal_number(value: Column) -> Column:
     """15 significant digits, without negative zero."""
     rounded = F.format_string("%.14e", value).cast("double")
@@ -113,9 +161,14 @@ def normal_number(value: Column) -> Column:
 
 
 def dataset_diff(expected: DataFrame, actual: DataFrame, keys: Sequence[str], compared: Sequence[str]) -> DataFrame:
-    """Field-level differences: (keys, field, expected, actual); a missing row is one line with field '<row>'."""
-    e = expected.select(*keys, F.struct(*(F.col(c).cast("string").alias(c) for c in compared)).alias("_e"))
-    a = actual.select(*keys, F.struct(*(F.col(c).cast("string").alias(c) for c in compared)).alias("_a"))
+    """Field-level differences: (keys, field, expected, actual); a missing row is one line with field '<row>'. Floating-point numbers are compared in their normal form."""
+
+    def texts(df: DataFrame) -> Column:
+        floating = {c for c, kind in df.dtypes if kind in ("double", "float")}
+        return F.struct(*((normal_number(F.col(c)) if c in floating else F.col(c)).cast("string").alias(c) for c in compared))
+
+    e = expected.select(*keys, texts(expected).alias("_e"))
+    a = actual.select(*keys, texts(actual).alias("_a"))
     joined = e.join(a, list(keys), "full_outer")
     fields = [F.when(~F.col(f"_e.{c}").eqNullSafe(F.col(f"_a.{c}")), F.struct(F.lit(c).alias("field"), F.col(f"_e.{c}").alias("expected"), F.col(f"_a.{c}").alias("actual"))) for c in compared]
     row = F.array(F.struct(F.lit("<row>").alias("field"), F.when(F.col("_e").isNotNull(), "present").alias("expected"), F.when(F.col("_a").isNotNull(), "present").alias("actual")))

@@ -32,9 +32,9 @@ def latest_session_quote(rows: DataFrame, sessions: tuple[str, ...] = ("regular"
 
 
 def last_nonnull_close(rows: DataFrame) -> DataFrame:
-    """price: the last close of an array that isn't null, else the meta price; previous: the one before it, else the meta previous close."""
+    """price: the last close of an array that isn't null, else the meta price; previous: the meta previous close, else the chart's."""
     known = F.filter("closes", lambda x: x.isNotNull())
-    return rows.withColumn("price", F.coalesce(F.try_element_at(known, F.lit(-1)), "meta_price")).withColumn("previous", F.coalesce(F.try_element_at(known, F.lit(-2)), "meta_previous"))
+    return rows.withColumn("price", F.coalesce(F.try_element_at(known, F.lit(-1)), "meta_price")).withColumn("previous", F.coalesce("meta_previous", "chart_previous"))
 
 
 def newest_known(rows: DataFrame, key: str, order: str, value: str, n: int = 2) -> DataFrame:
@@ -46,11 +46,11 @@ def newest_known(rows: DataFrame, key: str, order: str, value: str, n: int = 2)
 
 
 def session_label(ts: Column, periods: list[tuple[str, Column, Column]]) -> Column:
-    """The first period (name, start, end; ends included) that holds ts, else closed."""
+    """The first period (name, start, end; ends included) that holds ts, else closed; unknown without a time."""
     label = F.lit("closed")
     for name, start, end in reversed(periods):
         label = F.when(ts.between(start, end), name).otherwise(label)
-    return label
+    return F.when(ts.isNull(), "unknown").otherwise(label)
 
 
 def validate_quote(rows: DataFrame, markets: tuple[str, ...] = ("CN", "HK", "US")) -> DataFrame:

@@ -54,15 +54,19 @@ def current_snapshot(history: DataFrame, load: str = "ingested_at") -> DataFrame
     return newest(kept, ("symbol", "report_period"), (load, "version_id"))
 
 
-def plain_number(value: Column) -> Column:
-    """A number as the shortest text that gives it back, however it was stored, without negative zero; NaN and infinity are errors."""
-    exact = value.cast("double")
-    return F.when(exact == 0, F.lit("0")).when(F.isnan(exact) | (F.abs(exact) == float("inf")), F.raise_error(F.lit("numbers of a version must be finite"))).otherwise(exact.cast("string"))
+def plain_number(value: Column, exact: bool = False) -> Column:
+    """A number as its shortest plain text, however it was stored, without trailing or negative zeros; NaN and infinity are errors. exact: it is a decimal, all of whose digits count."""
+    double = value.cast("double")
+    text = value.cast("string")
+    plain = text if exact else F.when(text.try_cast("decimal(38,18)").cast("double") == double, text.try_cast("decimal(38,18)").cast("string")).otherwise(text)
+    plain = F.when(plain.contains(".") & ~plain.contains("E"), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    return F.when(value == 0, F.lit("0")).when(F.isnan(double) | (F.abs(double) == float("inf")), F.raise_error(F.lit("numbers of a version must be finite"))).otherwise(plain)
 
 
 def content_rank(bars: DataFrame, numbers: Sequence[str], texts: Sequence[str], times: Sequence[str] = ()) -> DataFrame:
     """bars with content_rank, 52 hexadecimal digits of a hash of the content, the same however the row was stored."""
-    fields = {c: plain_number(F.col(c)) for c in numbers} | {c: F.col(c).cast("string") for c in texts} | {c: F.unix_millis(F.col(c).cast("timestamp")) for c in times}
+    decimal = {c for c, kind in bars.dtypes if kind.startswith("decimal")}
+    fields = {c: plain_number(F.col(c), c in decimal) for c in numbers} | {c: F.col(c).cast("string") for c in texts} | {c: F.unix_millis(F.col(c).cast("timestamp")) for c in times}
     text = F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": "false"})
     return bars.withColumn("content_rank", F.substring(F.sha2(text, 256), 1, 52))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideframe.operators import asof, bars, canonical, inventory, versions
@@ -326,6 +326,51 @@ def dataset_identity(spark, sf_dir):
     return identity(canon(spark, sf_dir))
 
 
+RANGE = "1990-01-01T00:00:00+00:00", "2010-01-01T00:00:00+00:00"
+ASKED = f"""'{{"adjustment":"', adjustment, '",%s"end":"{RANGE[1]}","interval":"', bar_interval, '",%s"start":"{RANGE[0]}","symbol":"', symbol, '"}}'"""
+HELD = ASKED % ('"content_hash":"sha256:\', content_sha256, \'",', '"max_ingested_millis":\', epoch_ms(newest), \',"row_count":\', rows, \',')
+
+
+@query("dataset_ids", f"WITH {CANON}, i AS ({identity_sql()}) SELECT {KEY}, rows, epoch_ms(newest) AS newest_millis, substr(sha256(concat({ASKED % ('', '')})), 1, 24) AS dataset_id, substr(sha256(concat({HELD})), 1, 32) AS snapshot_id FROM i")
+def dataset_ids(spark, sf_dir):
+    return inventory.with_dataset_ids(identity(canon(spark, sf_dir)), *RANGE).select(*KEY.split(", "), "rows", "newest_millis", "dataset_id", "snapshot_id")
+
+
+@query(
+    "manifest_check",
+    """WITH r AS (SELECT CASE source WHEN 'sina' THEN 'one' ELSE 'two' END AS dataset_id, row_number() OVER (PARTITION BY CASE source WHEN 'sina' THEN 'one' ELSE 'two' END ORDER BY content_rank, symbol, bar_time, source_sequence) AS position, symbol, bar_time, bar_interval, adjustment,
+CAST(right(symbol, 1) AS INTEGER) AS digit FROM fx_raw_bar), s AS (SELECT *, lag((bar_time, symbol)) OVER (PARTITION BY dataset_id ORDER BY position) AS before FROM r)
+SELECT dataset_id, position, unnest(list_filter([CASE WHEN digit >= CASE dataset_id WHEN 'one' THEN 5 ELSE 8 END THEN 'instrument_outside_manifest' END, CASE WHEN dataset_id = 'two' THEN 'interval_or_adjustment_differs' END,
+CASE WHEN bar_time NOT BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2001-01-01' THEN 'window_outside_manifest' END, CASE WHEN (bar_time, symbol) <= before THEN 'not_strictly_ascending' END], lambda x: x IS NOT NULL)) AS rule FROM s""",
+)
+def manifest_check(spark, sf_dir):
+    """Raw bars of one and of all other sources as the pages of two datasets, in an order of their own, held against what the datasets say they hold."""
+    name = F.when(F.col("source") == "sina", "one").otherwise("two")
+    order = Window.partitionBy("dataset_id").orderBy("content_rank", "symbol", "bar_time", "source_sequence")
+    rows = raw(spark, sf_dir).select(name.alias("dataset_id"), F.col("symbol").alias("instrument_id"), F.col("bar_interval").alias("interval"), "adjustment", F.col("bar_time").alias("window_start"), "content_rank", "symbol", "bar_time", "source_sequence")
+    rows = rows.withColumn("position", F.row_number().over(order))
+    known = rows.select("dataset_id", "instrument_id").distinct().where(F.right("instrument_id", F.lit(1)).cast("int") < F.when(F.col("dataset_id") == "one", 5).otherwise(8))
+    manifests = known.groupBy("dataset_id").agg(F.collect_list("instrument_id").alias("instruments"))
+    manifests = manifests.select("*", F.when(F.col("dataset_id") == "one", "1d").otherwise("1h").alias("interval"), F.lit("raw").alias("adjustment"), ntz("1996-01-01 00:00:00").alias("start"), ntz("2001-01-01 00:00:00").alias("end"))
+    return inventory.manifest_check(rows, manifests)
+
+
+@query("observed_rebuild", f"WITH {CANON} SELECT quality_status, source AS selected_source, count(*) AS groups, CAST(sum(source_count) AS BIGINT) AS source_rows, (SELECT count(*) FROM fx_raw_bar) AS scanned_rows, (SELECT count(*) FROM canon) AS scanned_groups, FALSE AS truncated FROM canon GROUP BY ALL")
+def observed_rebuild(spark, sf_dir):
+    return canonical.observed_rebuild(raw(spark, sf_dir))
+
+
+@query(
+    "bars_at_points",
+    f"""WITH {CANON}, p AS (SELECT concat('S', lpad(CAST(o_custkey % 40 AS VARCHAR), 4, '0')) AS symbol, o_orderkey AS point, o_orderdate AS as_of FROM orders), a AS (SELECT p.*, c.close, c.bar_time, c.bar_time IS NOT NULL AND epoch(p.as_of) - epoch(c.bar_time) <= 30 * 86400 AS near FROM p ASOF LEFT JOIN canon c ON p.symbol = c.symbol AND p.as_of >= c.bar_time)
+SELECT symbol, point, CASE WHEN near THEN close END AS close, CASE WHEN near THEN bar_time END AS effective_bar_at, CASE WHEN near THEN CAST(epoch(as_of) - epoch(bar_time) AS BIGINT) END AS staleness_seconds,
+CASE WHEN NOT near THEN 'missing' WHEN bar_time = as_of THEN 'exact' ELSE 'prior_within_lookback' END AS match_kind FROM a""",
+)
+def bars_at_points(spark, sf_dir):
+    points = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.lpad((F.col("o_custkey") % 40).cast("string"), 4, "0")).alias("symbol"), F.col("o_orderkey").alias("point"), F.col("o_orderdate").alias("as_of"))
+    return asof.bars_at(canon(spark, sf_dir), points, 30 * 86_400).select("symbol", "point", "close", "effective_bar_at", "staleness_seconds", "match_kind")
+
+
 @query("snapshot_changed", f"WITH {CANON}, b AS ({identity_sql("WHERE bar_time < TIMESTAMP '2001-10-01'")}), a AS ({identity_sql()}) SELECT {KEY}, b.content_sha256 AS before_sha256, a.content_sha256 AS after_sha256, b.content_sha256 IS DISTINCT FROM a.content_sha256 AS changed FROM b FULL JOIN a USING ({KEY})")
 def snapshot_changed(spark, sf_dir):
     rows = canon(spark, sf_dir)

@@ -36,19 +36,20 @@ h AS (SELECT symbol, quantile_cont(roe_weighted, 0.5) AS median, min(roe_weighte
   arg_min(revenue_ttm, report_period) FILTER (revenue_ttm IS NOT NULL) AS r_first, arg_max(revenue_ttm, report_period) FILTER (revenue_ttm IS NOT NULL) AS r_last,
   arg_min(net_profit_parent_ttm, report_period) FILTER (net_profit_parent_ttm IS NOT NULL) AS p_first, arg_max(net_profit_parent_ttm, report_period) FILTER (net_profit_parent_ttm IS NOT NULL) AS p_last,
   CAST(max(report_period)[1:4] AS DOUBLE) - CAST(min(report_period)[1:4] AS DOUBLE) AS span,
-  sum(CAST(operating_cashflow AS DECIMAL(24, 4))) AS ocf, sum(CAST(coalesce(net_profit_parent, net_profit_parent_ttm) AS DECIMAL(24, 4))) AS profit
+  arg_max({{'o': operating_cashflow, 'x': capex, 'p': coalesce(net_profit_parent, net_profit_parent_ttm)}}, report_period) AS la, sum(CAST(operating_cashflow AS DECIMAL(24, 4))) AS ocf, sum(CAST(coalesce(net_profit_parent, net_profit_parent_ttm) AS DECIMAL(24, 4))) AS profit
   FROM t WHERE report_period LIKE '%1231' GROUP BY symbol),
 c AS (SELECT symbol, report_period, count(*) FILTER (status = 'consistent') AS same, count(*) FILTER (status = 'difference_over_1pct') AS differ FROM v GROUP BY ALL),
 m AS (SELECT cf.symbol, cf.name, cf.industry, cf.is_active, cf.report_period, lt.report_period AS tdx_period, coalesce(lb.pe_ttm, cf.pe_dynamic) AS pe_for_filter,
-  CASE WHEN lb.pe_ttm IS NOT NULL THEN 'baostock_ttm' WHEN cf.pe_dynamic IS NOT NULL THEN 'dynamic' END AS pe_source, coalesce(lb.pb_mrq, cf.pb) AS pb_for_filter,
+  CASE WHEN lb.pe_ttm IS NOT NULL THEN 'baostock_pe_ttm' ELSE 'eastmoney_pe_dynamic' END AS pe_source, coalesce(lb.pb_mrq, cf.pb) AS pb_for_filter, CASE WHEN lb.pb_mrq IS NOT NULL THEN 'baostock_pb_mrq' ELSE 'eastmoney_pb' END AS pb_source,
   h.median AS roe_annual_median, h.low AS roe_annual_min, coalesce(h.n, 0) AS annual_periods, h.s AS history_start, h.e AS history_end,
   {POWER.format('r')} AS r_cagr, {POWER.format('p')} AS p_cagr,
   CASE WHEN lt.total_assets > 0 THEN lt.total_liabilities / lt.total_assets * 100 END AS debt, lt.operating_cashflow - lt.capex AS fcf,
-  CASE WHEN h.profit > 0 THEN CAST(h.ocf AS DOUBLE) / CAST(h.profit AS DOUBLE) END AS ocf_total,
+  CASE WHEN lt.total_assets > 0 THEN lt.cash / lt.total_assets * 100 END AS cash_share, h.la.o - h.la.x AS fcf_annual, CASE WHEN h.la.p <> 0 THEN h.la.o / h.la.p * 100 END AS ocf_annual,
+  CASE WHEN h.profit <> 0 THEN CAST(h.ocf AS DOUBLE) / CAST(h.profit AS DOUBLE) * 100 END AS ocf_total,
   CASE WHEN lt.symbol IS NULL THEN 'missing_tdx_latest' WHEN coalesce(c.differ, 0) > 0 THEN 'cross_source_difference_over_1pct' WHEN coalesce(h.n, 0) < 3 THEN 'insufficient_annual_history'
-    WHEN lb.pe_ttm IS NULL THEN 'history_ready_valuation_single_source' WHEN coalesce(c.same, 0) > 0 THEN 'multi_source_verified' ELSE 'multi_source_pending_validation' END AS quality_status
+    WHEN lb.symbol IS NULL THEN 'history_ready_valuation_single_source' WHEN coalesce(c.same, 0) > 0 THEN 'multi_source_verified' ELSE 'multi_source_pending_validation' END AS quality_status
   FROM cf LEFT JOIN lt USING (symbol) LEFT JOIN lb USING (symbol) LEFT JOIN h USING (symbol) LEFT JOIN c ON c.symbol = cf.symbol AND c.report_period = lt.report_period)"""
-SHOW = """SELECT symbol, industry, is_active, report_period, tdx_period, CAST(pe_for_filter AS DECIMAL(18, 4)) AS pe_for_filter, pe_source, CAST(pb_for_filter AS DECIMAL(18, 4)) AS pb_for_filter,
+SHOW = """SELECT symbol, industry, is_active, report_period, tdx_period, CAST(pe_for_filter AS DECIMAL(18, 4)) AS pe_for_filter, pe_source, CAST(pb_for_filter AS DECIMAL(18, 4)) AS pb_for_filter, pb_source, CAST(cash_share AS DECIMAL(18, 6)) AS cash_to_assets_latest, CAST(fcf_annual AS DECIMAL(18, 4)) AS fcf_latest_annual, CAST(ocf_annual AS DECIMAL(18, 6)) AS ocf_to_profit_latest_annual,
 CAST(roe_annual_median AS DECIMAL(18, 4)) AS roe_annual_median, CAST(roe_annual_min AS DECIMAL(18, 4)) AS roe_annual_min, annual_periods, history_start, history_end,
 CAST(r_cagr AS DECIMAL(18, 6)) AS revenue_cagr_pct, CAST(p_cagr AS DECIMAL(18, 6)) AS profit_cagr_pct, CAST(debt AS DECIMAL(18, 6)) AS debt_ratio_latest, CAST(fcf AS DECIMAL(18, 4)) AS fcf_latest,
 CAST(ocf_total AS DECIMAL(18, 6)) AS ocf_to_profit_total, quality_status FROM m"""
@@ -57,7 +58,7 @@ CAST(ocf_total AS DECIMAL(18, 6)) AS ocf_to_profit_total, quality_status FROM m"
 def shown(df):
     money = lambda c: F.col(c).cast("decimal(18,4)").alias(c)
     fine = lambda c: F.col(c).cast("decimal(18,6)").alias(c)
-    return df.select("symbol", "industry", "is_active", "report_period", "tdx_period", money("pe_for_filter"), "pe_source", money("pb_for_filter"), money("roe_annual_median"), money("roe_annual_min"), "annual_periods", "history_start", "history_end", fine("revenue_cagr_pct"), fine("profit_cagr_pct"), fine("debt_ratio_latest"), money("fcf_latest"), fine("ocf_to_profit_total"), "quality_status")
+    return df.select("symbol", "industry", "is_active", "report_period", "tdx_period", money("pe_for_filter"), "pe_source", money("pb_for_filter"), "pb_source", fine("cash_to_assets_latest"), money("fcf_latest_annual"), fine("ocf_to_profit_latest_annual"), money("roe_annual_median"), money("roe_annual_min"), "annual_periods", "history_start", "history_end", fine("revenue_cagr_pct"), fine("profit_cagr_pct"), fine("debt_ratio_latest"), money("fcf_latest"), fine("ocf_to_profit_total"), "quality_status")
 
 
 def current(spark, sf_dir):
@@ -141,6 +142,19 @@ def funnel_as_of(spark, sf_dir):
     return shown(fundamentals.funnel_as_of(*(view(spark, sf_dir, x) for x in ("fx_fund_hist", "fx_tdx_hist", "fx_bao")), AS_OF))
 
 
+STORED = f"""stored AS (SELECT symbol, report_period, status, observed_at FROM (SELECT v.*, TIMESTAMP '1998-06-30 12:00:00' + CAST(CAST(v.symbol AS BIGINT) % 3 - 1 AS INTEGER) * INTERVAL '1' DAY AS observed_at FROM v))"""
+CUT = FUNNEL.replace("c AS (SELECT symbol, report_period, count(*) FILTER (status = 'consistent') AS same, count(*) FILTER (status = 'difference_over_1pct') AS differ FROM v GROUP BY ALL)", f"{STORED}, c AS (SELECT symbol, report_period, count(*) FILTER (status = 'consistent') AS same, count(*) FILTER (status = 'difference_over_1pct') AS differ FROM stored WHERE CAST(observed_at AS DATE) <= DATE '{AS_OF}' GROUP BY ALL)")
+
+
+@query("funnel_as_of_stored", f"WITH {PIT_SQL}, {CUT} {SHOW}")
+def funnel_as_of_stored(spark, sf_dir):
+    """The funnel at a date with stored checks, of which a third were made after it."""
+    f, t, b = (view(spark, sf_dir, x) for x in ("fx_fund_hist", "fx_tdx_hist", "fx_bao"))
+    checks = fundamentals.validate_sources(asof.history_pit(f, AS_OF), asof.history_pit(t, AS_OF), asof.revisions(b.where(F.to_date("ingested_at") <= F.lit(AS_OF).cast("date"))))
+    stored = checks.withColumn("observed_at", F.expr("TIMESTAMP_NTZ'1998-06-30 12:00:00' + cast(cast(symbol AS bigint) % 3 - 1 AS int) * INTERVAL '1' DAY"))
+    return shown(fundamentals.funnel_as_of(f, t, b, AS_OF, stored))
+
+
 @query("screen_funnel", f"WITH {NOW_SQL}, {FUNNEL} {SHOW} WHERE roe_annual_median >= 8 AND pe_for_filter > 0 AND pe_for_filter <= 45 AND debt <= 70 AND annual_periods >= 2 AND is_active ORDER BY m.roe_annual_median DESC NULLS LAST, symbol LIMIT 100")
 def screen_funnel(spark, sf_dir):
     f, t, b = current(spark, sf_dir)
@@ -165,14 +179,14 @@ def merge_fundamentals(spark, sf_dir):
 @query(
     "tdx_normalise",
     """WITH e AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS symbol, concat(CAST(year(o_orderdate) AS VARCHAR), '1231') AS report_period, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) * 10000 END AS revenue,
-CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) * 20000 END AS assets, strftime(o_orderdate, '%Y%m%d') AS published_at, o_orderkey AS position FROM orders)
-SELECT symbol, report_period, revenue, assets, published_at, position FROM e QUALIFY row_number() OVER (PARTITION BY symbol, report_period ORDER BY (revenue IS NOT NULL)::INT + (assets IS NOT NULL)::INT DESC, position) = 1""",
+CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) * 20000 END AS assets, CASE WHEN o_orderkey % 4 = 3 OR (o_orderkey % 4 = 0 AND year(o_orderdate) >= 2000) THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS published_at, o_orderkey AS position FROM orders)
+SELECT symbol, report_period, revenue, assets, published_at, position FROM e QUALIFY row_number() OVER (PARTITION BY symbol, report_period ORDER BY (revenue IS NOT NULL)::INT + (assets IS NOT NULL)::INT + (published_at IS NOT NULL)::INT DESC, position) = 1""",
 )
 def tdx_normalise(spark, sf_dir):
     key = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(
         F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("symbol"), F.concat(F.year("o_orderdate").cast("string"), F.lit("1231")).alias("report_period"), F.when(key % 3 != 0, key).alias("r1"), F.lit(None).cast("long").alias("r0"),
-        F.when(key % 2 != 0, key * 2).alias("assets"), F.date_format("o_orderdate", "yyMMdd").alias("published_at"), key.alias("position"),
+        F.when(key % 2 != 0, key * 2).alias("assets"), F.when(key % 4 == 0, F.date_format("o_orderdate", "yyMMdd").cast("int").cast("string")).when(key % 4 == 1, F.date_format("o_orderdate", "yyyyMMdd")).when(key % 4 == 2, F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".0"))).otherwise("80430").alias("published_at"), key.alias("position"),
     )
     return fundamentals.tdx_normalise(rows, ("revenue", "assets"), {"revenue": ("r0", "r1")}).select("symbol", "report_period", "revenue", "assets", "published_at", "position")
 

@@ -31,17 +31,36 @@ def indicators(spark, sf_dir):
     return reference_data.indicators(rows, country="US")
 
 
-@query("normalize_event", "SELECT event_id AS row_id, substr(sha256(concat_ws('|', lower(country), lower(event_name), event_date, event_time)), 1, 24) AS event_id, CASE country WHEN 'US' THEN 'America/New_York' ELSE 'Asia/Shanghai' END AS time_zone, CASE WHEN event_time NOT LIKE '%.%' THEN strptime(concat(event_date, ' ', event_time), '%Y-%m-%d %H:%M:%S') AT TIME ZONE CASE country WHEN 'US' THEN 'America/New_York' ELSE 'Asia/Shanghai' END AT TIME ZONE 'UTC' END AS scheduled_at FROM fx_calendar")
+@query("normalize_event", "SELECT event_id AS row_id, substr(sha256(concat_ws('|', lower(country), event_date, event_time, lower(event_name), source)), 1, 24) AS event_id, CASE country WHEN 'US' THEN 'America/New_York' ELSE 'Asia/Shanghai' END AS time_zone, CASE WHEN event_time NOT LIKE '%.%' THEN strptime(concat(event_date, ' ', event_time), '%Y-%m-%d %H:%M:%S') AT TIME ZONE CASE country WHEN 'US' THEN 'America/New_York' ELSE 'Asia/Shanghai' END AT TIME ZONE 'UTC' END AS scheduled_at FROM fx_calendar")
 def normalize_event(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_calendar").withColumnRenamed("event_id", "row_id").withColumnRenamed("country", "market")
     return reference_data.normalize_event(rows).select("row_id", "event_id", "time_zone", "scheduled_at")
 
 
-@query("parse_us_dates", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, concat(strftime(ts, '%H:%M'), ':00') AS time FROM events")
+@query(
+    "normalize_earnings",
+    """WITH e AS (SELECT event_id AS row_id, CASE user_id % 3 WHEN 0 THEN 'CN' WHEN 1 THEN 'HK' ELSE 'US' END AS market, CASE user_id % 3 WHEN 0 THEN lpad(CAST(event_id % 100000 AS VARCHAR), 6, '0') WHEN 1 THEN lpad(CAST(event_id AS VARCHAR), CAST(greatest(5, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') ELSE concat('T', event_id) END AS symbol,
+strftime(ts, '%Y-%m-%d') AS report_date, CASE WHEN event_id % 4 = 0 THEN '16:30:00' WHEN event_id % 4 = 1 THEN 'after close' ELSE '' END AS report_time FROM events)
+SELECT row_id, market, symbol, symbol AS name, substr(sha256(concat_ws('|', lower(market), lower(symbol), report_date, report_time, 'q2', 'calendar')), 1, 24) AS event_id,
+CASE WHEN report_time = '16:30:00' THEN strptime(concat(report_date, ' ', report_time), '%Y-%m-%d %H:%M:%S') AT TIME ZONE CASE market WHEN 'US' THEN 'America/New_York' WHEN 'HK' THEN 'Asia/Hong_Kong' ELSE 'Asia/Shanghai' END AT TIME ZONE 'UTC' END AS scheduled_at FROM e""",
+)
+def normalize_earnings(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id AS row_id", "CASE user_id % 3 WHEN 0 THEN 'cn' WHEN 1 THEN ' HK' ELSE 'Us' END AS market",
+        "CASE user_id % 3 WHEN 0 THEN concat('sz', cast(event_id % 100000 AS string)) WHEN 1 THEN concat(cast(event_id AS string), '.hk') ELSE concat('t', cast(event_id AS string)) END AS symbol",
+        "cast(NULL AS string) AS name", "date_format(ts, 'yyyy-MM-dd') AS report_date", "CASE WHEN event_id % 4 = 0 THEN '16:30:00' WHEN event_id % 4 = 1 THEN 'after&nbsp; close ' END AS report_time",
+        "'Q2' AS fiscal_period", "'1.5' AS eps_forecast", "cast(NULL AS string) AS previous_eps", "'calendar' AS source",
+    )
+    return reference_data.normalize_earnings(rows).select("row_id", "market", "symbol", "name", "event_id", "scheduled_at")
+
+
+@query("parse_us_dates", "SELECT event_id, CASE event_id % 6 WHEN 4 THEN concat('2033', substr(CAST(CAST(ts AS DATE) AS VARCHAR), 5)) WHEN 5 THEN NULL ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS day, concat(strftime(ts, '%H:%M'), ':00') AS time FROM events")
 def parse_us_dates(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    text = F.concat_ws(" ", F.lit("Released"), F.date_format("ts", "MMMM d, yyyy"), F.lit("at"), F.date_format("ts", "h:mm a"))
-    return rows.select("event_id", reference_data.parse_us_date(text, F.lit(1999)).alias("day"), reference_data.parse_us_time(text).alias("time"))
+    """Long and short months, with and without a comma, ISO dates, dates without a year, and words that are no months."""
+    rows, day = table(spark, sf_dir, "events"), lambda p: F.date_format("ts", p)
+    kinds = [day("MMMM d, yyyy"), day("MMM d, yyyy"), day("MMMM d yyyy"), day("yyyy-MM-dd"), day("MMM d"), F.concat(F.lit("Quarter "), day("d, yyyy"))]
+    text = F.concat_ws(" ", F.lit("Released:"), F.get(F.array(*kinds), (F.col("event_id") % 6).cast("int")), F.lit("- at"), F.when(F.col("event_id") % 2 == 0, day("h:mm a")).otherwise(F.concat(day("h:mm "), F.lower(F.substring(day("a"), 1, 1)), F.lit(".m."))))
+    return rows.select("event_id", reference_data.parse_us_date(text, F.lit(2033)).alias("day"), reference_data.parse_us_time(text).alias("time"))
 
 
 @query("dedupe_calendar", "SELECT user_id AS identity, max(event_id) AS position FROM events GROUP BY 1")
@@ -50,30 +69,66 @@ def dedupe_calendar(spark, sf_dir):
     return reference_data.dedupe_calendar(rows).select(F.col("event_id").cast("long").alias("identity"), "position")
 
 
-@query("indicator_change", "WITH o AS (SELECT user_id AS series, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, lead(value) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS previous FROM events) SELECT series, value, previous, value - previous AS change, CASE WHEN previous <> 0 THEN (value - previous) / abs(previous) * 100 END AS change_pct FROM o WHERE n = 1")
+@query("indicator_change", "WITH e AS (SELECT user_id, event_id, value - 50 AS value FROM events), o AS (SELECT user_id AS series, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, lead(value) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS previous FROM e) SELECT series, value, previous, value - previous AS change, CASE WHEN previous <> 0 THEN (value - previous) / previous * 100 END AS change_pct FROM o WHERE n = 1")
 def indicator_change(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("observed_on"), "value")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("observed_on"), (F.col("value") - 50).alias("value"))
     return reference_data.indicator_change(rows).drop("observed_on")
 
 
-@query("calendar_snapshot", "SELECT section, count(*) AS n FROM (SELECT 'economic' AS section FROM fx_calendar WHERE impact = 'High' UNION ALL SELECT 'earnings' FROM fx_calendar WHERE country = 'CN') GROUP BY 1")
+@query("calendar_snapshot", "SELECT 'economic' AS section, event_id, event_date, impact FROM fx_calendar WHERE impact = 'High' UNION ALL SELECT 'earnings', event_id, event_date, NULL FROM fx_calendar WHERE country = 'CN'")
 def calendar_snapshot(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_calendar")
     both = reference_data.snapshot(economic=rows.where("impact = 'High'"), earnings=rows.where("country = 'CN'").drop("impact"))
-    return both.groupBy("section").agg(F.count("*").alias("n"))
+    return both.select("section", "event_id", "event_date", "impact")
+
+
+# The latest quote of each symbol, and the latest fundamental of codes that some quotes of the CN market have as well.
+FRAGMENTS = """q AS (SELECT symbol, market, source, CASE WHEN user_id % 2 = 0 THEN concat('https://example.org/', split_part(symbol, '.', 1)) ELSE '' END AS source_url, CASE market WHEN 'CN' THEN 'CNY' END AS currency, quote_at, ingested_at FROM (
+SELECT concat(lpad(CAST(user_id AS VARCHAR), 6, '0'), CASE user_id % 3 WHEN 0 THEN '.SZ' WHEN 1 THEN '.HK' ELSE '.US' END) AS symbol, user_id, CASE user_id % 3 WHEN 0 THEN 'CN' WHEN 1 THEN 'HK' ELSE 'US' END AS market, event_type AS source, CASE WHEN event_id % 5 > 0 THEN ts - INTERVAL '1' HOUR END AS quote_at, ts AS ingested_at,
+row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1),
+d AS (SELECT symbol AS code, report_period, CASE WHEN symbol LIKE '%7' THEN ' ' ELSE industry END AS industry, ingested_at FROM fx_fund_hist QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY report_period DESC, ingested_at DESC, version_id DESC) = 1),
+j AS (SELECT coalesce(q.symbol, concat(d.code, CASE WHEN substr(d.code, 1, 1) IN ('5', '6', '9') THEN '.SH' WHEN substr(d.code, 1, 1) IN ('4', '8') THEN '.BJ' ELSE '.SZ' END)) AS symbol, coalesce(q.market, 'CN') AS market, d.code IS NOT NULL AS has_d, q.symbol IS NOT NULL AS has_q, q.currency, q.source, coalesce(q.source_url, '') AS url, nullif(trim(d.industry), '') AS industry,
+coalesce(q.ingested_at, d.ingested_at) AS fetched_at, coalesce(q.quote_at, q.ingested_at, d.ingested_at) AS effective_at, coalesce(d.report_period, 'latest') AS period, coalesce(split_part(q.symbol, '.', 1), d.code) AS code
+FROM q FULL JOIN d ON split_part(q.symbol, '.', 1) = d.code AND q.market = 'CN')"""
+
+
+def fragment(spark, sf_dir):
+    quotes_ = table(spark, sf_dir, "events").selectExpr(
+        "concat(lpad(cast(user_id AS string), 6, '0'), CASE user_id % 3 WHEN 0 THEN '.SZ' WHEN 1 THEN '.HK' ELSE '.US' END) AS symbol", "CASE user_id % 3 WHEN 0 THEN 'CN' WHEN 1 THEN 'HK' ELSE 'US' END AS market", "event_type AS source", "CASE WHEN user_id % 2 = 0 THEN concat('https://example.org/', lpad(cast(user_id AS string), 6, '0')) ELSE '' END AS source_url",
+        "CASE WHEN user_id % 3 = 0 THEN 'CNY' END AS currency", "CASE WHEN event_id % 5 > 0 THEN ts - INTERVAL '1' HOUR END AS quote_at", "ts AS observed_at", "ts AS ingested_at", "event_id AS content_rank",
+    )
+    history = versions.newest(view(spark, sf_dir, "fx_fund_hist"), ("symbol",), ("report_period", "ingested_at", "version_id"))
+    latest = history.withColumn("industry", F.when(F.col("symbol").endswith("7"), " ").otherwise(F.col("industry")))
+    return reference_data.repository_fragment(versions.latest_quotes(quotes_), latest, F.lit(NOW).cast("timestamp"))
 
 
-FRAGMENTS = """q AS (SELECT symbol, market, arg_max(source, (ingested_at, content_rank)) AS source, max(ingested_at) AS as_of FROM fx_quote GROUP BY ALL),
-d AS (SELECT concat('Q', substr(symbol, 3)) AS symbol, max(industry) AS industry, max(ingested_at) AS as_of FROM fx_fund_hist GROUP BY 1)"""
+@query(
+    "repository_fragment",
+    f"""WITH {FRAGMENTS} SELECT symbol, market, CASE WHEN has_d THEN 'equity' ELSE 'unknown' END AS asset_type, currency, effective_at AS as_of, industry, CASE WHEN has_q THEN source ELSE 'fundamental_snapshot' END AS source_id, nullif(url, '') AS source_url,
+CASE WHEN url = '' THEN concat('fundamental_snapshot:', period, ':', code) END AS source_record_id, fetched_at, CASE WHEN has_q THEN 'primary_market_data' ELSE 'primary_filing_aggregation' END AS source_tier FROM j""",
+)
+def repository_fragment(spark, sf_dir):
+    proof = F.get("evidence", F.lit(0))
+    out = fragment(spark, sf_dir).select("symbol", "market", "asset_type", "currency", F.col("as_of").cast("timestamp_ntz").alias("as_of"), F.get("classifications", F.lit(0))["value"].alias("industry"), *(proof[c].alias(c) for c in ("source_id", "source_url", "source_record_id", "fetched_at", "source_tier")))
+    return out.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
 
 
-@query("merge_exposure", f"WITH {FRAGMENTS} SELECT symbol, CASE WHEN d.symbol IS NOT NULL THEN 'stock' ELSE 'unknown' END AS asset_type, q.market, concat_ws(',', q.source, d.industry) AS classifications, greatest(q.as_of, d.as_of) AS as_of, 'not_applicable' AS holdings_status FROM q FULL JOIN d USING (symbol)")
+@query(
+    "merge_exposure",
+    f"""WITH {FRAGMENTS}, m AS (SELECT DISTINCT concat(lpad(CAST(user_id AS VARCHAR), 6, '0'), CASE user_id % 3 WHEN 0 THEN '.SZ' WHEN 1 THEN '.HK' ELSE '.US' END) AS symbol, user_id % 8 = 0 AS fund FROM events WHERE user_id % 4 = 0)
+SELECT symbol, CASE WHEN has_d THEN 'equity' WHEN m.fund THEN 'etf' ELSE 'unknown' END AS asset_type, market, currency, effective_at AS as_of, industry AS classifications, CASE WHEN m.symbol IS NOT NULL THEN concat('report of ', symbol) ELSE '' END AS materials,
+CASE WHEN m.symbol IS NOT NULL THEN 'available' ELSE 'unavailable' END AS company_materials_status, CASE WHEN NOT has_d AND m.fund THEN 'available' ELSE 'not_applicable' END AS holdings_status, CASE WHEN m.symbol IS NOT NULL THEN 2 ELSE 1 END AS proofs
+FROM j LEFT JOIN m USING (symbol)""",
+)
 def merge_exposure(spark, sf_dir):
-    q = versions.latest_quotes(view(spark, sf_dir, "fx_quote")).select("symbol", F.lit(0).alias("priority"), F.lit("quote").alias("source"), F.lit("unknown").alias("asset_type"), "market", F.lit(None).cast("string").alias("currency"), F.lit(None).cast("string").alias("holdings"), F.array("source").alias("classifications"), F.array(F.lit("quote")).alias("evidence"), F.col("ingested_at").alias("as_of"))
-    d = view(spark, sf_dir, "fx_fund_hist").groupBy(F.concat(F.lit("Q"), F.substring("symbol", 3, 99)).alias("symbol")).agg(F.max("industry").alias("industry"), F.max("ingested_at").alias("as_of"))
-    d = d.select("symbol", F.lit(1).alias("priority"), F.lit("fund").alias("source"), F.lit("stock").alias("asset_type"), F.lit(None).cast("string").alias("market"), F.lit(None).cast("string").alias("currency"), F.lit(None).cast("string").alias("holdings"), F.array("industry").alias("classifications"), F.array(F.lit("fund")).alias("evidence"), "as_of")
-    out = reference_data.merge_exposure(q.unionByName(d))
-    return out.select("symbol", "asset_type", "market", F.array_join("classifications", ",").alias("classifications"), "as_of", "holdings_status")
+    """What the repository knows, and after it materials of every fourth user's symbol, every second of which is said to be a fund."""
+    own = fragment(spark, sf_dir).withColumn("priority", F.lit(0)).withColumn("source", F.lit("repository"))
+    at = F.lit("1990-01-01").cast("timestamp")
+    users = table(spark, sf_dir, "events").where("user_id % 4 = 0").select("user_id").distinct().withColumn("symbol", F.concat(F.lpad(F.col("user_id").cast("string"), 6, "0"), F.expr("CASE user_id % 3 WHEN 0 THEN '.SZ' WHEN 1 THEN '.HK' ELSE '.US' END")))
+    proof = reference_data.evidence(F.lit("issuer"), at, at, F.lit("issuer"), F.lit("https://example.org/"), F.lit(""))
+    more = users.select("symbol", F.when(F.col("user_id") % 8 == 0, "etf").otherwise("unknown").alias("asset_type"), F.lit(None).cast("string").alias("market"), F.lit(None).cast("string").alias("currency"), at.alias("as_of"), F.array(F.concat(F.lit("report of "), "symbol")).alias("company_materials"), F.lit("constituents").alias("holdings"), F.array(proof).alias("evidence"), F.lit(1).alias("priority"), F.lit("issuer").alias("source"))
+    out = reference_data.merge_exposure(own.unionByName(more, allowMissingColumns=True))
+    return out.select("symbol", "asset_type", "market", "currency", F.col("as_of").cast("timestamp_ntz").alias("as_of"), F.get("classifications", F.lit(0))["value"].alias("classifications"), F.array_join("company_materials", ",").alias("materials"), "company_materials_status", "holdings_status", F.size("evidence").alias("proofs"))
 
 
 @query("serve_stale", f"WITH a AS (SELECT symbol, max(ingested_at) AS as_of FROM fx_quote GROUP BY 1) SELECT symbol, CAST(floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(as_of)) AS BIGINT) AS age_seconds, CASE WHEN floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(as_of)) <= 86400 THEN 'fresh' WHEN floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(as_of)) <= 604800 THEN 'stale' ELSE 'unavailable' END AS state FROM a")
@@ -98,15 +153,27 @@ def mapping_conflicts(spark, sf_dir):
     return reference_data.mapping_conflicts(view(spark, sf_dir, "fx_symbol_map"))
 
 
-@query("instrument_check", "SELECT instrument_id, CASE WHEN price_precision NOT BETWEEN 0 AND 18 THEN 'invalid_precision' ELSE '' END AS errors FROM fx_instrument")
+INSTRUMENT = {
+    "instrument_id": "instrument_id", "symbol": "symbol", "mic": "mic", "market": "CASE WHEN p_no % 11 = 0 THEN 'EU' ELSE market END", "currency": "CASE WHEN p_no % 13 = 0 THEN 'usd' ELSE 'USD' END", "price_precision": "price_precision",
+    "tick_size": "CASE WHEN p_no % 7 = 0 THEN '0.00' WHEN p_no % 7 = 1 THEN '01' ELSE '0.01' END", "lot_size": "CASE WHEN p_no % 17 = 0 THEN '-1' ELSE '100' END", "ts_event": "CASE WHEN p_no % 19 = 0 THEN 2 ELSE 1 END", "ts_init": "1 + 0 * p_no",
+}
+
+
+@query(
+    "instrument_check",
+    f"""WITH n AS (SELECT *, CAST(substr(symbol, 2) AS BIGINT) AS p_no FROM fx_instrument), c AS (SELECT p_no, {", ".join(f"{v} AS {k}" for k, v in INSTRUMENT.items())} FROM n)
+SELECT instrument_id, array_to_string(list_filter([CASE WHEN market = 'EU' THEN 'invalid_market' END, CASE WHEN currency = 'usd' THEN 'invalid_currency' END, CASE WHEN price_precision NOT BETWEEN 0 AND 18 THEN 'invalid_precision' END,
+CASE WHEN tick_size <> '0.01' THEN 'invalid_tick_size' END, CASE WHEN lot_size <> '100' THEN 'invalid_lot_size' END, CASE WHEN ts_event > ts_init THEN 'clock_order' END], lambda x: x IS NOT NULL), ',') AS errors FROM c""",
+)
 def instrument_check(spark, sf_dir):
-    return reference_data.instrument_check(view(spark, sf_dir, "fx_instrument")).select("instrument_id", F.array_join("errors", ",").alias("errors"))
+    rows = view(spark, sf_dir, "fx_instrument").withColumn("p_no", F.expr("cast(substr(symbol, 2) AS bigint)")).selectExpr(*(f"{v} AS {k}" for k, v in INSTRUMENT.items()))
+    return reference_data.instrument_check(rows).select("instrument_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query(
     "provider_health",
-    """WITH g AS (SELECT provider, count(*) AS attempts, max(attempted_at) FILTER (success) AS last_success_at, arg_max(error, attempt_no) FILTER (NOT success) AS last_error, max(attempt_no) FILTER (success) AS ok, arg_max(success, attempt_no) AS last FROM fx_attempt GROUP BY 1)
-SELECT provider, attempts, last_success_at, last_error, (SELECT count(*) FROM fx_attempt a WHERE a.provider = g.provider AND NOT a.success AND a.attempt_no > coalesce(g.ok, -1)) AS consecutive_failures, CASE WHEN last THEN 'healthy' ELSE 'degraded' END AS status FROM g""",
+    """WITH g AS (SELECT provider, count(*) AS attempts, max(attempted_at) FILTER (success) AS last_success_at, arg_max(error, attempt_no) FILTER (NOT success) AS error, max(attempt_no) FILTER (success) AS ok, arg_max(success, attempt_no) AS last, arg_max(attempted_at, attempt_no) AS last_attempt_at FROM fx_attempt GROUP BY 1)
+SELECT provider, attempts, CASE WHEN last THEN 'healthy' ELSE 'unhealthy' END AS status, last_attempt_at, last_success_at, CASE WHEN NOT last THEN error END AS last_error, (SELECT count(*) FROM fx_attempt a WHERE a.provider = g.provider AND NOT a.success AND a.attempt_no > coalesce(g.ok, -1)) AS consecutive_failures FROM g""",
 )
 def provider_health(spark, sf_dir):
     return reference_data.provider_health(view(spark, sf_dir, "fx_attempt"))
@@ -177,17 +244,18 @@ def session_quote(spark, sf_dir):
     return quotes.latest_session_quote(rows, ("regular", "pre_market")).where("quote_at IS NOT NULL").select("user_id", "quote_at", "session")
 
 
-@query("last_nonnull_close", "WITH v AS (SELECT user_id, list(value ORDER BY event_id) FILTER (event_type <> 'error') AS c FROM events GROUP BY 1) SELECT user_id, coalesce(c[-1], 1.5) AS price, coalesce(c[-2], 2.5) AS previous FROM v")
+@query("last_nonnull_close", "WITH v AS (SELECT user_id, list(value ORDER BY event_id) FILTER (event_type <> 'error') AS c FROM events GROUP BY 1) SELECT user_id, coalesce(c[-1], 1.5) AS price, CASE WHEN user_id % 3 > 0 THEN 2.5 WHEN user_id % 2 = 0 THEN 3.5 END AS previous FROM v")
 def last_nonnull_close(spark, sf_dir):
     closes = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
-    rows = quotes.newest_known(closes, "user_id", "event_id", "v").select("user_id", "closes", F.lit(1.5).alias("meta_price"), F.lit(2.5).alias("meta_previous"))
+    own, chart = F.when(F.col("user_id") % 3 > 0, 2.5), F.when(F.col("user_id") % 2 == 0, 3.5)
+    rows = quotes.newest_known(closes, "user_id", "event_id", "v").select("user_id", "closes", F.lit(1.5).alias("meta_price"), own.alias("meta_previous"), chart.alias("chart_previous"))
     return quotes.last_nonnull_close(rows).select("user_id", "price", "previous")
 
 
-@query("session_label", "SELECT event_id, CASE WHEN hour(ts) BETWEEN 4 AND 8 THEN 'pre' WHEN hour(ts) BETWEEN 9 AND 15 THEN 'regular' WHEN hour(ts) BETWEEN 16 AND 19 THEN 'post' ELSE 'closed' END AS label FROM events")
+@query("session_label", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'unknown' WHEN hour(ts) BETWEEN 4 AND 8 THEN 'pre' WHEN hour(ts) BETWEEN 9 AND 15 THEN 'regular' WHEN hour(ts) BETWEEN 16 AND 19 THEN 'post' ELSE 'closed' END AS label FROM events")
 def session_label(spark, sf_dir):
     periods = [("pre", F.lit(4), F.lit(8)), ("regular", F.lit(9), F.lit(15)), ("post", F.lit(16), F.lit(19))]
-    return table(spark, sf_dir, "events").select("event_id", quotes.session_label(F.hour("ts"), periods).alias("label"))
+    return table(spark, sf_dir, "events").select("event_id", quotes.session_label(F.when(F.col("event_id") % 9 > 0, F.hour("ts")), periods).alias("label"))
 
 
 @query("validate_quote", "SELECT content_rank, CASE WHEN market = 'US' THEN 'unknown_market' ELSE '' END || CASE WHEN market = 'US' AND price <= 0 THEN ',' ELSE '' END || CASE WHEN price <= 0 THEN 'invalid_price' ELSE '' END AS errors FROM fx_quote")

@@ -114,7 +114,8 @@ FROM part
     "fx_calendar": """
 SELECT lpad(cast(event_id AS string), 12, '0') AS event_id, CASE user_id % 2 WHEN 0 THEN 'US' ELSE 'CN' END AS country,
        cast(cast(ts AS date) AS string) AS event_date, substr(cast(ts AS string), 12, 8) AS event_time,
-       event_type AS event_name, CASE event_id % 3 WHEN 0 THEN 'High' ELSE 'Medium' END AS impact, round(value, 2) AS actual
+       event_type AS event_name, CASE event_id % 3 WHEN 0 THEN 'High' ELSE 'Medium' END AS impact, round(value, 2) AS actual,
+       CASE event_id % 2 WHEN 0 THEN 'bureau' ELSE 'census' END AS source
 FROM events
 """,
     "fx_attempt": """
