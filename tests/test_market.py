@@ -9,38 +9,44 @@ import sys
 
 import duckdb
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tests.test_streams import RAW
 from tideframe.functions import scalars
-from tideframe.operators import asof, canonical, dividends, fundamentals, realtime, versions
+from tideframe.operators import asof, canonical, dividends, realtime, versions
 from tideframe.plans import ORACLES, QUERIES
 from tideframe.sources import ingest
 from tideframe.sources.fixtures import TABLES
 
 TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
-T0 = dt.datetime(2026, 7, 20, 1, 0, 0)
+T0 = dt.datetime(2031, 5, 4, 2, 30, 0)
 
 
-def bar(close, source, symbol="0700.HK", **more):
-    row = dict(symbol=symbol, market="HK", bar_interval="1m", adjustment="raw", bar_time=T0, open=9.0, high=11.0, low=8.0, close=close, raw_close=close, adjustment_factor=1.0, volume=100.0, amount=1000.0, source=source, source_sequence="1", observed_at=T0 + dt.timedelta(seconds=1), ingested_at=T0 + dt.timedelta(seconds=2), raw_artifact_id=f"artifact-{source}", content_rank="a")
+def bar(close, source, symbol="TIDE.X", **more):
+    row = dict(symbol=symbol, market="US", bar_interval="5m", adjustment="raw", bar_time=T0, open=close - 0.4, high=close + 0.9, low=close - 1.1, close=close, raw_close=close, adjustment_factor=1.0, volume=730.0, amount=4100.0, source=source, source_sequence="8", observed_at=T0 + dt.timedelta(seconds=4), ingested_at=T0 + dt.timedelta(seconds=9), raw_artifact_id=f"file-{source}", content_rank="m")
     return row | more
 
 
 def bars(spark, *rows):
-    return spark.createDataFrame([Row(**r) for r in rows])
-
-
-def test_canonical_selection_golden_rows(spark):
-    near = canonical.canonical_bars(bars(spark, bar(10.0, "sina"), bar(10.000000001, "tushare"))).first()
-    assert (near.source, near.source_count, near.quality_status) == ("tushare", 2, "multi_source_consistent")
-    far = canonical.canonical_bars(bars(spark, bar(10.0, "sina"), bar(10.1, "tushare"))).first()
-    assert far.quality_status == "multi_source_ohlcva_difference"
-    unknown = canonical.canonical_bars(bars(spark, bar(10.0, "unknown-z"), bar(10.0, "unknown-a"))).first()
-    assert unknown.source == "unknown-a"
-    nulls = canonical.canonical_bars(bars(spark, bar(10.0, "sina", amount=None), bar(10.0, "tushare"))).first()
-    assert nulls.quality_status == "multi_source_ohlcva_difference"
+    return spark.createDataFrame([tuple(r[f.split()[0]] for f in RAW.split(", ")) for r in rows], RAW)
+
+
+def test_canonical_selection(spark):
+    """Priority first, then newest observation, newest ingestion and name; all six values must agree within the tolerance."""
+    pick = lambda *rows: (lambda r: (r.source, r.source_count, r.quality_status))(canonical.canonical_bars(bars(spark, *rows)).first())
+    like = bar(5.25, "sina")
+    assert pick(like) == ("sina", 1, "single_source")
+    assert pick(like, like | {"source": "yahoo_chart", "close": 5.25 * (1 + 9e-7)}) == ("sina", 2, "multi_source_consistent")
+    assert pick(like, like | {"source": "yahoo_chart", "close": 5.25 * (1 + 2e-6)}) == ("sina", 2, "multi_source_ohlcva_difference")
+    assert pick(like, like | {"source": "baostock", "volume": 731.0})[2] == "multi_source_ohlcva_difference"
+    assert pick(like | {"amount": None}, like | {"source": "baostock", "amount": None})[2] == "multi_source_consistent"
+    assert pick(like | {"amount": None}, like | {"source": "baostock"})[2] == "multi_source_ohlcva_difference"
+    assert pick(bar(7.0, "reef"), bar(7.0, "atoll"))[0] == "atoll"
+    assert pick(bar(7.0, "reef", observed_at=T0 + dt.timedelta(minutes=1)), bar(7.0, "atoll"))[0] == "reef"
+    assert pick(bar(7.0, "reef", ingested_at=T0 + dt.timedelta(minutes=1)), bar(7.0, "atoll"))[0] == "reef"
+    assert pick(bar(7.0, "reef", observed_at=T0 + dt.timedelta(days=9)), bar(8.0, "baostock"))[0] == "baostock"
+    assert pick(like, like | {"content_rank": "z", "close": 5.5})[1] == 1  # one row of a source
 
 
 def test_fingerprints_dont_depend_on_order_and_bump_versions(spark):
@@ -54,24 +60,14 @@ def test_fingerprints_dont_depend_on_order_and_bump_versions(spark):
     assert canonical.bump_version(a, stored.limit(0)).first().version == 1
 
 
-def test_fundamentals_point_in_time_golden_rows(spark):
-    rows = [("600298", "20260331", "2026-04-30", 10.0, dt.datetime(2026, 5, 1), "v1"), ("600298", "20260331", "2026-04-30", 20.0, dt.datetime(2026, 7, 1), "v2")]
-    history = spark.createDataFrame([(*r[:5], r[4], r[5]) for r in rows], "symbol string, report_period string, published_at string, price double, observed_at timestamp, ingested_at timestamp, version_id string")
-    assert asof.revisions(history).first().price == 20.0
-    assert asof.fundamentals_pit(history, "2026-06-01").first().price == 10.0
-    assert asof.fundamentals_pit(history, "2026-04-29").count() == 0
-
-
-def test_funnel_golden_row(spark):
-    years = [("20231231", 12.0, 100.0, 10.0), ("20241231", 14.0, 110.0, 11.0), ("20251231", 16.0, 121.0, 12.1)]
-    tdx = spark.createDataFrame([("000001", p, roe, rev, rev, pr, pr, 200.0, 80.0, 40.0, 15.0, 5.0) for p, roe, rev, pr in years], "symbol string, report_period string, roe_weighted double, revenue_ttm double, revenue double, net_profit_parent double, net_profit_parent_ttm double, total_assets double, total_liabilities double, cash double, operating_cashflow double, capex double")
-    fund = spark.createDataFrame([("000001", "n", "i", True, "20260331", 9.0, 1.0, 10.0, 1.0, 1.0, 1.0, 1.0, 1.0)], "symbol string, name string, industry string, is_active boolean, report_period string, pe_dynamic double, pb double, roe_weighted double, revenue double, net_profit double, total_assets double, total_liabilities double, operating_cashflow double")
-    bao = spark.createDataFrame([("000001", "20251231", "2026-01-05", 7.5, 0.9, 15.0)], "symbol string, report_period string, trade_date string, pe_ttm double, pb_mrq double, roe_avg double")
-    row = fundamentals.funnel_metrics(fund, tdx, bao, fundamentals.validate_sources(fund, tdx, bao)).first()
-    assert row.roe_annual_median == 14.0 and row.revenue_cagr_pct == pytest.approx(10) and row.pe_for_filter == 7.5
-    assert row.debt_ratio_latest == 40.0 and row.quality_status == "multi_source_pending_validation"
-    chosen = fundamentals.screen_funnel(fundamentals.funnel_metrics(fund, tdx, bao, fundamentals.validate_sources(fund, tdx, bao)), min_roe_median=13, min_revenue_cagr=9, max_pe=8, max_debt_ratio=50, min_annual_periods=3)
-    assert chosen.count() == 1
+def test_fundamentals_point_in_time(spark):
+    at = lambda m, d: dt.datetime(2031, m, d)
+    rows = [("300042", "20301231", "2031-02-11", 4.5, at(2, 12), "a"), ("300042", "20301231", "2031-02-11", 5.5, at(6, 20), "b"), ("300042", "20310331", "2031-04-25", 6.5, at(4, 26), "c"), ("300043", "20301231", "2031-02-11", 1.5, at(2, 12), "d")]
+    history = spark.createDataFrame([(*r[:5], r[4], r[5]) for r in rows], "symbol string, report_period string, published_at string, x double, observed_at timestamp, ingested_at timestamp, version_id string")
+    known = lambda day: {r.symbol: r.x for r in asof.fundamentals_pit(history, day).collect()}
+    assert known("2031-02-11") == {} and known("2031-02-12") == {"300042": 4.5, "300043": 1.5} and known("2031-05-01") == {"300042": 6.5, "300043": 1.5}
+    assert sorted(r.x for r in asof.revisions(history).collect()) == [1.5, 5.5, 6.5]
+    assert {r.report_period: r.x for r in asof.history_pit(history, "2031-07-01").where("symbol = '300042'").collect()} == {"20301231": 5.5, "20310331": 6.5}
 
 
 def test_one_percent_is_consistent(spark):
@@ -80,24 +76,15 @@ def test_one_percent_is_consistent(spark):
     assert [r.s for r in got] == ["consistent", "difference_over_1pct", "missing_comparison"]
 
 
-def test_trades_golden_rows(spark):
-    at = lambda m, s: dt.datetime(2026, 1, 1, 1, m, 0) + dt.timedelta(seconds=s)
-    rows = [(at(0, 10), 100.0, 2.0), (at(0, 59.999), 101.0, 3.0), (at(1, 0), 99.0, 1.0), (at(0, 30), 1000.0, 1.0)]
-    trades = spark.createDataFrame([("AAPL.XNAS", "s", "regular", t, p, z, i) for i, (t, p, z) in enumerate(rows)], "instrument_id string, source string, session string, ts_event timestamp, price double, size double, arrival_seq long").repartition(3)
-    got = sorted(tuple(r)[4:9] for r in realtime.trade_bars(trades, 60).collect())
-    assert got == [(99.0, 99.0, 99.0, 99.0, 1.0), (100.0, 101.0, 100.0, 101.0, 5.0)]
-    assert realtime.late_trades(trades, 60).first().price == 1000.0
-
-
-def test_dividends_golden_rows(spark):
-    d = dt.date
-    rows = [("a", 2024, 0.12, d(2024, 5, 1), "confirmed", "x"), ("b", 2025, 0.08, d(2025, 5, 1), "confirmed", "y"), ("c", 2025, 0.02, d(2025, 6, 1), "unverified", "z"), ("d", 2025, 0.5, d(2026, 7, 10), "unverified", "w")]
-    events = spark.createDataFrame([("510300.SH", f, a, "CNY", d(f, 4, 1), p, "active", s, i, doc) for i, f, a, p, s, doc in rows], "symbol string, fiscal_year int, amount_per_share double, currency string, announcement_date date, payment_date date, event_status string, confirmation_status string, dividend_id string, source_document_id string").withColumn("amount_per_share", F.col("amount_per_share").cast("decimal(18,6)"))
-    year = {r.year: r for r in dividends.dividend_summary(events).collect()}
-    assert float(year[2025].total) == 0.10 and float(year[2025].confirmed_total) == 0.08 and float(year[2025].prior_confirmed_total) == 0.12 and year[2025].events == 2
-    assert float(year[2026].total) == 0.5  # by payment year
-    pair = spark.createDataFrame([("SOXX", 2025, 0.2611, "USD", d(2025, 3, 1), d(2025, 3, 20), "active", "561692", "1", "p"), ("SOXX", 2025, 0.261115, "USD", d(2025, 3, 1), d(2025, 3, 20), "active", "", "2", "q")], "symbol string, fiscal_year int, amount_per_share double, currency string, announcement_date date, payment_date date, event_status string, source_document_id string, dividend_id string, source string")
-    assert [r.amount_per_share for r in dividends.collapse_precision_duplicates(pair).collect()] == [0.2611]
+def test_trades_of_windows_and_sessions(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [("regular", 1, 8.0, 4.0), ("regular", 29.5, 9.5, 1.0), ("post_market", 400, 3.0, 1.0), ("regular", 30, 7.0, 2.0), ("regular", 12, 55.0, 9.0), ("regular", 44, 6.0, 2.0), ("post_market", 2, 1.0, 1.0)]
+    trades = spark.createDataFrame([("TIDE.XABC", "feed", k, at(t), p, z, i) for i, (k, t, p, z) in enumerate(rows)], "instrument_id string, source string, session string, ts_event timestamp, price double, size double, arrival_seq long").repartition(3)
+    start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
+    got = sorted((r.session, r.window - start, r.open, r.high, r.low, r.close, r.volume, r.trades) for r in realtime.trade_bars(trades, 30).collect())
+    assert got == [("post_market", 390, 3.0, 3.0, 3.0, 3.0, 1.0, 1), ("regular", 0, 8.0, 9.5, 8.0, 9.5, 5.0, 2), ("regular", 30, 7.0, 7.0, 6.0, 6.0, 4.0, 2)]
+    assert sorted((r.session, r.price, r.reason) for r in realtime.late_trades(trades, 30).collect()) == [("post_market", 1.0, "late_trade_dropped"), ("regular", 55.0, "late_trade_dropped")]
+    assert realtime.trade_bars(trades, 30, with_late=True).agg(F.sum("trades")).first()[0] == 7
 
 
 def test_upsert_and_bars_round_trip(spark, tmp_path):
@@ -105,11 +92,11 @@ def test_upsert_and_bars_round_trip(spark, tmp_path):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert {tuple(r) for r in versions.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     assert {tuple(r) for r in versions.upsert(old, new, ["k"], replace=False).collect()} == {(1, "a"), (2, "b"), (3, "d")}
-    frame = bars(spark, bar(10.0, "sina"), bar(11.0, "sina", bar_time=dt.datetime(2026, 9, 1)))
+    frame = bars(spark, bar(10.0, "sina"), bar(11.0, "sina", bar_time=dt.datetime(2031, 9, 1)))
     path = str(tmp_path / "bars")
     ingest.write_bars(frame, path)
-    assert sorted(x for x in os.listdir(path) if x.startswith("bar_month")) == ["bar_month=202607", "bar_month=202609"]
-    read = ingest.read_bars(spark, path, F.lit("2026-08-01").cast("timestamp"))
+    assert sorted(x for x in os.listdir(path) if x.startswith("bar_month")) == ["bar_month=203105", "bar_month=203109"]
+    read = ingest.read_bars(spark, path, F.lit("2031-08-01").cast("timestamp"))
     assert [r.close for r in read.collect()] == [11.0] and "PartitionFilters: [isnotnull(bar_month" in read._jdf.queryExecution().toString()
 
 
@@ -164,11 +151,32 @@ def test_upserts_match_brute_force_and_no_group_is_held_whole(spark):
 
 
 def test_the_rest_works_without_the_training_data_package(tmp_path):
+    """Both llm folders gone, corpus_pipeline.py still there: the entry has the other queries, and their tests run."""
     copy = tmp_path / "copy"
-    shutil.copytree(TOP, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(TOP, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    assert (copy / "corpus_pipeline.py").exists() and not (copy / "tests" / "llm").exists()
     code = f"import __spark_entry__ as e; assert e.__file__.startswith({str(copy)!r}); assert set(e.oracle_sql()) <= set(e.queries()); assert e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
-    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=False)
+    run = lambda *args: subprocess.run([sys.executable, *args], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=False)
+    done = run("-c", code)
     assert done.returncode == 0, done.stderr
+    done = run("-m", "pytest", "-q", "tests/test_rules.py", "tests/test_ranges.py", "-k", "us_dates or range_size")
+    assert done.returncode == 0 and "2 passed" in done.stdout, done.stdout + done.stderr
+
+
+def test_workers_get_the_package(tmp_path):
+    """Python workers that don't have this package on their path."""
+    code = f"""
+import sys
+sys.path.insert(0, {TOP!r})
+from pyspark.sql import SparkSession
+from tideframe.operators import dividends
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+row = spark.sql("SELECT 'T' AS symbol, 2031 AS fiscal_year, 'EUR' AS currency, 1.5BD AS amount_per_share, date'2031-06-03' AS payment_date, 'w' AS source, 'n' AS source_document_id, date'2031-01-01' AS announcement_date, 'e' AS dividend_id")
+assert dividends.collapse_precision_duplicates(row.union(row.withColumn("source_document_id", row.source.substr(9, 1)))).count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
 
 
 def test_redaction_and_entities(spark):
