@@ -182,3 +182,33 @@ def test_funnel_in_percent_of_a_loss(spark):
     assert fundamentals.funnel_metrics(fund, tdx.where("report_period > '20290101'"), bao(), none).first().quality_status == "insufficient_annual_history"
     assert fundamentals.funnel_metrics(fund, tdx.limit(0), bao(), none).first().quality_status == "missing_tdx_latest"
     assert fundamentals.screen_funnel(fundamentals.funnel_metrics(fund, tdx, bao(), none), min_roe_median=10, max_pe=33, max_debt_ratio=30, min_annual_periods=3).count() == 1
+
+
+def test_matrices_of_a_stated_size(spark, monkeypatch):
+    from tideframe.operators import bars
+
+    monkeypatch.setattr(bars, "ROW_SYMBOLS", 1)
+    rows = spark.createDataFrame([("A", T, 1.5), ("B", T, 2.5), ("A", T + dt.timedelta(1), 3.5)], "symbol string, bar_time timestamp, close double")
+    points, names = rows.select("bar_time"), spark.createDataFrame([("A",), ("C",), ("A",)], "symbol string")
+    frame = bars.dense_matrix(rows, points, names)
+    assert sorted((r.symbol, r.close) for r in frame.collect() if r.close) == [("A", 1.5), ("A", 3.5)] and frame.count() == 4
+    assert "NestedLoop" not in frame._jdf.queryExecution().executedPlan().toString()
+    for more in ({"most_points": 1}, {"most_symbols": 1}, {"most_cells": 3}):
+        with pytest.raises(ValueError, match="at most"):
+            bars.dense_matrix(rows, points, names, **more)
+    assert bars.dense_matrix(rows, points, names.limit(0)).count() == 0
+
+
+def test_a_rebuild_joins_old_and_new_once(spark):
+    raw = spark.createDataFrame(raw_bars(120, 3), RAW)
+    early = raw.where("content_rank < '000060'")
+    existing = canonical.canonical_bars(early).withColumn("version", F.lit(3).cast("long"))
+    late = raw.where("content_rank >= '000060'")
+    got = {(r.symbol, r.bar_time): r for r in canonical.incremental_rebuild(raw, existing, canonical.dirty_ranges(late)).collect()}
+    want = {(r.symbol, r.bar_time): r for r in canonical.canonical_bars(raw).collect()}
+    old = {(r.symbol, r.bar_time): r for r in existing.collect()}
+    assert got.keys() == want.keys()
+    for key, r in got.items():
+        assert (r.source, r.close, r.input_fingerprint, r.source_count) == (want[key].source, want[key].close, want[key].input_fingerprint, want[key].source_count)
+        assert r.version == (1 if key not in old else 3 if old[key].input_fingerprint == r.input_fingerprint else 4)
+    assert {r.version for r in got.values()} == {1, 3, 4}

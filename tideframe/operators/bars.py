@@ -65,9 +65,21 @@ def matrix(bars: DataFrame, points: DataFrame, symbols: DataFrame) -> DataFrame:
     return bars.join(points, "bar_time", "left_semi").join(symbols, "symbol", "left_semi")
 
 
-def dense_matrix(bars: DataFrame, points: DataFrame, symbols: DataFrame, value: str = "close") -> DataFrame:
-    """Every cell, null where there is no bar. points and symbols are the caller's request, of a stated size."""
-    cells = points.select("bar_time").distinct().join(symbols.select("symbol").distinct(), F.lit(True))
+ROW_SYMBOLS = 1000  # symbols of a share
+
+
+def dense_matrix(bars: DataFrame, points: DataFrame, symbols: DataFrame, value: str = "close", most_points: int | None = None, most_symbols: int | None = None, most_cells: int | None = None) -> DataFrame:
+    """Every cell of a request, null where there is no bar. A request of more points, symbols or cells than are allowed is refused.
+
+    Symbols are dealt out in shares, and each point goes to every share, so the cells come from a join by share, however large either side is.
+    """
+    times, names = points.select("bar_time").distinct(), symbols.select("symbol").where("symbol IS NOT NULL").distinct()
+    n, m = times.count(), names.count()
+    if any(most is not None and size > most for size, most in ((n, most_points), (m, most_symbols), (n * m, most_cells))):
+        raise ValueError(f"a matrix has at most {most_points} points, {most_symbols} symbols and {most_cells} cells")
+    shares = -(-m // ROW_SYMBOLS) or 1
+    each = times.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    cells = each.join(names.withColumn("_share", F.pmod(F.xxhash64("symbol"), F.lit(shares)).cast("int")), "_share").drop("_share")
     return cells.join(bars.select("bar_time", "symbol", value), ["bar_time", "symbol"], "left")
 
 

@@ -112,11 +112,21 @@ def dirty_ranges(new_raw: DataFrame) -> DataFrame:
     return found.withColumn("task_id", F.sha2(F.concat_ws("|", *SERIES, day("start_time"), day("end_time")), 256))
 
 
+def renewed(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """existing with the rows of new in their keys' places, versions bumped as by bump_version(); the rest stays. One join by key."""
+    key = list(CANONICAL_KEY)
+    old_columns, new_columns = ([c for c in df.columns if c not in CANONICAL_KEY] for df in (existing, new))
+    both = existing.select(*key, F.struct(*old_columns).alias("_old")).join(new.select(*key, F.struct(*new_columns).alias("_new")), key, "full_outer")
+    same = F.col("_old.input_fingerprint") == F.col("_new.input_fingerprint")
+    version = F.when(F.col("_new").isNull() | same, F.col("_old.version")).when(F.col("_old").isNull(), F.lit(1)).otherwise(F.col("_old.version") + 1)
+    side = lambda name, columns, c: F.col(f"{name}.{c}") if c in columns else F.lit(None)
+    rest = [c for c in dict.fromkeys([*old_columns, *new_columns]) if c != "version"]
+    return both.select(*key, *(F.when(F.col("_new").isNotNull(), side("_new", new_columns, c)).otherwise(side("_old", old_columns, c)).alias(c) for c in rest), version.cast("long").alias("version"))
+
+
 def incremental_rebuild(raw: DataFrame, canonical: DataFrame, ranges: DataFrame, priority: Sequence[str] = PRIORITY) -> DataFrame:
     """canonical with the keys inside the ranges built anew and their versions bumped; the rest stays."""
     span = ranges.select(*SERIES, F.col("start_time").alias("_from"), F.col("end_time").alias("_to"))
     inside = F.col("bar_time").between(F.col("_from"), F.col("_to"))
     touched = raw.join(span, list(SERIES)).where(inside).select(*raw.columns)
-    built = bump_version(canonical_bars(touched, priority), canonical)
-    rest = canonical.join(built.select(*CANONICAL_KEY), list(CANONICAL_KEY), "left_anti")
-    return rest.unionByName(built, allowMissingColumns=True)
+    return renewed(canonical, canonical_bars(touched, priority))

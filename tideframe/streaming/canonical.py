@@ -70,7 +70,7 @@ def refresh(batch: DataFrame, batch_id: int, store: str, buckets: int = BUCKETS)
     if before is None:
         built = new.withColumn("version", F.lit(1).cast("long"))
     else:
-        built = before.join(keys, list(CANONICAL_KEY), "left_anti").unionByName(canonical.bump_version(new, before), allowMissingColumns=True)
+        built = canonical.renewed(before, new)
     _write(with_part(built, buckets).withColumn("build", F.lit(batch_id).cast("long")), f"{store}/canonical", "part", "build")
     done = spark.createDataFrame([(n, batch_id, batch_id) for n in names], COMMITS)
     done.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{store}/commits")
