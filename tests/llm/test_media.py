@@ -97,3 +97,10 @@ def test_chunks_that_point_at_one_place_are_refused():
     with pytest.raises(ValueError, match="longer than the file"):
         media.parse(data)
     assert len(data) > 9 << 20 and time.perf_counter() - began < 5
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
+    got = media.describe(media.store(docs)).collect()
+    assert len(got) == 3 and len({r.media_sha256 for r in got}) == 2 and {r.payload_bytes for r in got} == {192}
+    assert media.describe(media.store(docs.limit(0))).count() == 0

@@ -63,3 +63,23 @@ def test_the_pipeline_against_brute_force(spark):
         most = max(len(clean[d].split()) for d in single if docs[d].source == source)
         assert abs(n - goal[source]) <= most
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "personal data", "mixture", "tokens"]
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, extra columns with clashing names, and an empty table."""
+    good = " ".join(f"Harbour{i} lights and quiet water number {i}." for i in range(60))
+    long = " ".join(f"w{i * i % 99991}" for i in range(60_000))
+    rows = [(1, good, "en", "a", len(good), 7), (1, good, "en", "a", len(good), 7), (2, good + " more", None, None, None, None), (3, None, "en", "a", 0, 1), (4, "", "en", "b", 0, 2), (5, long, "en", "b", len(long), 3), (None, good.replace("Harbour", "Mountain") + " mail me@example.org", "en", None, 9, 4), (6, "too short", "en", "a", 9, 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int"
+    for name, part in (("some", rows), ("none", [])):
+        top = f"{tmp_path}/{name}"
+        spark.createDataFrame(part, schema).write.parquet(f"{top}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (6, 0, 0), (None, None, None), (99, 1, 0)] if part else [], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+        docs = spark.read.parquet(f"{top}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, top)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        out = corpus_pipeline.run(spark, top).collect()
+        ids = {r.doc_id for r in out}
+        assert not ids & {3, 4, 6} and (not part or (ids <= {1, 2, 5, None} and 5 in ids)) and (part or not out)
+        assert not {1, 2} <= ids  # near duplicates

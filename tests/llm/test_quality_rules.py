@@ -58,3 +58,15 @@ def test_nulls_labels_and_clashing_columns(spark):
     long = spark.createDataFrame([(5, " ".join(f"word{i}" for i in range(80)), 7)], "doc_id long, text string, n_words int")
     assert q.passing(long, labels).collect()[0].n_words == 7
     assert q.judge(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_empty_tables(spark):
+    from tideframe.llm import quality_rules as q
+
+    long = " ".join(f"word{i}" for i in range(300_000)) + "\nagain\nagain"
+    docs = spark.createDataFrame([(1, long, "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, kept string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.row.doc_id: r for r in q.judge(docs.select("doc_id", "text"), labels).collect()}
+    assert (got[1].n_words, got[1].n_dup_lines, got[1].base_failed, got[1].kept) == (300_002, 1, False, True)
+    assert all((got[i].n_words, got[i].base_failed, got[i].kept) == (0, True, False) for i in (2, 3))
+    assert q.judge(docs.select("doc_id", "text").limit(0), labels).count() == 0 and q.passing(docs, labels).columns == docs.columns

@@ -30,3 +30,12 @@ def test_unseen_urls_follow_their_class(spark):
 def test_grams(spark):
     got = spark.range(1).select(u.grams(F.lit("abc"), 3).alias("g"), u.grams(F.lit(""), 3).alias("e")).first()
     assert got.g == ["\u0002\u0002a", "\u0002ab", "abc"] and got.e == []
+
+
+def test_very_long_and_empty_urls(spark):
+    rows = [(i, f"http://s{i}.com/en/spam-{i}") for i in range(40)] + [(100 + i, f"http://t{i}.net/de/gut-{i}") for i in range(40)]
+    long = "http://u.info/" + "gut-" * 20_000
+    rows += [(200, long), (201, ""), (202, "http://u.info/" + "spam-" * 20_000), (203, "://"), (204, long)]
+    got = {r.page_id: (r.host, len(r.path), r.verdict) for r in u.judge(spark.createDataFrame(rows, "page_id long, url string")).where("page_id >= 200").collect()}
+    assert got[200] == got[204] == ("u.info", 80_001, "allow") and got[202][2] == "block"
+    assert got[201][:2] == got[203][:2] == ("", 0)

@@ -5,7 +5,9 @@ ranges of the keyframes. store() makes such a column: bytes become the raw 8-bit
 
 Defined cases: null bytes or a null text are empty; an empty text is one padded frame. A file that is not ISO media,
 is cut off or contradicts itself gives error (text) and null fields, never a failed task. A file with no stss box has
-all samples as keyframes, as the format says. Extra columns pass through; empty tables give empty tables.
+all samples as keyframes, as the format says; samples that add up to more than the file are refused, so no
+place is read again and again. Very long texts are stored whole, with 64-bit offsets where 32 bits don't reach. Repeated rows get equal files and
+descriptions. Extra columns pass through; empty tables give empty tables.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ mean_word <= 9.1"), and verdict() makes one ordered Spark conditional expression
 
 Defined cases: a null or empty text has all statistics 0 and fails the base. Labels that are null, or of
 documents that don't exist, are left out; with no labels, or labels of one class, no rule is learned and the base
-alone decides. Repeated rows get equal verdicts. Extra columns don't matter; columns of documents aren't changed.
+alone decides. Very long texts are counted whole. Repeated rows get equal verdicts; an empty table gives an empty result. Extra columns don't matter; columns of documents aren't changed.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
-"""Exact removal of repeated byte windows: a depth-limited radix sort of suffixes, most significant digit first.
+"""Exact removal of repeated byte windows: suffixes told apart to a limited depth by hashes of growing parts of them.
 
-Only the first `window` bytes of a suffix count, so suffixes are told apart in few passes; suffixes equal after the
-last are exactly the repeated windows. A pass splits groups by one more digit and drops what stands alone:
+This stands in for a depth-limited radix sort by bytes, whose passes would shuffle too much (see the README). Only the first `window` bytes
+of a suffix count; suffixes equal after the last pass are exactly the repeated windows. A pass splits groups by one more digit, a hash, and drops what stands alone:
 
 1. The digit is the anchor, a k-gram of least hash within the window. Equal windows have equal anchors at equal
    places, and some sixty neighbouring suffixes share one, so this pass sorts anchors instead of suffixes.
@@ -23,7 +23,8 @@ surroundings, in pass 3 of the window. Pass 1, whose digit has 64 bits, only ope
 identified by 96 bits when the results go back to them. The 32 bits share a long with another field, as they are shuffled.
 
 Defined cases: a null text is empty; texts shorter than the window keep all bytes; equal texts of the window's
-length or more are removed whole, each of them. Repeated rows repeat each other. Extra columns are ignored.
+length or more are removed whole, each of them. Repeated rows repeat each other. Very long texts are searched whole, in parts that overlap.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ made one. Log-likelihoods are whole micro-nats, so sums don't depend on their or
 
 Defined cases: a null url, or one without "://", has empty host and path, fits no rule and is allowed by the method, as
 is any URL that isn't decided because a class has no training URL. Repeated rows get equal verdicts; null page_ids and
-extra columns pass through; an empty table gives an empty result.
+extra columns pass through; an empty table gives an empty result. Very long URLs count whole, an n-gram for each character; an empty one is one without "://".
 """
 
 from __future__ import annotations
