@@ -2,6 +2,10 @@
 
 Poor documents go, of each group of near duplicates one stays, personal data is masked, the sources are mixed to their
 target weights (a document can then occur up to three times), and the texts become token ids.
+
+Defined cases: null, empty and short texts fail the quality base and go. Of repeated rows, being near duplicates, one stays. Rows without
+an id take part in all stages; null sources are one source. Very long texts are taken whole throughout. Extra columns, also those named as an operator's results,
+are kept unchanged up to the last stage, which returns its own columns. An empty table gives an empty result.
 """
 
 from __future__ import annotations
