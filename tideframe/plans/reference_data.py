@@ -223,7 +223,16 @@ def quote_versions(spark, sf_dir):
     return versions.quote_versions(view(spark, sf_dir, "fx_quote")).select("symbol", "content_rank", "payload_json", "version")
 
 
-@query("content_rank", "SELECT symbol, source, bar_time, source_sequence, substr(sha256(concat('{\"amount\":', coalesce('\"' || CAST(amount AS VARCHAR) || '\"', 'null'), ',\"bar_time\":', CAST(epoch_ms(bar_time) AS VARCHAR), ',\"close\":\"', CAST(close AS VARCHAR), '\",\"open\":\"', CAST(open AS VARCHAR), '\",\"source\":\"', source, '\",\"symbol\":\"', symbol, '\"}')), 1, 52) AS content_rank FROM fx_raw_bar")
+def plain_sql(column: str) -> str:
+    """A double's plain text without trailing zeros."""
+    return f"regexp_replace(CAST({column} AS VARCHAR), '\\.0*$|(\\.[0-9]*[1-9])0+$', '\\1')"
+
+
+@query(
+    "content_rank",
+    f"""SELECT symbol, source, bar_time, source_sequence, substr(sha256(concat('{{"amount":', coalesce('"' || {plain_sql("amount")} || '"', 'null'), ',"bar_time":', CAST(epoch_ms(bar_time) AS VARCHAR), ',"close":"', {plain_sql("close")},
+'","open":"', {plain_sql("open")}, '","source":"', source, '","symbol":"', symbol, '"}}')), 1, 52) AS content_rank FROM fx_raw_bar""",
+)
 def content_rank(spark, sf_dir):
     return versions.content_rank(view(spark, sf_dir, "fx_raw_bar"), ["open", "close", "amount"], ["symbol", "source"], ["bar_time"]).select("symbol", "source", "bar_time", "source_sequence", "content_rank")
 
