@@ -279,13 +279,21 @@ def explode_envelope(spark, sf_dir):
     return rows.select("event_id", "row_index", "symbol", "row_date", F.col("record")["kind"].alias("kind"))
 
 
-@query("explode_chart", "SELECT symbol, source_sequence, bar_time, close * 0.5 AS close, close AS raw_close FROM fx_raw_bar WHERE amount IS NOT NULL")
+@query(
+    "explode_chart",
+    """WITH c AS (SELECT symbol, source, row_number() OVER (PARTITION BY symbol, source ORDER BY bar_time, content_rank) - 1 AS row_index, bar_time, open, CASE WHEN amount IS NOT NULL THEN close END AS raw_close, CASE WHEN volume > 100 THEN close * 0.5 END AS own FROM fx_raw_bar)
+SELECT symbol, source, CAST(row_index AS INTEGER) AS row_index, bar_time, open * CASE WHEN own IS NOT NULL AND raw_close <> 0 THEN own / raw_close ELSE 1.0 END AS open, coalesce(own, raw_close) AS close, raw_close, CASE WHEN own IS NOT NULL AND raw_close <> 0 THEN own / raw_close ELSE 1.0 END AS adjustment_factor
+FROM c WHERE coalesce(own, raw_close) IS NOT NULL""",
+)
 def explode_chart(spark, sf_dir):
-    one = lambda c: F.array(c)
-    close = F.when(F.col("amount").isNotNull(), F.col("close"))
-    fields = [one(F.unix_seconds(F.col("bar_time").cast("timestamp"))).alias("timestamp"), *(one(F.col(c)).alias(c) for c in ("open", "high", "low")), one(close).alias("close"), one(F.col("volume")).alias("volume"), one(close * 0.5).alias("adjclose")]
-    rows = view(spark, sf_dir, "fx_raw_bar").select("symbol", "source_sequence", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
-    return ingest.explode_chart(rows, True).select("symbol", "source_sequence", F.col("bar_time").cast("timestamp_ntz").alias("bar_time"), "close", "raw_close")
+    """A chart for each symbol and source, with raw closes and adjusted ones missing here and there."""
+    bar = F.struct("bar_time", "content_rank", "open", "high", "low", F.when(F.col("amount").isNotNull(), F.col("close")).alias("close"), "volume", F.when(F.col("volume") > 100, F.col("close") * 0.5).alias("adjclose"))
+    charts = view(spark, sf_dir, "fx_raw_bar").groupBy("symbol", "source").agg(F.sort_array(F.collect_list(bar)).alias("x"))
+    each = lambda c: F.transform("x", lambda b: b[c]).alias(c)
+    times = F.transform("x", lambda b: F.unix_seconds(b["bar_time"].cast("timestamp"))).alias("timestamp")
+    body = F.to_json(F.struct(times, *(each(c) for c in ("open", "high", "low", "close", "volume", "adjclose"))), {"ignoreNullFields": "false"})
+    out = ingest.explode_chart(charts.select("symbol", "source", body.alias("body")), True)
+    return out.select("symbol", "source", "row_index", F.col("bar_time").cast("timestamp_ntz").alias("bar_time"), "open", "close", "raw_close", "adjustment_factor")
 
 
 @query("minute_bars", "SELECT event_id, date_trunc('second', ts) - INTERVAL 8 HOUR AS bar_time, value AS close FROM events WHERE event_type <> 'error'")
@@ -294,12 +302,16 @@ def minute_bars(spark, sf_dir):
     return ingest.minute_bars(rows).select("event_id", F.col("bar_time").cast("timestamp_ntz").alias("bar_time"), "close")
 
 
-@query("delimited_quote", "SELECT event_id, CASE WHEN event_type = 'view' THEN NULL WHEN value > 0 THEN NULL ELSE 'no_price' END AS error_of_price, event_type = 'view' AS too_few FROM events")
+@query(
+    "delimited_quote",
+    """SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END AS name, CASE WHEN event_type <> 'view' THEN 1.5 END AS open, CASE WHEN event_type <> 'view' THEN value END AS price, CASE WHEN event_type <> 'view' THEN CAST(user_id AS DOUBLE) END AS volume,
+CASE WHEN event_type <> 'view' THEN date_trunc('second', ts) END AS quote_at, CASE WHEN event_type = 'view' THEN 'too_few_fields' WHEN value > 0 THEN NULL ELSE 'no_price' END AS error FROM events""",
+)
 def delimited_quote(spark, sf_dir):
-    fields = F.concat_ws(",", F.col("event_type"), F.lit("1"), F.lit("2"), F.col("value").cast("string"), *(F.lit("0") for _ in range(26)), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"))
-    line = F.concat(F.lit('var q="'), F.when(F.col("event_type") == "view", F.lit("a,b")).otherwise(fields), F.lit('";'))
+    fields = F.concat_ws(",", F.col("event_type"), F.lit("1.5"), F.lit("2"), F.col("value").cast("string"), *(F.lit("0") for _ in range(4)), F.col("user_id").cast("string"), *(F.lit("0") for _ in range(21)), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"))
+    line = F.concat(F.lit('var q="'), F.when(F.col("event_type") == "view", F.lit("")).otherwise(fields), F.lit('";'))
     rows = ingest.parse_delimited_quote(table(spark, sf_dir, "events").select("event_id", line.alias("line")))
-    return rows.select("event_id", F.when(F.col("error") == "no_price", F.col("error")).alias("error_of_price"), F.coalesce(F.col("error") == "too_few_fields", F.lit(False)).alias("too_few"))
+    return rows.select("event_id", "name", "open", "price", "volume", F.col("quote_at").cast("timestamp_ntz").alias("quote_at"), "error")
 
 
 @query("scaled_quote", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) / 100 END AS price FROM part")

@@ -75,14 +75,15 @@ CHART = "timestamp array<bigint>, open array<double>, high array<double>, low ar
 
 
 def explode_chart(rows: DataFrame, adjusted: bool, body: str = "body") -> DataFrame:
-    """Bars of a chart's parallel arrays; entries without a close go. adjusted: prices times adjclose over close."""
+    """Bars of a chart's parallel arrays, one for each timestamp that has a close. adjusted: the adjusted close where there is one, and other prices times it over the raw close."""
     c = F.from_json(body, CHART)
     zipped = F.arrays_zip(*(c[x].alias(x) for x in ("timestamp", "open", "high", "low", "close", "volume", "adjclose")))
-    each = rows.select(*[x for x in rows.columns if x != body], F.posexplode(zipped).alias("row_index", "b")).where("b.close IS NOT NULL")
-    factor = F.when(F.lit(adjusted) & (F.col("b.close") != 0), F.coalesce(F.col("b.adjclose") / F.col("b.close"), F.lit(1.0))).otherwise(F.lit(1.0))
+    each = rows.select(*[x for x in rows.columns if x != body], F.posexplode(zipped).alias("row_index", "b")).where("b.timestamp IS NOT NULL")
+    own = F.col("b.adjclose") if adjusted else F.lit(None).cast("double")
+    factor = F.when(own.isNotNull() & (F.col("b.close") != 0), own / F.col("b.close")).otherwise(F.lit(1.0))
     out = each.withColumn("adjustment_factor", factor).withColumn("bar_time", F.timestamp_seconds("b.timestamp"))
-    prices = {x: F.col(f"b.{x}") * F.col("adjustment_factor") for x in ("open", "high", "low", "close")}
-    return out.withColumns({**prices, "volume": F.col("b.volume"), "raw_close": F.col("b.close")}).drop("b")
+    prices = {x: F.col(f"b.{x}") * F.col("adjustment_factor") for x in ("open", "high", "low")}
+    return out.withColumns({**prices, "close": F.coalesce(own, "b.close"), "volume": F.col("b.volume"), "raw_close": F.col("b.close")}).where("close IS NOT NULL").drop("b")
 
 
 def minute_bars(rows: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
