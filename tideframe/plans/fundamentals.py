@@ -116,9 +116,9 @@ def lookup(spark, sf_dir):
     return asof.revisions(view(spark, sf_dir, "fx_bao")).join(keys, "symbol", "left_semi").select("symbol", "report_period", "trade_date", "pe_ttm", "pb_mrq")
 
 
-@query("validate_sources", f"WITH {NOW_SQL}, {VALID} SELECT symbol, report_period, metric, source_a, source_b, value_a, value_b, status FROM v")
+@query("validate_sources", f"WITH {NOW_SQL}, {VALID} SELECT symbol, report_period, metric, source_a, source_b, value_a, value_b, status, CAST(round(CAST(d AS DECIMAL(38, 12)), 4) AS DECIMAL(24, 4)) AS difference_pct FROM v")
 def validate_sources(spark, sf_dir):
-    return fundamentals.validate_sources(*current(spark, sf_dir)).drop("difference_pct")
+    return fundamentals.validate_sources(*current(spark, sf_dir))
 
 
 @query("merge_validation", f"WITH {NOW_SQL}, {VALID} SELECT metric, status, count(*) AS n FROM v GROUP BY ALL")

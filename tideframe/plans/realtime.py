@@ -200,10 +200,10 @@ def stream_canonical_rows(spark, sf_dir):
 ORACLES["stream_canonical_rows"] = ORACLES["incremental_rebuild"]  # the same rows, built in batch
 
 
-@query("windowed_bars", 'SELECT instrument_id, source, session, CAST(floor(epoch(ts_event) / 3600) * 3600 AS BIGINT) AS "window", max(price) AS high, min(price) AS low, count(*) AS trades FROM fx_trade GROUP BY ALL')
+@query("windowed_bars", strict(f"WITH {WINDOWED} {BARS.replace('WHERE NOT late ', '')}"))
 def windowed_bars(spark, sf_dir):
     out = stream.windowed_bars(trades(spark, sf_dir), HOUR, "1 day")
-    return out.select(*realtime.BAR_KEY, F.unix_seconds("w.start").alias("window"), "high", "low", "trades")
+    return out.select(*realtime.BAR_KEY, F.unix_seconds("w.start").alias("window"), "open", "high", "low", "close", "volume", "trades")
 
 
 @query("stream_latest_quotes", "SELECT symbol, source, price, ingested_at FROM fx_quote QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ingested_at DESC, content_rank DESC) = 1")
