@@ -220,6 +220,8 @@ def test_content_ranks_are_exact(spark):
 def test_canonical_selection_takes_one_shuffle(spark):
     frame = canonical.canonical_bars(bars(spark, bar(10.0, "sina"), bar(10.1, "tushare")))
     assert frame._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    constant = bars(spark, bar(10.0, "sina")).withColumns({"bar_interval": F.lit("1d"), "adjustment": F.lit("raw")})
+    assert canonical.canonical_bars(constant)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
 @pytest.mark.parametrize("tolerance", [None, 0, 1, 7, 50])

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 SERIES = ("symbol", "bar_interval", "adjustment")
 RAW_KEY = (*SERIES, "source", "bar_time")
 CANONICAL_KEY = (*SERIES, "bar_time")
+# What bars are dealt out by. Spark takes a column of one constant value out of keys to group or join by, but not out of what rows were
+# dealt by, and then deals them anew; interval and adjustment often are constant, and add little to spread rows by.
+DEAL = ("symbol", "bar_time")
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], deal: Sequence[str] | None = None) -> DataFrame:
@@ -26,7 +29,7 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], deal: Seque
 
 def latest_raw(bars: DataFrame) -> DataFrame:
     """Newest ingestion, then highest content rank, of each series, source and bar time."""
-    return newest(bars, RAW_KEY, ("ingested_at", "content_rank"), CANONICAL_KEY)
+    return newest(bars, RAW_KEY, ("ingested_at", "content_rank"), DEAL)
 
 
 def latest_canonical(bars: DataFrame) -> DataFrame:
