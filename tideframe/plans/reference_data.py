@@ -253,12 +253,12 @@ def session_quote(spark, sf_dir):
     return quotes.latest_session_quote(rows, ("regular", "pre_market")).where("quote_at IS NOT NULL").select("user_id", "quote_at", "session")
 
 
-@query("last_nonnull_close", "WITH v AS (SELECT user_id, list(value ORDER BY event_id) FILTER (event_type <> 'error') AS c FROM events GROUP BY 1) SELECT user_id, coalesce(c[-1], 1.5) AS price, CASE WHEN user_id % 3 > 0 THEN 2.5 WHEN user_id % 2 = 0 THEN 3.5 END AS previous FROM v")
+@query("last_nonnull_close", "WITH v AS (SELECT user_id, list(value ORDER BY event_id) FILTER (event_type <> 'error') AS c FROM events GROUP BY 1) SELECT user_id, coalesce(c[-1], 1.5) AS price, CASE WHEN user_id % 3 > 0 THEN 2.5 WHEN user_id % 2 = 0 THEN 3.5 END AS previous, coalesce(c[-2], 2.5) AS last_but_one FROM v")
 def last_nonnull_close(spark, sf_dir):
     closes = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
     own, chart = F.when(F.col("user_id") % 3 > 0, 2.5), F.when(F.col("user_id") % 2 == 0, 3.5)
     rows = quotes.newest_known(closes, "user_id", "event_id", "v").select("user_id", "closes", F.lit(1.5).alias("meta_price"), own.alias("meta_previous"), chart.alias("chart_previous"))
-    return quotes.last_nonnull_close(rows).select("user_id", "price", "previous")
+    return quotes.last_nonnull_close(rows).select("user_id", "price", "previous", F.coalesce(F.try_element_at("closes", F.lit(-2)), F.lit(2.5)).alias("last_but_one"))
 
 
 @query("session_label", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'unknown' WHEN hour(ts) BETWEEN 4 AND 8 THEN 'pre' WHEN hour(ts) BETWEEN 9 AND 15 THEN 'regular' WHEN hour(ts) BETWEEN 16 AND 19 THEN 'post' ELSE 'closed' END AS label FROM events")
