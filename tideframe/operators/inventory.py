@@ -116,6 +116,9 @@ def page_check(rows: DataFrame, key: Sequence[str] = ("bar_time",)) -> DataFrame
     return steps.groupBy(*SERIES).agg(F.count("*").alias("rows"), F.count_if(F.col("_now") == F.col("_before")).alias("repeated"), F.count_if(F.col("_now") < F.col("_before")).alias("descending"))
 
 
+FEW = 1 << 17  # rows that may be sent to every executor, some megabytes
+
+
 def manifest_check(rows: DataFrame, manifests: DataFrame, span: int | None = None) -> DataFrame:
     """One row (dataset_id, position, rule) for each rule that a row of a page breaks.
 
@@ -125,13 +128,15 @@ def manifest_check(rows: DataFrame, manifests: DataFrame, span: int | None = Non
     """
     facts = manifests.select("dataset_id", F.col("interval").alias("_interval"), F.col("adjustment").alias("_adjustment"), F.col("start").alias("_start"), F.col("end").alias("_end"))
     members = manifests.select("dataset_id", F.explode("instruments").alias("instrument_id")).distinct().withColumn("_member", F.lit(True))
+    listed = manifests.agg(F.count("*"), F.sum(F.size("instruments"))).first()
+    few = F.broadcast if listed[0] + (listed[1] or 0) <= FEW else (lambda d: d)
     size = span or range_size(rows, F.col("position"))
     keyed = rows.withColumn("_range", F.floor(F.col("position") / size)).withColumn("_now", F.struct("window_start", "instrument_id"))
     last = keyed.groupBy("dataset_id", "_range").agg(F.max_by("_now", "position").alias("_last"), F.max("position").alias("_at"))
     past = before_each(last, ["dataset_id"], "_range", "_last", "_at").select("dataset_id", "_range", F.col("before").alias("_past"))
     order = Window.partitionBy("dataset_id", "_range").orderBy("position")
     steps = keyed.join(past, ["dataset_id", "_range"]).withColumn("_before", F.coalesce(F.lag("_now").over(order), "_past"))
-    checked = steps.join(facts, "dataset_id", "left").join(members, ["dataset_id", "instrument_id"], "left")
+    checked = steps.join(few(facts), "dataset_id", "left").join(few(members), ["dataset_id", "instrument_id"], "left")
     same = F.col("interval").eqNullSafe(F.col("_interval")) & F.col("adjustment").eqNullSafe(F.col("_adjustment"))
     rules = (
         (F.col("_member").isNotNull(), "instrument_outside_manifest"),

@@ -48,3 +48,16 @@ def before_each(parts: DataFrame, keys: Sequence[str], at: str, value: str, orde
     near = rows.withColumn("_near", best.over(window)).join(past, _same(keys) & (F.col("_other") == F.col("_block")), "left")
     chosen = F.when(F.col("_past.o").isNull() | (F.col("_near.o") >= F.col("_past.o")), F.col("_near.v")).otherwise(F.col("_past.v"))
     return near.withColumn("before", chosen).select(*parts.columns, "before")
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], slices: Column, name: str = "position") -> DataFrame:
+    """rows with their place among their key's in an order, from 1. slices, not null, must never fall along that order.
+
+    Slices are counted, and a row is numbered within its own, after all rows of the slices before it.
+    """
+    cut = rows.withColumn("_slice", slices)
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    starts = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    return cut.join(starts, [*keys, "_slice"]).withColumn(name, F.col("_start") + place).drop("_slice", "_start")
