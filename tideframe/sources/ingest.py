@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideframe.functions.scalars import market_of, number, text_or_null, utc_ms
+from tideframe.functions.scalars import json_safe, market_of, number, text_or_null, utc_ms
 
 RAW_BAR = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("symbol", "market", "bar_interval", "adjustment")]
@@ -48,10 +48,11 @@ def replace_partition(rows: DataFrame, path: str, *keys: str) -> None:
 def normalize_bars(bars: DataFrame) -> DataFrame:
     """Typed bars with error (null: valid): times in UTC milliseconds, finite doubles, all required columns there."""
     times = {c: utc_ms(F.col(c)) for c in ("bar_time", "observed_at", "ingested_at")}
-    doubles = {c: number(F.col(c)) for c in NUMBERS if c in bars.columns}
+    known = {c for c, kind in bars.dtypes if kind == "double"}  # whose text would only be read back to the same number
+    doubles = {c: json_safe(F.col(c)) if c in known else number(F.col(c)) for c in NUMBERS if c in bars.columns}
     typed = bars.withColumns(times | doubles)
-    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED)))
-    return typed.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))
+    missing = F.concat_ws(", ", *(F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED))
+    return typed.withColumn("error", F.when(missing != "", F.concat(F.lit("missing: "), missing)))
 
 
 def prepare_raw_bars(bars: DataFrame) -> DataFrame:
