@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tideframe.operators import ranges
-from tideframe.plans import QUERIES
+from tideframe.operators import inventory, ranges
+from tideframe.plans import QUERIES, bars
+from tideframe.sources import ingest
 from tideframe.sources.fixtures import table
 
 DATA = "/root/testdata/sf0.001"
@@ -30,3 +31,28 @@ def test_pages_are_numbered_without_whole_datasets(spark):
     text = plan(QUERIES["manifest_check"](spark, DATA))
     assert "hashpartitioning(dataset_id" in text and "row_number() windowspecdefinition(dataset_id#" in text
     assert all("_slice#" in x.split(")")[0] for x in text.split("row_number() windowspecdefinition(")[1:])
+
+
+def test_a_changed_snapshot_takes_one_pass(spark):
+    rows = bars.canon(spark, DATA).where("bar_time < '1995-06-01' OR symbol > 'S0005'")
+    early = F.col("bar_time") < bars.ntz("1995-03-15 00:00:00")
+    late = rows.where((F.col("symbol") != "S0009") | ~early)
+    want = sorted(inventory.snapshot_changed(bars.identity(late.where(early)), bars.identity(late)).collect())
+    got = inventory.changed_since(bars.identified(late), bars.IDENTIFIED, early)
+    assert [tuple(r) for r in sorted(got.collect())] == [tuple(r) for r in want] and any(r.before_sha256 is None for r in want)
+    assert plan(QUERIES["snapshot_changed"](spark, DATA)).count("FileScan") == 1
+
+
+def test_points_meet_narrow_bars(spark):
+    text = plan(QUERIES["bars_at_points"](spark, DATA))
+    assert "input_fingerprint" not in text and "quality_status" not in text
+
+
+def test_doubles_are_not_read_from_their_texts(spark):
+    rows = spark.createDataFrame([(1.5, "2,5", "-"), (float("nan"), "x", ""), (-0.0, "-0", None)], "open double, high string, close string")
+    blank = {c: F.lit(None).cast("timestamp" if c.endswith("_at") or c.endswith("_time") else "string") for c in (*ingest.REQUIRED, *ingest.NUMBERS) if c not in rows.columns}
+    out = ingest.normalize_bars(rows.withColumns(blank))
+    assert [(str(r.open), r.high, r.close) for r in out.collect()] == [("1.5", 25.0, None), ("None", None, None), ("-0.0", 0.0, None)]
+    assert "open" not in out.select("error").first().error.split("missing: ")[1].split(", ")
+    text = plan(rows.withColumns(blank).transform(ingest.normalize_bars).select("open"))
+    assert "regexp_replace" not in text

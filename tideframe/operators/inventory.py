@@ -82,12 +82,19 @@ def filter_values(rows: DataFrame, columns: Sequence[str] = ("market", "bar_inte
     return pairs.select("x.name", "x.value").distinct()
 
 
+def _lines(content: Sequence[str], time: str, *more: Column) -> Column:
+    line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in content))
+    return F.struct(F.col(time).alias("t"), F.sha2(line, 256).alias("h"), *more)
+
+
+def _joined(hashes: Column) -> Column:
+    return F.sha2(F.concat_ws("", F.transform(F.sort_array(hashes), lambda r: r["h"])), 256)
+
+
 def dataset_identity(rows: DataFrame, content: Sequence[str], time: str = "bar_time") -> DataFrame:
     """Hash of each series, their number and newest ingestion: rows are hashed in time order by month, then the months' hashes, so an array holds a month."""
-    line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in content))
-    month = F.date_format(time, "yyyyMM")
-    lines = F.struct(F.col(time).alias("t"), F.sha2(line, 256).alias("h"))
-    joined = lambda c: F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(c)), lambda r: r["h"])), 256)
+    month, lines = F.date_format(time, "yyyyMM"), _lines(content, time)
+    joined = lambda c: _joined(F.collect_list(c))
     months = rows.groupBy(*SERIES, month.alias("t")).agg(joined(lines).alias("h"), F.count("*").alias("rows"), F.max("ingested_at").alias("newest"))
     return months.groupBy(*SERIES).agg(F.sum("rows").cast("long").alias("rows"), F.max("newest").alias("newest"), joined(F.struct("t", "h")).alias("content_sha256"))
 
@@ -108,6 +115,18 @@ def snapshot_changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, list(SERIES), "full_outer").withColumn("changed", ~F.col("before_sha256").eqNullSafe(F.col("after_sha256")))
 
 
+def changed_since(rows: DataFrame, content: Sequence[str], before: Column, time: str = "bar_time") -> DataFrame:
+    """snapshot_changed() from the identity of the rows where before holds to that of all rows, in one pass: a month's rows are hashed once, and joined for either side."""
+    lines = F.collect_list(_lines(content, time, F.coalesce(before, F.lit(False)).alias("b")))
+    months = rows.groupBy(*SERIES, F.date_format(time, "yyyyMM").alias("t")).agg(lines.alias("_all"))
+    early = F.filter("_all", lambda r: r["b"])
+    months = months.select(*SERIES, "t", _joined(F.col("_all")).alias("_after"), F.when(F.size(early) > 0, _joined(early)).alias("_before"))
+    side = lambda c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct("t", F.col(c).alias("h"))))
+    both = months.groupBy(*SERIES).agg(side("_before").alias("_b"), side("_after").alias("_a"))
+    out = both.select(*SERIES, F.when(F.size("_b") > 0, _joined(F.col("_b"))).alias("before_sha256"), _joined(F.col("_a")).alias("after_sha256"))
+    return out.withColumn("changed", ~F.col("before_sha256").eqNullSafe(F.col("after_sha256")))
+
+
 def page_check(rows: DataFrame, key: Sequence[str] = ("bar_time",)) -> DataFrame:
     """For each series: rows, repeated keys, and keys out of order by arrival (column position)."""
     order = Window.partitionBy(*SERIES).orderBy("position")
