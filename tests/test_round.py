@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from tests.test_streams import RAW, raw_bars
 from tideframe.operators import inventory, ranges
+from tideframe.operators.canonical import canonical_bars
 from tideframe.plans import QUERIES, bars
 from tideframe.sources import ingest
 from tideframe.sources.fixtures import table
+from tideframe.streaming import canonical as upkeep
 
 DATA = "/root/testdata/sf0.001"
 
@@ -56,3 +59,13 @@ def test_doubles_are_not_read_from_their_texts(spark):
     assert "open" not in out.select("error").first().error.split("missing: ")[1].split(", ")
     text = plan(rows.withColumns(blank).transform(ingest.normalize_bars).select("open"))
     assert "regexp_replace" not in text
+
+
+def test_a_first_batch_is_not_joined_with_itself(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame(raw_bars(60, 5), RAW)
+    seen = []
+    monkeypatch.setattr(upkeep.canonical, "canonical_bars", lambda held, **more: seen.append(plan(held)) or canonical_bars(held, **more))
+    upkeep.refresh(rows, 0, str(tmp_path), buckets=2)
+    upkeep.refresh(rows, 1, str(tmp_path), buckets=2)
+    assert "Join" not in seen[0] and "Join" in seen[1]
+    assert upkeep.read_canonical(spark, str(tmp_path)).count() == canonical_bars(rows).count()

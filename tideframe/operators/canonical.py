@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tideframe.operators.versions import CANONICAL_KEY, SERIES, latest_raw
+from tideframe.operators.versions import CANONICAL_KEY, DEAL, SERIES, latest_raw
 
 # Source priorities, best first.
 PRIORITY = ("tushare", "sina", "eastmoney", "yahoo_chart", "baostock")
@@ -29,13 +29,14 @@ def source_rank(source: Column, priority: Sequence[str] = PRIORITY) -> Column:
     return rank
 
 
-def canonical_bars(raw: DataFrame, priority: Sequence[str] = PRIORITY, relative: float = 1e-6, absolute: float = 1e-9, deduplicated: bool = False) -> DataFrame:
+def canonical_bars(raw: DataFrame, priority: Sequence[str] = PRIORITY, relative: float = 1e-6, absolute: float = 1e-9, deduplicated: bool = False, deal: Sequence[str] = DEAL) -> DataFrame:
     """The selected row of each series and time, with source_count, quality_status, input_fingerprint and updated_at.
 
     A group has a row for each source, so its rows fit an array: one shuffle selects, compares and fingerprints.
+    deal: what rows are dealt out by; where joins by the whole key come before or after, that key saves them a shuffle.
     The order is priority, newest observation, newest ingestion, source, artifact, sequence.
     """
-    rows = raw if deduplicated else latest_raw(raw)
+    rows = raw if deduplicated else latest_raw(raw, deal)
     micros = lambda c: -F.unix_micros(F.col(c).cast("timestamp"))
     order = [
         source_rank(F.col("source"), priority).alias("_rank"),

@@ -27,9 +27,9 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], deal: Seque
     return best.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns))
 
 
-def latest_raw(bars: DataFrame) -> DataFrame:
+def latest_raw(bars: DataFrame, deal: Sequence[str] = DEAL) -> DataFrame:
     """Newest ingestion, then highest content rank, of each series, source and bar time."""
-    return newest(bars, RAW_KEY, ("ingested_at", "content_rank"), DEAL)
+    return newest(bars, RAW_KEY, ("ingested_at", "content_rank"), deal)
 
 
 def latest_canonical(bars: DataFrame) -> DataFrame:

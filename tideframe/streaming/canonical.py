@@ -63,14 +63,13 @@ def refresh(batch: DataFrame, batch_id: int, store: str, buckets: int = BUCKETS)
     if not names:
         return
     _write(rows.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{store}/raw", "part", "batch_id")
-    held = spark.read.parquet(f"{store}/raw").where(F.col("part").isin(names) & (F.col("batch_id") <= batch_id))
-    keys = rows.select(*CANONICAL_KEY).distinct()
-    new = canonical.canonical_bars(held.select(*batch.columns).join(keys, list(CANONICAL_KEY), "left_semi"))
+    held = spark.read.parquet(f"{store}/raw").where(F.col("part").isin(names) & (F.col("batch_id") <= batch_id)).select(*batch.columns)
     before = read_canonical(spark, store, names, batch_id)
-    if before is None:
-        built = new.withColumn("version", F.lit(1).cast("long"))
+    if before is None:  # no batch before this one touched these parts, so all that they hold is its own
+        built = canonical.canonical_bars(held).withColumn("version", F.lit(1).cast("long"))
     else:
-        built = canonical.renewed(before, new)
+        keys = rows.select(*CANONICAL_KEY).distinct()
+        built = canonical.renewed(before, canonical.canonical_bars(held.join(keys, list(CANONICAL_KEY), "left_semi"), deal=CANONICAL_KEY))
     _write(with_part(built, buckets).withColumn("build", F.lit(batch_id).cast("long")), f"{store}/canonical", "part", "build")
     done = spark.createDataFrame([(n, batch_id, batch_id) for n in names], COMMITS)
     done.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{store}/commits")
