@@ -66,6 +66,19 @@ def test_documents_over_many_units(spark, monkeypatch):
     assert len(got) == len(texts)
 
 
+def test_units_in_which_no_document_begins(spark, monkeypatch):
+    texts = ["first", "one over many units " * 500, "last"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, value in (("BLOCK", 64), ("UNIT", 2)):  # the writer's and the reader's tasks take these along
+        monkeypatch.setattr(ans, name, value)
+    monkeypatch.setattr(ans.common, "tasks", lambda spark, items: 4)
+    manifest, counts = ans.write_documents(frame, PATH, 2)
+    assert manifest.agg({"blocks": "max"}).first()[0] > 10
+    got = {r.doc_id: bytes(r.ids) for r in ans.read_files(manifest, counts).collect()}
+    own = Tokenizer.from_file(PATH)
+    assert got == {i: np.array([*own.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, x in enumerate(texts)}
+
+
 def test_files_against_the_library(spark, monkeypatch):
     texts = ["hello world", None, "", "the  the", "x" * 3000, "hello world", "many words here " * 9000, "end <|endoftext|> text"]
     rows = [(7 * i % 5 if i != 3 else None, x, "extra") for i, x in enumerate(texts)]

@@ -319,7 +319,7 @@ def write_files(tokens: DataFrame, counts: np.ndarray, folder: str) -> DataFrame
         edges = np.searchsorted(starts[:-1], np.arange(0, len(blocks) + UNIT, UNIT) * BLOCK)  # of documents by the unit that they begin in
         units = []
         for a, b in zip(edges, edges[1:], strict=False):
-            part = np.array(sizes[a:b], "<u4").tobytes() + np.array([x or 0 for x in docs[a:b]], "<i8").tobytes() + np.packbits([x is None for x in docs[a:b]]).tobytes()
+            part = np.array(sizes[a:b], "<u4").tobytes() + np.array([x or 0 for x in docs[a:b]], "<i8").tobytes() + np.packbits(np.array([x is None for x in docs[a:b]], bool)).tobytes()
             data = zlib.compress(part, 1)
             out.write(data)
             units.append((offset, len(data), int(b - a), int(starts[a])))
