@@ -177,6 +177,24 @@ def test_repeated_rows_count_once(spark, width, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, width, percent)
 
 
+def test_pairs_within_a_star_cluster_are_not_counted_one_by_one(spark, monkeypatch):
+    """Near copies of one text around the threshold share signatures in ever other small groups: blocks settle these pairs."""
+    r = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for k in r.choice(len(words), 4, replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counted, linked = [], nj.linked
+    monkeypatch.setattr(nj, "linked", lambda pairs, *more: counted.append(pairs.count()) or linked(pairs, *more))
+    got = nj.near_duplicates(frame, 3, 82).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 82)
+    assert counted[0] and not any(counted[1:]), counted
+
+
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_rounds_of_nearest_candidates(spark, monkeypatch, rounds):
     monkeypatch.setattr(nj, "MANY", 0)

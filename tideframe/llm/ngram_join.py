@@ -625,20 +625,27 @@ def _dealt(found: DataFrame, columns: list[str]) -> DataFrame:
     return found.repartition(n, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "sid")
 
 
-def stars_left(documents: DataFrame, sizes: DataFrame, stars: DataFrame, component: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links between sets of stars that the links so far leave in different components; None without such sets.
-
-    What hangs together by star edges is a cluster. Its sets' sketches meet in blocks, which tell the sets that could have
-    a link at all. The n-grams of these meet in blocks as well; a task counts a block's overlaps fragment by
-    fragment, and only a spanning forest of the links leaves it.
-    """
+def star_members(stars: DataFrame, component: DataFrame) -> DataFrame | None:
+    """(sid, cluster) of the ends of stars whose component hangs together with others by star edges, which is a cluster; None without such sets."""
     ends = with_component(with_component(stars, component, "a", "ca"), component, "b", "cb")
     cross = common.written(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     if cross.isEmpty():
         return None
     cluster = common.written(components(cross)).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     nodes = stars.select(F.col("a").alias("sid")).union(stars.select(F.col("b").alias("sid"))).distinct()
-    members = common.written(with_component(nodes, component, "sid", "component").join(cluster, "component").join(sizes, "sid"))
+    return common.written(with_component(nodes, component, "sid", "component").join(cluster, "component").select("sid", "cluster"))
+
+
+def stars_left(documents: DataFrame, sizes: DataFrame, stars: DataFrame, component: DataFrame, width: int, percent: int, members: DataFrame | None = None) -> DataFrame | None:
+    """Links between sets of stars that the links so far leave in different components; None without such sets.
+
+    members: star_members() of these or of fewer links. A cluster's sets' sketches meet in blocks, which tell the sets that could have
+    a link at all. The n-grams of these meet in blocks as well; a task counts a block's overlaps fragment by
+    fragment, and only a spanning forest of the links leaves it.
+    """
+    if members is None and (members := star_members(stars, component)) is None:
+        return None
+    members = common.written(with_component(members, component, "sid", "component").join(sizes, "sid"))
     sketched = in_blocks(members.select("cluster", "component", "sid", "n", "sketch"), F.octet_length("sketch"), SKETCHED_SETS, SKETCHED_BYTES, percent)
     near = _dealt(sketched, ["own", "sid", "n", "component", "sketch"]).mapInArrow(common.released(_close_blocks(percent)), "sid long").distinct()
     near = common.written(near)
@@ -664,12 +671,8 @@ def set_links(documents: DataFrame, first: DataFrame, width: int, percent: int,
     """Edges (a, b) between sids that connect exactly what the links between candidate sets connect."""
     sizes = common.written(first.withColumnRenamed("n_shingles", "n").drop("set_hash", "signatures"))
     near, stars = close(candidate_pairs(first), sizes, percent)
-    edges = nearest_first(near, candidate_segments(documents, sizes, near, width, fragments), fragments)
-    if stars.isEmpty():
-        return edges
-    edges = common.written(edges)
-    component = common.written(components(edges))
-    left = stars_left(documents, sizes, stars, component, width, percent)
+    edges, component, members = nearest_first(near, candidate_segments(documents, sizes, near, width, fragments), stars, fragments)
+    left = None if members is None else stars_left(documents, sizes, stars, component, width, percent, members)
     return edges if left is None else edges.union(left)
 
 
@@ -678,14 +681,16 @@ def candidate_segments(documents: DataFrame, sizes: DataFrame, pairs: DataFrame,
     return segments_of(documents, common.written(sizes.select("sid", "doc_id", "text_key").join(nodes, "sid")), width, fragments)
 
 
-def nearest_first(near: DataFrame, segments: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
-    """Edges (a, b) of candidates (a, b, need, far) that connect what the links among these connect.
+def nearest_first(near: DataFrame, segments: DataFrame, stars: DataFrame, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Edges (a, b) that connect what the links among candidates (a, b, need, far) connect, but for pairs within a star cluster; components by the most
+    of these edges, and star_members().
 
-    Each set's nearest candidate is counted first: what these links connect needs no further count. While many candidates
-    are left between components, each component's nearest one is next; what is left then is counted whole.
+    Each set's nearest candidate is counted first: what these links connect needs no further count. What is left within a star
+    cluster meets in blocks anyway (stars_left()), so it isn't counted pair by pair, as a group of many near copies has very many such pairs. While many
+    candidates are left between components, each component's nearest one is next; what is left then is counted whole.
     """
-    left, edges = near.select("a", "b", "far", "need", F.col("a").alias("ca"), F.col("b").alias("cb")), None
-    for _ in range(ROUNDS):
+    left, edges, members = near.select("a", "b", "far", "need", F.col("a").alias("ca"), F.col("b").alias("cb")), None, None
+    for turn in range(ROUNDS):
         best = F.min(F.struct("far", "a", "b", "need")).alias("to")
         nearest = left.withColumn("x", F.explode(F.array("ca", "cb"))).groupBy("x").agg(best)
         nearest = common.written(nearest.select("to.a", "to.b", "to.need").distinct())
@@ -693,10 +698,14 @@ def nearest_first(near: DataFrame, segments: DataFrame, fragments: int = FRAGMEN
         edges = found if edges is None else common.written(edges.union(found))
         now = common.written(components(edges))
         rest = left.join(nearest.select("a", "b"), ["a", "b"], "left_anti").drop("ca", "cb")
-        left = common.written(with_component(with_component(rest, now, "a", "ca"), now, "b", "cb").where("ca <> cb"))
+        rest = with_component(with_component(rest, now, "a", "ca"), now, "b", "cb").where("ca <> cb")
+        if turn == 0 and not stars.isEmpty() and (members := star_members(stars, now)) is not None:
+            side = lambda x: members.select(F.col("sid").alias(x), F.col("cluster").alias(f"_{x}"))
+            rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(_a <> _b, true)").select("a", "b", "far", "need", "ca", "cb")
+        left = common.written(rest)
         if left.count() <= MANY:
             break
-    return edges.union(linked(left.select("a", "b", "need"), segments, fragments))
+    return edges.union(linked(left.select("a", "b", "need"), segments, fragments)), now, members
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
