@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.test_streams import RAW, raw_bars
-from tideframe.operators import inventory, ranges
+from tideframe.operators import canonical, inventory, ranges
 from tideframe.operators.canonical import canonical_bars
 from tideframe.plans import QUERIES, bars
 from tideframe.sources import ingest
@@ -69,3 +69,13 @@ def test_a_first_batch_is_not_joined_with_itself(spark, tmp_path, monkeypatch):
     upkeep.refresh(rows, 1, str(tmp_path), buckets=2)
     assert "Join" not in seen[0] and "Join" in seen[1]
     assert upkeep.read_canonical(spark, str(tmp_path)).count() == canonical_bars(rows).count()
+
+
+def test_a_rebuild_takes_one_shuffle_of_raw_rows(spark):
+    rows, late = bars.raw(spark, DATA), F.col("ingested_at") >= bars.ntz("2000-01-01 00:00:00")
+    existing = canonical_bars(rows.where(~late)).withColumn("version", F.lit(1).cast("long"))
+    want = canonical.incremental_rebuild(rows, existing, canonical.dirty_ranges(rows.where(late)))
+    got = canonical.rebuilt(rows, late).select(*want.columns)
+    lines = lambda d: sorted(r.x for r in d.select(F.to_json(F.struct(*d.columns)).alias("x")).collect())
+    assert lines(got) == lines(want)
+    assert plan(QUERIES["incremental_rebuild"](spark, DATA)).count("REPARTITION_BY_COL") == 1

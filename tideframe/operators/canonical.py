@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tideframe.operators.versions import CANONICAL_KEY, DEAL, SERIES, latest_raw
+from tideframe.operators.versions import CANONICAL_KEY, DEAL, RAW_KEY, SERIES, latest_raw
 
 # Source priorities, best first.
 PRIORITY = ("tushare", "sina", "eastmoney", "yahoo_chart", "baostock")
 RUNTIME_PRIORITY = ("longport", "tushare", "sina", "eastmoney", "yahoo_chart", "baostock")
+FEW = 1 << 17  # series whose ranges may be sent to all tasks, some megabytes
 COMPARED = ("open", "high", "low", "close", "volume", "amount")
 
 
@@ -29,13 +30,16 @@ def source_rank(source: Column, priority: Sequence[str] = PRIORITY) -> Column:
     return rank
 
 
-def canonical_bars(raw: DataFrame, priority: Sequence[str] = PRIORITY, relative: float = 1e-6, absolute: float = 1e-9, deduplicated: bool = False, deal: Sequence[str] = DEAL) -> DataFrame:
+def canonical_bars(raw: DataFrame, priority: Sequence[str] = PRIORITY, relative: float = 1e-6, absolute: float = 1e-9, deduplicated: bool = False, deal: Sequence[str] = DEAL, columns: Sequence[str] | None = None, key: Sequence[str] = CANONICAL_KEY) -> DataFrame:
     """The selected row of each series and time, with source_count, quality_status, input_fingerprint and updated_at.
 
     A group has a row for each source, so its rows fit an array: one shuffle selects, compares and fingerprints.
     deal: what rows are dealt out by; where joins by the whole key come before or after, that key saves them a shuffle.
-    The order is priority, newest observation, newest ingestion, source, artifact, sequence.
+    columns: those of the result besides the key that are wanted, if not all; what neither they nor the choice needs isn't shuffled.
+    key: the canonical one, or with more columns. The order is priority, newest observation, newest ingestion, source, artifact, sequence.
     """
+    raw = raw if columns is None else raw.select(*(c for c in raw.columns if c in _needed(columns, key)))
+    compared = COMPARED if columns is None or "quality_status" in columns else ()
     rows = raw if deduplicated else latest_raw(raw, deal)
     micros = lambda c: -F.unix_micros(F.col(c).cast("timestamp"))
     order = [
@@ -46,33 +50,44 @@ def canonical_bars(raw: DataFrame, priority: Sequence[str] = PRIORITY, relative:
         F.coalesce("raw_artifact_id", F.lit("")).alias("_artifact"),
         F.coalesce("source_sequence", F.lit("")).alias("_sequence"),
     ]
-    rest = [c for c in rows.columns if c not in CANONICAL_KEY]
+    rest = [c for c in rows.columns if c not in key]
     # What decides, field by field and null or not; a number as its shortest exact text.
     fields = [c for c in (*CANONICAL_KEY, "market", *COMPARED, "raw_close", "adjustment_factor", "source", "source_sequence", "raw_artifact_id") if c in rows.columns]
     times = [F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("observed_at", "ingested_at")]
     text = F.to_json(F.struct(*fields, *times), {"ignoreNullFields": "false"})
-    grouped = rows.groupBy(*CANONICAL_KEY).agg(
+    grouped = rows.groupBy(*key).agg(
         F.array_min(F.collect_list(F.struct(*order, *(F.col(c) for c in rest)))).alias("_best"),
-        F.collect_list(F.struct("source", *COMPARED)).alias("_rows"),
+        F.collect_list(F.struct("source", *compared)).alias("_rows"),
         F.sort_array(F.collect_list(text)).alias("_texts"),
         F.max("ingested_at").alias("updated_at"),
     )
-    close = F.forall("_rows", lambda r: _all_close(r, relative, absolute))
+    close = F.forall("_rows", lambda r: _all_close(r, compared, relative, absolute))
     sources = F.size(F.array_distinct(F.transform("_rows", lambda r: r["source"])))
     quality = F.when(sources == 1, "single_source").when(close, "multi_source_consistent").otherwise("multi_source_ohlcva_difference")
-    return grouped.select(
-        *CANONICAL_KEY,
+    out = grouped.select(
+        *key,
         *(F.col(f"_best.{c}").alias(c) for c in rest),
         sources.alias("source_count"),
         quality.alias("quality_status"),
         F.sha2(F.concat_ws("\n", "_texts"), 256).alias("input_fingerprint"),
         "updated_at",
     )
+    return out if columns is None else out.select(*key, *(c for c in columns if c not in key))
 
 
-def _all_close(row: Column, relative: float, absolute: float) -> Column:
+def _needed(columns: Sequence[str], key: Sequence[str]) -> set[str]:
+    """The columns of raw bars that decide which are selected, and those that the wanted columns come from."""
+    found = {*key, "source", "observed_at", "ingested_at", "content_rank", "raw_artifact_id", "source_sequence", *columns}
+    if "quality_status" in columns:
+        found |= set(COMPARED)
+    if "input_fingerprint" in columns:
+        found |= {"market", *COMPARED, "raw_close", "adjustment_factor"}
+    return found
+
+
+def _all_close(row: Column, compared: Sequence[str], relative: float, absolute: float) -> Column:
     out = F.lit(True)
-    for c in COMPARED:
+    for c in compared:
         out = out & is_close(row[c], F.col("_best")[c], relative, absolute)
     return out
 
@@ -131,3 +146,28 @@ def incremental_rebuild(raw: DataFrame, canonical: DataFrame, ranges: DataFrame,
     inside = F.col("bar_time").between(F.col("_from"), F.col("_to"))
     touched = raw.join(span, list(SERIES)).where(inside).select(*raw.columns)
     return renewed(canonical, canonical_bars(touched, priority))
+
+
+def rebuilt(raw: DataFrame, late: Column, priority: Sequence[str] = PRIORITY, columns: Sequence[str] | None = None) -> DataFrame:
+    """What incremental_rebuild() makes of the canonical bars (version 1) of the rows that aren't late and of the ranges that late ones touch, in one pass.
+
+    A raw row is shuffled once, for both builds: the ranges, one for each series, are sent to all tasks once they are counted to be few. columns: those of the result that are wanted besides the key and version, if not all.
+    """
+    wanted = None if columns is None else list(dict.fromkeys([*columns, "input_fingerprint"]))
+    rows = raw if wanted is None else raw.select(*(c for c in raw.columns if c in _needed(wanted, CANONICAL_KEY)))
+    span = dirty_ranges(rows.where(late)).select(*SERIES, F.col("start_time").alias("_from"), F.col("end_time").alias("_to"))
+    span = F.broadcast(span) if rows.where(late).select(*SERIES).distinct().count() <= FEW else span
+    rest, order = [c for c in rows.columns if c not in RAW_KEY], F.struct("ingested_at", "content_rank")
+    marked = rows.withColumn("_before", F.coalesce(~late, F.lit(False))).join(span, list(SERIES), "left")
+    marked = marked.withColumn("_inside", F.coalesce(F.col("bar_time").between(F.col("_from"), F.col("_to")), F.lit(False))).drop("_from", "_to").where("_before OR _inside")
+    side = lambda c: F.max_by(F.struct(*rest), F.when(F.col(c), order))
+    newest = marked.repartition(*DEAL).groupBy(*RAW_KEY).agg(F.array(side("_before"), side("_inside")).alias("_rows"))
+    newest = newest.select(*RAW_KEY, F.posexplode("_rows").alias("_side", "_row")).where("_row IS NOT NULL")
+    newest = newest.select("_side", *(F.col(c) if c in RAW_KEY else F.col(f"_row.{c}").alias(c) for c in rows.columns))
+    built = canonical_bars(newest, priority, deduplicated=True, key=(*CANONICAL_KEY, "_side"))
+    out = [c for c in built.columns if c not in (*CANONICAL_KEY, "_side")]
+    both = built.groupBy(*CANONICAL_KEY).agg(*(F.first(F.when(F.col("_side") == n, F.struct(*out)), ignorenulls=True).alias(name) for n, name in ((0, "_old"), (1, "_new"))))
+    again = F.col("_old").isNotNull() & F.col("_new").isNotNull() & (F.col("_old.input_fingerprint") != F.col("_new.input_fingerprint"))
+    kept = F.coalesce("_new", "_old")
+    keep = out if columns is None else [c for c in columns if c not in CANONICAL_KEY]
+    return both.select(*CANONICAL_KEY, *(kept[c].alias(c) for c in keep), F.when(again, 2).otherwise(1).cast("long").alias("version"))
