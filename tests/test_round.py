@@ -84,3 +84,8 @@ def test_a_rebuild_takes_one_shuffle_of_raw_rows(spark):
 def test_only_needed_columns_are_shuffled(spark):
     for name, unread in (("dataset_diff", "l_tax"), ("asof_join", "l_linestatus"), ("dataset_identity", "raw_close"), ("quality_status", "raw_close"), ("historical_bar", "raw_close"), ("rows_by_layer", "l_tax")):
         assert unread not in plan(QUERIES[name](spark, DATA)), name
+
+
+def test_hashes_are_shuffled_as_bytes(spark):
+    rows = bars.identified(bars.canon(spark, DATA)).select(inventory._lines(bars.IDENTIFIED, "bar_time").alias("x"))
+    assert dict(rows.select("x.*").dtypes)["h"] == "binary"

@@ -84,11 +84,12 @@ def filter_values(rows: DataFrame, columns: Sequence[str] = ("market", "bar_inte
 
 def _lines(content: Sequence[str], time: str, *more: Column) -> Column:
     line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in content))
-    return F.struct(F.col(time).alias("t"), F.sha2(line, 256).alias("h"), *more)
+    return F.struct(F.col(time).alias("t"), F.unhex(F.sha2(line, 256)).alias("h"), *more)
 
 
 def _joined(hashes: Column) -> Column:
-    return F.sha2(F.concat_ws("", F.transform(F.sort_array(hashes), lambda r: r["h"])), 256)
+    """The hash of the hashes' hexadecimal texts in time order; they come as bytes, half as long in a shuffle."""
+    return F.sha2(F.concat_ws("", F.transform(F.sort_array(hashes), lambda r: F.lower(F.hex(r["h"])))), 256)
 
 
 def dataset_identity(rows: DataFrame, content: Sequence[str], time: str = "bar_time") -> DataFrame:
@@ -96,7 +97,7 @@ def dataset_identity(rows: DataFrame, content: Sequence[str], time: str = "bar_t
     month, lines = F.date_format(time, "yyyyMM"), _lines(content, time)
     joined = lambda c: _joined(F.collect_list(c))
     months = rows.groupBy(*SERIES, month.alias("t")).agg(joined(lines).alias("h"), F.count("*").alias("rows"), F.max("ingested_at").alias("newest"))
-    return months.groupBy(*SERIES).agg(F.sum("rows").cast("long").alias("rows"), F.max("newest").alias("newest"), joined(F.struct("t", "h")).alias("content_sha256"))
+    return months.groupBy(*SERIES).agg(F.sum("rows").cast("long").alias("rows"), F.max("newest").alias("newest"), joined(F.struct("t", F.unhex("h").alias("h"))).alias("content_sha256"))
 
 
 def with_dataset_ids(identity: DataFrame, start: str, end: str) -> DataFrame:
@@ -121,7 +122,7 @@ def changed_since(rows: DataFrame, content: Sequence[str], before: Column, time:
     months = rows.groupBy(*SERIES, F.date_format(time, "yyyyMM").alias("t")).agg(lines.alias("_all"))
     early = F.filter("_all", lambda r: r["b"])
     months = months.select(*SERIES, "t", _joined(F.col("_all")).alias("_after"), F.when(F.size(early) > 0, _joined(early)).alias("_before"))
-    side = lambda c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct("t", F.col(c).alias("h"))))
+    side = lambda c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct("t", F.unhex(c).alias("h"))))
     both = months.groupBy(*SERIES).agg(side("_before").alias("_b"), side("_after").alias("_a"))
     out = both.select(*SERIES, F.when(F.size("_b") > 0, _joined(F.col("_b"))).alias("before_sha256"), _joined(F.col("_a")).alias("after_sha256"))
     return out.withColumn("changed", ~F.col("before_sha256").eqNullSafe(F.col("after_sha256")))
