@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tests.test_streams import RAW, raw_bars
-from tideframe.operators import canonical, inventory, ranges
+from tideframe.operators import asof, canonical, inventory, ranges, versions
 from tideframe.operators.canonical import canonical_bars
+from tideframe.operators.versions import CANONICAL_KEY
 from tideframe.plans import QUERIES, bars
 from tideframe.sources import ingest
 from tideframe.sources.fixtures import table
@@ -89,3 +90,41 @@ def test_only_needed_columns_are_shuffled(spark):
 def test_hashes_are_shuffled_as_bytes(spark):
     rows = bars.identified(bars.canon(spark, DATA)).select(inventory._lines(bars.IDENTIFIED, "bar_time").alias("x"))
     assert dict(rows.select("x.*").dtypes)["h"] == "binary"
+
+
+def test_an_as_of_join_finds_bars_where_they_were_chosen(spark):
+    for name in ("asof_join", "asof_join_all", "bars_at_points"):
+        text = plan(QUERIES[name](spark, DATA))
+        assert text.count("Exchange") == text.count("REPARTITION_BY_COL") == 2, name  # raw bars and points, no canonical bars
+        assert "raw_artifact_id" not in text and "source_sequence" not in text, name
+
+
+def test_bars_in_spans_give_the_same_matches(spark):
+    rows = spark.createDataFrame(raw_bars(400, 7), RAW)
+    rows = rows.unionByName(rows.withColumns({"bar_time": F.col("bar_time") + F.expr("INTERVAL 36 SECONDS"), "close": F.col("close") + 1}))
+    points = rows.select("symbol", (F.col("bar_time") + F.expr("INTERVAL 30 SECONDS")).alias("t"), F.monotonically_increasing_id().alias("i"))
+    points = points.unionByName(spark.createDataFrame([("none", None, -1)], "symbol string, t timestamp, i long").select("symbol", F.col("t").cast(dict(points.dtypes)["t"]), "i"))
+    for tolerance in (0, 1, 40, 86_400):
+        want = asof.asof_join(points, canonical_bars(rows).select("symbol", "bar_time", "close"), ["symbol"], "t", "bar_time", ["close"], tolerance)
+        chosen = canonical_bars(asof.in_spans(rows, "bar_time", tolerance), columns=["close"], deal=("symbol", "_span"), key=(*CANONICAL_KEY, "_span"))
+        got = asof.asof_join(points, chosen, ["symbol"], "t", "bar_time", ["close"], tolerance, spanned=True)
+        lines = sorted(map(str, got.select(*want.columns).collect()))
+        assert lines == sorted(map(str, want.collect())) and len(lines) == 801
+
+
+def test_wanted_columns_alone_are_chosen_alike(spark):
+    rows = spark.createDataFrame(raw_bars(300, 3), RAW)
+    whole = canonical_bars(rows)
+    for columns in (["close"], ["close", "content_rank"], ["raw_artifact_id", "updated_at"], ["input_fingerprint"], ["quality_status", "source_count"]):
+        got = canonical_bars(rows, columns=columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*got.columns).collect())), columns
+
+
+def test_ranks_of_any_text_keep_their_order(spark):
+    ranks = ["", "0", "00", "0a", "0A", "0b1", "ab", "abcd", "Abcd", "g1", "zz", "é0", None, "ab\n", "ff" * 26]
+    rows = spark.createDataFrame(raw_bars(1, 1)[:1], RAW).drop("content_rank").crossJoin(spark.createDataFrame([(n, r) for n, r in enumerate(ranks)], "n int, content_rank string"))
+    pairs = spark.createDataFrame([(f"S{a}-{b}", n) for a in range(len(ranks)) for b in range(a) for n in (a, b)], "name string, n int")
+    both = rows.join(pairs, "n").withColumn("symbol", F.col("name")).drop("name", "n")
+    got = {r.symbol: r.content_rank for r in versions.latest_raw(both).collect()}
+    assert got == {f"S{a}-{b}": max((ranks[a], ranks[b]), key=lambda x: (x is not None, (x or "").encode())) for a in range(len(ranks)) for b in range(a)}
+    assert "_digits" in plan(versions.latest_raw(both))

@@ -25,25 +25,41 @@ def with_effective_time(bars: DataFrame, point: Column) -> DataFrame:
     return out.withColumn("match_kind", F.when(F.col("staleness_seconds") == 0, "exact").otherwise("prior_within_lookback"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tolerance: int | None = None, span: int | None = None) -> DataFrame:
+def _seconds(c: str) -> Column:
+    return F.unix_seconds(F.col(c).cast("timestamp"))
+
+
+def _span(tolerance: int) -> int:
+    return 16 * max(tolerance, 1)
+
+
+def in_spans(rows: DataFrame, time: str, tolerance: int) -> DataFrame:
+    """rows with _span, the span of 16 tolerances that their time is in; those that reach into the next span are in that one too."""
+    reach = F.array(F.floor(_seconds(time) / _span(tolerance)), F.floor((_seconds(time) + tolerance) / _span(tolerance)))
+    return rows.withColumn("_span", F.explode(F.array_distinct(reach)))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tolerance: int | None = None, span: int | None = None, spanned: bool = False) -> DataFrame:
     """left with the values of the latest row of right at or before its time, within tolerance seconds.
 
     Both sides go through one window in time order, rows of right first on equal times, so the work is linear:
     no range join. The carried struct is the last one seen. Series are cut into spans of time, so that no task holds a whole one: with a
     tolerance into spans of 16 tolerances, where a row of right that reaches into the next span is put there too; without one
     into spans of some ten thousand rows, where the last row before a span is put at its beginning.
+    spanned: right is in the spans of the tolerance (in_spans()) and dealt out by keys and _span, so only left, which has no _span of its own, is shuffled.
     """
     carried = F.struct(F.col(right_time).alias("matched_time"), *values)
-    whole = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     if tolerance is None:
-        span = span or range_size(right, whole(right_time))
-        reach = F.array(F.floor(whole(right_time) / span))
+        span = span or range_size(right, _seconds(right_time))
+        rows = right.withColumn("_span", F.floor(_seconds(right_time) / span))
     else:
-        span = 16 * max(tolerance, 1)
-        reach = F.array_distinct(F.array(F.floor(whole(right_time) / span), F.floor((whole(right_time) + tolerance) / span)))
-    spot = F.floor(whole(left_time) / span)
-    rows = right.select(*by, F.explode(reach).alias("_span"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), carried.alias("_value"))
+        span = _span(tolerance)
+        rows = right if spanned else in_spans(right, right_time, tolerance)
+    rows = rows.select(*by, "_span", F.col(right_time).alias("_time"), F.lit(0).alias("_side"), carried.alias("_value"))
     own = [c for c in left.columns if c not in by]
+    spot = F.floor(_seconds(left_time) / span)
+    if spanned:
+        left, spot = left.withColumn("_span", spot).repartition(*by, "_span"), F.col("_span")
     points = left.select(*by, spot.alias("_span"), F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*own).alias("_left"))
     if tolerance is None:
         last = rows.groupBy(*by, "_span").agg(F.max("_time").alias("_time"), F.max_by("_value", "_time").alias("_value"))
@@ -55,18 +71,19 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     order = Window.partitionBy(*by, "_span").orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = both.withColumn("_match", F.last("_value", ignorenulls=True).over(order)).where("_side = 1")
     if tolerance is not None:
-        near = whole("_time") - whole("_match.matched_time") <= tolerance
+        near = _seconds("_time") - _seconds("_match.matched_time") <= tolerance
         joined = joined.withColumn("_match", F.when(near, F.col("_match")))
     return joined.select(*by, "_left.*", "_match.matched_time", *(F.col(f"_match.{v}").alias(v) for v in values))
 
 
-def bars_at(bars: DataFrame, points: DataFrame, lookback: int, keys: Sequence[str] = ("symbol",), time: str = "as_of") -> DataFrame:
+def bars_at(bars: DataFrame, points: DataFrame, lookback: int, keys: Sequence[str] = ("symbol",), time: str = "as_of", spanned: bool = False) -> DataFrame:
     """points (keys and a time, any number of rows) each with its key's latest bar within lookback seconds before it, if there is one.
 
     effective_bar_at, staleness_seconds and match_kind say how old the bar is; they are null, and match_kind is missing, without one.
+    spanned: as in asof_join().
     """
-    values = [c for c in bars.columns if c not in (*keys, "bar_time")]
-    found = asof_join(points, bars, keys, time, "bar_time", values, lookback).withColumnRenamed("matched_time", "effective_bar_at")
+    values = [c for c in bars.columns if c not in (*keys, "bar_time") and not (spanned and c == "_span")]
+    found = asof_join(points, bars, keys, time, "bar_time", values, lookback, spanned=spanned).withColumnRenamed("matched_time", "effective_bar_at")
     age = F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(F.col("effective_bar_at").cast("timestamp"))
     kind = F.when(age.isNull(), "missing").when(age == 0, "exact").otherwise("prior_within_lookback")
     return found.withColumn("staleness_seconds", age.cast("long")).withColumn("match_kind", kind)

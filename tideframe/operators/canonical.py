@@ -14,6 +14,7 @@ PRIORITY = ("tushare", "sina", "eastmoney", "yahoo_chart", "baostock")
 RUNTIME_PRIORITY = ("longport", "tushare", "sina", "eastmoney", "yahoo_chart", "baostock")
 FEW = 1 << 17  # series whose ranges may be sent to all tasks, some megabytes
 COMPARED = ("open", "high", "low", "close", "volume", "amount")
+LAST = ("raw_artifact_id", "source_sequence")  # what decides between rows of one source
 
 
 def is_close(a: Column, b: Column, relative: float = 1e-6, absolute: float = 1e-9) -> Column:
@@ -36,21 +37,22 @@ def canonical_bars(raw: DataFrame, priority: Sequence[str] = PRIORITY, relative:
     A group has a row for each source, so its rows fit an array: one shuffle selects, compares and fingerprints.
     deal: what rows are dealt out by; where joins by the whole key come before or after, that key saves them a shuffle.
     columns: those of the result besides the key that are wanted, if not all; what neither they nor the choice needs isn't shuffled.
-    key: the canonical one, or with more columns. The order is priority, newest observation, newest ingestion, source, artifact, sequence.
+    key: the canonical one, or with more columns. The order is priority, newest observation, newest ingestion, source, artifact, sequence;
+    the last two can't decide between the newest versions, of which a group has one for each source, and stay behind if they aren't wanted.
     """
-    raw = raw if columns is None else raw.select(*(c for c in raw.columns if c in _needed(columns, key)))
+    needed = set(raw.columns) if columns is None else _needed(columns, key) | (set(LAST) if deduplicated else set())
+    raw = raw.select(*(c for c in raw.columns if c in needed))
     compared = COMPARED if columns is None or "quality_status" in columns else ()
-    rows = raw if deduplicated else latest_raw(raw, deal)
+    rows = raw if deduplicated else latest_raw(raw, deal, [c for c in key if c not in CANONICAL_KEY], columns is None or "content_rank" in columns)
     micros = lambda c: -F.unix_micros(F.col(c).cast("timestamp"))
     order = [
         source_rank(F.col("source"), priority).alias("_rank"),
         micros("observed_at").alias("_observed"),
         micros("ingested_at").alias("_ingested"),
         F.col("source").alias("_source"),
-        F.coalesce("raw_artifact_id", F.lit("")).alias("_artifact"),
-        F.coalesce("source_sequence", F.lit("")).alias("_sequence"),
+        *(F.coalesce(c, F.lit("")).alias(f"_last_{c}") for c in LAST if c in rows.columns),
     ]
-    rest = [c for c in rows.columns if c not in key]
+    rest = [c for c in rows.columns if c not in key and (columns is None or c in columns or c in compared)]
     # What decides, field by field and null or not; a number as its shortest exact text.
     fields = [c for c in (*CANONICAL_KEY, "market", *COMPARED, "raw_close", "adjustment_factor", "source", "source_sequence", "raw_artifact_id") if c in rows.columns]
     times = [F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("observed_at", "ingested_at")]
@@ -77,11 +79,11 @@ def canonical_bars(raw: DataFrame, priority: Sequence[str] = PRIORITY, relative:
 
 def _needed(columns: Sequence[str], key: Sequence[str]) -> set[str]:
     """The columns of raw bars that decide which are selected, and those that the wanted columns come from."""
-    found = {*key, "source", "observed_at", "ingested_at", "content_rank", "raw_artifact_id", "source_sequence", *columns}
+    found = {*key, "source", "observed_at", "ingested_at", "content_rank", *columns}
     if "quality_status" in columns:
         found |= set(COMPARED)
     if "input_fingerprint" in columns:
-        found |= {"market", *COMPARED, "raw_close", "adjustment_factor"}
+        found |= {"market", *COMPARED, "raw_close", "adjustment_factor", *LAST}
     return found
 
 

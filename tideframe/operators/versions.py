@@ -15,21 +15,26 @@ CANONICAL_KEY = (*SERIES, "bar_time")
 DEAL = ("symbol", "bar_time")
 
 
-def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], deal: Sequence[str] | None = None) -> DataFrame:
-    """One row for each key: the one with the largest order columns (null lowest).
+def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
+    """One row for each key: the one with the largest order columns (null lowest), without the columns to drop."""
+    kept = [c for c in df.columns if c not in drop]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in kept if c not in keys)), F.struct(*order)).alias("_row"))
+    return best.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in kept))
+
+
+def latest_raw(bars: DataFrame, deal: Sequence[str] = DEAL, more: Sequence[str] = (), ranks: bool = True) -> DataFrame:
+    """Newest ingestion, then highest content rank, of each series, source and bar time (and more columns, if any).
 
     deal: some of the keys, to shuffle whole rows by before they are sorted and combined. That is right where most keys have few
     rows, so that combining first would only sort everything once more, and lets later steps by the same columns go without a shuffle.
+    Ranks that are hexadecimal digits are shuffled as bytes, half as long; other ones as they are. ranks: whether the result has them.
     """
-    rest = [c for c in df.columns if c not in keys]
-    rows = df if deal is None else df.repartition(*deal)
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return best.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns))
-
-
-def latest_raw(bars: DataFrame, deal: Sequence[str] = DEAL) -> DataFrame:
-    """Newest ingestion, then highest content rank, of each series, source and bar time."""
-    return newest(bars, RAW_KEY, ("ingested_at", "content_rank"), deal)
+    text = F.col("content_rank")
+    rows = bars.withColumn("_digits", F.unhex(text))
+    rows = rows.withColumn("_digits", F.when(F.lower(F.hex("_digits")) == text, F.col("_digits")))
+    rows = rows.withColumn("content_rank", F.when(F.col("_digits").isNull(), text)).repartition(*deal)
+    rows = rows.withColumn("content_rank", F.coalesce(F.lower(F.hex("_digits")), text)).drop("_digits")
+    return newest(rows, (*RAW_KEY, *more), ("ingested_at", "content_rank"), () if ranks else ("content_rank",))
 
 
 def latest_canonical(bars: DataFrame) -> DataFrame:
